@@ -7,16 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from knotweave.llm.license_scan import scan_licenses
-from knotweave.llm.text import documents
+from knotweave.llm.packing import pack_documents
+from knotweave.llm.text import documents, shared_dir
+from knotweave.llm.token_files import read_token_files, write_token_files
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public vocabulary ``name`` lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(
+        documents(spark, sf_dir), shared_dir(spark, "token-files"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257
+    )
+    return read_token_files(spark, files)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op4_packing": op4_packing,
+        "op8_token_files": op8_token_files,
     }
 
 
