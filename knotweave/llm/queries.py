@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from knotweave.llm.license_scan import scan_licenses
 from knotweave.llm.packing import pack_documents
+from knotweave.llm.substring_dedup import remove_repeats
 from knotweave.llm.text import documents, shared_dir
 from knotweave.llm.token_files import read_token_files, write_token_files
 
@@ -16,6 +18,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(documents(spark, sf_dir), width=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed public vocabulary ``name`` lies."""
     import public_tokenizers
@@ -37,6 +44,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_substring_dedup": op2_substring_dedup,
         "op4_packing": op4_packing,
         "op8_token_files": op8_token_files,
     }

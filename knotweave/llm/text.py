@@ -40,6 +40,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+def _inverse(base: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(base), -1, 1 << 64))
+
+
 def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hash, byte start and byte end of every white-space word of ``buf``.
 
@@ -53,10 +57,9 @@ def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space[1:-1] = (a == 32) | ((a >= 9) & (a <= 13))
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[0::2], edge[1::2]
-    power = powers(_BYTE_BASE, n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    raw = (total[end] - total[start]) * power[n - start]
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, n), out=total[1:])
+    raw = (total[end] - total[start]) * powers(_inverse(_BYTE_BASE), n)[start]
     # the length takes part, and the avalanche makes every bit usable on its own
     return mix64(raw + mix64((end - start).astype(np.uint64))), start, end
 
@@ -74,16 +77,25 @@ def gram_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     return mix64(out)
 
 
-def long_gram_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """As :func:`gram_hashes` with prefix sums: two passes whatever the width."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power = powers(_GRAM_BASE[which], len(words))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * power, out=total[1:])
-    at = np.arange(n)
-    return mix64((total[width:] - total[:n]) * power[len(words) - 1 - at])
+class GramSums:
+    """Prefix sums of a word sequence: the hash of any run of its words at once, whatever the run's length."""
+
+    def __init__(self, words: np.ndarray, which: int = 0):
+        base = _GRAM_BASE[which]
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(base, len(words)), out=self.total[1:])
+        self.back = powers(_inverse(base), len(words) + 1)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the words from ``start`` to before ``end``; equal runs have equal hashes in any sequence."""
+        raw = (self.total[end] - self.total[start]) * self.back[start]
+        return mix64(raw + mix64((end - start).astype(np.uint64)))
+
+
+def join_words(texts: list[bytes | None]) -> tuple[bytes, np.ndarray]:
+    """The texts in one buffer, where no word spans two of them, and the byte at which each starts."""
+    sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
+    return b"\n".join(t or b"" for t in texts), np.cumsum(sizes) - sizes
 
 
 def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
