@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotweave.llm.language_id import identify
 from knotweave.llm.license_scan import scan_licenses
 from knotweave.llm.packing import pack_documents
+from knotweave.llm.quality import score_quality
 from knotweave.llm.substring_dedup import remove_repeats
 from knotweave.llm.text import documents, shared_dir
 from knotweave.llm.token_files import read_token_files, write_token_files
@@ -23,6 +25,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), folds=3, held_out=1)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held_out=0)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def tokenizer_file(name: str) -> str:
     """Where the installed public vocabulary ``name`` lies."""
     import public_tokenizers
@@ -45,7 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_substring_dedup": op2_substring_dedup,
+        "op3_language_id": op3_language_id,
         "op4_packing": op4_packing,
+        "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
     }
 
