@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from knotweave.llm.language_id import identify
 from knotweave.llm.license_scan import scan_licenses
+from knotweave.llm.near_dup import near_duplicates
 from knotweave.llm.packing import pack_documents
 from knotweave.llm.quality import score_quality
 from knotweave.llm.substring_dedup import remove_repeats
@@ -29,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir), folds=3, held_out=1)
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), folds=5, held_out=0)
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -58,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": op2_substring_dedup,
         "op3_language_id": op3_language_id,
         "op4_packing": op4_packing,
+        "op5_near_dup": op5_near_dup,
         "op6_quality": op6_quality,
         "op8_token_files": op8_token_files,
     }
