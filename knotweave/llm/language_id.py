@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import LOWER, blobs, slices
+from knotweave.llm.text import LOWER, blobs, doc_text, slices
 
 #: Lengths of the n-grams (bytes of UTF-8) and the number of cells that they are hashed to.
 NGRAMS, CELLS = (1, 2, 3), 1 << 14
@@ -117,7 +117,7 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = blobs(b.column(1))
-            packed = [np.packbits(row).tobytes() for i, j in slices(texts) for row in presence(texts[i:j])]
+            packed = [np.packbits(row).tobytes() for i in range(0, len(texts), 256) for row in presence(texts[i : i + 256])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(packed, pa.binary())], names=["doc_id", "lang", "draw", "bits"])
 
     got = chosen.mapInArrow(run, "doc_id long, lang string, draw long, bits binary").collect()
@@ -131,6 +131,31 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[
     return [r["lang"] for r in kept], bits
 
 
+def predict(model: KernelModel | None, opened: tuple[np.ndarray, np.ndarray] | None, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    """Language (``und`` where there is none) and score of whole texts, scored in batches."""
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+    for i, j in slices([texts[k] for k in known]):
+        for k in range(i, j, 256):
+            part = known[k : min(k + 256, j)]
+            f = kernel(presence([texts[x] for x in part]), *opened) @ model.weights
+            for x, c, v in zip(part, f.argmax(axis=1).tolist(), f.max(axis=1).tolist(), strict=True):
+                lang[x], score[x] = model.languages[c], min(1.0, max(0.0, (v + 1) / 2))
+    return lang, score
+
+
+def _held_out(folds: int, held_out: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
+
+
+def train(docs: DataFrame, folds: int = 3, held_out: int = 1) -> KernelModel | None:
+    """Fit on rows of ``docs`` (doc_id, text, lang) outside the held-out fold; None if none is labelled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(folds, held_out))
+    labels, packed = training_sample(labelled)
+    return fit(labels, packed) if labels else None
+
+
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -139,26 +164,25 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
 
     Rows whose crc32(doc_id as text) mod ``folds`` is ``held_out`` teach nothing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn(
-        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_out, F.lit(False))
-    )
-    labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~F.col("held_out"))
-    labels, packed = training_sample(labelled)
-    model = fit(labels, packed) if labels else None
+    model = train(docs, folds, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, z_norm = model.open() if model else (None, None)
+        opened = model.open() if model else None
         for b in batches:
-            texts = blobs(b.column(1))
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-            for i, j in slices([texts[k] for k in known]):
-                for k in range(i, j, 256):
-                    part = known[k : min(k + 256, j)]
-                    f = kernel(presence([texts[x] for x in part]), z, z_norm) @ model.weights
-                    best = f.argmax(axis=1)
-                    for x, c, v in zip(part, best.tolist(), f.max(axis=1).tolist(), strict=True):
-                        lang[x], score[x] = model.languages[c], min(1.0, max(0.0, (v + 1) / 2))
+            lang, score = predict(model, opened, blobs(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, SCHEMA)
+    return doc_text(docs).withColumn("held_out", _held_out(folds, held_out)).mapInArrow(run, SCHEMA)
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language (those that are ``und`` go)."""
+    model = train(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = model.open() if model else None
+        for b in batches:
+            lang, _ = predict(model, opened, blobs(b.column(b.schema.get_field_index("text"))))
+            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

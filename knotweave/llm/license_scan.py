@@ -19,7 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from knotweave.llm.text import blobs, doc_text
+from knotweave.llm.text import WORDS, blobs, doc_text
 
 # The base phrases and labels that the query's contract names.
 BASE_PHRASES = {
@@ -53,9 +53,6 @@ RESTRICTION = {
     "cc-by-nc": 0.8, "proprietary": 1.0, "reserved": 1.0,
 }
 
-_WORD_BYTES = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
-)
 _NOTICE = re.compile(r"spdx-license-identifier\s*:|licen[sc]ed\s+under(?:\s+the)?\b", re.IGNORECASE)
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
@@ -152,7 +149,7 @@ def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
 
 def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset[str]) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_expressions) of one text."""
-    words = (raw or b"").translate(_WORD_BYTES).split()
+    words = (raw or b"").translate(WORDS).split()
     n_base, first, last = 0, None, None
     labels: set[str] = set()
     found_base: set[str] = set()

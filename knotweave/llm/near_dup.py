@@ -2,11 +2,11 @@
 
 1. A document's set is its distinct shingles of ``SHINGLE`` words. Documents with
    equal sets form a class; one member (the class's least doc_id) stands for it.
-2. Each class gets one-permutation MinHash values: one hash pass, ``BINS`` bins, and
+2. Each class gets one-permutation MinHash values: one hash pass into bins, and
    optimal densification (an empty bin copies the bin that a universal hash sequence
-   of its own index reaches first). ``ROWS`` bins make a band; equal bands share a
-   bucket. A pair at the threshold 0.85 is missed by all bands with probability
-   (1 - 0.85^8)^43, about 1e-6.
+   of its own index reaches first). Some bins make a band; equal bands share a
+   bucket. Bands are as many as make a pair at the threshold s missed with about
+   1e-6: (1 - s^rows)^bands, for 0.85 8 rows and 44 bands.
 3. Round one: in every bucket each member is a candidate with the bucket's least
    member only (a star), so pairs grow with members, not with their square.
    Candidates are confirmed on full sets: 100 * common >= 85 * union.
@@ -29,6 +29,7 @@ nothing and get a null component; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,13 @@ from pyspark.sql import functions as F
 
 from knotweave.llm.text import LOWER, blobs, checkpointed, doc_text, gram_hashes, join_words, mix64, slices, word_hashes
 
-SHINGLE, ROWS, BANDS = 5, 8, 43
-BINS = ROWS * BANDS
-#: Attempts of the densification that are laid out in a table; later ones are computed.
-_PROBES = 64
+SHINGLE = 5
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(rows, bands) that miss a pair at the threshold with a probability of about 1e-6."""
+    rows = 8 if percent >= 85 else 6 if percent >= 75 else 4
+    return rows, int(np.ceil(np.log(1e-6) / np.log(1 - (percent / 100) ** rows)))
 
 
 def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> list[np.ndarray]:
@@ -62,28 +66,26 @@ def shingle_sets(texts: list[bytes | None], width: int = SHINGLE) -> list[np.nda
     return out
 
 
-def _probe(attempt: int) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def _probe(bins: int, attempt: int) -> np.ndarray:
     """The bin that each empty bin looks at in this attempt (one universal hash of bin and attempt)."""
-    return (mix64(np.arange(BINS, dtype=np.uint64) + np.uint64(BINS * (attempt + 1))) % np.uint64(BINS)).astype(np.int64)
-
-
-_TABLE = np.stack([_probe(i) for i in range(_PROBES)])
+    return (mix64(np.arange(bins, dtype=np.uint64) + np.uint64(bins * (attempt + 1))) % np.uint64(bins)).astype(np.int64)
 
 
-def one_permutation(grams: np.ndarray) -> np.ndarray:
-    """``BINS`` MinHash values from one hash of each shingle, densified."""
+def one_permutation(grams: np.ndarray, bins: int) -> np.ndarray:
+    """``bins`` MinHash values from one hash of each shingle, densified."""
     h = mix64(grams ^ np.uint64(0x5851F42D4C957F2D))
-    cell = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    cell = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((h, cell))
     cell, h = cell[order], h[order]
     first = np.flatnonzero(np.diff(cell, prepend=-1))
-    value = np.zeros(BINS, np.uint64)
-    full = np.zeros(BINS, np.bool_)
+    value = np.zeros(bins, np.uint64)
+    full = np.zeros(bins, np.bool_)
     value[cell[first]], full[cell[first]] = h[first], True
     empty = np.flatnonzero(~full)
     attempt = 0
     while len(empty):
-        to = (_TABLE[attempt] if attempt < _PROBES else _probe(attempt))[empty]
+        to = _probe(bins, attempt)[empty]
         hit = full[to]
         value[empty[hit]] = value[to[hit]]
         empty = empty[~hit]
@@ -91,16 +93,16 @@ def one_permutation(grams: np.ndarray) -> np.ndarray:
     return value
 
 
-def bands(grams: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key a band; the band's number takes part."""
-    v = one_permutation(grams).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+def bands(grams: np.ndarray, rows: int, n: int) -> np.ndarray:
+    """One 64-bit bucket key for each of ``n`` bands of ``rows`` bins; the band's number takes part."""
+    v = one_permutation(grams, rows * n).reshape(n, rows)
+    key = np.arange(1, n + 1, dtype=np.uint64)
+    for i in range(rows):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + v[:, i])
     return key
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def _sketches(docs: DataFrame, rows: int, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +111,8 @@ def _sketches(docs: DataFrame) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64)
             sums = [(int(mix64(s).sum(dtype=np.uint64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))) for s in sets]
             print_ = [a.to_bytes(8, "little") + c.to_bytes(8, "little") + n.to_bytes(4, "little") for (a, c), n in zip(sums, size.tolist(), strict=True)]
-            keys = np.concatenate([bands(s) if len(s) else np.zeros(0, np.uint64) for s in sets]) if sets else np.zeros(0, np.uint64)
-            at = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]).astype(np.int32)
+            keys = np.concatenate([bands(s, rows, n_bands) if len(s) else np.zeros(0, np.uint64) for s in sets]) if sets else np.zeros(0, np.uint64)
+            at = np.concatenate([[0], np.cumsum(np.where(size > 0, n_bands, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(size), pa.array(print_, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))],
                 names=["doc_id", "n_shingles", "print", "bands"],
@@ -163,7 +165,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of every row of ``docs``."""
-    sketch = checkpointed(_sketches(docs))
+    sketch = checkpointed(_sketches(docs, *banding(percent)))
     # equal sets, pre-aggregated before the shuffle: a class of any size is one row per task there
     full = sketch.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))

@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotweave.llm.decontaminate import find_leaks
 from knotweave.llm.language_id import identify
 from knotweave.llm.license_scan import scan_licenses
 from knotweave.llm.near_dup import near_duplicates
 from knotweave.llm.packing import pack_documents
+from knotweave.llm.pii import pseudonymise
 from knotweave.llm.quality import score_quality
 from knotweave.llm.substring_dedup import remove_repeats
 from knotweave.llm.text import documents, shared_dir
 from knotweave.llm.token_files import read_token_files, write_token_files
+from knotweave.llm.topk import nearest
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +54,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(
         documents(spark, sf_dir), shared_dir(spark, "token-files"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257
@@ -58,6 +65,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, files)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: A deployment passes its own secret; the queries need one that is the same everywhere.
+DEMO_KEY = "knotweave-demo-key"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -66,9 +85,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_near_dup": op5_near_dup,
         "op6_quality": op6_quality,
+        "op7_topk": op7_topk,
         "op8_token_files": op8_token_files,
+        "op9_decontamination": op9_decontamination,
+        "op10_pii": op10_pii,
     }
 
 
+# DuckDB's words are the same: [^\x20\x09-\x0D]+ of the whole text.
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35),
+h AS (SELECT doc_id, p, sha256(array_to_string(w[p:p+34], ' ')) AS k FROM s),
+r AS (SELECT doc_id, p FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, p + i AS q FROM r, (SELECT unnest(range(35)) AS i)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.q) AS kept, count(*) AS n FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.q = c.q GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+_NEAR_DUP_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express; the others are tested against brute force in tests/llm."""
+    return {
+        "op2_substring_dedup": _SUBSTRING_SQL,
+        "op5_near_dup": _NEAR_DUP_SQL,
+        "op7_topk": _TOPK_SQL,
+    }

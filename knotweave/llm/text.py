@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
+#: Bytes outside [0-9A-Za-z] and non-ASCII become spaces, A-Z lower case: the words of notices and benchmark items.
+WORDS = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
+)
+
 #: Odd multipliers of the polynomial hashes (arbitrary fixed values).
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 _GRAM_BASE = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
