@@ -1,0 +1 @@
+"""knotweave: a PySpark-native analytics engine for dependency graphs."""
