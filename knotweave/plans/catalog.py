@@ -235,19 +235,19 @@ def _parts(spark, d):
     return table(spark, d, "part").select(star.node_id("part", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("part").alias("type"), F.col("p_name").alias("path"))
 
 
-@query("ft1_and", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' small ') AND contains({_NORM}, ' steel ')")
+@query("ft1_and", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' small ') AND contains({_NORM}, ' ring ')")
 def _(spark, d):
-    return search.full_text(_parts(spark, d), "Small STEEL", ["name"]).select("id")
+    return search.full_text(_parts(spark, d), "Small RING", ["name"]).select("id")
 
 
-@query("ft1_or_fallback", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' steel ') OR contains({_NORM}, ' nosuchword ')")
+@query("ft1_or_fallback", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' ring ') OR contains({_NORM}, ' bolt ')")
 def _(spark, d):
-    return search.full_text(_parts(spark, d), "steel nosuchword", ["name"]).select("id")
+    return search.full_text(_parts(spark, d), "ring bolt", ["name"]).select("id")
 
 
-@query("ft4_find_page", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' steel ') ORDER BY id LIMIT 20 OFFSET 10")
+@query("ft4_find_page", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' ring ') ORDER BY id LIMIT 20 OFFSET 10")
 def _(spark, d):
-    return search.find_symbol(_only_name(_parts(spark, d)), "steel", limit=20, offset=10).select("id")
+    return search.find_symbol(_only_name(_parts(spark, d)), "ring", limit=20, offset=10).select("id")
 
 
 def _only_name(nodes: DataFrame) -> DataFrame:
@@ -255,9 +255,9 @@ def _only_name(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "name")
 
 
-@query("flt1_like_contains", "SELECT 'part:' || p_partkey AS id, p_name AS name FROM part WHERE lower(p_name) LIKE '%st_el%' ORDER BY name, id LIMIT 50")
+@query("flt1_like_contains", "SELECT 'part:' || p_partkey AS id, p_name AS name FROM part WHERE lower(p_name) LIKE '%r_ng%' ORDER BY name, id LIMIT 50")
 def _(spark, d):
-    return search.find_symbol(_parts(spark, d), "ST_el", fuzzy=True, limit=50).select("id", "name")
+    return search.find_symbol(_parts(spark, d), "R_NG", fuzzy=True, limit=50).select("id", "name")
 
 
 @query("flt_documents_full_text", "SELECT doc_id FROM documents WHERE contains(' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' all rights reserved ')")
@@ -269,14 +269,14 @@ def _(spark, d):
 # ---- usage ---------------------------------------------------------------------
 
 _CALLS_SQL = """calls AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS call_id, epoch_us(CAST(ts AS TIMESTAMP)) AS ts, event_type AS tool,
- value AS latency_ms, CAST(floor(length(props) / 4) AS BIGINT) AS out_tokens, CASE WHEN value < 0 THEN 'error' ELSE 'ok' END AS status, props FROM events)"""
+ value AS latency_ms, CAST(floor(length(props) / 4) AS BIGINT) AS out_tokens, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, props FROM events)"""
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
     """events as tool calls: the session is the user, the latency the value."""
     return table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("call_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_type").alias("tool"),
-        F.col("value").cast("double").alias("latency_ms"), F.floor(F.length("props") / 4).cast("bigint").alias("out_tokens"), F.when(F.col("value") < 0, "error").otherwise("ok").alias("status"), "props",
+        F.col("value").cast("double").alias("latency_ms"), F.floor(F.length("props") / 4).cast("bigint").alias("out_tokens"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), "props",
     )
 
 
@@ -366,10 +366,10 @@ def _(spark, d):
     return incremental.cascade(nodes, edges.withColumn("type", F.when(F.col("type") == "references", "imports").otherwise(F.col("type"))), ["region:1"])
 
 
-@query("inc9_invalidate", """SELECT 'part:' || p_partkey AS key, CASE WHEN contains(p_name, 'steel') OR contains(p_name, 'green') THEN 'stale' ELSE 'ok' END AS status FROM part""")
+@query("inc9_invalidate", """SELECT 'part:' || p_partkey AS key, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'red') THEN 'stale' ELSE 'ok' END AS status FROM part""")
 def _(spark, d):
     values = table(spark, d, "part").select(star.node_id("part", "p_partkey").alias("key"), F.col("p_name").alias("expr"), F.lit("ok").alias("status"))
-    return incremental.invalidate(values, spark.createDataFrame([("steel",), ("green",)], "stem string")).select("key", "status")
+    return incremental.invalidate(values, spark.createDataFrame([("ring",), ("red",)], "stem string")).select("key", "status")
 
 
 # ---- maintenance ---------------------------------------------------------------
@@ -423,3 +423,57 @@ def _(spark, d):
     pages = table(spark, d, "pages")
     links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
     return links.join(pages.select(F.col("url").alias("href"), F.lit(True).alias("known")).distinct(), "href", "left").select("page_id", "href", "n", F.col("known").isNull().alias("dangling"))
+
+
+# ---- extraction and sources ----------------------------------------------------
+
+@query("udf10_page_headings", """SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS heading FROM pages""")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("heading"))
+
+
+@query("src5_json_props", """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("src13_dated_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) FILTER (regexp_matches(substr(line, 1, 4), '^[0-9]{4}$')) AS dated, count(*) AS n_lines FROM l GROUP BY doc_id""")
+def _(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(F.substring("line", 1, 4).rlike("^[0-9]{4}$")).alias("dated"), F.count("*").alias("n_lines"))
+
+
+@query("src2_excluded", """SELECT url FROM pages WHERE NOT (regexp_replace(url, '^https?://', '') = 'site1.example' OR starts_with(regexp_replace(url, '^https?://', ''), 'site1.example/'))""")
+def _(spark, d):
+    from knotweave.sources.files import excluded
+
+    return table(spark, d, "pages").where(~excluded(F.regexp_replace("url", "^https?://", ""), ["./site1.example/"])).select("url")
+
+
+@query("inc2_structure_hash", f"""WITH {GRAPH_SQL}, i AS (SELECT id AS path, sha256('n' || chr(1) || id || chr(1) || type || chr(1) || name || chr(1)) AS x FROM nodes
+ UNION ALL SELECT source, sha256('e' || chr(1) || source || chr(1) || target || chr(1) || type || chr(1)) FROM edges)
+SELECT path, sha256(string_agg(x, '' ORDER BY x)) AS ast_hash FROM i GROUP BY path""")
+def _(spark, d):
+    nodes, edges = graph(spark, d)
+    empty = F.lit("")
+    return incremental.structure_hash(nodes.withColumns({"path": F.col("id"), "metadata": empty}), edges.withColumn("metadata", empty))
+
+
+@query("inc4_merkle", f"""WITH {GRAPH_SQL}, h AS (SELECT id, sha256(id) AS a FROM nodes WHERE type IN ('region', 'nation', 'supplier')),
+m0 AS (SELECT id, sha256(a) AS m FROM h WHERE id LIKE 'region:%'),
+m1 AS (SELECT h.id, sha256(h.a || string_agg(m0.m, '' ORDER BY m0.m)) AS m FROM h JOIN edges e ON e.source = h.id JOIN m0 ON m0.id = e.target WHERE h.id LIKE 'nation:%' GROUP BY h.id, h.a),
+m2 AS (SELECT h.id, sha256(h.a || string_agg(m1.m, '' ORDER BY m1.m)) AS m FROM h JOIN edges e ON e.source = h.id JOIN m1 ON m1.id = e.target WHERE h.id LIKE 'supplier:%' GROUP BY h.id, h.a)
+SELECT id AS path, m AS merkle_hash FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2""")
+def _(spark, d):
+    nodes, edges = graph(spark, d)
+    hashes = nodes.where(F.col("type").isin("region", "nation", "supplier")).select(F.col("id").alias("path"), F.sha2("id", 256).alias("ast_hash"))
+    return incremental.merkle(hashes, edges.where("type = 'references'").select(F.col("source").alias("path"), "target"))
+
+
+@query("hl2_compare", """SELECT 'dangling_edges' AS measure, 0.0::DOUBLE AS was, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0)::DOUBLE AS is_now""")
+def _(spark, d):
+    sup = table(spark, d, "supplier")
+    zero = {k: F.lit(0.0) for k in [*health.REGRESSION_KEYS, "synthetic_ratio"]}
+    now = sup.agg(F.count_if(F.col("s_suppkey") % 10 == 0).alias("dangling_edges")).withColumns({k: v for k, v in zero.items() if k != "dangling_edges"})
+    base = spark.range(1).select(*(v.alias(k) for k, v in zero.items()))
+    return health.compare_health(now, base)
