@@ -10,7 +10,7 @@ from knotweave.extract.registry import Edge, Node, register
 def _arguments(a: ast.arguments) -> list[str]:
     """Positional, positional-only, keyword-only, then * and **."""
     names = [x.arg for x in (*a.args, *a.posonlyargs, *a.kwonlyargs)]
-    return names + [f"*{a.vararg.arg}"] * bool(a.vararg) + [f"**{a.kwarg.arg}"] * bool(a.kwarg)
+    return names + [f"{stars}{x.arg}" for stars, x in (("*", a.vararg), ("**", a.kwarg)) if x]
 
 
 def _dotted(node: ast.expr) -> str | None:

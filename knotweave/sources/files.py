@@ -20,10 +20,19 @@ def excluded(path: Column, prefixes: list[str]) -> Column:
     return reduce(Column.__or__, tests, F.lit(False))
 
 
+def _config_folders(spark: SparkSession, base: str, levels: int = 4) -> list[str]:
+    """Folders named .config: Spark leaves hidden folders out of a recursive read, so they are named to it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [fs.globStatus(path(f"{base}/{'*/' * k}.config")) or [] for k in range(levels)]
+    return [s.getPath().toString() for level in found for s in level if s.isDirectory()]
+
+
 def listing(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """path (relative), suffix, lang, tier, length, modified, content of the files below ``root`` that have a parser."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(base)
+    roots = [base, *_config_folders(spark, base)]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(roots)
     relative = F.regexp_replace("path", "^(?:[a-z]+:/*)?" + "/*" + base.split("://")[-1].strip("/").replace(".", r"\.") + "/", "")
     hidden = r"(^|/)(?!\.config(/|$))\.[^/]+(/|$)"
     skipped = "(^|/)(" + "|".join(x.replace(".", r"\.") for x in SKIP_DIRS) + ")/"
