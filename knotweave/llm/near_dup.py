@@ -11,10 +11,10 @@
    member only (a star), so pairs grow with members, not with their square.
    Candidates are confirmed on full sets: 100 * common >= 85 * union.
 4. Components of the confirmed links. A bucket whose members are all in one
-   component can't add anything. In every other bucket, all members outside the
-   bucket's commonest component meet all members of other components; those pairs
-   are confirmed too. That leaves no link of a bucket that could join two components
-   unseen, and what is left out joins nothing.
+   component can't add anything. The members of all other buckets are compared
+   across components: every pair that may reach the threshold by an exact filter
+   (early shared shingles, rarest first) is confirmed too. So no link that a bucket
+   holds and that could join two components stays unseen.
 5. Components again; every document takes its class's component.
 
 Bands, links and components stay in DataFrames; counts are pre-aggregated before
@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import LOWER, blobs, checkpointed, doc_text, gram_hashes, join_words, mix64, slices, word_hashes
@@ -163,6 +163,33 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``members`` (id, c) in different components c that may reach ``percent``.
+
+    Sets are put in one order, rarest shingle first. Two sets that reach the threshold
+    share a shingle so early in both that what follows it can still make up the
+    overlap (prefix and positional filter); that excludes no pair that passes. Of
+    each shingle's list, members outside its commonest component meet the others.
+    """
+    # repeated rows of one doc_id: each different set of it once
+    sets = checkpointed(_sets_of(docs, members.select("id")).withColumn("u", F.xxhash64("set")).dropDuplicates(["id", "u"]))
+    grams = sets.select("id", "u", F.size("set").alias("n"), F.explode("set").alias("g"))
+    common = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    shared = grams.join(common, "g")
+    doc = Window.partitionBy("id", "u")
+    # shingles of one set only come first in the order and need no row
+    place = F.col("n") - F.count("*").over(doc) + F.row_number().over(doc.orderBy("df", "g")) - 1
+    early = shared.withColumn("p", place).where((F.col("n") - F.col("p")) * 100 >= F.col("n") * percent)
+    at = checkpointed(early.select("g", "id", "n", "p").join(members, "id"))
+    mixed = at.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    main = at.join(mixed, "g", "left_semi").groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    stray = at.join(main, "g").where("c <> main").select("g", F.col("id").alias("sid"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("sc"))
+    reach = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    left, right = at.alias("l"), stray.alias("r")
+    met = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("c") != F.col("sc")) & reach)
+    return met.select(F.least("id", "sid").alias("a"), F.greatest("id", "sid").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set) and component_id of every row of ``docs``."""
     sketch = checkpointed(_sketches(docs, *banding(percent)))
@@ -187,13 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # buckets that still hold several components
     at = checkpointed(shared.select("key", "id", "n").join(group, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c")))
     mixed = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = checkpointed(at.join(mixed, "key"))
-    per = open_.groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = per.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    stray = open_.join(main, "key").where("c <> main").select("key", F.col("id").alias("sid"), F.col("n").alias("m"), F.col("c").alias("sc"))
-    met = open_.join(stray, "key").where(F.col("c") != F.col("sc")).where(fits)
-    more = met.select(F.least("id", "sid").alias("a"), F.greatest("id", "sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = checkpointed(more)
+    open_ = at.join(mixed, "key", "left_semi").groupBy("id").agg(F.min("c").alias("c"))
+    more = checkpointed(_across(docs, checkpointed(open_), percent).join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = checkpointed(links.union(_confirm(docs, more, percent)))
         group = components(links)
