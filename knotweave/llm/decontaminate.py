@@ -5,10 +5,11 @@ The (small, size-checked) benchmark is indexed: each item, or each piece of at m
 the sum of its impacts, so that 1.0 means that a passage holds all of it. Every
 document is read as passages of ``PASSAGE`` words, half overlapping; so each unit
 lies wholly in some passage. A passage's upper bound is the sum of its terms' greatest
-impacts; bounds of all passages are computed as arrays, and those that reach the
-threshold run block-max WAND over the posting lists: cursors are moved to the first
-unit that the list maxima allow, blocks whose maxima can't reach the threshold are
-skipped, and every unit at or above it is returned (no top-k, nothing is cut off).
+impacts; of the passages that reach the threshold by it, the same is done for every
+block (a range of ``RANGE`` units) with the terms' maxima there, all as arrays.
+In the blocks that are left, block-max WAND runs over the posting lists: cursors are
+moved to the first unit that the list maxima allow, stretches whose maxima can't reach
+the threshold are skipped, and every unit at or above it is returned (no top-k).
 
 A retrieved pair counts as a leak if the surrounding words hold enough of the item's
 question and of its answer, as runs of ``GRAM`` words. An item's answer is what
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 from knotweave.llm.text import WORDS, blobs, doc_text, gram_hashes, join_words, slices, word_hashes
 
 UNIT, PASSAGE, GRAM, BLOCK = 64, 128, 5, 16
+#: Units in a range whose maxima are kept for every term; numbers that one step of bounds may hold.
+RANGE, CELLS = 4, 1 << 23
 K1, B = 1.2, 0.75
 #: Share of a unit's BM25 mass that a passage must hold, and of question and answer runs.
 THRESHOLD, OVERLAP = 0.6, 0.5
 #: Bytes of item text in one shard of the index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -79,12 +82,16 @@ class Index:
     impact: np.ndarray = field(default_factory=lambda: np.zeros(0))
     list_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def lists(self) -> list[tuple[list[int], list[float], list[float]]]:
-        """(units, impacts, block maxima) of each term, for the cursors."""
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    def lists(self, terms: np.ndarray, block: int) -> list[tuple[list[int], list[float], list[float]]]:
+        """(units, impacts, block maxima) of the terms' postings in one range of units, for the cursors."""
         out = []
-        for i, j in zip(self.first.tolist(), self.first[1:].tolist(), strict=False):
-            w = self.impact[i:j].tolist()
-            out.append((self.unit[i:j].tolist(), w, [max(w[k : k + BLOCK]) for k in range(0, len(w), BLOCK)]))
+        for k in terms.tolist():
+            i, j = self.first[k] + np.searchsorted(self.unit[self.first[k] : self.first[k + 1]], [block * RANGE, (block + 1) * RANGE])
+            if i < j:
+                w = self.impact[i:j].tolist()
+                out.append((self.unit[i:j].tolist(), w, [max(w[x : x + BLOCK]) for x in range(0, len(w), BLOCK)]))
         return out
 
 
@@ -117,8 +124,10 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
     lists = [postings[int(t)] for t in terms]
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     flat = [p for x in lists for p in x]
-    impact = np.array([w for _, w in flat])
-    return Index(items, np.array(owner), terms, first, np.array([u for u, _ in flat]), impact, np.maximum.reduceat(impact, first[:-1]))
+    impact, unit = np.array([w for _, w in flat]), np.array([u for u, _ in flat])
+    block_max = np.zeros((len(terms), -(-len(units) // RANGE)), np.float32)
+    np.maximum.at(block_max, (np.repeat(np.arange(len(terms)), np.diff(first)), unit // RANGE), impact)
+    return Index(items, np.array(owner), terms, first, unit, impact, np.maximum.reduceat(impact, first[:-1]), block_max)
 
 
 def block_max_wand(lists: list[tuple[list[int], list[float], list[float]]], maxima: list[float], threshold: float) -> list[tuple[int, float]]:
@@ -176,6 +185,23 @@ def block_max_wand(lists: list[tuple[list[int], list[float], list[float]]], maxi
     return out
 
 
+def _ranges(index: Index, passage: np.ndarray, term: np.ndarray, can: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(passage, block, terms) of all blocks of units whose maxima can reach the threshold; in steps of bounded memory."""
+    lo, hi = np.searchsorted(passage, can, "left"), np.searchsorted(passage, can, "right")
+    room = max(1, CELLS // index.block_max.shape[1])
+    ends = np.cumsum(hi - lo)
+    at = 0
+    while at < len(can):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right")))
+        take = np.concatenate([np.arange(i, j) for i, j in zip(lo[at:to], hi[at:to], strict=True)])
+        size = hi[at:to] - lo[at:to]
+        bound = np.add.reduceat(index.block_max[term[take]], np.cumsum(size) - size)
+        for row, block in zip(*np.nonzero(bound >= threshold - 1e-4), strict=True):
+            k = at + int(row)
+            yield int(can[k]), int(block), term[lo[k] : hi[k]]
+        at = to
+
+
 def search(index: Index, texts: list[bytes | None], threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question share, answer share) of every leak in ``texts``."""
     buf, at = join_words([t.translate(WORDS) if t else t for t in texts])
@@ -204,13 +230,10 @@ def search(index: Index, texts: list[bytes | None], threshold: float, overlap: f
     can = np.flatnonzero(bound >= threshold - 1e-9)
     if not len(can):
         return []
-    lists, maxima = index.lists() if not hasattr(index, "opened") else index.opened, index.list_max.tolist()
-    index.opened = lists
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    lo, hi = np.searchsorted(passage, can, "left"), np.searchsorted(passage, can, "right")
-    for p, i, j in zip(can.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        mine = t[i:j].tolist()
-        hits = block_max_wand([lists[k] for k in mine], [maxima[k] for k in mine], threshold)
+    for p, block, mine in _ranges(index, passage, t, can, threshold):
+        lists = index.lists(mine, block)
+        hits = block_max_wand(lists, [max(x[2]) for x in lists], threshold)
         d = int(np.searchsorted(base, p, "right")) - 1
         from_ = int(first[d]) + (p - int(base[d])) * half
         for unit, score in hits:
