@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import WORDS, blobs, doc_text, gram_hashes, join_words, slices, word_hashes
+from knotweave.llm.tokens import release_encoders
 
 UNIT, PASSAGE, GRAM, BLOCK = 64, 128, 5, 16
 #: Units in a range whose maxima are kept for every term; numbers that one step of bounds may hold.
@@ -267,6 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     for shared in _shards(benchmark, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release_encoders()
             index = shared.value
             for b in batches:
                 texts, names = blobs(b.column(1)), b.column(0).to_pylist()
@@ -285,6 +287,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     for shared in _shards(benchmark, shard_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release_encoders()
             for b in batches:
                 texts = blobs(b.column(b.schema.get_field_index("text")))
                 clean = np.ones(len(texts), np.bool_)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import LOWER, blobs, doc_text, slices
+from knotweave.llm.tokens import release_encoders
 
 #: Lengths of the n-grams (bytes of UTF-8) and the number of cells that they are hashed to.
 NGRAMS, CELLS = (1, 2, 3), 1 << 14
@@ -115,6 +116,7 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[
     chosen = labelled.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("doc_id", "text", "lang", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             texts = blobs(b.column(1))
             packed = [np.packbits(row).tobytes() for i in range(0, len(texts), 256) for row in presence(texts[i : i + 256])]
@@ -167,6 +169,7 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     model = train(docs, folds, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         opened = model.open() if model else None
         for b in batches:
             lang, score = predict(model, opened, blobs(b.column(1)))
@@ -180,6 +183,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         opened = model.open() if model else None
         for b in batches:
             lang, _ = predict(model, opened, blobs(b.column(b.schema.get_field_index("text"))))

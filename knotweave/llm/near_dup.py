@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import LOWER, blobs, checkpointed, doc_text, gram_hashes, join_words, mix64, slices, word_hashes
+from knotweave.llm.tokens import release_encoders
 
 SHINGLE = 5
 
@@ -106,6 +107,7 @@ def _sketches(docs: DataFrame, rows: int, n_bands: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set, and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             sets = shingle_sets(blobs(b.column(1)))
             size = np.array([len(s) for s in sets], np.int64)
@@ -125,6 +127,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, set) of the documents in ``ids`` (id), shingled anew where needed only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for b in batches:
             sets = shingle_sets(blobs(b.column(1)))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)

@@ -20,6 +20,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Separators that some regular-expression engines count as white space.
@@ -180,8 +181,15 @@ _ENCODERS: dict[tuple[str, bool], CachedEncoder] = {}
 
 
 def encoder(path: str, drop_space: bool) -> CachedEncoder:
-    """One encoder a worker process and file; its dictionary lives as long as the worker."""
+    """One encoder a worker process and file; its dictionary lives on in the worker until released."""
     key = (path, drop_space)
     if key not in _ENCODERS:
         _ENCODERS[key] = CachedEncoder(path, drop_space)
     return _ENCODERS[key]
+
+
+def release_encoders() -> None:
+    """Give a reused worker's dictionaries back; tasks of operators that need memory but no tokens start with it."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
