@@ -9,7 +9,8 @@ the text is cut between pieces. Two cuts are always between pieces:
   space starts, because no piece goes from other characters into white space.
 
 Chunks repeat a lot, so each worker process keeps a bounded dictionary from chunk
-to ids; only unknown chunks go through the tokenizers library, many at a time.
+to ids; only unknown chunks go through the tokenizers library, many at a time. A
+full dictionary forgets the chunks that a single slice of texts had.
 Texts with white space other than ASCII's are encoded whole. The results equal
 ``Tokenizer.encode(text, add_special_tokens=False).ids`` (see the tests).
 """
@@ -52,17 +53,38 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.drop_space = drop_space
         self.max_entries = max_entries
+        # ids whose token starts with a space or newline: in joined byte-level pieces, just the first of each
+        vocabulary = {} if drop_space else self.tokenizer.get_vocab()
+        self.opens = np.zeros(1 + max(vocabulary.values(), default=0), np.bool_)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] in ("Ġ", "Ċ")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.chunks: dict[bytes, int] = {}  # chunk -> row of self.parts
         self.parts = np.zeros((1 << 14, 2), np.int32)  # its one or two pieces; piece 0 is empty
+        self.again = np.zeros(1 << 14, np.bool_)  # met in a later slice than its first
         self.pieces: dict[str, int] = {"": 0}  # piece -> where its ids are
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Forget the chunks of one slice only, and all if that leaves over half."""
+        rows = np.flatnonzero(self.again[: len(self.chunks)])
+        if 2 * len(rows) > self.max_entries:
+            self._reset()
+            return
+        names, texts = list(self.chunks), list(self.pieces)
+        used, parts = np.unique(np.append(self.parts[rows].ravel(), 0), return_inverse=True)
+        sizes = self.size[used].astype(np.int64)
+        ids = self.flat[np.repeat(self.start[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self._reset()
+        self._store([texts[i] for i in used[1:].tolist()], ids, sizes[1:])
+        self.parts, self.again = _room(self.parts, len(rows)), _room(self.again, len(rows))
+        self.parts[: len(rows)] = parts[:-1].reshape(-1, 2)
+        self.chunks = {names[i]: k for k, i in enumerate(rows.tolist())}
+
     def _chunks(self, raw: bytes) -> list[bytes]:
         if self.drop_space:
             return raw.split()
@@ -86,15 +108,19 @@ class CachedEncoder:
 
     def _encode_pieces(self, texts: list[str]) -> None:
         """Unknown pieces, joined so that the cuts between them are between pieces of the tokenizer too."""
-        gap = int(self.drop_space)
         for k in range(0, len(texts), 512):
             part = texts[k : k + 512]
-            ends = np.cumsum([len(x) + gap for x in part])
-            encoded = self.tokenizer.encode((" " if gap else "").join(part), add_special_tokens=False)
-            # the last character of a token is never the white space that offsets may trim
-            last = np.array([b for _, b in encoded.offsets], np.int64) - 1
-            cut = np.searchsorted(np.searchsorted(ends, last, "right"), np.arange(len(part) + 1))
-            self._store(part, np.array(encoded.ids, np.uint32), np.diff(cut))
+            if self.drop_space:
+                encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+                ends = np.cumsum([len(x) + 1 for x in part])
+                # the last character of a token is never the white space that offsets may trim
+                last = np.array([b for _, b in encoded.offsets], np.int64) - 1
+                cut = np.searchsorted(np.searchsorted(ends, last, "right"), np.arange(len(part) + 1))
+                ids = np.array(encoded.ids, np.uint32)
+            else:
+                ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cut = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+            self._store(part, ids, np.diff(cut))
 
     def _store(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.pieces), self.used + len(ids)
@@ -123,8 +149,8 @@ class CachedEncoder:
                 one, two = text, ""
             pairs += (one, two)
             if one not in known:
-                # joining is safe for a piece that starts with white space and ends without
-                if drop or (len(one) > 1 and one[0] in " \n" and not one[-1].isspace()):
+                # joining is safe for a piece with one white space, at its start
+                if drop or (len(one) > 1 and one[0] in " \n" and not one[1].isspace()):
                     joined[one] = None
                 else:
                     alone[one] = None
@@ -133,7 +159,7 @@ class CachedEncoder:
             self._store([x], np.array(ids, np.uint32), np.array([len(ids)]))
         self._encode_pieces([x for x in joined if x not in alone] if alone else list(joined))
         k, n = len(self.chunks), len(self.chunks) + len(chunks)
-        self.parts = _room(self.parts, n)
+        self.parts, self.again = _room(self.parts, n), _room(self.again, n)
         self.parts[k:n] = np.fromiter(map(known.__getitem__, pairs), np.int32, len(pairs)).reshape(-1, 2)
         self.chunks.update(zip(chunks, range(k, n), strict=True))
 
@@ -147,11 +173,13 @@ class CachedEncoder:
         if not chunks:
             return np.zeros(0, np.uint32), counts
         if len(self.chunks) > self.max_entries:
-            self._reset()
+            self._shrink()
+        known = len(self.chunks)
         new = set(chunks).difference(self.chunks)
         if new:
             self._learn(list(new))
         at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int32, len(chunks))
+        self.again[at[at < known]] = True
         pieces = self.parts[at].ravel()
         sizes = self.size[pieces].astype(np.int64)
         before = np.cumsum(sizes) - sizes
