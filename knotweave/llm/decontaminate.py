@@ -11,9 +11,10 @@ In the blocks that are left, block-max WAND runs over the posting lists: cursors
 moved to the first unit that the list maxima allow, stretches whose maxima can't reach
 the threshold are skipped, and every unit at or above it is returned (no top-k).
 
-A retrieved pair counts as a leak if the surrounding words hold enough of the item's
-question and of its answer, as runs of ``GRAM`` words. An item's answer is what
-follows "answer:" or the last question mark, else its last sentence.
+A retrieved pair counts as a leak if the surrounding words hold enough of the item, as
+runs of ``GRAM`` words: of its question and of its answer where the item marks them (the
+answer follows "answer:" or the last question mark), else of the retrieved unit as one
+whole, so that an excerpt of a long item counts too.
 
 The documents are never shuffled; the index travels to the executors in shards of a
 checked size, and a benchmark of any size is searched shard by shard.
@@ -52,9 +53,10 @@ def hashes(text: bytes) -> np.ndarray:
     return word_hashes(text.translate(WORDS))[0]
 
 
-def question_and_answer(text: str) -> tuple[str, str]:
-    m = re.search(r"(?is)^(.*?)\banswer\s*:(.*)$", text) or re.search(r"(?s)^(.*\?)(.*\w.*)$", text) or re.search(r"(?s)^(.*[.!\n])(.*\w.*)$", text.rstrip())
-    return (m[1], m[2]) if m and re.search(r"\w", m[1]) else (text, text)
+def question_and_answer(text: str) -> tuple[str, str] | None:
+    """Question and answer of an item that marks them; None for any other text."""
+    m = re.search(r"(?is)^(.*?)\banswer\s*:(.*\w.*)$", text) or re.search(r"(?s)^(.*\?)(.*\w.*)$", text)
+    return (m[1], m[2]) if m and re.search(r"\w", m[1]) else None
 
 
 def runs(words: np.ndarray) -> np.ndarray:
@@ -62,13 +64,32 @@ def runs(words: np.ndarray) -> np.ndarray:
     return np.unique(gram_hashes(words, min(GRAM, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
+@dataclass
+class Part:
+    """What has to stand in a document: the runs of a question, an answer or a unit."""
+
+    runs: np.ndarray
+    width: int  # words of a run
+
+    def share(self, words: np.ndarray) -> float:
+        return float(np.isin(self.runs, gram_hashes(words, self.width)).mean()) if len(self.runs) else 1.0
+
+
+def part(words: np.ndarray) -> Part:
+    return Part(runs(words), min(GRAM, len(words)))
+
+
 @dataclass
 class Item:
     item_id: int | None
-    question: np.ndarray
-    answer: np.ndarray
     n_words: int
-    width: tuple[int, int]  # words of a run, of question and answer
+    parts: list[Part]  # question and answer, where the item marks them
+
+
+@dataclass
+class Unit:
+    n_words: int
+    whole: Part
 
 
 @dataclass
@@ -76,6 +97,7 @@ class Index:
     """Posting lists of units with impacts, sorted by unit; maxima by list and by block of postings."""
 
     items: list[Item] = field(default_factory=list)
+    units: list[Unit | None] = field(default_factory=list)  # None: the item's parts are verified
     unit_item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -102,8 +124,7 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
         words = hashes((text or "").encode())
         if not len(words):
             continue
-        q, a = (hashes(x.encode()) for x in question_and_answer(text))
-        items.append(Item(item_id, runs(q), runs(a), len(words), (min(GRAM, len(q)), min(GRAM, len(a)))))
+        items.append(Item(item_id, len(words), [part(hashes(x.encode())) for x in question_and_answer(text) or ()]))
         for k in range(0, max(1, len(words) - UNIT // 2), UNIT // 2):
             units.append(words[k : k + UNIT])
             owner.append(len(items) - 1)
@@ -128,7 +149,8 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
     impact, unit = np.array([w for _, w in flat]), np.array([u for u, _ in flat])
     block_max = np.zeros((len(terms), -(-len(units) // RANGE)), np.float32)
     np.maximum.at(block_max, (np.repeat(np.arange(len(terms)), np.diff(first)), unit // RANGE), impact)
-    return Index(items, np.array(owner), terms, first, unit, impact, np.maximum.reduceat(impact, first[:-1]), block_max)
+    verified = [None if items[k].parts else Unit(len(u), part(u)) for u, k in zip(units, owner, strict=True)]
+    return Index(items, verified, np.array(owner), terms, first, unit, impact, np.maximum.reduceat(impact, first[:-1]), block_max)
 
 
 def block_max_wand(lists: list[tuple[list[int], list[float], list[float]]], maxima: list[float], threshold: float) -> list[tuple[int, float]]:
@@ -204,7 +226,7 @@ def _ranges(index: Index, passage: np.ndarray, term: np.ndarray, can: np.ndarray
 
 
 def search(index: Index, texts: list[bytes | None], threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, score, question share, answer share) of every leak in ``texts``."""
+    """(text, item, score, question share, answer share) of every leak in ``texts``; both shares are the unit's where the item marks no answer."""
     buf, at = join_words([t.translate(WORDS) if t else t for t in texts])
     words, start, _ = word_hashes(buf)
     if not len(words) or not len(index.terms):
@@ -240,9 +262,10 @@ def search(index: Index, texts: list[bytes | None], threshold: float, overlap: f
         for unit, score in hits:
             k = int(index.unit_item[unit])
             item = index.items[k]
-            a = max(int(first[d]), from_ - item.n_words)
-            part = words[a : min(int(first[d + 1]), from_ + PASSAGE + item.n_words)]
-            share = [float(np.isin(r, gram_hashes(part, w)).mean()) if len(r) else 1.0 for r, w in ((item.question, item.width[0]), (item.answer, item.width[1]))]
+            own = index.units[unit]
+            around = own.n_words if own else item.n_words
+            near = words[max(int(first[d]), from_ - around) : min(int(first[d + 1]), from_ + PASSAGE + around)]
+            share = [own.whole.share(near)] * 2 if own else [x.share(near) for x in item.parts]
             if min(share) >= overlap and score > found.get((d, k), (0.0,))[0]:
                 found[d, k] = (score, *share)
     return [(d, k, *x) for (d, k), x in sorted(found.items())]

@@ -394,6 +394,18 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(spark.createDataFrame([], EMPTY), bench).count() == 0
 
 
+def test_decontamination_of_items_without_marks(spark):
+    rnd = random.Random(19)
+    make = lambda k: " ".join(f"v{rnd.randint(0, 3000)}" for _ in range(k))
+    items = [(0, make(30) + ". tail"), (1, ". ".join(make(20) for _ in range(60)) + "."), (2, f"Which {make(12)}? {make(6)}.")]
+    short, long = (items[i][1].split() for i in range(2))
+    docs = [(0, make(90) + " " + " ".join(short[:-1]) + " " + make(90)), (1, make(50) + " " + " ".join([*short[:-1], "other"])), (2, make(70) + " " + " ".join(long[300:600]) + " " + make(70))]
+    docs += [(3, make(50) + " " + items[2][1].split("?")[0] + "? " + make(50)), (4, " ".join(long[700:715]) + " " + make(200)), (5, make(400))]
+    got = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 0), (2, 1)}
+    assert all(r.question_share == r.answer_share >= 0.5 for r in got)
+
+
 def test_block_max_wand_equals_full_scoring():
     rnd = random.Random(4)
     for _ in range(200):
