@@ -17,7 +17,9 @@ answer follows "answer:" or the last question mark), else of the retrieved unit
 whole, so that an excerpt of a long item counts too.
 
 The documents are never shuffled; the index travels to the executors in shards of a
-checked size, and a benchmark of any size is searched shard by shard.
+checked size, and a benchmark of any size is searched shard by shard. Unit count, mean
+length and document frequencies are those of all items in every shard, so the split
+changes no score.
 
 Cases: null or empty texts and items match nothing; an item of fewer than ``GRAM``
 words must stand word by word; equal items are all reported; repeated rows give
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import WORDS, blobs, doc_text, gram_hashes, join_words, slices, word_hashes
+from knotweave.llm.text import WORDS, blobs, checkpointed, doc_text, gram_hashes, join_words, slices, word_hashes
 from knotweave.llm.tokens import release_encoders
 
 UNIT, PASSAGE, GRAM, BLOCK = 64, 128, 5, 16
@@ -118,27 +120,47 @@ class Index:
         return out
 
 
-def build_index(rows: list[tuple[int | None, str]]) -> Index:
+def unit_words(words: np.ndarray) -> Iterator[np.ndarray]:
+    """The pieces of an item that are indexed: at most UNIT words each, half overlapping."""
+    for k in range(0, len(words), UNIT // 2):
+        yield words[k : k + UNIT]
+        if k + UNIT >= len(words):
+            break
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all units of the benchmark."""
+
+    units: int
+    words: int
+    df: dict[int, int]  # units that hold a term
+
+
+def statistics(units: list[np.ndarray]) -> Statistics:
+    return Statistics(len(units), sum(map(len, units)), Counter(t for u in units for t in set(u.tolist())))
+
+
+def build_index(rows: list[tuple[int | None, str]], stats: Statistics | None = None) -> Index:
+    """The index of ``rows``; ``stats`` are those of the whole benchmark where ``rows`` are a part of it."""
     items, units, owner = [], [], []
     for item_id, text in rows:
         words = hashes((text or "").encode())
         if not len(words):
             continue
         items.append(Item(item_id, len(words), [part(hashes(x.encode())) for x in question_and_answer(text) or ()]))
-        for k in range(0, max(1, len(words) - UNIT // 2), UNIT // 2):
-            units.append(words[k : k + UNIT])
+        for u in unit_words(words):
+            units.append(u)
             owner.append(len(items) - 1)
-            if k + UNIT >= len(words):
-                break
     if not units:
         return Index()
     counts = [Counter(u.tolist()) for u in units]
-    df = Counter(t for c in counts for t in c)
-    mean = sum(map(len, units)) / len(units)
+    stats = stats or statistics(units)
+    n_units, df, mean = stats.units, stats.df, stats.words / stats.units
     postings: dict[int, list[tuple[int, float]]] = {}
     for u, c in enumerate(counts):
         norm = K1 * (1 - B + B * len(units[u]) / mean)
-        w = {t: np.log1p((len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
+        w = {t: np.log1p((n_units - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
         total = sum(w.values())
         for t, x in w.items():
             postings.setdefault(t, []).append((u, x / total))
@@ -271,15 +293,43 @@ def search(index: Index, texts: list[bytes | None], threshold: float, overlap: f
     return [(d, k, *x) for (d, k), x in sorted(found.items())]
 
 
+def _shard_statistics(items: DataFrame) -> DataFrame:
+    """shard, term, df, units, words of all items (shard, text): a shard's terms with their document frequency
+    in the whole benchmark; a null term's row has the benchmark's unit count and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, text in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
+                one = statistics(list(unit_words(hashes(text or b""))))
+                terms = np.fromiter(one.df, np.uint64, len(one.df)).view(np.int64).tolist()
+                n = len(terms)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * (n + 1), pa.int32()), pa.array([*terms, None], pa.int64()), pa.array([*one.df.values(), one.units], pa.int64()), pa.array([0] * n + [one.words], pa.int64())],
+                    names=["shard", "term", "units", "words"],
+                )
+
+    counted = checkpointed(items.mapInArrow(run, "shard int, term long, units long, words long").groupBy("shard", "term").agg(F.sum("units").alias("units"), F.sum("words").alias("words")))
+    total = counted.groupBy("term").agg(F.sum("units").alias("units"), F.sum("words").alias("words"))
+    return checkpointed(counted.select("shard", F.col("term").alias("t")).join(total, F.col("t").eqNullSafe(F.col("term"))).select("shard", "term", "units", "words"))
+
+
 def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator:
     """Broadcast indexes over all items (item_id, text), each of at most about ``shard_bytes`` of text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     shards = max(1, -(-total // shard_bytes))
+    if shards > 1:
+        items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+        counted = _shard_statistics(items.select("shard", "text"))
     for k in range(shards):
-        mine = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
+        mine, stats = items, None
+        if shards > 1:
+            mine = items.where(F.col("shard") == k)
+            got = counted.where(F.col("shard") == k).collect()
+            total = next((r for r in got if r["term"] is None), None)
+            stats = total and Statistics(total["units"], total["words"], {r["term"] % (1 << 64): r["units"] for r in got if r["term"] is not None})
         rows = sorted(((r["item_id"], r["text"]) for r in mine.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        yield benchmark.sparkSession.sparkContext.broadcast(build_index(rows))
+        yield benchmark.sparkSession.sparkContext.broadcast(build_index(rows, stats))
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_share double, answer_share double"

@@ -406,6 +406,20 @@ def test_decontamination_of_items_without_marks(spark):
     assert all(r.question_share == r.answer_share >= 0.5 for r in got)
 
 
+def test_decontamination_scores_do_not_depend_on_shards(spark):
+    rnd = random.Random(29)
+    make = lambda k: " ".join(f"v{min(rnd.randint(0, 400), rnd.randint(0, 400))}" for _ in range(k))
+    items = [(i, make(rnd.choice([20, 40, 90, 200]))) for i in range(30)] + [(None, make(30)), (31, None), (32, "")]
+    docs = []
+    for d in range(150):  # passages near the threshold: a part of an item's words
+        w = items[d % 30][1].split()[:64]
+        docs.append((d, make(30) + " " + " ".join(w[: int(len(w) * rnd.uniform(0.5, 0.75))]) + " " + make(30)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(frame(spark, docs), bench, shard_bytes=b).collect()} for b in (1 << 20, 2500))
+    assert set(one) == set(many) and 20 < len(one)
+    assert all(abs(one[k] - many[k]) < 1e-9 for k in one)
+
+
 def test_block_max_wand_equals_full_scoring():
     rnd = random.Random(4)
     for _ in range(200):
