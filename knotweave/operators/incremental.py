@@ -23,16 +23,16 @@ def structure_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return items.groupBy("path").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("ast_hash"))
 
 
-def merkle(hashes: DataFrame, imports: DataFrame, max_levels: int = 100) -> DataFrame:
+def merkle(hashes: DataFrame, imports: DataFrame) -> DataFrame:
     """path, merkle_hash: own hash with the sorted Merkle hashes of what it imports (path, target).
 
-    Leaves first, one level a round; members of cycles, and what hangs on them,
+    Leaves first, one level a round until a round adds nothing; members of cycles, and what hangs on them,
     take their own structure hash as the hash that others see.
     """
     deps = cut(imports.select("path", "target").distinct().join(hashes.select("path"), "path", "left_semi").join(hashes.select(F.col("path").alias("target")), "target", "left_semi"))
     digest = lambda own, parts: F.sha2(F.concat(own, F.array_join(F.array_sort(parts), "")), 256)
     done = cut(hashes.join(deps.select("path").distinct(), "path", "left_anti").select("path", digest(F.col("ast_hash"), F.expr("cast(array() as array<string>)")).alias("merkle_hash")))
-    for _ in range(max_levels):
+    while True:
         ready = deps.join(done.withColumnRenamed("path", "target"), "target", "left").groupBy("path").agg(F.count_if(F.col("merkle_hash").isNull()).alias("open"), F.collect_list("merkle_hash").alias("parts"))
         fresh = cut(ready.where("open = 0").join(done.select("path"), "path", "left_anti").join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash")))
         if fresh.isEmpty():
@@ -69,8 +69,8 @@ def decide(files: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def cascade(nodes: DataFrame, edges: DataFrame, changed: list[str], max_depth: int = 100) -> DataFrame:
-    """id, depth of the modules that import a changed one, nearest first; the changed ones aren't part of it."""
+def cascade(nodes: DataFrame, edges: DataFrame, changed: list[str], max_depth: int | None = None) -> DataFrame:
+    """id, depth of all modules that import a changed one, over any number of steps (or ``max_depth``), nearest first; the changed ones aren't part of it."""
     imports = live(nodes, edges.where(F.col("type") == "imports"))
     starts = nodes.where(F.col("id").isin(changed)).select("id")
     return walk(starts, adjacency(imports, reverse=True), max_depth).where(F.col("depth") > 0).select("id", "depth")

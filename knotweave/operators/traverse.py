@@ -9,6 +9,8 @@ first discovery wins without any global ranking.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +33,18 @@ def adjacency(edges: DataFrame, reverse: bool = False, width: int | None = None)
     return out
 
 
-def walk(starts: DataFrame, adj: DataFrame, max_depth: int) -> DataFrame:
-    """id, depth, chain (edge ids from the start), trail (node ids) of everything within ``max_depth``.
+def walk(starts: DataFrame, adj: DataFrame, max_depth: int | None) -> DataFrame:
+    """id, depth, chain (edge ids from the start), trail (node ids) of everything within ``max_depth`` (None: of all that is reached).
 
     ``starts`` (id) have depth 0 and are part of the result. Several starts give the
     distance to the nearest.
     """
     adj = adj.select("src", "dst", "via")
-    if max_depth > 1:  # read once from its source, not once a level
+    if max_depth is None or max_depth > 1:  # read once from its source, not once a level
         adj = cut(adj)
     frontier = cut(starts.select("id", F.lit(0).cast("bigint").alias("depth"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).distinct())
     visited = frontier
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.select(F.col("id").alias("src"), "chain", "trail").join(adj, "src")
         found = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.concat("chain", F.array("via")).alias("chain"), F.concat("trail", F.array("dst")).alias("trail"))).alias("m"))
         fresh = found.join(visited.select("id"), "id", "left_anti").select("id", F.lit(level).cast("bigint").alias("depth"), "m.chain", "m.trail")

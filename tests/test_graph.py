@@ -1,5 +1,6 @@
 """Graph verbs on small fixtures and against plain-Python traversals of random graphs."""
 
+import hashlib
 import heapq
 import random
 
@@ -167,6 +168,18 @@ def test_merkle_with_a_cycle(spark):
     assert set(one) == set("abcd") and all(one[p] != two[p] for p in "abc") and one["d"] == two["d"]
 
 
+def test_cascade_and_merkle_of_a_long_chain(spark):
+    links = [(f"m{i:03d}", f"m{i + 1:03d}") for i in range(104)]
+    n, e = graph(spark, links)
+    assert ids(incremental.cascade(n, e, ["m104"]), "id", "depth") == {(f"m{i:03d}", 104 - i) for i in range(104)}
+    h = n.select(F.col("id").alias("path"), F.col("id").alias("ast_hash"))
+    got = dict(map(tuple, incremental.merkle(h, e.select(F.col("source").alias("path"), "target")).collect()))
+    want = ""
+    for i in reversed(range(105)):
+        want = hashlib.sha256(f"m{i:03d}{want}".encode()).hexdigest()
+        assert got[f"m{i:03d}"] == want
+
+
 def test_health(spark):
     n, e = graph(spark, [("nix:a.nix", "nix:ghost")], ["nix:a.nix", "nix:b.nix", "nix:e.nix"])
     n = n.union(option(spark, "o", None, True))
