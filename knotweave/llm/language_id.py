@@ -9,7 +9,8 @@ space. Scoring: presence rows of a batch of whole texts, one matrix product with
 the landmarks' presence rows and one with the weights.
 
 Cases: a text that is null or holds no letter is ``und`` with score 0.0; so is
-everything if no row is labelled; ties between languages go to the first in
+everything if no row is labelled (the pipeline's stage then goes by the letter alone);
+every label is learned, however many there are, from fewer rows each; ties between languages go to the first in
 alphabetical order; repeated rows give repeated results; null doc_ids train
 nothing and are not held out.
 """
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import LOWER, blobs, doc_text, slices
@@ -29,8 +30,10 @@ from knotweave.llm.tokens import release_encoders
 
 #: Lengths of the n-grams (bytes of UTF-8) and the number of cells that they are hashed to.
 NGRAMS, CELLS = (1, 2, 3), 1 << 14
-#: The bounds of the training sample: rows and landmarks for each language, and languages.
-SAMPLE_ROWS, LANDMARKS, MAX_LANGUAGES = 300, 48, 64
+#: The bounds of the training sample: rows and landmarks for each language.
+SAMPLE_ROWS, LANDMARKS = 300, 48
+#: Languages from which on these shrink, so that the whole sample keeps its size; every language keeps a row.
+FULL_LANGUAGES = 64
 RIDGE = 1e-2
 
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -82,11 +85,19 @@ def kernel(rows: np.ndarray, z: np.ndarray, z_norm: np.ndarray) -> np.ndarray:
     return (x @ z) / norm[:, None] / np.maximum(z_norm, 1)
 
 
+def each(bound: int, languages: int) -> int:
+    """What is left of a bound for each language where there are many; at least 1."""
+    return max(1, min(bound, bound * FULL_LANGUAGES // languages))
+
+
 def fit(labels: list[str], packed: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    """Fit on rows in a fixed order; the first ``landmarks`` of each language become landmarks."""
+    """Fit on rows in a fixed order; the first ``landmarks`` of each language (fewer of each of many) become landmarks.
+
+    Languages without a landmark of their own, beyond ``landmarks * FULL_LANGUAGES`` of them, are told apart by the others'.
+    """
     languages = sorted(set(labels))
     y = np.array(labels)
-    chosen = np.concatenate([np.flatnonzero(y == x)[:landmarks] for x in languages])
+    chosen = np.concatenate([np.flatnonzero(y == x)[: each(landmarks, len(languages))] for x in languages])[: landmarks * FULL_LANGUAGES]
     model = KernelModel(languages, packed[chosen], np.zeros((len(chosen), len(languages))))
     z, z_norm = model.open()
     k_mm = kernel(np.unpackbits(packed[chosen], axis=1), z, z_norm).astype(np.float64)
@@ -96,23 +107,26 @@ def fit(labels: list[str], packed: np.ndarray, landmarks: int = LANDMARKS, ridge
     phi = np.concatenate([kernel(np.unpackbits(packed[i : i + 128], axis=1), z, z_norm) @ root for i in range(0, len(packed), 128)])
     target = np.where(y[:, None] == np.array(languages), 1.0, -1.0)
     # each language weighs the same, however many rows the sample has of it
-    weight = 1.0 / np.array([np.sum(y == x) for x in labels], np.float64)
+    _, place, size = np.unique(y, return_inverse=True, return_counts=True)
+    weight = 1.0 / size[place]
     gram = phi.T @ (phi * weight[:, None]) + ridge * np.eye(phi.shape[1]) * weight.sum() / len(y)
     model.weights = root @ np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
     return model
 
 
 def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """About ``rows`` rows of each language, chosen by a hash of doc_id; features are made on the executors.
+    """About ``rows`` rows of each language (fewer of each of many), chosen by a hash of doc_id; features are made on the executors.
 
     The driver gets a few hundred packed presence rows (CELLS / 8 bytes each) per language.
     """
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return [], np.zeros((0, CELLS // 8), np.uint8)
-    unit = 1 << 30
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(unit, int(1.5 * rows * unit / r["count"]) + 1)))))
+    rows, unit = each(rows, len(sizes)), 1 << 30
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(unit))
+    # a few rows need a wider margin than many, lest a language draws none
+    margin = 1.5 * rows + 20
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(unit, int(margin * unit / r["count"]) + 1)))))
     chosen = labelled.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("doc_id", "text", "lang", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +136,11 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[
             packed = [np.packbits(row).tobytes() for i in range(0, len(texts), 256) for row in presence(texts[i : i + 256])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(packed, pa.binary())], names=["doc_id", "lang", "draw", "bits"])
 
-    got = chosen.mapInArrow(run, "doc_id long, lang string, draw long, bits binary").collect()
+    drawn = chosen.mapInArrow(run, "doc_id long, lang string, draw long, bits binary")
+    if len(sizes) > FULL_LANGUAGES:  # the margins of many languages stay on the executors
+        first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "bits"))
+        drawn = drawn.withColumn("k", first).where(F.col("k") <= rows).drop("k")
+    got = drawn.collect()
     got.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["bits"]))
     kept, seen = [], {}
     for r in got:
@@ -179,14 +197,18 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language (those that are ``und`` go)."""
+    """The rows of ``docs``, all columns as they are, whose text has a language (those that are ``und`` go).
+
+    Where no row is labelled there is no model, and every text with a letter stays.
+    """
     model = train(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
         opened = model.open() if model else None
         for b in batches:
-            lang, _ = predict(model, opened, blobs(b.column(b.schema.get_field_index("text"))))
-            yield b.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+            texts = blobs(b.column(b.schema.get_field_index("text")))
+            keep = [x != "und" for x in predict(model, opened, texts)[0]] if model else [has_letter(t) for t in texts]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

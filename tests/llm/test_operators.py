@@ -156,6 +156,23 @@ def test_language_id(spark):
     assert language_id.identify(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_language_id_learns_every_label(spark):
+    rnd = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{k:02d}": ["".join(rnd.choices(letters, k=6)) for _ in range(4)] for k in range(70)}
+    rows = [(i, " ".join(rnd.choices(stems[x], k=12)), x) for i, x in enumerate(list(stems) * 6)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    true = {i: x for i, _, x in rows}
+    assert {r.lang_pred for r in got} == set(stems)
+    assert np.mean([r.lang_pred == true[r.doc_id] for r in got if r.held_out]) > 0.95
+
+
+def test_keep_identified_without_labels(spark):
+    rows = [(1, "abc def", None), (2, "12 34", None), (3, None, None), (4, "é", None)]
+    kept = language_id.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.doc_id for r in kept.collect()} == {1, 4}
+
+
 def test_presence_kernel_is_the_blended_spectrum():
     texts = [b"abcab", b"bcd", b"", b"ABCAB"]
     bits = language_id.presence(texts)
