@@ -18,7 +18,7 @@ from knotweave.llm.near_dup import near_duplicates
 from knotweave.llm.packing import pack_documents
 from knotweave.llm.pii import pseudonymise
 from knotweave.llm.queries import DEMO_KEY, tokenizer_file
-from knotweave.llm.text import shared_dir
+from knotweave.llm.text import checkpointed, shared_dir
 
 #: Similarity in percent from which documents are near copies.
 NEAR = 80
@@ -31,11 +31,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_identified(docs)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays; null doc_ids are in no group."""
-    found = near_duplicates(docs, percent=NEAR)
-    copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row stays, that of the least doc_id; rows without one come last.
+
+    A row's key in the comparison is its doc_id. Texts without a doc_id, and the
+    further texts of a doc_id that has several, get a 62-bit hash from 2**62 on as key;
+    rows of one key are copies. Rows with neither doc_id nor text are no copies and stay.
+    """
+    key, head = _free(docs, "near_key"), _free(docs, "near_head")
+    repeated = checkpointed(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        marked = docs.withColumn(head, F.lit(None).cast("long"))
+    else:
+        heads = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias(head))
+        marked = docs.join(checkpointed(heads), "doc_id", "left")
+    own = F.col("doc_id").isNotNull() & (F.col(head).isNull() | (F.col(head) == F.xxhash64("text")))
+    dealt = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    rows = marked.withColumn(key, F.when(own, F.col("doc_id").cast("long")).when(F.col("doc_id").isNotNull() | F.col("text").isNotNull(), dealt))
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=NEAR)
+    copies = checkpointed(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct())
+    # only rows whose key may stand twice are looked through for it
+    twice = F.col(head).isNotNull() | (F.col("doc_id").isNull() & F.col("text").isNotNull())
+    left = rows.where(~twice).union(rows.where(twice).dropDuplicates([key]))
+    return left.join(copies, key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,18 @@ def test_stages(spark, corpus):
     assert "10.1.2.3" not in by[63].text and by[63].n_chars == len(by[63].text) and by[0].text == texts[0]
 
 
+def test_near_dup_of_repeated_and_missing_ids(spark):
+    rnd = random.Random(12)
+    a, b, c, d, e = (" ".join(f"v{rnd.randint(0, 4000)}" for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (1, a), (2, a), (2, a), (3, b), (3, c), (None, d), (None, d), (None, d + " tail"), (None, c), (None, None), (None, None), (4, e), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = [tuple(r) for r in corpus_pipeline.near_dup(spark, docs, "").collect()]
+    assert sorted(x for x in left if x[0] is not None and x[0] != 3) == [(1, a), (4, e), (5, None)]
+    assert left.count((3, b)) == 1 and sum(t == c for _, t in left) == 1
+    assert sum((t or "").startswith(d) for _, t in left) == 1 and left.count((None, None)) == 2
+    assert len(left) == 8
+
+
 def test_run(spark, corpus):
     d, _ = corpus
     got = corpus_pipeline.run(spark, d).collect()
