@@ -46,6 +46,9 @@ MORE_PHRASES = {
     "proprietary and confidential": "proprietary",
 }
 
+#: Tags before a licence expression (as lower-case words); they have no label.
+TAGS = ("spdx license identifier", "licensed under", "licenced under")
+
 #: How much a label restricts reuse, from 0 (free) to 1 (reserved).
 RESTRICTION = {
     "public-domain": 0.0, "cc0": 0.0, "mit": 0.1, "isc": 0.1, "bsd": 0.1, "apache": 0.15, "cc-by": 0.2,
@@ -141,7 +144,7 @@ def expressions(text: str) -> Iterator[tuple[float, set[str]]]:
 
 def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase, label in phrases.items():
+    for phrase, label in {**dict.fromkeys(TAGS), **phrases}.items():
         a.add_word(f" {phrase} ", (label, len(phrase) + 1))
     a.make_automaton()
     return a
@@ -155,7 +158,11 @@ def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset
     found_base: set[str] = set()
     # latin-1 keeps one character a byte, so that positions stay byte positions
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
+    tagged = False
     for end, (label, back) in machine.iter(line):
+        if label is None:
+            tagged = True
+            continue
         labels.add(label)
         if label in base:
             found_base.add(label)
@@ -165,7 +172,7 @@ def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset
             last = at if last is None else max(last, at)
     score = max((RESTRICTION[x] for x in labels), default=0.0)
     n_expr = 0
-    if labels or " licensed under " in line or " spdx license identifier " in line:
+    if labels or tagged:
         found = list(expressions((raw or b"").decode("utf-8", "replace")))
         n_expr = len(found)
         for _, more in found:

@@ -94,6 +94,13 @@ def test_license_expressions(expression, score, labels):
     assert found == [(score, labels)]
 
 
+@pytest.mark.parametrize("tag", ["Licenced under", "Licensed  under", "SPDX-License-Identifier:"])
+def test_license_tags_alone_lead_to_the_expression(tag):
+    machine = license_scan.automaton(license_scan.BASE_PHRASES)
+    got = license_scan.scan_text(f"{tag} MIT OR Apache-2.0".encode(), machine, frozenset(license_scan.BASE_PHRASES.values()))
+    assert got[1:] == (0, None, None, "", "apache,mit", 0.1, 1)
+
+
 def test_malformed_expressions_are_left_out():
     assert list(license_scan.expressions("SPDX-License-Identifier: (MIT OR\nlicensed under ) MIT")) in ([], [(0.1, {"mit"})])
 
