@@ -5,61 +5,59 @@ window whose word sequence starts anywhere else too is removed. That needs the
 internal nodes of depth >= ``width`` (the maximal repeats) of the suffix tree of
 all documents, which is far too large for one machine; so it is built in parts:
 
-1. *Leaves that stand alone go first.* Each window has an anchor, the run of
+1. *Suffixes that stand alone go first.* Each window has an anchor, the run of
    ``ANCHOR`` words in it with the least hash. Equal windows have equal anchors,
    and one anchor serves a dozen windows, so counting anchors (about 7 % of the
    positions) shows which windows can't repeat.
 2. *Variable-length prefixes split the other suffixes into groups.* A suffix's
-   prefix reaches to the end of its anchor; where an anchor is so frequent that a
-   group could outgrow memory, the prefix is extended to all ``width`` words. A
-   block of documents sends each different window once to the part that holds its
-   prefix, however often the block has it: a group of any number of copies is at
-   most one leaf per block there.
-3. *Each part sorts its suffixes and walks the deep internal nodes*: runs of leaves
-   under one node of depth ``width``. Their windows are answered to the blocks that
-   sent them, and the blocks cut the covered words out.
-
-Suffixes travel as 128-bit fingerprints of their first ``width`` words, packed into
-one binary value per block and part. Nothing goes to the driver but the total size.
-The documents are shuffled once (the three uses share that exchange); every block
-and part is bounded, whichever key is hot.
+   prefix reaches to the end of its anchor; all prefixes that end in one anchor go
+   to the same part. Where an anchor is so frequent that its group could outgrow
+   memory, the prefix is extended to all ``width`` words. Neighbouring suffixes
+   with one anchor travel as one segment of words, and a block of documents sends
+   each different segment once, so any number of copies is one row a block.
+3. *Each part builds its subtrees*: words become exact numbers, suffixes are ranked
+   by prefix doubling, and the longest common prefixes of neighbours in that order
+   are the depths of the internal nodes. A suffix under a node of depth >= ``width``
+   is a repeat; repeats that run over several segments come out as a chain of
+   overlapping nodes. The blocks that sent a segment get its deep suffixes back and
+   cut the covered words out.
+
+Words are compared as words: hashes choose anchors, parts and what to look at, and
+never decide equality. Nothing goes to the driver but the total size. The documents
+are shuffled once (the three uses share that exchange); every block and part is
+bounded, whichever key is hot: rows are dealt to blocks one by one, so repeated rows
+spread. The input must give the same rows in the same order when it is read again.
 
 Cases: null and empty texts have no words and are kept empty (""); documents of
 fewer than ``width`` words are kept as they are; each row counts as a document, so
-repeated rows repeat each other's windows; null doc_ids are allowed; an empty table
-gives no rows.
+repeated rows repeat each other's windows; null doc_ids are allowed; a very long text
+is one slice of its block; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import GramSums, blobs, doc_text, gram_hashes, join_words, slices, word_hashes
 
 #: Words of an anchor; suffixes that a prefix group may hold before its prefix is extended.
 ANCHOR, GROUP_LIMIT = 8, 1 << 18
-#: Bytes of text in a block. At 100 TB raise it (256 MB), as there are blocks x parts packed values.
-BLOCK_BYTES = 16 << 20
-
-_LEAF = np.dtype([("a", "<u8"), ("b", "<u8"), ("prefix", "<u8"), ("many", "u1")])
-_PRINT = np.dtype([("a", "<u8"), ("b", "<u8")])
-_COUNT = np.dtype([("h", "<u8"), ("n", "<u8")])
+#: Bytes of text in a block, and how many windows a segment may have (bits of its answer).
+BLOCK_BYTES, SEGMENT = 16 << 20, 60
 
 
 class Windows:
-    """All windows of one slice of documents."""
+    """All windows of one slice of documents, over texts whose words are joined by one space."""
 
     def __init__(self, texts: list[bytes | None], width: int):
-        buf, at = join_words(texts)
-        self.words, start, _ = word_hashes(buf)
-        self.first = np.append(np.searchsorted(start, at), len(self.words))  # first word of each document
-        counts = np.diff(self.first)
+        self.buf, at = join_words([b" ".join(t.split()) if t else b"" for t in texts])
+        self.words, self.begin, self.end = word_hashes(self.buf)
+        self.first = np.append(np.searchsorted(self.begin, at), len(self.words))  # first word of each document
         self.width = width
-        n = np.maximum(counts - width + 1, 0)
-        self.doc = np.repeat(np.arange(len(texts)), n)
+        n = np.maximum(np.diff(self.first) - width + 1, 0)
         self.start = np.arange(int(n.sum())) + np.repeat(self.first[:-1] - (np.cumsum(n) - n), n)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +74,85 @@ class Windows:
         found = least(at[self.start], at[self.start + reach - span])
         return value[found], found
 
-    def prints(self) -> np.ndarray:
-        out = np.empty(len(self.start), _PRINT)
-        for k, name in enumerate(("a", "b")):
-            out[name] = GramSums(self.words, k).hashes(self.start, self.start + self.width)
-        return out
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor hash, first window, number of windows) of each run of neighbouring windows with one anchor."""
+        value, at = self.anchors()
+        if not len(at):
+            return value, at, at
+        turn = (self.start - at + self.width) // SEGMENT
+        first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(turn, prepend=-1) != 0))
+        return value[first], first, np.diff(np.append(first, len(at)))
+
+    def text(self, word: int, n: int) -> bytes:
+        return self.buf[self.begin[word] : self.end[word + n - 1]]
+
+
+def exact_words(buf: bytes) -> np.ndarray:
+    """A number for each word of ``buf``; two words have the same number if, and only if, they are equal."""
+    value, begin, end = word_hashes(buf)
+    _, first, number = np.unique(value, return_index=True, return_inverse=True)
+    size, twin = end - begin, first[number]
+    raw = np.frombuffer(buf, np.uint8)
+    same = bool((size == size[twin]).all())
+    step = 1 << 18
+    for k in range(0, len(value) if same else 0, step):  # every word against the first of its number, byte by byte
+        n = size[k : k + step]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        same = same and bool((raw[np.repeat(begin[k : k + step], n) + at] == raw[np.repeat(begin[twin[k : k + step]], n) + at]).all())
+    if same:
+        return number.astype(np.int64)
+    known: dict[bytes, int] = {}  # different words with one hash
+    return np.array([known.setdefault(w, len(known)) for w in buf.split()], np.int64)
+
+
+class Subtrees:
+    """The suffix trees of a part: ``words`` (numbers) of segments with ``sizes`` words each, one after another."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, width: int):
+        n = len(words)
+        self.left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # words up to the segment's end
+        self.suffix = np.flatnonzero(self.left >= width)
+        levels, rank, k = [words], words, 1  # ranks by the first 1, 2, 4, ... words, an ended suffix first
+        while k < (int(sizes.max()) if len(sizes) else 0):
+            after = np.zeros(n, np.int64)
+            goes_on = np.flatnonzero(self.left > k)
+            after[goes_on] = rank[goes_on + k] + 1
+            rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1].astype(np.int64)
+            levels.append(rank.astype(np.int32))
+            k *= 2
+        self.order = self.suffix[np.argsort(rank[self.suffix], kind="stable")]
+        a, b = self.order[:-1], self.order[1:]
+        common = np.zeros(len(a), np.int64)
+        for j in range(len(levels) - 1, -1, -1):
+            same = levels[j][np.minimum(a + common, n - 1)] == levels[j][np.minimum(b + common, n - 1)]
+            common += same.astype(np.int64) << j
+        #: Depths of the internal nodes between neighbours in the order of the suffixes.
+        self.depth = np.minimum(common, np.minimum(self.left[a], self.left[b]))
+
+    def deep(self, width: int) -> np.ndarray:
+        """The suffixes (as positions) below an internal node of at least ``width`` words."""
+        under = np.zeros(len(self.order), np.bool_)
+        node = self.depth >= width
+        under[:-1] |= node
+        under[1:] |= node
+        return self.order[under]
+
+    def nodes(self, width: int) -> list[tuple[int, int]]:
+        """(position, depth) of the internal nodes of at least ``width`` words; each node at least once."""
+        at = np.flatnonzero(self.depth >= width)
+        return list(zip(self.order[at].tolist(), self.depth[at].tolist(), strict=True))
+
+
+def repeated_windows(segments: list[bytes], often: np.ndarray, width: int) -> np.ndarray:
+    """For each of the different ``segments`` a mask of its windows that stand elsewhere too; all of those that came ``often``."""
+    sizes = np.fromiter((s.count(b" ") + 1 for s in segments), np.int64, len(segments))
+    tree = Subtrees(exact_words(b"\n".join(segments)), sizes, width)
+    first = np.cumsum(sizes) - sizes
+    deep = tree.deep(width)
+    owner = np.searchsorted(first, deep, "right") - 1
+    mask = np.zeros(len(segments), np.int64)
+    np.bitwise_or.at(mask, owner, np.int64(1) << (deep - first[owner]))
+    return np.where(often, (np.int64(1) << (sizes - width + 1)) - 1, mask)
 
 
 def _in_order(table: pa.Table) -> tuple[list, list[bytes | None]]:
@@ -89,60 +161,6 @@ def _in_order(table: pa.Table) -> tuple[list, list[bytes | None]]:
     return [names[i] for i in order], [texts[i] for i in order]
 
 
-def _joined(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Packed values one after another, and the row that each record came from."""
-    raw = column.to_pylist()
-    out = np.frombuffer(b"".join(raw), kind) if raw else np.zeros(0, kind)
-    return out, np.repeat(np.arange(len(raw)), [len(x) // kind.itemsize for x in raw]).astype(np.int64)
-
-
-def _dealt(records: np.ndarray, part: np.ndarray, block: int) -> pa.Table:
-    """One row (part, block, packed records) for each part that has records."""
-    order = np.argsort(part, kind="stable")
-    records, part = records[order], part[order]
-    edge = np.flatnonzero(np.diff(part, prepend=-1, append=-2)) if len(part) else np.zeros(0, np.int64)
-    pieces = [records[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)]
-    return pa.table({"part": pa.array(part[edge[:-1]] if len(part) else [], pa.int64()), "block": pa.array([block] * len(pieces), pa.int64()), "records": pa.array(pieces, pa.binary())})
-
-
-def _answered(blocks: np.ndarray, records: np.ndarray, row: np.ndarray) -> pa.Table:
-    edge = np.searchsorted(row, np.arange(len(blocks) + 1))
-    pieces = [records[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)]
-    keep = [k for k, p in enumerate(pieces) if p]
-    return pa.table({"block": pa.array(blocks[keep] if keep else [], pa.int64()), "records": pa.array([pieces[k] for k in keep], pa.binary())})
-
-
-def deep_nodes(leaves: np.ndarray) -> np.ndarray:
-    """Which leaves hang, with another, under an internal node of full window depth.
-
-    The leaves are put in the order of their prefix group and their windows, as a
-    walk over the group's subtree meets them; a node of full depth is a run of equal
-    windows, internal if the run has two suffixes (a leaf that is marked ``many``
-    stands for several of its block).
-    """
-    if not len(leaves):
-        return np.zeros(0, np.bool_)
-    order = np.lexsort((leaves["b"], leaves["a"], leaves["prefix"]))
-    s = leaves[order]
-    new = np.ones(len(s), np.bool_)
-    new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1]) | (s["prefix"][1:] != s["prefix"][:-1])
-    node = np.cumsum(new) - 1
-    suffixes = np.bincount(node, weights=1 + s["many"].astype(np.float64))
-    out = np.empty(len(s), np.bool_)
-    out[order] = suffixes[node] >= 2
-    return out
-
-
-def unique_windows(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first of each different window, and how many there are of it."""
-    order = np.lexsort((prints["b"], prints["a"]))
-    s = prints[order]
-    new = np.ones(len(s), np.bool_)
-    new[1:] = (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])
-    at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(s)))
-
-
 def remove_repeats(docs: DataFrame, width: int = 35, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space)."""
     if width < ANCHOR:
@@ -151,103 +169,115 @@ def remove_repeats(docs: DataFrame, width: int = 35, block_bytes: int = BLOCK_BY
     text = doc_text(docs)
     total = text.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    blocked = text.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    blocked = text.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)))
 
     def count_anchors(table):
-        block = table["block"][0].as_py()
-        found = []
+        found = [np.zeros(0, np.uint64)]
         _, texts = _in_order(table)
         for a, b in slices(texts):
-            value, at = Windows(texts[a:b], width).anchors()
-            found.append(value[np.diff(at, prepend=-1) != 0])  # neighbouring windows share one anchor
+            found.append(Windows(texts[a:b], width).segments()[0])
         h, c = np.unique(np.concatenate(found), return_counts=True)
-        records = np.empty(len(h), _COUNT)
-        records["h"], records["n"] = h, c
-        return _dealt(records, (h % np.uint64(n)).astype(np.int64), block)
-
-    def frequent_anchors(table):
-        records, row = _joined(table["records"], _COUNT)
-        order = np.argsort(records["h"], kind="stable")
-        h = records["h"][order]
-        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-        sums = np.add.reduceat(records["n"][order], first)
-        every = np.empty(len(h), np.uint64)
-        every[order] = np.repeat(sums, np.diff(np.append(first, len(h))))
-        keep = every >= 2
-        out = records[keep]
-        out["n"] = every[keep]
-        return _answered(np.array(table["block"].to_pylist()), out, row[keep])
-
-    def send_suffixes(left, right):
-        if not left.num_rows:
-            return _dealt(np.zeros(0, _LEAF), np.zeros(0, np.int64), 0)
-        anchors, _ = _joined(right["records"], _COUNT)
-        anchors = anchors[np.argsort(anchors["h"])]
-        found = []
-        _, texts = _in_order(left)
-        for a, b in slices(texts) if len(anchors) else ():
+        return pa.table({"block": pa.array(np.full(len(h), table["block"][0].as_py())), "anchor": pa.array(h.view(np.int64)), "n": pa.array(c)})
+
+    def send_segments(left, right):
+        anchors = right["anchor"].to_numpy().view(np.uint64)
+        by_value = np.argsort(anchors)
+        anchors, often = anchors[by_value], right["n"].to_numpy()[by_value]
+        rows: dict[bytes, list] = {}
+        _, texts = _in_order(left) if left.num_rows and len(anchors) else ([], [])
+        base = 0
+        for a, b in slices(texts):
             w = Windows(texts[a:b], width)
-            value, at = w.anchors()
-            place = np.minimum(np.searchsorted(anchors["h"], value), len(anchors) - 1)
-            can = np.flatnonzero(anchors["h"][place] == value)
-            if not len(can):
-                continue
-            leaf = np.zeros(len(can), _LEAF)
-            prints = w.prints()[can]
-            leaf["a"], leaf["b"] = prints["a"], prints["b"]
-            start = w.start[can]
-            end = np.where(anchors["n"][place[can]] > GROUP_LIMIT, start + width, at[can] + ANCHOR)
-            leaf["prefix"] = GramSums(w.words).hashes(start, end)
-            found.append(leaf)
-        leaves = np.concatenate(found) if found else np.zeros(0, _LEAF)
-        one, count = unique_windows(leaves)
-        leaves = leaves[one]
-        leaves["many"] = count > 1
-        return _dealt(leaves, (leaves["prefix"] % np.uint64(n)).astype(np.int64), left["block"][0].as_py())
+            value, first, count = w.segments()
+            place = np.minimum(np.searchsorted(anchors, value), len(anchors) - 1)
+            can = np.flatnonzero(anchors[place] == value)
+            for hot in (False, True):
+                mine = can[(often[place[can]] > GROUP_LIMIT) == hot]
+                if not len(mine):
+                    continue
+                windows = count[mine]
+                if hot:  # each window alone, dealt by all of its words
+                    at = np.repeat(w.start[first[mine]] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+                    key, windows = GramSums(w.words).hashes(at, at + width), np.ones(len(at), np.int64)
+                else:
+                    at, key = w.start[first[mine]], value[mine]
+                part = (key % np.uint64(2 * n)).astype(np.int64)
+                for p, s, m in zip(part.tolist(), at.tolist(), windows.tolist(), strict=True):
+                    words = w.text(s, m + width - 1)
+                    if row := rows.get(words):
+                        row[4] = True
+                    else:
+                        rows[words] = [p, base + s, m, hot, False]
+            base += len(w.words)
+        columns = list(zip(*rows.values(), strict=True)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+        block = pa.array([left["block"][0].as_py()] * len(rows) if rows else [], pa.int64())
+        return pa.table([arrays[0], block, *arrays[1:], pa.array(list(rows), pa.binary())], names=[x.split()[0] for x in SENT.split(", ")])
 
     def walk_subtrees(table):
-        leaves, row = _joined(table["records"], _LEAF)
-        deep = deep_nodes(leaves)
-        out = np.empty(int(deep.sum()), _PRINT)
-        out["a"], out["b"] = leaves["a"][deep], leaves["b"][deep]
-        return _answered(np.array(table["block"].to_pylist()), out, row[deep])
+        raw = table["words"].to_pylist()
+        known: dict[bytes, int] = {}
+        which = np.fromiter((known.setdefault(w, len(known)) for w in raw), np.int64, len(raw))
+        del raw
+        many = table["many"].to_numpy(zero_copy_only=False)
+        mask = repeated_windows(list(known), np.bincount(which, 1 + many, len(known)) > 1, width)[which]
+        keep = pa.array(mask != 0)
+        return table.select(["block", "start", "windows", "alone"]).append_column("mask", pa.array(mask)).filter(keep)
 
     def cut_out(left, right):
-        answers, _ = _joined(right["records"], _PRINT)
-        answers = answers[np.lexsort((answers["b"], answers["a"]))]
         names, texts = _in_order(left)
+        order = np.argsort(right["start"].to_numpy(), kind="stable")
+        start, windows, mask = (right[c].to_numpy()[order].astype(np.int64) for c in ("start", "windows", "mask"))
+        alone = right["alone"].to_numpy(zero_copy_only=False)[order].astype(np.bool_)
+        masks: dict[bytes, int] = {}
+        seen = {False: np.zeros(0, np.uint64), True: np.zeros(0, np.uint64)}  # hashes of answered segments, of single windows
         n_words, n_removed, kept = [], [], []
+        base = 0
         for a, b in slices(texts):
             w = Windows(texts[a:b], width)
-            covered = np.zeros(len(w.words) + 1, np.int64)
-            if len(answers) and len(w.start):
-                prints = w.prints()
-                lo = np.searchsorted(answers["a"], prints["a"], "left")
-                hi = np.searchsorted(answers["a"], prints["a"], "right")
-                hit = np.zeros(len(prints), np.bool_)
-                step = 0
-                while (more := np.flatnonzero(lo + step < hi)).size:  # one step, but for equal first halves
-                    hit[more] |= answers["b"][lo[more] + step] == prints["b"][more]
-                    step += 1
-                covered[: len(w.words)] = np.bincount(w.start[hit], minlength=len(w.words))[: len(w.words)]
-                ends = w.start[hit] + width
-                covered -= np.bincount(ends, minlength=len(covered))
+            sums = GramSums(w.words)
+            here = slice(*np.searchsorted(start, [base, base + len(w.words)]))
+            s, m = start[here] - base, windows[here]
+            for x, y, bits in zip(s.tolist(), m.tolist(), mask[here].tolist(), strict=True):
+                masks[w.text(x, y + width - 1)] = bits
+            value = sums.hashes(s, s + m + width - 1)
+            _, first, count = w.segments()
+            hit = [np.zeros(0, np.int64)]
+            for single in (False, True):
+                mine = value[alone[here] == single]
+                seen[single] = np.union1d(seen[single], mine) if len(mine) else seen[single]
+                if not len(seen[single]) or not len(w.start):
+                    continue
+                at, size = (w.start, np.ones(len(w.start), np.int64)) if single else (w.start[first], count)
+                for k in np.flatnonzero(np.isin(sums.hashes(at, at + size + width - 1), seen[single])).tolist():
+                    if bits := masks.get(w.text(at[k], int(size[k]) + width - 1)):
+                        hit.append(at[k] + np.array([i for i in range(bits.bit_length()) if bits >> i & 1]))
+            deep = np.concatenate(hit)
+            covered = np.bincount(deep, minlength=len(w.words) + 1) - np.bincount(deep + width, minlength=len(w.words) + 1)
             gone = np.cumsum(covered)[:-1] > 0
             n_gone = np.concatenate([[0], np.cumsum(gone)])[w.first]
             for i in range(a, b):
                 f, t = int(w.first[i - a]), int(w.first[i - a + 1])
-                words = (texts[i] or b"").split()
                 removed = int(n_gone[i - a + 1] - n_gone[i - a])
-                if removed:
-                    words = [words[k] for k in np.flatnonzero(~gone[f:t]).tolist()]
+                if not removed:
+                    words = w.text(f, t - f) if t > f else b""
+                else:
+                    all_words = (texts[i] or b"").split()
+                    words = b" ".join([all_words[k] for k in np.flatnonzero(~gone[f:t]).tolist()])
                 n_words.append(t - f)
                 n_removed.append(removed)
-                kept.append(b" ".join(words))
+                kept.append(words)
+            base += len(w.words)
         kept = pa.array(kept, pa.binary()).cast(pa.string())
         return pa.table({"doc_id": pa.array(names, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": kept})
 
-    dealt, answered = "part long, block long, records binary", "block long, records binary"
-    anchors = blocked.groupBy("block").applyInArrow(count_anchors, dealt).groupBy("part").applyInArrow(frequent_anchors, answered)
-    suffixes = blocked.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(send_suffixes, dealt)
-    deep = suffixes.groupBy("part").applyInArrow(walk_subtrees, answered)
+    counted = blocked.groupBy("block").applyInArrow(count_anchors, "block long, anchor long, n long")
+    often = counted.withColumn("n", F.sum("n").over(Window.partitionBy("anchor"))).where("n > 1")
+    sent = blocked.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(send_segments, SENT)
+    deep = sent.groupBy("part").applyInArrow(walk_subtrees, "block long, start long, windows int, alone boolean, mask long")
     return blocked.groupBy("block").cogroup(deep.groupBy("block")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+#: A segment on its way: its part, its block and place there (word), its windows, whether it is a window alone, whether its block has it repeatedly.
+SENT = "part long, block long, start long, windows int, alone boolean, many boolean, words binary"

@@ -135,6 +135,48 @@ def test_substring_dedup_extends_hot_prefixes(spark, rows, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows[:40], 12)
 
 
+def brute_nodes(segments, width):
+    """Words of all right-maximal repeats of at least ``width`` words."""
+    follow = collections.defaultdict(list)
+    for s in segments:
+        w = s.split()
+        for i in range(len(w)):
+            for j in range(i + width, len(w) + 1):
+                follow[tuple(w[i:j])].append(w[j] if j < len(w) else None)
+    return {k for k, v in follow.items() if len(v) > 1 and (len(set(v)) > 1 or v[0] is None)}
+
+
+@pytest.mark.parametrize("width", [2, 5, 35])
+def test_subtrees_give_the_maximal_repeats(width):
+    rnd = random.Random(width)
+    long = " ".join(rnd.choice(WORDS) for _ in range(45))
+    segments = {" ".join(rnd.choice(WORDS[:4]) for _ in range(rnd.randint(width, width + 12))) for _ in range(30)}
+    segments |= {f"{rnd.choice(WORDS)} {k} {long}" for k in range(3)} | {f"{long} {k} z" for k in range(3)}
+    segments = [s.encode() for s in sorted(segments)]
+    words = b" ".join(segments).split()
+    sizes = np.array([len(s.split()) for s in segments])
+    tree = substring_dedup.Subtrees(substring_dedup.exact_words(b"\n".join(segments)), sizes, width)
+    got = {tuple(words[i : i + d]) for i, d in tree.nodes(width)}
+    assert got == brute_nodes(segments, width) and max(map(len, got)) >= 45
+    count = collections.Counter(tuple(w[k : k + width]) for w in (s.split() for s in segments) for k in range(len(w) - width + 1))
+    for s, mask in zip(segments, substring_dedup.repeated_windows(segments, np.zeros(len(segments), bool), width).tolist(), strict=True):
+        w = s.split()
+        assert [mask >> k & 1 for k in range(len(w) - width + 1)] == [int(count[tuple(w[k : k + width])] > 1) for k in range(len(w) - width + 1)]
+
+
+def test_words_are_compared_as_words(monkeypatch):
+    real = substring_dedup.word_hashes
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda buf: (real(buf)[0] % np.uint64(3), *real(buf)[1:]))
+    assert substring_dedup.exact_words(b"a b c a bb b d a").tolist() == [0, 1, 2, 0, 3, 1, 4, 0]
+
+
+def test_substring_dedup_of_one_text_many_times(spark):
+    text = " ".join(f"q{i}" for i in range(60))
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = substring_dedup.remove_repeats(df, 35, block_bytes=500_000).groupBy("n_words", "n_removed", "kept_text").count().collect()
+    assert [tuple(r) for r in got] == [(60, 60, "", 20_000)]
+
+
 def test_substring_dedup_repeats_within_one_document(spark):
     one = [(1, " ".join(f"a{i}" for i in range(40)) + " x " + " ".join(f"a{i}" for i in range(40))), (None, "a b"), (None, None)]
     got = substring_dedup.remove_repeats(frame(spark, one), 35).collect()
