@@ -1,24 +1,29 @@
 """Harmonic packing of token ids into fixed-size training sequences.
 
-Lengths are split into reciprocal-capacity classes C/1, C/2, C/4, ... C/C. A
-document is cut into whole sequences and, for its rest, one piece of each class in
-the rest's binary expansion; a bin of class C/k always takes exactly k pieces. So
-every full bin is full to the last token, bins are filled without looking at any
-other task, and no data is shuffled. The pieces of bins that are still open at the
-end of a task (fewer than k a class) are laid out in descending size; powers of two
-fill whole sequences and then sequences whose length is a power of two, so nothing
-is padded at all. The price is that a rest is cut into as many pieces as its length
-has binary ones.
+A document is cut into whole sequences first; what is left of it (most documents are
+nothing else) falls into the reciprocal-capacity class k of its length, from
+C/(k+1) up to C/k, and a bin of class k always takes exactly k of them. That leaves a gap at the
+bin's end, below C/(k+1). Gaps are topped up: by the best fit among coming rests that
+go in whole, and by cutting a rest over the largest gaps only while more than
+``HELD`` sequences' worth of gaps wait (or where the document was cut anyway). Gaps of
+at most ``SPARE`` tokens stay as padding. So most documents lie in one piece, and
+padding stays below 1 %. Workers fill their bins independently and nothing is
+shuffled. What is unfinished at a task's end is laid out one after another, cut at
+the sequences' ends; the last sequences have powers of two as lengths and no padding.
 
 Cases: a null or empty text is its end id alone (one piece of length 1); repeated
-rows are packed once each; an empty table gives no rows. Memory: one slice of texts
-and at most 2 * capacity open pieces. A task's result depends on its input split
-only, so a task run again after a lost executor gives the same rows.
+rows are packed once each; a very long text gives whole sequences and one rest; other
+columns are not looked at; an empty table gives no rows. Memory: one slice of texts,
+the open bins (below C tokens for each of some 2 * sqrt(C) classes) and the sequences
+that wait for their gaps. A task's result depends on its input split only, so a task
+run again after a lost executor gives the same rows.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,101 +37,132 @@ from knotweave.llm.tokens import encoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
-#: sequence_id = task << 40 | class << 36 | bin; class 15 holds what was left open.
-_TASK, _CLASS, _LEFT = 40, 36, 15
+#: sequence_id = task << 40 | number in the task.
+_TASK = 40
+#: Tokens that may stay unused at a sequence's end, and sequences' worth of gaps that may wait.
+SPARE, HELD = 16, 4
 
-
-def cut(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, length) of all pieces, in order, of documents with so many ids."""
-    top = capacity.bit_length() - 1
-    sizes = 1 << np.arange(top, -1, -1, dtype=np.int64)
-    full = counts // capacity
-    per = np.concatenate([full[:, None], (counts[:, None] >> np.arange(top - 1, -1, -1)) & 1], axis=1)
-    lengths = np.repeat(np.tile(sizes, len(counts)), per.ravel())
-    doc = np.repeat(np.arange(len(counts)), per.sum(axis=1))
-    ends = np.cumsum(lengths)
-    before = np.concatenate([[0], np.cumsum(counts)])[doc]
-    return doc, ends - lengths - before, lengths
+#: doc_id, start in the document, ids, ids of the document
+Piece = tuple[int | None, int, np.ndarray, int]
 
 
 class Bins:
-    """The open bins of one task."""
+    """The bins of one task: open ones by class, and full ones that wait for their gap to be topped up."""
 
     def __init__(self, capacity: int, task: int):
-        self.capacity, self.task = capacity, task
-        self.top = capacity.bit_length() - 1
-        self.filled = [0] * (self.top + 1)
-        self.open: list[list[np.ndarray]] = [[] for _ in range(self.top + 1)]
-
-    def add(self, rows: np.ndarray) -> np.ndarray:
-        """Rows (doc, start, length, crc, doc_tokens) in; the rows of bins that are full now out, with sequence and offset."""
-        out = []
-        kind = np.log2(rows[:, 2]).astype(np.int64)  # exact: lengths are powers of two
-        for c in np.unique(kind):
-            size, k = 1 << int(c), self.capacity >> int(c)
-            mine = np.concatenate([*self.open[c], rows[kind == c]])
-            done = len(mine) // k * k
-            self.open[c] = [mine[done:]]
-            at = np.arange(done)
-            sequence = (self.task << _TASK) | (int(c) << _CLASS) | (self.filled[c] + at // k)
-            self.filled[c] += done // k
-            out.append(np.column_stack([mine[:done], sequence, at % k * size]))
-        return np.concatenate(out) if out else np.zeros((0, 7), np.int64)
-
-    def close(self) -> np.ndarray:
-        left = np.concatenate([np.zeros((0, 5), np.int64), *(x for c in reversed(self.open) for x in c)])
-        total = int(left[:, 2].sum())
-        at = np.cumsum(left[:, 2]) - left[:, 2]
-        bins, rest = divmod(total, self.capacity)
-        starts = [i * self.capacity for i in range(bins)]
-        while rest:  # the last sequences: powers of two in descending size
-            part = 1 << (rest.bit_length() - 1)
-            starts.append(total - rest)
-            rest -= part
-        which = np.searchsorted(starts, at, "right") - 1 if len(at) else at
-        sequence = (self.task << _TASK) | (_LEFT << _CLASS) | which
-        return np.column_stack([left, sequence, at - np.array(starts, np.int64)[which] if len(at) else at])
+        self.capacity, self.task, self.made = capacity, task, 0
+        self.open: dict[int, list[Piece]] = defaultdict(list)
+        self.waiting: dict[int, list[Piece]] = {}
+        self.gaps: list[tuple[int, int]] = []  # (tokens, number of the sequence), sorted
+        self.missing = 0  # tokens of all gaps
+        self.rows: list[tuple] = []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        whole = len(ids) // self.capacity * self.capacity
+        for at in range(0, whole, self.capacity):
+            self._write(self._number(), [(doc_id, at, ids[at : at + self.capacity], len(ids))])
+        if whole < len(ids):
+            rest = (doc_id, whole, ids[whole:].copy(), len(ids))
+            if not self._whole_in_gap(rest):
+                self._divide(rest) if self.missing > (len(rest[2]) if whole else HELD * self.capacity) else self._classify(rest)
+
+    def _number(self) -> int:
+        self.made += 1
+        return self.made - 1
+
+    def _write(self, number: int, pieces: list[Piece]) -> None:
+        offset = 0
+        for doc_id, start, ids, total in pieces:
+            self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.task << _TASK | number, offset))
+            offset += len(ids)
+
+    def _classify(self, piece: Piece) -> None:
+        k = self.capacity // len(piece[2])
+        bin_ = self.open[k]
+        bin_.append(piece)
+        if len(bin_) == k:
+            del self.open[k]
+            number = self._number()
+            self.waiting[number] = bin_
+            self._gap(number, self.capacity - sum(len(p[2]) for p in bin_))
+
+    def _gap(self, number: int, size: int) -> None:
+        if size > SPARE:
+            insort(self.gaps, (size, number))
+            self.missing += size
+        else:
+            self._write(number, self.waiting.pop(number))
+
+    def _into(self, i: int, piece: Piece) -> None:
+        size, number = self.gaps.pop(i)
+        self.missing -= size
+        self.waiting[number].append(piece)
+        self._gap(number, size - len(piece[2]))
+
+    def _whole_in_gap(self, piece: Piece) -> bool:
+        i = bisect_left(self.gaps, (len(piece[2]), -1))
+        if i == len(self.gaps):
+            return False
+        self._into(i, piece)
+        return True
+
+    def _divide(self, piece: Piece) -> None:
+        """Cut a piece that no gap holds over the largest gaps."""
+        while self.gaps and not self._whole_in_gap(piece):
+            doc_id, start, ids, total = piece
+            size = self.gaps[-1][0]
+            self._into(len(self.gaps) - 1, (doc_id, start, ids[:size], total))
+            piece = (doc_id, start + size, ids[size:], total)
+            if not self.gaps:
+                self._classify(piece)
+                return
+
+    def close(self) -> None:
+        """Lay out what is unfinished, cut where a sequence ends; powers of two in descending size come last."""
+        left = [p for pieces in self.waiting.values() for p in pieces] + [p for k in sorted(self.open) for p in self.open[k]]
+        total = sum(len(p[2]) for p in left)
+        sizes = [self.capacity] * (total // self.capacity)
+        rest = total % self.capacity
+        sizes += [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+        left.reverse()
+        for size in sizes:
+            pieces = []
+            while size:
+                doc_id, start, ids, n = left.pop()
+                pieces.append((doc_id, start, ids[:size], n))
+                if len(ids) > size:
+                    left.append((doc_id, start + size, ids[size:], n))
+                size -= len(pieces[-1][2])
+            self._write(self._number(), pieces)
+
+    def take(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_NAMES)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, drop_space: bool = True) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
-    ``capacity`` must be a power of two (at most 2**14).
+    ``capacity`` must be a power of two.
     """
-    if capacity < 1 or capacity & (capacity - 1) or capacity > 1 << 14:
-        raise ValueError("capacity must be a power of two up to 16384")
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, drop_space).encode
         bins = Bins(capacity, TaskContext.get().partitionId())
-        doc_ids: list = []  # of the documents with open pieces and of this slice
-        keep: dict[int, int | None] = {}
-        seen = 0
-
-        def rows(found: np.ndarray) -> pa.RecordBatch:
-            names = [keep[d] for d in found[:, 0].tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(found[:, i], pa.int64()) for i in range(1, 7))], names=_NAMES)
-
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), blobs(batch.column(1))
             for a, b in slices(texts):
                 ids, counts = encode(texts[a:b])
-                with_end = np.full(len(ids) + b - a, end_id, np.uint32)
                 ends = np.cumsum(counts + 1)
+                with_end = np.full(len(ids) + b - a, end_id, "<u4")
                 with_end[np.delete(np.arange(len(with_end)), ends - 1)] = ids
-                keep.update(zip(range(seen, seen + b - a), doc_ids[a:b], strict=True))
-                doc, start, length = cut(counts + 1, capacity)
-                raw = memoryview(with_end.astype("<u4").tobytes())
-                first = ((ends - counts - 1)[doc] + start) * 4
-                crc = [zlib.crc32(raw[i:j]) for i, j in zip(first.tolist(), (first + length * 4).tolist(), strict=True)]
-                got = bins.add(np.column_stack([doc + seen, start, length, np.array(crc, np.int64), (counts + 1)[doc]]))
-                if len(got):
-                    yield rows(got)
-                seen += b - a
-                waiting = {int(d) for c in bins.open for x in c for d in x[:, 0]}
-                keep = {d: keep[d] for d in waiting}
-        got = bins.close()
-        if len(got):
-            yield rows(got)
+                for doc_id, i, j in zip(doc_ids[a:b], (ends - counts - 1).tolist(), ends.tolist(), strict=True):
+                    bins.add(doc_id, with_end[i:j])
+                yield bins.take()
+        bins.close()
+        yield bins.take()
 
     return doc_text(docs).mapInArrow(run, SCHEMA)

@@ -8,9 +8,10 @@ the text is cut between pieces. Two cuts are always between pieces:
 - byte-level tokenizers (white space belongs to pieces): where a run of white
   space starts, because no piece goes from other characters into white space.
 
-Chunks repeat a lot, so each worker process keeps a bounded dictionary from chunk
-to ids; only unknown chunks go through the tokenizers library, many at a time. A
-full dictionary forgets the chunks that a single slice of texts had.
+Chunks repeat a lot, so each worker process keeps a dictionary from chunk to ids,
+bounded in entries and in bytes; only unknown chunks go through the tokenizers
+library, many at a time. A full dictionary forgets the chunks that a single slice of
+texts had.
 Texts with white space other than ASCII's are encoded whole. The results equal
 ``Tokenizer.encode(text, add_special_tokens=False).ids`` (see the tests).
 """
@@ -46,13 +47,13 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 class CachedEncoder:
     """``encode(texts)``: all ids in one array, and the number of ids of each text."""
 
-    def __init__(self, path: str, drop_space: bool, max_entries: int = 1_000_000):
+    def __init__(self, path: str, drop_space: bool, max_entries: int = 500_000, max_bytes: int = 16 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.drop_space = drop_space
-        self.max_entries = max_entries
+        self.max_entries, self.max_bytes = max_entries, max_bytes
         # ids whose token starts with a space or newline: in joined byte-level pieces, just the first of each
         vocabulary = {} if drop_space else self.tokenizer.get_vocab()
         self.opens = np.zeros(1 + max(vocabulary.values(), default=0), np.bool_)
@@ -68,14 +69,16 @@ class CachedEncoder:
         self.size = np.zeros(1 << 14, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.bytes = 0  # of all chunks
 
     def _shrink(self) -> None:
         """Forget the chunks of one slice only, and all if that leaves over half."""
         rows = np.flatnonzero(self.again[: len(self.chunks)])
-        if 2 * len(rows) > self.max_entries:
+        names, texts = list(self.chunks), list(self.pieces)
+        size = sum(len(names[i]) for i in rows.tolist())
+        if 2 * len(rows) > self.max_entries or 2 * size > self.max_bytes:
             self._reset()
             return
-        names, texts = list(self.chunks), list(self.pieces)
         used, parts = np.unique(np.append(self.parts[rows].ravel(), 0), return_inverse=True)
         sizes = self.size[used].astype(np.int64)
         ids = self.flat[np.repeat(self.start[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
@@ -84,6 +87,7 @@ class CachedEncoder:
         self.parts, self.again = _room(self.parts, len(rows)), _room(self.again, len(rows))
         self.parts[: len(rows)] = parts[:-1].reshape(-1, 2)
         self.chunks = {names[i]: k for k, i in enumerate(rows.tolist())}
+        self.bytes = size
 
     def _chunks(self, raw: bytes) -> list[bytes]:
         if self.drop_space:
@@ -162,6 +166,7 @@ class CachedEncoder:
         self.parts, self.again = _room(self.parts, n), _room(self.again, n)
         self.parts[k:n] = np.fromiter(map(known.__getitem__, pairs), np.int32, len(pairs)).reshape(-1, 2)
         self.chunks.update(zip(chunks, range(k, n), strict=True))
+        self.bytes += sum(map(len, chunks))
 
     def _encode_cached(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         chunks: list[bytes] = []
@@ -172,7 +177,7 @@ class CachedEncoder:
             chunks += mine
         if not chunks:
             return np.zeros(0, np.uint32), counts
-        if len(self.chunks) > self.max_entries:
+        if len(self.chunks) > self.max_entries or self.bytes > self.max_bytes:
             self._shrink()
         known = len(self.chunks)
         new = set(chunks).difference(self.chunks)

@@ -270,10 +270,37 @@ def test_packing(spark, rows, capacity):
         for start, length in spans:
             assert start == at
             at += length
-        assert at == total if total else at <= capacity and at & (at - 1) == 0  # a full bin or a power of two: no padding
+        assert at == total if total else capacity - packing.SPARE <= at <= capacity or at & (at - 1) == 0
     assert packing.pack_documents(spark.createDataFrame([], EMPTY), tokenizer_file("word_bpe_49k.json")).count() == 0
 
 
+def test_bins_hold_whole_documents():
+    rnd = np.random.default_rng(8)
+    sizes = np.minimum(rnd.lognormal(5.5, 1, 20_000).astype(int) + 1, 30_000)
+    bins = packing.Bins(2048, 0)
+    for i, n in enumerate(sizes.tolist()):
+        bins.add(i, np.zeros(n, "<u4"))
+    assert sum(len(p) for p in bins.open.values()) < 2 * 2048 and bins.missing <= (packing.HELD + 1) * 2048
+    bins.close()
+    pieces, used = collections.Counter(r[0] for r in bins.rows), collections.Counter()
+    for r in bins.rows:
+        used[r[5]] += r[2]
+    assert sum(used.values()) == sizes.sum() and max(used.values()) <= 2048
+    padding = sum(2048 - n for n in used.values() if n & (n - 1))
+    assert padding < 0.01 * sizes.sum()
+    assert np.mean([pieces[i] == 1 for i in np.flatnonzero(sizes <= 2048).tolist()]) > 0.8
+    assert len(bins.rows) < 1.5 * len(sizes)
+    assert np.mean([r[2] <= 16 for r in bins.rows]) < np.mean(sizes <= 16) + 0.02
+
+
+def test_bins_of_a_class_take_a_fixed_number():
+    bins = packing.Bins(64, 0)
+    for i in range(8):
+        bins.add(i, np.zeros(15, "<u4"))  # class 4: four of them leave 4, which stays
+    assert [r[0] for r in bins.rows] == list(range(8)) and [r[6] for r in bins.rows] == [0, 15, 30, 45] * 2
+    assert not bins.open and not bins.gaps
+
+
 def test_packing_keeps_repeated_rows_apart(spark):
     got = packing.pack_documents(frame(spark, [(1, "a b c")] * 3 + [(None, None)]), tokenizer_file("word_bpe_49k.json")).collect()
     assert sum(r.length for r in got) == 3 * 4 + 1
