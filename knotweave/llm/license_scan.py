@@ -1,13 +1,17 @@
 """Licence scan: Aho-Corasick over word sequences, licence expressions by shunting-yard.
 
-Every whole text is normalised to its words, an Aho-Corasick automaton finds all
-notice phrases at once, and where an identifier tag or a "licensed under" notice
-stands, the licence expression after it (``and`` / ``or`` / ``with`` and brackets)
-is put into postfix order and evaluated.
+Every whole text is normalised to its words; one Aho-Corasick automaton finds notice
+phrases and identifier tags (``SPDX-License-Identifier``, ``licensed under``) at once.
+The licence expression after a tag (``and`` / ``or`` / ``with`` and brackets, over
+line ends too) is put into postfix order by a shunting-yard and evaluated: ``and``
+takes the stricter side, ``or`` the freer. An identifier of no known family counts as
+``other`` and doesn't end the expression.
 
 Cases: a null or empty text has no words, no label and score 0.0; phrases that
-overlap all count; repeated rows give repeated results; a malformed expression is
-ignored (its phrases still count). One narrow pass, no shuffle, constant memory.
+overlap all count; repeated rows give repeated results; an expression whose brackets
+don't close counts as if all its licences were joined by ``and``; a very long text
+takes time in proportion to its length; other columns are not looked at; an empty
+table gives no rows. One narrow pass, no shuffle, memory for one batch of texts.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -46,44 +51,77 @@ MORE_PHRASES = {
     "proprietary and confidential": "proprietary",
 }
 
-#: Tags before a licence expression (as lower-case words); they have no label.
-TAGS = ("spdx license identifier", "licensed under", "licenced under")
-
-#: How much a label restricts reuse, from 0 (free) to 1 (reserved).
-RESTRICTION = {
-    "public-domain": 0.0, "cc0": 0.0, "mit": 0.1, "isc": 0.1, "bsd": 0.1, "apache": 0.15, "cc-by": 0.2,
-    "mpl": 0.35, "epl": 0.4, "lgpl": 0.45, "cc-by-sa": 0.5, "gpl": 0.6, "agpl": 0.7, "cc-by-nd": 0.8,
-    "cc-by-nc": 0.8, "proprietary": 1.0, "reserved": 1.0,
-}
+#: Tags before a licence expression (as lower-case words) and whether any word after them is an identifier.
+TAGS = {"spdx license identifier": True, "licensed under": False, "licenced under": False, "licensed under the": False, "licenced under the": False}
+
+#: Families of licence identifiers by how much they restrict reuse, from 0 (free) to 1 (reserved).
+FAMILIES = {
+    0.0: "public-domain cc0 unlicense wtfpl pddl 0bsd mit-0 cc-pddc",
+    0.1: "mit isc bsd x11 zlib ncsa hpnd fsfap ftl icu ijg libpng libtiff openssl postgresql psf python ruby php tcl unicode upl vim w3c xfree86 zend zpl curl blueoak bsl boost beerware json naist ntp xnet",
+    0.15: "apache afl artistic ecl efl ms-pl mulanpsl naumen entessa intel",
+    0.2: "cc-by odc-by",
+    0.35: "mpl npl apsl cddl cpl ipl lppl lpl ms-rl nasa ofl qpl sissl spl watcom",
+    0.4: "epl eupl cecill cpal ngpl",
+    0.45: "lgpl",
+    0.5: "cc-by-sa odbl gfdl osl rpl rpsl sleepycat other",
+    0.6: "gpl",
+    0.7: "agpl sspl parity",
+    0.8: "cc-by-nd cc-by-nc busl elastic polyform commons-clause",
+    1.0: "proprietary reserved licenseref",
+}
+RESTRICTION = {name: level for level, names in FAMILIES.items() for name in names.split()}
 
-_NOTICE = re.compile(r"spdx-license-identifier\s*:|licen[sc]ed\s+under(?:\s+the)?\b", re.IGNORECASE)
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
+_TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
+_BY_LENGTH = sorted(RESTRICTION, key=len, reverse=True)
+_VERSION = re.compile(r"v?[0-9][0-9.]*\+?(?:$|-)|[-+]|$")
+
+
+def family(identifier: str) -> str | None:
+    """The known family of an identifier such as ``GPL-2.0-only``, ``gplv3`` or ``Apache-2.0``; the longest counts."""
+    name = identifier.lower().rstrip(".:")
+    return next((f for f in _BY_LENGTH if name.startswith(f) and _VERSION.match(name, len(f))), None)
 
 
-def label_of(identifier: str) -> str | None:
-    """The label of an identifier such as ``GPL-2.0-only`` or ``Apache-2.0``; longest family first."""
-    name = identifier.lower().rstrip(".")
-    return next((f for f in sorted(RESTRICTION, key=len, reverse=True) if name == f or name.startswith((f + "-", f + "+"))), None)
+def _identifier(token: str, strict: bool) -> bool:
+    """Whether a word of prose can be a licence: a known family, or built like one (capitals or digits with a hyphen or dot)."""
+    if strict:
+        return True
+    return family(token) is not None or bool(re.search(r"[A-Z0-9]", token) and re.search(r"[-.][A-Z0-9]", token))
 
 
-def tokens_of(text: str, at: int) -> list[str]:
-    """The longest run of brackets, operators and known identifiers that starts at ``at``."""
+def tokens_of(text: str, at: int, strict: bool = True) -> list[str]:
+    """The licence expression that starts at ``at``: operands and operators in turn, and brackets.
+
+    ``strict``: after an identifier tag every word in an operand's place is one; else
+    (in prose) it must look like one, and an operator without such an operand ends it.
+    """
     out: list[str] = []
+    depth, kept, operand = 0, 0, True
     while m := _TOKEN.match(text, at):
         t = m[1]
-        after_with = bool(out) and out[-1].lower() == "with"
-        if t in "()" or t.lower() in _BINDS or after_with or label_of(t):
-            out.append(t)
-            at = m.end()
-            if "\n" in m[0] and out:  # an expression doesn't run over a line's end
-                out.pop()
+        low = t.lower()
+        if operand and t == "(":
+            depth += 1
+        elif operand and t != ")" and low not in _BINDS:
+            after_with = bool(out) and out[-1].lower() == "with"
+            # an exception of prose names itself one
+            if not (_identifier(t, strict) if not after_with else strict or "exception" in low or out[-1] == "WITH"):
                 break
+            operand = False
+        elif not operand and t == ")" and depth:
+            depth -= 1
+        elif not operand and low in _BINDS:
+            operand = True
         else:
             break
-    while out and (out[-1].lower() in _BINDS or out[-1] == "("):
-        out.pop()
-    return out
+        out.append(t.rstrip(".:") if t not in "()" else t)
+        at = m.end()
+        if not operand:
+            kept = len(out)  # what follows an operand may be prose
+            if t.endswith((".", ":")):
+                break
+    return out[:kept]
 
 
 def to_postfix(tokens: list[str]) -> list[str]:
@@ -126,62 +164,81 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
             else:
                 stack.append(((max if t == "and" else min)(left[0], right[0]), left[1] | right[1]))
         else:
-            label = label_of(t)
-            stack.append((RESTRICTION[label] if label else 0.0, {label} if label else set()))
+            label = family(t) or "other"
+            stack.append((RESTRICTION[label], {label}))
     if len(stack) != 1:
         raise ValueError("an operator is missing")
     return stack[0]
 
 
-def expressions(text: str) -> Iterator[tuple[float, set[str]]]:
-    for m in _NOTICE.finditer(text):
-        if tokens := tokens_of(text, m.end()):
-            try:
-                yield evaluate(to_postfix(tokens))
-            except ValueError:
-                continue
+def expression_at(text: str, at: int, strict: bool = True) -> tuple[float, set[str]] | None:
+    """Restriction and labels of the licence expression that starts at ``at``; None if there is none."""
+    tokens = tokens_of(text, at, strict)
+    if not tokens:
+        return None
+    try:
+        return evaluate(to_postfix(tokens))
+    except ValueError:  # brackets that don't close: all of its licences
+        words = [t for i, t in enumerate(tokens) if t not in "()" and t.lower() not in _BINDS and (not i or tokens[i - 1].lower() != "with")]
+        return evaluate(to_postfix(" and ".join(words).split()))
 
 
 def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase, label in {**dict.fromkeys(TAGS), **phrases}.items():
-        a.add_word(f" {phrase} ", (label, len(phrase) + 1))
+    for phrase, strict in TAGS.items():
+        a.add_word(f" {phrase} ", (None, len(phrase) + 1, strict))
+    for phrase, label in phrases.items():
+        a.add_word(f" {phrase} ", (label, len(phrase) + 1, False))
     a.make_automaton()
     return a
 
 
 def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset[str]) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_expressions) of one text."""
-    words = (raw or b"").translate(WORDS).split()
-    n_base, first, last = 0, None, None
+    flat = (raw or b"").translate(WORDS)
+    words = flat.split()
+    # latin-1 keeps one character a byte, so that positions stay byte positions
+    line = b" " + b" ".join(words) + b" "
+    hits = list(machine.iter(line.decode("latin-1")))
     labels: set[str] = set()
     found_base: set[str] = set()
-    # latin-1 keeps one character a byte, so that positions stay byte positions
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    tagged = False
-    for end, (label, back) in machine.iter(line):
-        if label is None:
-            tagged = True
-            continue
-        labels.add(label)
-        if label in base:
-            found_base.add(label)
-            n_base += 1
-            at = line.count(" ", 0, end - back)
-            first = at if first is None else min(first, at)
-            last = at if last is None else max(last, at)
-    score = max((RESTRICTION[x] for x in labels), default=0.0)
-    n_expr = 0
-    if labels or tagged:
-        found = list(expressions((raw or b"").decode("utf-8", "replace")))
-        n_expr = len(found)
-        for _, more in found:
-            labels |= more
-        if found:
-            # an expression decides for the licences that it names; other notices still restrict
-            named = set().union(*(x[1] for x in found))
-            score = max([x[0] for x in found] + [RESTRICTION[x] for x in labels - named])
-    return len(words), n_base, first, last, ",".join(sorted(found_base)), ",".join(sorted(labels)), float(score), n_expr
+    places: list[int] = []
+    tags: dict[int, bool] = {}  # word after the tag
+    if hits:
+        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        at = np.searchsorted(blanks, [end - hit[1] for end, hit in hits]).tolist()
+        after = np.searchsorted(blanks, [end for end, _ in hits]).tolist()
+        for (_, (label, _, strict)), first, behind in zip(hits, at, after, strict=True):
+            if label is None:
+                tags[behind] = strict
+                continue
+            labels.add(label)
+            if label in base:
+                found_base.add(label)
+                places.append(first)
+    score = max((RESTRICTION.get(x, RESTRICTION["other"]) for x in labels), default=0.0)
+    found = []
+    if tags:
+        space = np.frombuffer(flat, np.uint8) == 32
+        ends = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1) == 1)  # byte after each word
+        text = raw.decode("latin-1")
+        # "licensed under" ends where "licensed under the" goes on: the longer tag is the one that is followed by an expression
+        got = (expression_at(text, int(ends[word - 1]) + _colon(text, int(ends[word - 1])), strict) for word, strict in sorted(tags.items()))
+        found = [x for x in got if x]
+    if found:
+        # an expression decides for the licences that it names; other notices still restrict
+        named = set().union(*(x[1] for x in found))
+        score = max([x[0] for x in found] + [RESTRICTION.get(x, RESTRICTION["other"]) for x in labels - named])
+        labels |= named
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found_base)), ",".join(sorted(labels)), float(score), len(found)
+
+
+_COLON = re.compile(r"[ \t]*:")
+
+
+def _colon(text: str, at: int) -> int:
+    m = _COLON.match(text, at)
+    return m.end() - at if m else 0
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_expressions long"
