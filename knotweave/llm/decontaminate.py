@@ -2,14 +2,16 @@
 
 The (small, size-checked) benchmark is indexed: each item, or each piece of at most
 ``UNIT`` words of a longer one, has a BM25 impact for each of its terms, divided by
-the sum of its impacts, so that 1.0 means that a passage holds all of it. Every
-document is read as passages of ``PASSAGE`` words, half overlapping; so each unit
-lies wholly in some passage. A passage's upper bound is the sum of its terms' greatest
-impacts; of the passages that reach the threshold by it, the same is done for every
-block (a range of ``RANGE`` units) with the terms' maxima there, all as arrays.
-In the blocks that are left, block-max WAND runs over the posting lists: cursors are
-moved to the first unit that the list maxima allow, stretches whose maxima can't reach
-the threshold are skipped, and every unit at or above it is returned (no top-k).
+the sum of its impacts, so that 1.0 means that a passage holds all of it. A posting
+list is sorted by unit and cut into blocks at multiples of ``BLOCK`` units; a block's
+greatest impact is kept, only where the list has postings. Every document is read as
+passages of ``PASSAGE`` words, half overlapping; so each unit lies wholly in some passage.
+
+Block-max WAND takes two steps. The bounds of many passages' blocks (sums of their
+terms' block maxima) are added up at once as arrays; a block below the threshold is
+skipped by all cursors. Cursors over the whole posting lists then jump from one block
+that is left to the next, and inside it move to the first unit that the lists' maxima
+allow; every unit at or above the threshold is returned (no top-k).
 
 A retrieved pair counts as a leak if the surrounding words hold enough of the item, as
 runs of ``GRAM`` words: of its question and of its answer where the item marks them (the
@@ -17,13 +19,14 @@ answer follows "answer:" or the last question mark), else of the retrieved unit
 whole, so that an excerpt of a long item counts too.
 
 The documents are never shuffled; the index travels to the executors in shards of a
-checked size, and a benchmark of any size is searched shard by shard. Unit count, mean
-length and document frequencies are those of all items in every shard, so the split
-changes no score.
+checked size (one, and so one scan, up to ``SHARD_BYTES`` of items), and a benchmark of
+any size is searched shard by shard. Unit count, mean length and document frequencies
+are those of all items in every shard, so the split changes no score.
 
 Cases: null or empty texts and items match nothing; an item of fewer than ``GRAM``
 words must stand word by word; equal items are all reported; repeated rows give
-repeated results; the best passage of a document and item counts (ties: the first).
+repeated results; the best passage of a document and item counts (ties: the first); a
+very long text is read as passages like any other; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,14 +44,14 @@ from pyspark.sql import functions as F
 from knotweave.llm.text import WORDS, blobs, checkpointed, doc_text, gram_hashes, join_words, slices, word_hashes
 from knotweave.llm.tokens import release_encoders
 
-UNIT, PASSAGE, GRAM, BLOCK = 64, 128, 5, 16
-#: Units in a range whose maxima are kept for every term; numbers that one step of bounds may hold.
-RANGE, CELLS = 4, 1 << 23
+UNIT, PASSAGE, GRAM, BLOCK = 64, 128, 5, 8
+#: Sums of block maxima that one step may hold.
+CELLS = 1 << 22
 K1, B = 1.2, 0.75
 #: Share of a unit's BM25 mass that a passage must hold, and of question and answer runs.
 THRESHOLD, OVERLAP = 0.6, 0.5
 #: Bytes of item text in one shard of the index.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 16 << 20
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -96,28 +99,21 @@ class Unit:
 
 @dataclass
 class Index:
-    """Posting lists of units with impacts, sorted by unit; maxima by list and by block of postings."""
+    """Posting lists of units with impacts, sorted by unit, and their blocks."""
 
     items: list[Item] = field(default_factory=list)
     units: list[Unit | None] = field(default_factory=list)  # None: the item's parts are verified
     unit_item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    unit: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    impact: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    unit: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    impact: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     list_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-
-    def lists(self, terms: np.ndarray, block: int) -> list[tuple[list[int], list[float], list[float]]]:
-        """(units, impacts, block maxima) of the terms' postings in one range of units, for the cursors."""
-        out = []
-        for k in terms.tolist():
-            i, j = self.first[k] + np.searchsorted(self.unit[self.first[k] : self.first[k + 1]], [block * RANGE, (block + 1) * RANGE])
-            if i < j:
-                w = self.impact[i:j].tolist()
-                out.append((self.unit[i:j].tolist(), w, [max(w[x : x + BLOCK]) for x in range(0, len(w), BLOCK)]))
-        return out
+    n_blocks: int = 0
+    block_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of each list
+    block_key: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # list * n_blocks + block
+    block_start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # its first posting
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def unit_words(words: np.ndarray) -> Iterator[np.ndarray]:
@@ -154,99 +150,93 @@ def build_index(rows: list[tuple[int | None, str]], stats: Statistics | None = N
             owner.append(len(items) - 1)
     if not units:
         return Index()
-    counts = [Counter(u.tolist()) for u in units]
     stats = stats or statistics(units)
-    n_units, df, mean = stats.units, stats.df, stats.words / stats.units
-    postings: dict[int, list[tuple[int, float]]] = {}
-    for u, c in enumerate(counts):
-        norm = K1 * (1 - B + B * len(units[u]) / mean)
-        w = {t: np.log1p((n_units - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in c.items()}
-        total = sum(w.values())
-        for t, x in w.items():
-            postings.setdefault(t, []).append((u, x / total))
-    terms = np.array(sorted(postings), np.uint64)
-    lists = [postings[int(t)] for t in terms]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-    flat = [p for x in lists for p in x]
-    impact, unit = np.array([w for _, w in flat]), np.array([u for u, _ in flat])
-    block_max = np.zeros((len(terms), -(-len(units) // RANGE)), np.float32)
-    np.maximum.at(block_max, (np.repeat(np.arange(len(terms)), np.diff(first)), unit // RANGE), impact)
+    held = [np.unique(u, return_counts=True) for u in units]
+    sizes = [len(t) for t, _ in held]
+    term, n = np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held])
+    unit = np.repeat(np.arange(len(units)), sizes)
+    order = np.lexsort((unit, term))
+    term, n, unit = term[order], n[order], unit[order]
+    terms, first = np.unique(term, return_index=True)
+    first = np.append(first, len(term))
+    df = np.repeat(np.array([stats.df[t] for t in terms.tolist()]), np.diff(first))
+    words = np.array([len(u) for u in units])[unit]
+    weight = np.log1p((stats.units - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * words / (stats.words / stats.units)))
+    impact = weight / np.bincount(unit, weight)[unit]
+    n_blocks = -(-len(units) // BLOCK)
+    key = np.repeat(np.arange(len(terms)), np.diff(first)) * n_blocks + unit // BLOCK
+    block_key, start = np.unique(key, return_index=True)
     verified = [None if items[k].parts else Unit(len(u), part(u)) for u, k in zip(units, owner, strict=True)]
-    return Index(items, verified, np.array(owner), terms, first, unit, impact, np.maximum.reduceat(impact, first[:-1]), block_max)
-
-
-def block_max_wand(lists: list[tuple[list[int], list[float], list[float]]], maxima: list[float], threshold: float) -> list[tuple[int, float]]:
-    """All (unit, score) with score >= threshold over the posting lists of a passage's distinct terms."""
-    at = [0] * len(lists)
-    alive = sorted(range(len(lists)), key=lambda k: lists[k][0][0])
+    return Index(
+        items, verified, np.array(owner), terms, first, unit.astype(np.int32), impact, np.maximum.reduceat(impact, first[:-1]),
+        n_blocks, np.searchsorted(block_key, np.arange(len(terms) + 1) * n_blocks), block_key, np.append(start, len(term)), np.maximum.reduceat(impact, start),
+    )
+
+
+#: Sums of many small numbers may differ in their last digits by the order of adding.
+_SLACK = 1e-9
+
+
+def open_blocks(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, block) of all blocks whose maxima can reach the threshold; ``passage`` is sorted, with a row for each of its terms."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    sizes = np.diff(index.block_first)[term]
+    new = np.flatnonzero(np.diff(passage, prepend=-1))  # first row of each passage
+    edges = np.append(np.arange(0, len(new), max(1, CELLS // max(1, index.n_blocks))), len(new))
+    row = np.append(new, len(passage))
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        a, b = int(row[i]), int(row[j])
+        n = sizes[a:b]
+        entry = np.repeat(index.block_first[term[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        place = np.repeat(np.arange(j - i), np.diff(row[i : j + 1]))
+        cell = np.repeat(place, n) * index.n_blocks + index.block_key[entry] % index.n_blocks
+        bound = np.bincount(cell, index.block_max[entry], (j - i) * index.n_blocks)
+        hit = np.flatnonzero(bound >= threshold - _SLACK)
+        out.append((passage[row[i + hit // index.n_blocks]], hit % index.n_blocks))
+    return np.concatenate([p for p, _ in out]), np.concatenate([k for _, k in out])
+
+
+def block_max_wand(index: Index, terms: np.ndarray, blocks: list[int], threshold: float) -> list[tuple[int, float]]:
+    """All (unit, score) with score >= threshold for a passage's distinct ``terms``; ``blocks`` are those not to be skipped."""
     out = []
-    while alive:
-        # pivot: the first unit at which the lists' maxima can reach the threshold
-        bound, p = 0.0, -1
-        for p, k in enumerate(alive):
-            bound += maxima[k]
-            if bound >= threshold - 1e-9:
+    for block in blocks:
+        # every cursor jumps over what lies between, to the block's first posting in its list
+        key = terms * index.n_blocks + block
+        at = np.minimum(np.searchsorted(index.block_key, key), len(index.block_key) - 1)
+        at = at[index.block_key[at] == key]
+        start, end, top = index.block_start[at], index.block_start[at + 1], index.block_max[at].tolist()
+        lists = [(index.unit[i:j].tolist(), index.impact[i:j].tolist()) for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        cursor = [0] * len(lists)
+        alive = sorted(range(len(lists)), key=lambda k: lists[k][0][0])
+        while alive:
+            # pivot: the first unit at which the maxima of the lists up to it can reach the threshold
+            bound, p = 0.0, -1
+            for p, k in enumerate(alive):
+                bound += top[k]
+                if bound >= threshold - _SLACK:
+                    break
+            else:
                 break
-        else:
-            return out
-        unit = lists[alive[p]][0][at[alive[p]]]
-        while p + 1 < len(alive) and lists[alive[p + 1]][0][at[alive[p + 1]]] == unit:
-            p += 1
-        # the blocks that would hold the pivot, and the first unit after the nearest block's end
-        block, ahead = 0.0, 1 << 60
-        for k in alive[: p + 1]:
-            units, _, tops = lists[k]
-            i = at[k]
-            b = i // BLOCK
-            while b < len(tops) - 1 and units[min((b + 1) * BLOCK, len(units)) - 1] < unit:
-                b += 1
-            end = min((b + 1) * BLOCK, len(units)) - 1
-            if units[end] >= unit:
-                block += tops[b]
-                ahead = min(ahead, units[end] + 1)
-        if block < threshold - 1e-9:
-            goal = min(ahead, lists[alive[p + 1]][0][at[alive[p + 1]]]) if p + 1 < len(alive) else ahead
-        else:
+            unit = lists[alive[p]][0][cursor[alive[p]]]
+            while p + 1 < len(alive) and lists[alive[p + 1]][0][cursor[alive[p + 1]]] == unit:
+                p += 1
+            ready = lists[alive[0]][0][cursor[alive[0]]] == unit
             score = 0.0
             for k in alive[: p + 1]:
-                units, impacts, _ = lists[k]
-                i = at[k]
+                units, impacts = lists[k]
+                i = cursor[k]
                 while i < len(units) and units[i] < unit:
                     i += 1
-                if i < len(units) and units[i] == unit:
+                if ready:
                     score += impacts[i]
-                at[k] = i
-            if score >= threshold - 1e-9:
+                    i += 1
+                cursor[k] = i
+            if ready and score >= threshold - _SLACK:
                 out.append((unit, score))
-            goal = unit + 1
-        goal = max(goal, unit + 1)
-        for k in alive[: p + 1]:
-            units = lists[k][0]
-            i = at[k]
-            while i < len(units) and units[i] < goal:
-                i += 1
-            at[k] = i
-        alive = sorted((k for k in alive if at[k] < len(lists[k][0])), key=lambda k: lists[k][0][at[k]])
+            alive = sorted((k for k in alive if cursor[k] < len(lists[k][0])), key=lambda k: lists[k][0][cursor[k]])
     return out
 
 
-def _ranges(index: Index, passage: np.ndarray, term: np.ndarray, can: np.ndarray, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(passage, block, terms) of all blocks of units whose maxima can reach the threshold; in steps of bounded memory."""
-    lo, hi = np.searchsorted(passage, can, "left"), np.searchsorted(passage, can, "right")
-    room = max(1, CELLS // index.block_max.shape[1])
-    ends = np.cumsum(hi - lo)
-    at = 0
-    while at < len(can):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + room, "right")))
-        take = np.concatenate([np.arange(i, j) for i, j in zip(lo[at:to], hi[at:to], strict=True)])
-        size = hi[at:to] - lo[at:to]
-        bound = np.add.reduceat(index.block_max[term[take]], np.cumsum(size) - size)
-        for row, block in zip(*np.nonzero(bound >= threshold - 1e-4), strict=True):
-            k = at + int(row)
-            yield int(can[k]), int(block), term[lo[k] : hi[k]]
-        at = to
-
-
 def search(index: Index, texts: list[bytes | None], threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question share, answer share) of every leak in ``texts``; both shares are the unit's where the item marks no answer."""
     buf, at = join_words([t.translate(WORDS) if t else t for t in texts])
@@ -272,13 +262,15 @@ def search(index: Index, texts: list[bytes | None], threshold: float, overlap: f
     both = np.unique(np.concatenate([h1 * n_terms + t1, before * n_terms + t_before]))
     passage, t = both // n_terms, both % n_terms
     bound = np.bincount(passage, index.list_max[t], int(base[-1]))
-    can = np.flatnonzero(bound >= threshold - 1e-9)
-    if not len(can):
-        return []
+    can = bound[passage] >= threshold - _SLACK  # else all blocks of all lists are skipped
+    passage, t = passage[can], t[can]
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p, block, mine in _ranges(index, passage, t, can, threshold):
-        lists = index.lists(mine, block)
-        hits = block_max_wand(lists, [max(x[2]) for x in lists], threshold)
+    where, block = open_blocks(index, passage, t, threshold)
+    edge = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where))
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        p = int(where[i])
+        lo, hi = np.searchsorted(passage, [p, p + 1])
+        hits = block_max_wand(index, t[lo:hi], block[i:j].tolist(), threshold)
         d = int(np.searchsorted(base, p, "right")) - 1
         from_ = int(first[d]) + (p - int(base[d])) * half
         for unit, score in hits:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import math
 import random
 import re
 import time
@@ -547,21 +548,73 @@ def test_decontamination_scores_do_not_depend_on_shards(spark):
     assert all(abs(one[k] - many[k]) < 1e-9 for k in one)
 
 
-def test_block_max_wand_equals_full_scoring():
+def brute_bm25(items, passages, threshold):
+    """(passage, unit) -> share of the unit's BM25 mass, term by term."""
+    units = [u for _, t in items for u in decontaminate.unit_words(np.array((t or "").lower().split(), object)) if len(u)]
+    n, mean = len(units), np.mean([len(u) for u in units])
+    df = collections.Counter(w for u in units for w in set(u))
+    out = {}
+    for k, u in enumerate(units):
+        c = collections.Counter(u)
+        w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * len(u) / mean)) for t, x in c.items()}
+        for p, words in enumerate(passages):
+            score = sum(w[t] for t in set(words) & set(w)) / sum(w.values())
+            if score >= threshold:
+                out[p, k] = score
+    return out
+
+
+def test_block_max_wand_equals_full_scoring_and_skips_blocks():
     rnd = random.Random(4)
-    for _ in range(200):
-        lists = []
-        for _ in range(rnd.randint(1, 8)):
-            units = sorted(rnd.sample(range(120), rnd.randint(1, 60)))
-            w = [rnd.random() for _ in units]
-            lists.append((units, w, [max(w[k : k + decontaminate.BLOCK]) for k in range(0, len(w), decontaminate.BLOCK)]))
-        threshold = rnd.uniform(0.2, 3)
-        full = collections.Counter()
-        for units, w, _ in lists:
-            for u, x in zip(units, w, strict=True):
-                full[u] += x
-        got = decontaminate.block_max_wand(lists, [max(w) for _, w, _ in lists], threshold)
-        assert {u for u, _ in got} == {u for u, x in full.items() if x >= threshold}
+    word = lambda: f"v{min(rnd.randint(0, 4000), rnd.randint(0, 4000))}"
+    items = [(i, " ".join(word() for _ in range(rnd.choice([8, 30, 64, 150])))) for i in range(120)]
+    index = decontaminate.build_index(items)
+    passages = [[word() for _ in range(60)] + items[rnd.randrange(120)][1].split()[: rnd.randint(0, 64)] for _ in range(150)]
+    terms = [np.flatnonzero(np.isin(index.terms, decontaminate.hashes(" ".join(p).encode()))) for p in passages]
+    for threshold in (0.3, 0.6):
+        where, block = decontaminate.open_blocks(index, np.repeat(np.arange(150), [len(t) for t in terms]), np.concatenate(terms), threshold)
+        got = {(p, u): s for p in range(150) for u, s in decontaminate.block_max_wand(index, terms[p], block[where == p].tolist(), threshold)}
+        want = brute_bm25(items, passages, threshold)
+        assert got.keys() == want.keys() and len(got) > 50
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        skipped = 150 * index.n_blocks - len(where)
+        assert skipped > (0.9 if threshold == 0.6 else 0.5) * 150 * index.n_blocks
+        # without skipping, the cursors find the same
+        assert {(p, u) for p in range(20) for u, _ in decontaminate.block_max_wand(index, terms[p], list(range(index.n_blocks)), threshold)} == {k for k in got if k[0] < 20}
+
+
+def test_decontamination_equals_full_scoring_with_overlap(spark):
+    rnd = random.Random(41)
+    word = lambda: f"v{min(rnd.randint(0, 600), rnd.randint(0, 600))}"
+    make = lambda k: " ".join(word() for _ in range(k))
+    items = [(i, make(rnd.choice([6, 20, 60, 130]))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        w = items[d % 40][1].split()
+        part = w[: int(len(w) * rnd.uniform(0.3, 1.1))]
+        if d % 3 == 0:
+            rnd.shuffle(part)
+        docs.append((d, f"{make(rnd.randint(0, 150))} {' '.join(part)} {make(rnd.randint(0, 150))}"))
+    docs += [docs[1], docs[1], (None, docs[1][1])]
+    half, gram = decontaminate.PASSAGE // 2, decontaminate.GRAM
+    unit_of = [(i, tuple(u)) for i, t in items for u in decontaminate.unit_words(np.array(t.split(), object))]
+    want = collections.Counter()
+    for d, t in docs:
+        w = t.split()
+        starts = range(0, max(1, -(-len(w) // half)) * half, half)
+        hits = brute_bm25(items, [w[s : s + 2 * half] for s in starts], decontaminate.THRESHOLD)
+        leaks = set()
+        for p, k in hits:
+            i, u = unit_of[k]
+            near = w[max(0, p * half - len(u)) : p * half + 2 * half + len(u)]
+            n = min(gram, len(u))
+            grams = {tuple(near[x : x + n]) for x in range(len(near) - n + 1)}
+            own = {u[x : x + n] for x in range(len(u) - n + 1)}
+            if len(own & grams) >= decontaminate.OVERLAP * len(own):
+                leaks.add(i)
+        want.update((d, i) for i in leaks)
+    got = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert collections.Counter((r.doc_id, r.item_id) for r in got) == want and len(want) > 40
 
 
 # ---- 10 ------------------------------------------------------------------------
