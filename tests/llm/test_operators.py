@@ -484,6 +484,27 @@ def test_topk(spark):
     assert topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
 
+def test_topk_stops_early_where_it_can_and_is_exact():
+    rnd = np.random.default_rng(6)
+    strong = np.zeros((3000, 16))
+    strong[np.arange(3000), rnd.integers(0, 16, 3000)] = np.floor(rnd.pareto(1.0, 3000) * 256)
+    random_ = np.floor(rnd.normal(size=(3000, 16)) * 256)
+    for x, early in ((strong, True), (random_, False)):
+        q = np.floor(np.abs(rnd.normal(size=(700, 16))) * 64 * (rnd.random((700, 16)) < 0.2))
+        i, ids, scores, read = topk.top_k(x, np.arange(3000), q, np.full(700, -1), 5)
+        assert ((read < 0.3).mean() > 0.8) if early else (read > 0.3).mean() > 0.5
+        s = q @ x.T
+        for k in range(700):
+            assert list(zip(scores[i == k], ids[i == k], strict=True)) == [(s[k, j], j) for j in np.lexsort((np.arange(3000), -s[k]))[:5]]
+    assert 0 < topk.share_read(strong, strong[:20]) <= 1
+
+
+def test_topk_of_a_query_with_two_vectors(spark):
+    rows = [(50, [2.0, 0.0]), (50, [1.0, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, 5).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, 9 * 65536), (1, 65536)]
+
+
 def test_sorted_list_bounds_hold_and_close():
     rnd = np.random.default_rng(2)
     x, q = np.floor(rnd.normal(size=(50, 4)) * 9), np.floor(rnd.normal(size=(5, 4)) * 9)
