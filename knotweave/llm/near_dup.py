@@ -9,7 +9,8 @@
    1e-6: (1 - s^rows)^bands, for 0.85 8 rows and 44 bands.
 3. Round one: in every bucket each member is a candidate with the bucket's least
    member only (a star), so pairs grow with members, not with their square.
-   Candidates are confirmed on full sets: 100 * common >= 85 * union.
+   Candidates are confirmed on full sets: 100 * common >= 85 * union. A hub's set is
+   sent once to each group of at most about ``GROUP`` of its candidates.
 4. Components of the confirmed links. A bucket whose members are all in one
    component can't add anything. The members of all other buckets are compared
    across components: every pair that may reach the threshold by an exact filter
@@ -18,12 +19,15 @@
 5. Components again; every document takes its class's component.
 
 Bands, links and components stay in DataFrames; counts are pre-aggregated before
-each shuffle, and joins are plain sort-merge joins whose hot keys Spark splits.
+each shuffle. Hubs with many candidates and shingles with many members are split into
+salted groups; the other joins are plain sort-merge joins whose hot keys Spark splits.
 
 Cases: fewer than ``SHINGLE`` words: the whole sequence is the one shingle; null
 text or no words: an empty set, linked with nothing; equal doc_ids: rows of one
 doc_id are one vertex (any of its texts links it); null doc_ids are linked with
-nothing and get a null component; an empty table gives no rows.
+nothing and get a null component; repeated rows are sketched each but compared once; a
+very long text is one set like any other; other columns are not looked at; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from knotweave.llm.text import LOWER, blobs, checkpointed, doc_text, gram_hashes
 from knotweave.llm.tokens import release_encoders
 
 SHINGLE = 5
+#: Candidates of one hub, or members of one shingle's list, that meet in one group.
+GROUP = 256
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -139,12 +145,41 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets pass; both sets are joined to their pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(_sets_of(docs, ids))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).where(F.col("c") * 100 >= (F.col("s") - F.col("c")) * percent).select("a", "b").distinct()
+    """Those of ``pairs`` (a, b) whose full sets pass: 100 * common >= percent * union for any texts of both ids.
+
+    Each document goes to the groups it has a part in, once as the hub (a) of each group
+    and once for each of its hubs; it is shingled on the way, so sets are shuffled once.
+    """
+    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    hubs = size.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
+    others = pairs.join(size, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "groups").cast("int").alias("salt"), F.lit(False).alias("is_hub"))
+    parts = hubs.union(others)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
+        for b in batches:
+            texts = blobs(b.column(4))
+            new = [i for i, t in enumerate(texts) if not i or t != texts[i - 1]]  # a document's rows come one after another
+            sets = [x.tobytes() for x in shingle_sets([texts[i] for i in new])]
+            which = np.searchsorted(new, np.arange(len(texts)), "right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([sets[k] for k in which.tolist()], pa.binary())], names=["id", "hub", "salt", "is_hub", "set"])
+
+    def check(table: pa.Table) -> pa.Table:
+        ids, is_hub = table["id"].to_pylist(), table["is_hub"].to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        found = set()
+        for hub in {x.tobytes(): x for x, h in zip(sets, is_hub, strict=True) if h}.values():
+            for i, x, h in zip(ids, sets, is_hub, strict=True):
+                if not h and i not in found:
+                    at = np.minimum(np.searchsorted(hub, x), len(hub) - 1)
+                    common = int((hub[at] == x).sum()) if len(hub) else 0
+                    if common and common * 100 >= (len(x) + len(hub) - common) * percent:
+                        found.add(i)
+        return pa.table({"a": pa.array([table["hub"][0].as_py()] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
+
+    text = doc_text(docs).withColumnRenamed("doc_id", "id")
+    placed = parts.join(text, "id").select("id", "hub", "salt", "is_hub", "text").mapInArrow(shingled, "id long, hub long, salt int, is_hub boolean, set binary")
+    return placed.groupBy("hub", "salt").applyInArrow(check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,11 +220,14 @@ def _across(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     early = shared.withColumn("p", place).where((F.col("n") - F.col("p")) * 100 >= F.col("n") * percent)
     at = checkpointed(early.select("g", "id", "n", "p").join(members, "id"))
     mixed = at.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
-    main = at.join(mixed, "g", "left_semi").groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    stray = at.join(main, "g").where("c <> main").select("g", F.col("id").alias("sid"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("sc"))
+    main = at.join(mixed, "g", "left_semi").groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.ceil(F.sum("k") / GROUP).cast("int").alias("groups"))
+    listed = at.join(main, "g")
+    # a long list is dealt to groups; each member outside its commonest component meets all of them
+    every = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt")
+    stray = listed.where("c <> main").select("g", every, F.col("id").alias("sid"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("c").alias("sc"))
     reach = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    left, right = at.alias("l"), stray.alias("r")
-    met = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("c") != F.col("sc")) & reach)
+    left, right = listed.withColumn("salt", F.pmod(F.xxhash64("id"), "groups").cast("int")).alias("l"), stray.alias("r")
+    met = left.join(right, (F.col("l.g") == F.col("r.g")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("c") != F.col("sc")) & reach)
     return met.select(F.least("id", "sid").alias("a"), F.greatest("id", "sid").alias("b")).distinct()
 
 
@@ -204,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same_doc = member.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.count("*").alias("n"))
     split = same_doc.where("n > 1 AND a < b").select("doc_id")
     bridges = member.join(split, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
-    heads = full.join(classes.select(F.col("class_id").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi")
+    heads = full.join(classes.select(F.col("class_id").alias("doc_id"), "print"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
     keys = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).where("k > 1").select("key", "hub")
     shared = checkpointed(keys.join(stars, "key"))  # only buckets of two or more are kept
