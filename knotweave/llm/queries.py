@@ -60,7 +60,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(
-        documents(spark, sf_dir), shared_dir(spark, "token-files"), tokenizer_file("byte_bpe_50k.json"), end_id=2, vocabulary=50_257
+        documents(spark, sf_dir), shared_dir(spark, "token-files"), tokenizer_file("byte_bpe_50k.json"), end_id=2
     )
     return read_token_files(spark, files)
 

@@ -6,13 +6,18 @@ offset of each document, the byte offset of each block, then the blocks. Each id
 takes the minimum of bits that the vocabulary needs; every block starts on a byte,
 so any range of ids is read by seeking to its blocks and unpacking them as arrays.
 
-Writing: documents are dealt to files by ranges of doc_id (bounds from one small
-statistics pass), encoded where they lie, and only the packed ids are shuffled.
-Each file is written under a temporary name and renamed, so a task that runs again
-leaves the same file. The driver gets one row (path and counts) per file.
-
-Cases: a null or empty text is its end id alone; null doc_ids come first; equal
-doc_ids keep together, ordered by their ids; an empty table writes no file.
+Writing: documents are dealt to files by ranges of (doc_id, salt), encoded where they
+lie, and only the ids are shuffled. The ranges' bounds come from a sample of some
+``SAMPLE`` rows a file, drawn with a chance in proportion to their bytes, so files hold
+about equally many bytes. The salt follows the text, and in its last bits the row, so
+that rows of one doc_id (or of none), even equal ones, spread over files. Each file is written under a temporary name and renamed, so a
+task that runs again leaves the same file. The driver gets the sample and one row (path
+and counts) per file; fewer, larger files make both smaller.
+
+Cases: a null or empty text is its end id alone; null doc_ids come first; rows of one
+doc_id follow each other in the order of their texts' hashes; ids beyond the
+vocabulary's bits are an error; a very long text makes its file that much longer; other
+columns are not looked at; an empty table writes no file.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ _HEADER = struct.Struct("<4sHHIQQQ")  # magic, bits, 0, ids a block, documents,
 BLOCK_IDS = 4096
 #: Target bytes of text per file, unless the session asks for more partitions.
 FILE_BYTES = 32 << 20
+#: Expected rows of the sample for each file.
+SAMPLE = 40
 
 
 def bits_for(vocabulary: int) -> int:
@@ -105,15 +112,44 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, vocabulary: int, drop_space: bool = False, file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int]]:
-    """Write all ids in ascending doc_id order; (path, documents, ids) of each file, in order."""
+def vocabulary_of(tokenizer_path: str) -> int:
+    """One more than the greatest id of a tokenizer's file."""
+    from tokenizers import Tokenizer
+
+    return 1 + max(Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values())
+
+
+_NULL = -(1 << 63)  # the place of null doc_ids in the order
+
+
+def part_of(doc_id: np.ndarray, salt: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the sorted ``bounds`` (doc_id, salt) are at or below each (doc_id, salt)."""
+    lo, hi = np.searchsorted(bounds[:, 0], doc_id, "left"), np.searchsorted(bounds[:, 0], doc_id, "right")
+    out = lo.copy()
+    for i in np.flatnonzero(lo < hi).tolist():  # a bound's own doc_id
+        out[i] += np.searchsorted(bounds[lo[i] : hi[i], 1], salt[i], "right")
+    return out
+
+
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int, vocabulary: int | None = None, drop_space: bool = False, file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int]]:
+    """Write all ids in ascending doc_id order; (path, documents, ids) of each file, in order.
+
+    ``vocabulary``: the number of ids (the tokenizer's own if not given).
+    """
     spark = docs.sparkSession
-    text = doc_text(docs)
+    vocabulary = max(vocabulary or vocabulary_of(tokenizer_path), end_id + 1)
+    row_bits = F.lit((1 << 20) - 1)
+    salt = F.xxhash64("text").bitwiseAND(F.bitwise_not(row_bits)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(row_bits))
+    text = doc_text(docs).withColumn("salt", salt)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = text.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = max(least, -(-total // file_bytes), 1)
-    marks = text.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / n) for i in range(1, n))), 100 * n).alias("q")).first()["q"] if n > 1 else []
-    bounds = np.unique(np.array(marks or [], np.int64))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    chance = (F.pmod(F.xxhash64("doc_id", "salt", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)) < size * (SAMPLE * n / max(1, total))
+    drawn = text.where(chance).select(F.coalesce("doc_id", F.lit(_NULL)).alias("d"), "salt").sort("d", "salt").toArrow() if n > 1 and total else None
+    bounds = np.column_stack([drawn["d"].to_numpy(), drawn["salt"].to_numpy()]) if drawn else np.zeros((0, 2), np.int64)
+    bounds = bounds[np.unique(np.arange(1, n) * len(bounds) // n)] if len(bounds) else bounds
+    shared = spark.sparkContext.broadcast(bounds)
     bits = bits_for(vocabulary)
     small = "<u2" if bits <= 16 else "<u4"
 
@@ -121,18 +157,19 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
         encode = encoder(tokenizer_path, drop_space).encode
         for batch in batches:
             texts = blobs(batch.column(1))
+            part = part_of(batch.column(0).fill_null(_NULL).to_numpy(), batch.column(2).to_numpy(), shared.value).astype(np.int32)
             for a, b in slices(texts):
                 ids, counts = encode(texts[a:b])
+                if len(ids) and int(ids.max()) >> bits:
+                    raise ValueError(f"id {int(ids.max())} is beyond a vocabulary of {vocabulary}")
                 ends = np.cumsum(counts)
                 raw = ids.astype(small)
                 ids_of = [raw[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                names = batch.column(0).slice(a, b - a)
-                part = np.where(names.is_null().to_numpy(False), 0, np.searchsorted(bounds, names.fill_null(0).to_numpy(), "right"))
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), names, pa.array(ids_of, pa.binary())], names=["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(ids_of, pa.binary())], names=["part", "doc_id", "salt", "ids"])
 
     def write(key, table):
         names, packed = table["doc_id"].to_pylist(), table["ids"].to_pylist()
-        order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or 0, packed[i]))
+        order = np.lexsort((table["salt"].to_numpy(), table["doc_id"].combine_chunks().fill_null(_NULL).to_numpy())).tolist()
         end = np.array([end_id], small).tobytes()
         ids = np.frombuffer(b"".join(x for i in order for x in (packed[i], end)), small).astype(np.uint32)
         counts = np.array([len(packed[i]) // int(small[2]) + 1 for i in order], np.int64)
@@ -144,7 +181,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
         fs.move(draft, path)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "docs": pa.array([len(names)], pa.int64()), "ids": pa.array([len(ids)], pa.int64())})
 
-    rows = text.mapInArrow(tokens, "part int, doc_id long, ids binary").groupBy("part").applyInArrow(write, "part int, docs long, ids long").collect()
+    rows = text.mapInArrow(tokens, "part int, doc_id long, salt long, ids binary").groupBy("part").applyInArrow(write, "part int, docs long, ids long").collect()
     return [(f"{out_dir}/part-{r['part']:08d}.kwt", r["docs"], r["ids"]) for r in sorted(rows)]
 
 

@@ -356,6 +356,25 @@ def test_token_files(spark, rows, tmp_path):
     assert token_files.read_token_files(spark, token_files.write_token_files(spark.createDataFrame([], EMPTY), str(tmp_path / "e"), tokenizer_file("byte_bpe_50k.json"), 2, 50_257)).count() == 0
 
 
+def test_token_files_of_repeated_ids(spark, tmp_path):
+    """Equal doc_ids and missing ones spread over files, keep their order, and nothing is lost."""
+    rnd = random.Random(3)
+    rows = [(rnd.choice([5, 5, 5, None, 7, 1]), " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(0, 30)))) for _ in range(300)] + [(5, "the same text again")] * 300
+    files = token_files.write_token_files(frame(spark, rows), str(tmp_path / "r"), tokenizer_file("byte_bpe_50k.json"), 2, file_bytes=1_000)
+    got = sorted(token_files.read_token_files(spark, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id is not None and r.doc_id for r in got] == sorted((i is not None and i for i, _ in rows), key=lambda i: (i is not False, i))
+    want = collections.Counter((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, library_ids(rows, "byte_bpe_50k.json", 2), strict=True))
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert max(docs for _, docs, _ in files) < 200
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+
+
+def test_token_files_check_the_vocabulary(spark, tmp_path):
+    assert token_files.vocabulary_of(tokenizer_file("byte_bpe_50k.json")) == 50_257
+    with pytest.raises(Exception, match="beyond a vocabulary"):
+        token_files.write_token_files(frame(spark, [(1, "some words")]), str(tmp_path / "v"), tokenizer_file("byte_bpe_50k.json"), 2, 16)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 32])
 def test_bit_packing_and_random_access(bits):
     rnd = np.random.default_rng(bits)
