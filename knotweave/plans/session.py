@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_top(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir; only where it is unset, one below /tmp)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Only a local session may do without the setting; on a cluster a machine's own
+    folder would lose what its executors need.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not top:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "/tmp/checkpoints"
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(top)
     return top.rstrip("/")
