@@ -10,9 +10,11 @@ the landmarks' presence rows and one with the weights.
 
 Cases: a text that is null or holds no letter is ``und`` with score 0.0; so is
 everything if no row is labelled (the pipeline's stage then goes by the letter alone);
-every label is learned, however many there are, from fewer rows each; ties between languages go to the first in
-alphabetical order; repeated rows give repeated results; null doc_ids train
-nothing and are not held out.
+every label is learned, however many there are, from fewer rows each; ties between
+languages go to the first in alphabetical order; repeated rows give repeated results,
+and as labelled rows they teach within the sample's bound; null doc_ids train nothing
+and are not held out; a very long text is scored as one row; other columns are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -136,17 +138,10 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[
             packed = [np.packbits(row).tobytes() for i in range(0, len(texts), 256) for row in presence(texts[i : i + 256])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(packed, pa.binary())], names=["doc_id", "lang", "draw", "bits"])
 
-    drawn = chosen.mapInArrow(run, "doc_id long, lang string, draw long, bits binary")
-    if len(sizes) > FULL_LANGUAGES:  # the margins of many languages stay on the executors
-        first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "bits"))
-        drawn = drawn.withColumn("k", first).where(F.col("k") <= rows).drop("k")
-    got = drawn.collect()
-    got.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["bits"]))
-    kept, seen = [], {}
-    for r in got:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= rows:
-            kept.append(r)
+    # the margins, and rows that repeat a doc_id, stay on the executors
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "bits"))
+    kept = chosen.mapInArrow(run, "doc_id long, lang string, draw long, bits binary").withColumn("k", first).where(F.col("k") <= rows).drop("k").collect()
+    kept.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["bits"]))
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in kept), np.uint8).reshape(len(kept), CELLS // 8)
     return [r["lang"] for r in kept], bits
 
@@ -196,19 +191,29 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     return doc_text(docs).withColumn("held_out", _held_out(folds, held_out)).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language (those that are ``und`` go).
+#: A text is rejected below this score: no language's machine (one versus the rest) clearly claims it.
+#: A machine says 0 (score 0.5) to a text that shares nothing with what it learned.
+CLAIMED = 0.52
 
-    Where no row is labelled there is no model, and every text with a letter stays.
+
+def keep_identified(docs: DataFrame, min_score: float = CLAIMED, languages: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text some language claims (those that are ``und`` go too).
+
+    ``languages``: keep these only. Where no row is labelled there is no model, and
+    every text with a letter stays.
     """
     model = train(docs)
+    wanted = None if languages is None else frozenset(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
         opened = model.open() if model else None
         for b in batches:
             texts = blobs(b.column(b.schema.get_field_index("text")))
-            keep = [x != "und" for x in predict(model, opened, texts)[0]] if model else [has_letter(t) for t in texts]
+            if model:
+                keep = [x != "und" and v >= min_score and (wanted is None or x in wanted) for x, v in zip(*predict(model, opened, texts), strict=True)]
+            else:
+                keep = [has_letter(t) for t in texts]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

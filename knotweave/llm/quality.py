@@ -9,12 +9,13 @@ entries: a few vectorised lookups and additions per batch.
 
 Cases: null and empty texts have all-zero features and get the score that these
 have; without any labelled row every score is 0.5; null doc_ids train nothing and
-are not held out; a document with several label rows teaches once per row.
+are not held out; a document with several label rows teaches once per row, and so does
+each of a doc_id's repeated rows, within the sample's bound; a very long text is one
+slice of its batch; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import blobs
+from knotweave.llm.text import blobs, join_words, mix64, slices, word_hashes
 
 #: Bound of the training sample (labelled rows, chosen by a hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -42,22 +43,55 @@ _MARK = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in _ST
 _HIGH = bytes(range(128, 256))
 
 
-def features(text: bytes | None) -> list[float]:
-    t = text or b""
-    words = t.split()
-    n, m = len(t), len(words)
-    if not m:
-        return [0.0] * len(FEATURES)
-    share = lambda some: (n - len(t.translate(None, some))) / n
-    lines = [x for x in t.split(b"\n") if x]
-    counts = Counter(words)
-    pairs = len(set(zip(words, words[1:], strict=False)))
-    ends = Counter(w[-1] for w in words)
-    return [
-        np.log1p(n), np.log1p(m), (n - m) / m, float(max(map(len, words))), share(_UPPER), share(_DIGIT), share(_MARK), share(b"!"), share(b"|"), share(_STOP), share(_HIGH),
-        len(counts) / m, max(counts.values()) / m, sum(a == b for a, b in zip(words, words[1:], strict=False)) / m, (pairs + 1) / m, sum(c for e, c in ends.items() if e in _MARK or e in b"!|") / m,
-        np.log1p(len(lines)), n / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum(65 <= w[0] <= 90 for w in words) / m,
-    ]
+def _shares(texts: list[bytes], size: np.ndarray) -> np.ndarray:
+    kinds = (_UPPER, _DIGIT, _MARK, b"!", b"|", _STOP, _HIGH)
+    left = np.array([[len(t.translate(None, kind)) for kind in kinds] for t in texts], np.float64).reshape(len(texts), len(kinds))
+    return (size[:, None] - left) / np.maximum(size, 1)[:, None]
+
+
+_ENDS_MARKED = np.isin(np.arange(256), list(_MARK + b"!|"))
+
+
+def features(texts: list[bytes | None]) -> np.ndarray:
+    """One row of FEATURES for each text; counts of words and pairs of words are array sums over all texts at once."""
+    texts = [t or b"" for t in texts]
+    buf, at = join_words(texts)
+    word, begin, end = word_hashes(buf)
+    raw = np.frombuffer(buf, np.uint8)
+    n_docs = len(texts)
+    first = np.append(np.searchsorted(begin, at), len(word))
+    m = np.diff(first)
+    doc = np.repeat(np.arange(n_docs), m)
+    some = np.flatnonzero(m)
+    per_doc = lambda at, weight=None: np.bincount(at, weight, n_docs)
+
+    def distinct(value: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many different values each text has, and how often its commonest stands."""
+        _, place, count = np.unique(mix64(value ^ mix64(owner.astype(np.uint64))), return_index=True, return_counts=True)
+        most = np.zeros(n_docs)
+        np.maximum.at(most, owner[place], count)
+        return per_doc(owner[place]), most
+
+    inside = np.flatnonzero(doc[1:] == doc[:-1])  # words with a word after them in their text
+    words, commonest = distinct(word, doc)
+    pairs, _ = distinct(word[inside] * np.uint64(0x9E3779B97F4A7C15) + word[inside + 1], doc[inside])
+    again = per_doc(doc[inside[word[inside] == word[inside + 1]]])
+    marked = per_doc(doc[_ENDS_MARKED[raw[end - 1]]]) if len(word) else per_doc(doc)
+    capital = per_doc(doc[(raw[begin] >= 65) & (raw[begin] <= 90)]) if len(word) else per_doc(doc)
+    longest = np.zeros(n_docs)
+    if len(some):
+        longest[some] = np.maximum.reduceat(end - begin, first[:-1][some])
+    lines = [[x for x in t.split(b"\n") if x] for t in texts]
+    n_lines, n_unlike = (np.array([f(x) for x in lines], np.float64) for f in (len, lambda x: len(set(x))))
+    n = np.fromiter(map(len, texts), np.float64, n_docs)
+    share = _shares(texts, n)
+    k, l1 = np.maximum(m, 1), np.maximum(n_lines, 1)
+    out = np.column_stack([
+        np.log1p(n), np.log1p(m), (n - m) / k, longest, share, words / k, commonest / k, again / k, (pairs + 1) / k, marked / k,
+        np.log1p(n_lines), n / l1, n_unlike / l1, capital / k,
+    ])
+    out[m == 0] = 0
+    return out
 
 
 @dataclass
@@ -164,7 +198,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def _matrix(texts: list[bytes | None]) -> np.ndarray:
-    return np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+    parts = [features(texts[i:j]) for i, j in slices(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double"
@@ -175,18 +210,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.crc32(F.col("doc_id").cast("string")) % folds == held_out
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~fold)
-    n = known.count()
-    if n > sample_rows:
-        unit = 1 << 30
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < int(sample_rows * unit / n))
+    # rows in the order of a hash of doc_id: a sample by chance, the same every time, bounded whatever repeats
+    draw = F.xxhash64("doc_id")
+    sampled = known.orderBy(draw, "doc_id", "quality").limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [np.array(features(t), "<f8").tobytes() for t in blobs(b.column(1))]
+            got = [x.astype("<f8").tobytes() for x in _matrix(blobs(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.binary())], names=["doc_id", "quality", "x"])
 
-    # the sample's side is bounded by sample_rows, so it is small enough to broadcast
-    rows = text.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(measure, "doc_id long, quality double, x binary").collect()
+    # the sample's side has at most sample_rows rows of two numbers, so it is small enough to broadcast
+    met = text.join(F.broadcast(sampled), "doc_id").select("doc_id", "text", "quality").mapInArrow(measure, "doc_id long, quality double, x binary")
+    rows = met.orderBy(draw, "doc_id", "x", "quality").limit(sample_rows).collect()
     model = AdditiveModel(0.0)
     if rows:
         rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"]), r["quality"]))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotweave.plans.session import cut, shared_top
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 #: Bytes outside [0-9A-Za-z] and non-ASCII become spaces, A-Z lower case: the words of notices and benchmark items.
@@ -132,27 +134,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def shared_top(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset, as in local tests, one below /tmp is taken.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(top)
-    return top.rstrip("/")
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder of one use in the shared folder."""
     return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back from there, so that lost executors don't cost its lineage."""
-    shared_top(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A DataFrame written to the shared folder and read back from there, so that lost executors don't cost its lineage.
+checkpointed = cut
 
 
 def documents(spark, sf_dir: str) -> DataFrame:

@@ -257,6 +257,37 @@ def test_keep_identified_without_labels(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 4}
 
 
+def test_keep_identified_rejects_what_no_language_claims(spark):
+    rnd = random.Random(15)
+    stems = {"aa": ["thon", "ere", "ing", "and"], "bb": ["schei", "unge", "lich", "und"], "cc": ["eaux", "que", "les"], "dd": ["mente", "ción", "los"]}
+    rows = [(i, " ".join(rnd.choices(stems[x], k=20)), x) for i, x in enumerate(list(stems) * 40)]
+    odd = [(900 + k, " ".join("".join(rnd.choices("qwxzvkpjyö", k=rnd.randint(3, 9))) for _ in range(30)), None) for k in range(10)]
+    df = spark.createDataFrame(rows + odd + [rows[0]] * 3 + [(None, rows[0][1], None)], "doc_id long, text string, lang string").withColumn("k", F.lit("clash"))
+    kept = language_id.keep_identified(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(x for x in ids if x is not None and x < 900) == sorted([i for i, _, _ in rows] + [0] * 3) and ids.count(None) == 1
+    assert sum(x is not None and x >= 900 for x in ids) <= 2  # ten texts of no language
+    assert {r.doc_id for r in language_id.keep_identified(df, languages=["bb"]).collect()} == {i for i, _, x in rows if x == "bb"}
+
+
+def test_kernel_ridge_equals_its_dual():
+    """With every row a landmark the Nystroem map loses nothing: the model is kernel ridge regression on all rows."""
+    rnd = random.Random(25)
+    stems = {"aa": ["thon", "ere", "ing"], "bb": ["schei", "unge", "lich"], "cc": ["eaux", "que", "les"]}
+    labels = [x for x in stems for _ in range(12)]
+    texts = [" ".join(rnd.choices(stems[x], k=rnd.randint(1, 9))).encode() + str(i).encode() for i, x in enumerate(labels)]
+    more = [b"thon que", b"lich", b"les les", b"zzz"]
+    model = language_id.fit(labels, np.packbits(language_id.presence(texts), axis=1), landmarks=12)
+    got = language_id.kernel(language_id.presence(more), *model.open()) @ model.weights
+    grams = [{t.lower()[i : i + n] for n in language_id.NGRAMS for i in range(len(t) - n + 1)} for t in texts + more]
+    k = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    n = len(texts)
+    y = np.where(np.array(labels)[:, None] == np.array(sorted(stems)), 1.0, -1.0)
+    want = k[n:, :n] @ np.linalg.solve(k[:n, :n] + language_id.RIDGE * np.eye(n), y)
+    assert np.abs(got - want).max() < 1e-3
+
+
 def test_presence_kernel_is_the_blended_spectrum():
     texts = [b"abcab", b"bcd", b"", b"ABCAB"]
     bits = language_id.presence(texts)
@@ -472,6 +503,47 @@ def test_quality(spark):
     assert quality.score_quality(spark.createDataFrame([], EMPTY), labels).count() == 0
 
 
+def brute_features(t):
+    words, lines = ws(t), [x for x in (t or "").split("\n") if x]
+    raw = (t or "").encode()
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, m = len(raw), len(words)
+    share = lambda some: sum(b in some for b in raw) / n
+    count, pairs = collections.Counter(words), list(zip(words, words[1:], strict=False))
+    return [
+        math.log1p(n), math.log1p(m), (n - m) / m, max(len(w.encode()) for w in words), *(share(x) for x in (quality._UPPER, quality._DIGIT, quality._MARK, b"!", b"|", b".,", quality._HIGH)),
+        len(count) / m, max(count.values()) / m, sum(a == b for a, b in pairs) / m, (len(set(pairs)) + 1) / m, sum(w.encode()[-1] in quality._MARK + b"!|" for w in words) / m,
+        math.log1p(len(lines)), n / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), sum("A" <= w[0] <= "Z" for w in words) / m,
+    ]
+
+
+def test_features_equal_a_count_by_words():
+    texts = [t for _, t in sample(13, 40)] + [" \n", "A", "a\nA\n\nb| c! ***", "Ünï " * 5, "\n\nx"]
+    got = quality.features([None if t is None else t.encode() for t in texts])
+    assert np.allclose(got, [brute_features(t) for t in texts])
+    assert quality.features([]).shape == (0, len(quality.FEATURES))
+
+
+def test_scores_are_sums_of_table_entries():
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.random((500, 4)), 2)
+    model = quality.fit(x, ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6)).astype(float))
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        small = lambda i: bins[i] * quality.PAIR_BINS // (len(model.edges[i]) + 1)  # noqa: E731, B023
+        total += sum(t[small(i), small(j)] for i, j, t in model.pairs)
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_quality_sample_is_bounded_whatever_repeats(spark):
+    docs = frame(spark, [(1, "a b c")] * 50 + [(2, "x! y| z!")] * 50)
+    labels = spark.createDataFrame([(1, 1)] * 30 + [(2, 0)] * 30 + [(3, None)], "doc_id long, quality int")
+    got = quality.score_quality(docs, labels, sample_rows=20).collect()
+    assert len(got) == 100 and len({r.score for r in got}) <= 2
+
+
 def test_pairs_catch_what_single_features_cannot():
     rnd = np.random.default_rng(1)
     x = rnd.random((4000, 3))

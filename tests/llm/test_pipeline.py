@@ -56,3 +56,28 @@ def test_run(spark, corpus):
     got = corpus_pipeline.run(spark, d).collect()
     assert {r.doc_id for r in got} == {*range(40), 63}
     assert all(r.length > 0 for r in got)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_tables(spark, corpus, name):
+    """No row, repeated rows, nulls in every column, a very long text, and extra columns with clashing names."""
+    d, _ = corpus
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, block int, id string, sequence_id string"
+    empty = stage(spark, spark.createDataFrame([], schema), d)
+    assert empty.count() == 0
+    rnd = random.Random(31)
+    make = lambda k: " ".join(f"v{rnd.randint(0, 4000)}" for _ in range(k))
+    rows = [(i, make(60), "en", "s", 9, "x", 1, "y", "z") for i in range(30)]
+    rows += [rows[0]] * 3 + [(100, make(60_000), None, None, None, None, None, None, None), (101, "", "en", None, 0, None, 1, None, None), (None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    out = stage(spark, docs, d)
+    got = out.collect()
+    if name == "packing":
+        assert sum(r.start == 0 for r in got) == len(rows) and {r.doc_id for r in got} == {r[0] for r in rows}
+        return
+    assert out.columns == docs.columns
+    left = {"language": len(rows) - 2, "near_dup": len(rows) - 3}.get(name, len(rows))
+    assert len(got) == left and {r.doc_id for r in got} >= {*range(30), 100}
+    if name != "pii":
+        assert set(map(tuple, got)) <= set(rows)
