@@ -27,7 +27,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or without a letter) go."""
+    """Documents that no learned language claims go (null, without a letter, or with a low score)."""
     return keep_identified(docs)
 
 
@@ -63,12 +63,12 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; those with null or empty text, and all if there is no item, stay."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts become pseudonyms; n_chars follows the text."""
+    """Personal data in the texts become pseudonyms; n_chars follows the text. No row goes; null texts stay null."""
     count = "n_pii"
     while count in docs.columns:
         count += "_"
@@ -80,7 +80,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens; null and empty texts are their end id, repeated rows are packed each."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
