@@ -17,7 +17,7 @@ from knotweave.llm.language_id import keep_identified
 from knotweave.llm.near_dup import near_duplicates
 from knotweave.llm.packing import pack_documents
 from knotweave.llm.pii import pseudonymise
-from knotweave.llm.queries import DEMO_KEY, tokenizer_file
+from knotweave.llm.queries import pii_key, tokenizer_file
 from knotweave.llm.text import checkpointed, shared_dir
 
 #: Similarity in percent from which documents are near copies.
@@ -72,7 +72,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     count = "n_pii"
     while count in docs.columns:
         count += "_"
-    out = pseudonymise(docs, DEMO_KEY, count=count)
+    out = pseudonymise(docs, pii_key(spark), count=count)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

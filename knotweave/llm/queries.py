@@ -69,12 +69,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: A deployment passes its own secret; the queries need one that is the same everywhere.
-DEMO_KEY = "knotweave-demo-key"
+def pii_key(spark: SparkSession) -> str:
+    """The secret that a deployment sets in its session; the queries fall back on one that is the same everywhere."""
+    return spark.conf.get("spark.knotweave.pii.key", "knotweave-demo-key")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
