@@ -1,4 +1,8 @@
-"""KDL files: key bindings, spawned programs and window rules."""
+"""KDL files: key bindings, spawned programs and window rules.
+
+Two dialects are read: statements of one line with quoted arguments (``bind "Mod+T"
+spawn "term"``, ``rule "float"``), and blocks (``Mod+T { spawn "term"; }``, ``window-rule``).
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,10 @@ _INNER = re.compile(r"\bspawn(?:-at-startup)?\s+\"(?P<command>[^\"]+)\"")
 _RULE = re.compile(r"^[ \t]*(?P<rule>window-rule|layer-rule)\b", re.MULTILINE)
 
 
+_BIND_LINE = re.compile(r"^[ \t]*bind[ \t]+\"(?P<key>[^\"]+)\"[ \t]+spawn[ \t]+\"(?P<command>[^\"]+)\"", re.MULTILINE)
+_RULE_LINE = re.compile(r"^[ \t]*rule[ \t]+\"(?P<rule>[^\"]+)\"", re.MULTILINE)
+
+
 @register("kdl")
 def parse(path: str, text: str) -> tuple[list[Node], list[Edge]]:
     root = f"kdl:{path}"
@@ -32,11 +40,24 @@ def parse(path: str, text: str) -> tuple[list[Node], list[Edge]]:
         edges.append((root, bind, "binds_key", {}))
         for s in _INNER.finditer(m["body"]):
             spawn(bind, s["command"], m.start())
+    for m in _BIND_LINE.finditer(text):
+        bind = f"kdl_bind:{path}:{m['key']}"
+        nodes.append((bind, "kdl_bind", m["key"], "kdl", {"line": line(m.start()), "command": m["command"]}))
+        edges.append((root, bind, "binds_key", {}))
+        spawn(bind, m["command"], m.start())
+    ruled: dict[str, int] = {}
+    for m in _RULE_LINE.finditer(text):
+        if ruled.setdefault(m["rule"], m.start()) == m.start():  # a rule's first line counts
+            rule = f"kdl_rule:{path}:{m['rule']}"
+            nodes.append((rule, "kdl_rule", m["rule"], "kdl", {"line": line(m.start())}))
+            edges.append((root, rule, "binds_key", {}))
+    spawned = {e[1] for e in edges if e[2] == "spawns"}
     for n, m in enumerate(_RULE.finditer(text)):
         rule = f"kdl_rule:{path}:{m['rule']}-{n}"
         nodes.append((rule, "kdl_rule", m["rule"], "kdl", {"line": line(m.start())}))
         edges.append((root, rule, "binds_key", {}))
     for m in _SPAWN.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside):
+        # a program that some key spawns has its edge already
+        if not any(a <= m.start() < b for a, b in inside) and f"kdl_spawn:{path}:{m['command']}" not in spawned:
             spawn(root, m["command"], m.start())
     return nodes, edges

@@ -8,6 +8,7 @@ with their ``${ }`` parts as expressions. What can't be decided from the text al
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -53,9 +54,10 @@ class Reader:
 
     def __init__(self, text: str):
         self.text = text
+        self.ends = [m.start() for m in re.finditer("\n", text)]
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect_left(self.ends, at) + 1
 
     def read(self, at: int = 0, nested: bool = False) -> tuple[list[Token], int]:
         out: list[Token] = []
@@ -82,7 +84,7 @@ class Reader:
                         return out, m.end()
                     depth -= 1
                 if kind == "name" and (value in _KEYWORDS or value == "or"):
-                    kind, value = "op", "||" if value == "or" else value
+                    kind, value = "op", value
                 out.append(Token(kind, value, line))
                 at = m.end()
             else:  # lenient: what isn't known is left out
@@ -243,7 +245,7 @@ class Parser:
         if self.is_op("."):
             self.at += 1
             e = ("select", e, self.attr_path())
-            if self.is_op("||") and not self.is_op("||", ahead=1):  # the word "or": a default value
+            if self.is_op("or"):  # a default value
                 mark = self.at
                 self.at += 1
                 if self.starts_value():

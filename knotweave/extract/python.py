@@ -21,6 +21,20 @@ def _dotted(node: ast.expr) -> str | None:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
+def _decorator(node: ast.expr) -> str | None:
+    """The last name of a decorator, called or not: ``tool`` for ``@server.tool()``."""
+    if isinstance(node, ast.Call):
+        node = node.func
+    return node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else None
+
+
+def registered_tools(text: str) -> list[str]:
+    """Names of the functions that a ``@x.tool()`` decorator registers, in the order of the source."""
+    found = [n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    is_tool = lambda d: isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr == "tool"
+    return [n.name for n in sorted(found, key=lambda n: n.lineno) if any(map(is_tool, n.decorator_list))]
+
+
 @register("python")
 def parse(path: str, text: str) -> tuple[list[Node], list[Edge]]:
     module = f"python:{path}"
@@ -35,7 +49,7 @@ def parse(path: str, text: str) -> tuple[list[Node], list[Edge]]:
         doc = (ast.get_docstring(n) or "").split("\n")[0] if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) else ""
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
             id_ = f"py_func:{path}:{n.name}"
-            meta = {"line": n.lineno, "args": _arguments(n.args), "decorators": [x for x in map(_dotted, n.decorator_list) if x], "doc": doc}
+            meta = {"line": n.lineno, "args": _arguments(n.args), "decorators": [x for x in map(_decorator, n.decorator_list) if x], "doc": doc}
             nodes.append((id_, "py_function", n.name, "python", meta))
         elif isinstance(n, ast.ClassDef):
             id_ = f"py_class:{path}:{n.name}"

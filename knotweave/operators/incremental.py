@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import adjacency, live, walk
+from knotweave.operators.traverse import walk
 from knotweave.plans.session import cut
 
 
+#: Stems of one change that are broadcast to the stored values.
+MAX_STEMS = 10_000
+
+
 def content_hash(text: Column) -> Column:
     """Hex SHA-256 of the bytes (our own choice: it stays in the JVM)."""
     return F.sha2(text, 256)
@@ -71,14 +75,13 @@ def decide(files: DataFrame, states: DataFrame) -> DataFrame:
 
 def cascade(nodes: DataFrame, edges: DataFrame, changed: list[str], max_depth: int | None = None) -> DataFrame:
     """id, depth of all modules that import a changed one, over any number of steps (or ``max_depth``), nearest first; the changed ones aren't part of it."""
-    imports = live(nodes, edges.where(F.col("type") == "imports"))
     starts = nodes.where(F.col("id").isin(changed)).select("id")
-    return walk(starts, adjacency(imports, reverse=True), max_depth).where(F.col("depth") > 0).select("id", "depth")
+    return walk(nodes, edges.where(F.col("type") == "imports"), starts, max_depth, reverse=True).where(F.col("depth") > 0)
 
 
 def invalidate(option_values: DataFrame, stems: DataFrame) -> DataFrame:
     """``option_values`` with the rows whose expression holds a stem (stem) set to stale. The stems of one change are few."""
-    hit = option_values.join(F.broadcast(stems), F.expr("instr(expr, stem) > 0"), "left_semi").select("key").withColumn("hit", F.lit(True))
+    hit = option_values.join(F.broadcast(stems.limit(MAX_STEMS + 1)) if stems.limit(MAX_STEMS + 1).count() <= MAX_STEMS else stems, F.expr("instr(expr, stem) > 0"), "left_semi").select("key").withColumn("hit", F.lit(True))
     status = F.when(F.col("hit"), "stale").otherwise(F.col("status"))
     return option_values.join(hit, "key", "left").withColumn("status", status).select(option_values.columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import adjacency, blast_radius, closure, live, walk
+from knotweave.operators.traverse import blast_radius, closure, walk
 from knotweave.schema import EVIDENCE_LIMIT, KEY_SYMBOLS, OBSERVE_LIMIT
 
 
@@ -26,9 +26,8 @@ def observe(nodes: DataFrame, edges: DataFrame, node: str, limit: int = OBSERVE_
 
 def observe_deep(nodes: DataFrame, edges: DataFrame, node: str, depth: int, width: int = 20, limit: int = OBSERVE_LIMIT) -> DataFrame:
     """Everything within ``depth`` either way, the first ``limit`` by node id, each with its lowest incident edge."""
-    usable = live(nodes, edges)
     at = nodes.where(F.col("id") == node).select("id")
-    reached = walk(at, adjacency(usable, width=width), depth).union(walk(at, adjacency(usable, reverse=True), depth)).where(F.col("id") != node)
+    reached = walk(nodes, edges, at, depth, width=width).union(walk(nodes, edges, at, depth, reverse=True)).where(F.col("id") != node)
     first = reached.groupBy("id").agg(F.min("depth").alias("depth")).orderBy("id").limit(limit)
     touching = edges.select(F.col("source").alias("node"), "id").union(edges.select(F.col("target").alias("node"), "id"))
     lowest = touching.join(first.select(F.col("id").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("id").alias("edge_id"))

@@ -14,7 +14,7 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeeggghiiiijklllnnnooorrrssssttuuu
 
 def normalised(column: Column) -> Column:
     """`` t1 t2 `` of a column: letters and digits only, folded, between single spaces."""
-    folded = F.translate(F.lower(F.coalesce(column, F.lit(""))), ACCENTED, PLAIN)
+    folded = F.regexp_replace(F.translate(F.lower(F.coalesce(column, F.lit(""))), ACCENTED, PLAIN), r"\p{M}+", "")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
@@ -23,8 +23,11 @@ def query_phrases(query: str) -> list[str]:
     import re
     import unicodedata
 
+    table = str.maketrans(ACCENTED, PLAIN)
+
     def fold(x: str) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFD", x.lower()) if not unicodedata.combining(c))
+        """As :func:`normalised` does it: listed letters are translated, combining marks dropped."""
+        plain = "".join(c for c in x.lower().translate(table) if not unicodedata.category(c).startswith("M"))
         return " ".join(re.findall(r"[^\W_]+", plain))
 
     return [fold(x) for x in query.split()]

@@ -1,10 +1,14 @@
 """Graph traversal as frontier loops over DataFrames.
 
-Each level is one equi-join of the frontier with the adjacency and one anti-join
-with what was visited, then written to the shared folder, so plans don't grow with
-depth. A node's place in the order of discovery is carried as the array of edge ids
-that led to it: within a level, arrays compare like (parent's place, edge), so the
-first discovery wins without any global ranking.
+A level reads only the edges at the frontier: the frontier is counted, and while it is
+small it is broadcast to the scan of the edges, so neither edges nor nodes are
+shuffled or grouped as a whole; beyond that size plain joins do the same. Found ids
+alone are tested for being nodes. Each level is written to the shared folder, so plans
+don't grow with depth.
+
+Where the order of discovery matters, a node's place in it is carried as the array of
+edge ids that led to it: within a level, arrays compare like (parent's place, edge), so
+the first discovery wins without any global ranking. Plain reach carries ids only.
 """
 
 from __future__ import annotations
@@ -17,6 +21,9 @@ from pyspark.sql import functions as F
 from knotweave.plans.session import cut
 from knotweave.schema import DEPENDENCY_TYPES
 
+#: Rows of a counted frame up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def live(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes: traversals never cross dangling edges."""
@@ -33,26 +40,60 @@ def adjacency(edges: DataFrame, reverse: bool = False, width: int | None = None)
     return out
 
 
-def walk(starts: DataFrame, adj: DataFrame, max_depth: int | None) -> DataFrame:
-    """id, depth, chain (edge ids from the start), trail (node ids) of everything within ``max_depth`` (None: of all that is reached).
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _nodes_among(nodes: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """The rows of ``ids`` (id, ...; ``rows`` of them, already computed) whose id is a node's."""
+    known = nodes.select("id").join(_side(ids.select("id"), rows), "id", "left_semi").distinct()
+    return ids.join(_side(known, rows), "id") if len(ids.columns) > 1 else known
+
+
+def _known(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``ids``, written to the shared folder, whose id is a node's."""
+    ids = cut(ids)
+    return cut(_nodes_among(nodes, ids, ids.count()))
+
 
-    ``starts`` (id) have depth 0 and are part of the result. Several starts give the
-    distance to the nearest.
+def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int | None, reverse: bool = False, width: int | None = None, chains: bool = False) -> DataFrame:
+    """id, depth of everything within ``max_depth`` of ``starts`` (None: of all that is reached); with ``chains`` also
+    chain (edge ids from the start) and trail (node ids) of the first discovery.
+
+    ``starts`` (id) have depth 0 and are part of the result if they are nodes. Several
+    starts give the distance to the nearest. ``width``: only the first so many
+    neighbours of each node, by edge id. Edges without a node at an end aren't crossed.
     """
-    adj = adj.select("src", "dst", "via")
-    if max_depth is None or max_depth > 1:  # read once from its source, not once a level
-        adj = cut(adj)
-    frontier = cut(starts.select("id", F.lit(0).cast("bigint").alias("depth"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).distinct())
-    visited = frontier
+    src, dst = ("target", "source") if reverse else ("source", "target")
+    carried = ["chain", "trail"] if chains else []
+    first = starts.select("id").distinct()
+    if chains:
+        first = first.select("id", F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail"))
+    found = cut(first)
+    seen = size = found.count()
+    levels = found.withColumn("depth", F.lit(0).cast("bigint"))
     for level in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = frontier.select(F.col("id").alias("src"), "chain", "trail").join(adj, "src")
-        found = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.concat("chain", F.array("via")).alias("chain"), F.concat("trail", F.array("dst")).alias("trail"))).alias("m"))
-        fresh = found.join(visited.select("id"), "id", "left_anti").select("id", F.lit(level).cast("bigint").alias("depth"), "m.chain", "m.trail")
-        frontier = cut(fresh)
-        if frontier.isEmpty():
+        at = _side(_nodes_among(nodes, found, size).withColumnRenamed("id", "src"), size)
+        step = edges.select(F.col(src).alias("src"), F.col(dst).alias("id"), F.col("id").alias("via")).join(at, "src")
+        if width is not None:
+            near = step.groupBy("src", "id").agg(F.min("via").alias("via"))
+            near = _known(near, nodes).withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("via"))).where(F.col("rn") <= width).drop("rn")
+            step = near.join(at, "src")
+        if chains:
+            grown = F.struct(F.concat("chain", F.array("via")).alias("chain"), F.concat("trail", F.array("id")).alias("trail"))
+            fresh = step.groupBy("id").agg(F.min(grown).alias("m")).select("id", "m.chain", "m.trail")
+        else:
+            fresh = step.select("id").distinct()
+        # what was found before, node or not, isn't looked at again
+        found = cut(fresh.join(_side(levels.select("id"), seen), "id", "left_anti"))
+        size = found.count()
+        if not size:
             break
-        visited = visited.unionByName(frontier)
-    return visited
+        seen += size
+        levels = levels.unionByName(found.withColumn("depth", F.lit(level).cast("bigint")))
+        if level % 8 == 0:  # a plan of bounded length, however deep the walk
+            levels = cut(levels.coalesce(max(1, seen // BROADCAST_ROWS)))
+    return cut(_nodes_among(nodes, levels, seen)).select("id", "depth", *carried)
 
 
 def _start(edges: DataFrame, ids: str | list[str]) -> DataFrame:
@@ -61,39 +102,52 @@ def _start(edges: DataFrame, ids: str | list[str]) -> DataFrame:
 
 def bfs(nodes: DataFrame, edges: DataFrame, start: str, depth: int, width: int | None = None) -> DataFrame:
     """Forward reach without the start: id, depth. A start that isn't a node reaches nothing."""
-    at = nodes.where(F.col("id") == start).select("id")
-    return walk(at, adjacency(live(nodes, edges), width=width), depth).where(F.col("depth") > 0).select("id", "depth")
+    return walk(nodes, edges, _start(edges, start), depth, width=width).where(F.col("depth") > 0)
 
 
 def reverse_bfs(nodes: DataFrame, edges: DataFrame, start: str, depth: int) -> DataFrame:
-    at = nodes.where(F.col("id") == start).select("id")
-    return walk(at, adjacency(live(nodes, edges), reverse=True), depth).where(F.col("depth") > 0).select("id", "depth")
+    return walk(nodes, edges, _start(edges, start), depth, reverse=True).where(F.col("depth") > 0)
 
 
-def closure(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, reverse: bool = False) -> DataFrame:
-    """id, type, depth, chain, trail over dependency edges only, without the start."""
+def closure(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, reverse: bool = False, chains: bool = True) -> DataFrame:
+    """id, type, depth (with ``chains`` also chain, trail) over dependency edges only, without the start."""
     kinds = edges.where(F.col("type").isin(DEPENDENCY_TYPES))
-    at = nodes.where(F.col("id") == start).select("id")
-    reached = walk(at, adjacency(live(nodes, kinds), reverse=reverse), max_depth).where(F.col("depth") > 0)
-    return reached.join(nodes.select("id", "type"), "id").select("id", "type", "depth", "chain", "trail")
+    reached = walk(nodes, kinds, _start(edges, start), max_depth, reverse, chains=chains).where(F.col("depth") > 0)
+    extra = ["chain", "trail"] if chains else []
+    return nodes.select("id", "type").join(_side(reached, reached.count()), "id").select("id", "type", "depth", *extra)
+
+
+def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends among ``ids`` (id), which is written to the shared folder."""
+    ids = cut(ids)
+    rows = ids.count()
+    kept = edges.join(_side(ids.withColumnRenamed("id", "source"), rows), "source", "left_semi")
+    return kept.join(_side(ids.withColumnRenamed("id", "target"), rows), "target", "left_semi").select(edges.columns)
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes that reach the target, and the induced edges on them and the target."""
     reached = reverse_bfs(nodes, edges, target, max_depth)
-    inside = cut(reached.select("id").union(_start(edges, target)))
-    kept = edges.join(inside.withColumnRenamed("id", "source"), "source", "left_semi").join(inside.withColumnRenamed("id", "target"), "target", "left_semi")
-    return reached, kept.select(edges.columns)
+    return reached, _inside(edges, reached.select("id").union(_start(edges, target)))
 
 
 def hop(nodes: DataFrame, edges: DataFrame, start: str, relation: str | None, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes found (id, depth) and the discovery edges: all matching parallels from the finder to the found."""
+    """Nodes found (id, depth) and the discovery edges (id, source, target, type, depth, dangling).
+
+    Discovery edges are all matching parallels from the finder to the found, and the
+    edges without a node at their target that leave a node short of ``depth``.
+    """
     kinds = edges if relation is None else edges.where(F.col("type") == relation)
-    usable = live(nodes, kinds)
-    at = nodes.where(F.col("id") == start).select("id")
-    found = walk(at, adjacency(usable, width=width), depth).where(F.col("depth") > 0)
+    reached = walk(nodes, kinds, _start(edges, start), depth, width=width, chains=True)
+    found = reached.where(F.col("depth") > 0)
     pairs = found.select(F.element_at("trail", -2).alias("source"), F.col("id").alias("target"), "depth")
-    return found.select("id", "depth"), usable.join(pairs, ["source", "target"]).select("id", "source", "target", "type", "depth")
+    columns = ["id", "source", "target", "type", "depth"]
+    crossed = kinds.join(_side(pairs, pairs.count()), ["source", "target"]).select(*columns, F.lit(False).alias("dangling"))
+    inner = reached.where(F.col("depth") < depth).select(F.col("id").alias("source"), (F.col("depth") + 1).alias("depth"))
+    leaving = cut(kinds.join(_side(inner, inner.count()), "source").select(columns))
+    known = _known(leaving.select(F.col("target").alias("id")).distinct(), nodes)
+    loose = leaving.join(_side(known.withColumnRenamed("id", "target"), known.count()), "target", "left_anti").select(*columns, F.lit(True).alias("dangling"))
+    return found.select("id", "depth"), crossed.union(loose)
 
 
 def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -101,28 +155,27 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str)
 
     Ties: fewer steps, then the path whose edge ids compare least. Each round relaxes
     only what fell in the round before, and drops what already costs more than the
-    best path found.
+    best path found; one job tells whether anything fell and what the target costs.
     """
-    w = Window.partitionBy("src", "dst").orderBy("weight", "via")
-    usable = live(nodes, edges).select(F.col("source").alias("src"), F.col("target").alias("dst"), F.col("id").alias("via"), "weight")
-    adj = cut(usable.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn"))
-    at = nodes.where(F.col("id") == source).select("id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).alias("m"))
-    best = cut(at)
-    frontier = best
-    while True:
-        goal = best.where(F.col("id") == target).select("m.cost").first()
-        grow = frontier.select(F.col("id").alias("src"), "m").join(adj, "src")
-        step = grow.select(
-            F.col("dst").alias("id"),
-            F.struct((F.col("m.cost") + F.col("weight")).alias("cost"), (F.col("m.hops") + 1).alias("hops"), F.concat("m.chain", F.array("via")).alias("chain"), F.concat("m.trail", F.array("dst")).alias("trail")).alias("m"),
-        )
-        if goal:
-            step = step.where(F.col("m.cost") <= goal["cost"])
-        found = step.groupBy("id").agg(F.min("m").alias("m"))
-        old = best.withColumnRenamed("m", "old")
-        frontier = cut(found.join(old, "id", "left").where(F.col("old").isNull() | (F.col("m") < F.col("old"))).select("id", "m"))
-        if frontier.isEmpty():
+    frontier = _known(_start(edges, source).select("id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).alias("m")), nodes)
+    history, rows, goal = frontier, 1, 0.0 if source == target else None
+    for turn in count(1):
+        at = _side(frontier.withColumnRenamed("id", "source"), rows)
+        step = edges.select("source", F.col("target").alias("to"), F.col("id").alias("via"), "weight").join(at, "source").select(
+            F.col("to").alias("id"),
+            F.struct((F.col("m.cost") + F.col("weight")).alias("cost"), (F.col("m.hops") + 1).alias("hops"), F.concat("m.chain", F.array("via")).alias("chain"), F.concat("m.trail", F.array("to")).alias("trail")).alias("m"),
+        )
+        if goal is not None:
+            step = step.where(F.col("m.cost") <= goal)
+        best = history.groupBy("id").agg(F.min("m").alias("old"))
+        fallen = step.groupBy("id").agg(F.min("m").alias("m")).join(best, "id", "left").where(F.col("old").isNull() | (F.col("m") < F.col("old"))).select("id", "m")
+        frontier = _known(fallen, nodes)
+        news = frontier.agg(F.count("*").alias("n"), F.min(F.when(F.col("id") == target, F.col("m.cost"))).alias("goal")).first()
+        rows, goal = news["n"], goal if news["goal"] is None else min(news["goal"], goal if goal is not None else news["goal"])
+        if not rows:
             break
-        best = cut(best.unionByName(frontier).groupBy("id").agg(F.min("m").alias("m")))
-    path = best.where(F.col("id") == target).select(F.posexplode("m.trail").alias("step", "id"), F.col("m.chain").alias("chain"), F.col("m.cost").alias("cost"))
+        history = history.unionByName(frontier)
+        if turn % 8 == 0:  # a plan of bounded length, however long the path
+            history = cut(history.groupBy("id").agg(F.min("m").alias("m")))
+    path = history.where(F.col("id") == target).agg(F.min("m").alias("m")).where("m is not null").select(F.posexplode("m.trail").alias("step", "id"), F.col("m.chain").alias("chain"), F.col("m.cost").alias("cost"))
     return path.select(F.col("step").cast("bigint").alias("step"), "id", F.when(F.col("step") > 0, F.get("chain", F.col("step") - 1)).alias("edge_in"), F.round("cost", 6).alias("cost"))

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders that are never read.
-SKIP_DIRS = [".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "result", ".direnv", "target", "dist", "build"]
+# Folders that are never read (the engine's own among them).
+SKIP_DIRS = [".git", ".venv", ".knotweave", ".direnv", "__pycache__", "result", ".mypy_cache", ".pytest_cache", "target", "node_modules"]
 
 # Suffixes, their language and their tier (0 is always read).
 LANGUAGES = {"nix": ("nix", 0), "py": ("python", 1), "kdl": ("kdl", 1)}
@@ -20,12 +20,38 @@ def excluded(path: Column, prefixes: list[str]) -> Column:
     return reduce(Column.__or__, tests, F.lit(False))
 
 
-def _config_folders(spark: SparkSession, base: str, levels: int = 4) -> list[str]:
-    """Folders named .config: Spark leaves hidden folders out of a recursive read, so they are named to it."""
+def _config_folders(spark: SparkSession, base: str) -> list[str]:
+    """Folders named .config, at any depth: Spark leaves hidden folders out of a recursive read, so they are named to it."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [fs.globStatus(path(f"{base}/{'*/' * k}.config")) or [] for k in range(levels)]
-    return [s.getPath().toString() for level in found for s in level if s.isDirectory()]
+    found, open_ = [], [path(base)]
+    while open_:
+        for s in fs.listStatus(open_.pop()):
+            name = s.getPath().getName()
+            if not s.isDirectory() or name in SKIP_DIRS or (name.startswith(".") and name != ".config"):
+                continue
+            open_.append(s.getPath())
+            if name == ".config":
+                found.append(s.getPath().toString())
+    return found
+
+
+def watched(path: Column, parsers: list[str] | None = None) -> Column:
+    """Whether a change of ``path`` matters: a file with a parser, not hidden, not in a skipped folder."""
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    suffixes = parsers if parsers is not None else list(LANGUAGES)
+    skipped = F.arrays_overlap(parts, F.array(*(F.lit(x) for x in SKIP_DIRS)))
+    return ~skipped & F.contains(name, F.lit(".")) & F.element_at(F.split(name, r"\."), -1).isin(suffixes) & ~name.startswith(".")
+
+
+def single(spark: SparkSession, file: str, enabled: list[str] | None = None) -> DataFrame:
+    """The listing of one file: no relevance gate, but beyond tier 0 its language must be enabled."""
+    raw = spark.read.format("binaryFile").load(file).select(F.element_at(F.split("path", "/"), -1).alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+    table = F.create_map(*(x for k, (lang, tier) in LANGUAGES.items() for x in (F.lit(k), F.struct(F.lit(lang).alias("lang"), F.lit(tier).alias("tier")))))
+    kind = table[F.element_at(F.split("path", r"\."), -1)]
+    out = raw.select("path", kind["lang"].alias("lang"), kind["tier"].alias("tier"), "length", "modified", "content")
+    return out.where((F.col("tier") == 0) | F.col("lang").isin(enabled if enabled is not None else [lang for lang, _ in LANGUAGES.values()]))
 
 
 def listing(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
@@ -52,8 +78,9 @@ def texts(files: DataFrame) -> DataFrame:
 def relevant(files: DataFrame, nodes: DataFrame, edges: DataFrame, enabled: list[str], parse_unreferenced: bool = False) -> DataFrame:
     """The files to parse: tier 0, and enabled ones that are below .config or that the graph names as files.
 
-    A file is named by the whole of a ``file:`` id, by its base name, or as a
-    configures/generates target; each is an equi semi-join.
+    A file is named by a ``file:`` id or a configures/generates target: by the whole of
+    it, by its base name, or anywhere inside. The last is an equi semi-join too: every
+    part of a name that ends in a parser's suffix is a key.
     """
     always = files.where(F.col("tier") == 0)
     rest = files.where((F.col("tier") > 0) & F.col("lang").isin(enabled))
@@ -62,8 +89,12 @@ def relevant(files: DataFrame, nodes: DataFrame, edges: DataFrame, enabled: list
     named = nodes.where(F.col("type") == "file").select(F.substr("id", F.lit(6)).alias("f")).union(
         edges.where(F.col("type").isin("configures", "generates")).select(F.regexp_replace("target", "^file:", "").alias("f"))
     )
-    keys = named.select("f").union(named.select(F.element_at(F.split("f", "/"), -1))).distinct()
+    ends = F.filter(F.sequence(F.lit(1), F.length("f")), lambda i: F.substr("f", F.lit(1), i).rlike(r"\.(" + "|".join(LANGUAGES) + ")$"))
+    to = named.where(F.length("f") > 0).distinct().select("f", F.explode(ends).alias("to"))
+    inside = to.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("to")), lambda i: F.substr("f", i, F.col("to") - i + 1))).alias("f"))
+    keys = inside.distinct()
     base = rest.withColumn("_base", F.element_at(F.split("path", "/"), -1))
     config = base.where(F.col("path").rlike(r"(^|/)\.config/")).select("path")
-    hits = base.join(keys.withColumnRenamed("f", "path"), "path", "left_semi").select("path").union(base.join(keys.withColumnRenamed("f", "_base"), "_base", "left_semi").select("path"))
+    whole = named.select("f").union(named.select(F.element_at(F.split("f", "/"), -1))).distinct()
+    hits = base.join(keys.withColumnRenamed("f", "path"), "path", "left_semi").select("path").union(base.join(whole.withColumnRenamed("f", "_base"), "_base", "left_semi").select("path"))
     return always.union(rest.join(config.union(hits).distinct(), "path", "left_semi").select(files.columns))

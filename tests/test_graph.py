@@ -86,7 +86,7 @@ def test_random_graphs_with_cycles_and_parallels(spark, seed):
     for width in (None, 2):
         want = walk("n00", 4, width)
         at = n.where("id = 'n00'").select("id")
-        got = traverse.walk(at, traverse.adjacency(e, width=width), 4).where("depth > 0")
+        got = traverse.walk(n, e, at, 4, width=width, chains=True).where("depth > 0")
         assert {(r.id, r.depth, r.trail[-2]) for r in got.collect()} == set(want)
     best, heap = {}, [(0.0, 0, (), "n00")]
     while heap:

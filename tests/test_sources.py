@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from knotweave.extract import kdl, nix, python
 from knotweave.extract.registry import edge_id, extract, graph_rows
 from knotweave.plans.catalog import ORACLES, QUERIES
-from knotweave.sources.files import listing, relevant, texts
+from knotweave.sources.files import listing, relevant, single, texts, watched
 from knotweave.sources.lock import parse_lock
 from knotweave.streaming import debounce
 
@@ -32,10 +32,14 @@ def test_nix_modules():
     assert {(t, m["conditional"]) for _, t, _, m in merged[1]} == {("nix_option:a", True), ("nix_option:b.c", True)}
     assert nix.parse("c.nix", "# only a comment\n") == ([], [])
     assert [len(x) for x in nix.parse("e.nix", "{ a = ; }")] == [1, 0] and [len(x) for x in nix.parse("f.nix", "f { imports = [ ./x.nix ]; }")] == [1, 0]
-    let = nix.parse("i.nix", 'let h = toString ../../modules/home; in { imports = [ "${h}/x" (import ./auto.nix) ]; }')
-    assert ("nix:../../modules/home/x/default.nix", "imports") in found(let)
-    listed = nix.parse("l.nix", "{ x = f { modules = [ sops.nixosModules.sops (g h) ../m ]; }; }")
-    assert ("flake_input:sops", "references") in found(listed) and ("nix:../m/default.nix", "imports") in found(listed)
+    let = nix.parse("i.nix", 'let base = toString ../shelf; in { imports = [ "${base}/lamp" (import ./made.nix) ]; }')
+    assert ("nix:../shelf/lamp/default.nix", "imports") in found(let)
+    listed = nix.parse("l.nix", "{ x = f { modules = [ crate.nixosModules.lid (g h) ../m ]; }; }")
+    assert ("flake_input:crate", "references") in found(listed) and ("nix:../m/default.nix", "imports") in found(listed)
+    both = nix.parse("o.nix", "{ a = x.y || z; imports = if p.q or false then [ ./one.nix ] else if p.q || r.s then [ ./two.nix ] else [ ]; }")
+    assert {("nix:one.nix", "imports"), ("nix:two.nix", "imports")} <= found(both)
+    long = nix.parse("long.nix", "{ a = ''" + "${b}\n" * 60_000 + "''; }")
+    assert len(long[0]) >= 1
     special = nix.parse("s.nix", "{ specialisation.desk.configuration = { }; specialisation = { head = { }; }; _module.args = { lib2 = 1; }; }")
     assert {k for _, k in found(special)} == {"specialises", "passes_args"} and len(special[1]) == 3
 
@@ -47,6 +51,11 @@ def test_python_and_kdl():
     k = kdl.parse("c.kdl", 'binds {\n  Mod+T { spawn "term"; }\n  Mod+B { spawn "web"; }\n}\nspawn-at-startup "bar"\nwindow-rule {\n}\n')
     kinds = [x[1] for x in k[0]]
     assert (kinds.count("kdl_bind"), kinds.count("kdl_spawn"), kinds.count("kdl_rule")) == (2, 3, 1)
+    k = kdl.parse("d.kdl", 'bind "Alt+J" spawn "jot"\nbind "Alt+K" spawn "jot"\nrule "tiled" {\n  spawn "clock"\n  spawn "jot"\n}\nrule "tiled"\n')
+    assert found(k) == {("kdl_bind:d.kdl:Alt+J", "binds_key"), ("kdl_bind:d.kdl:Alt+K", "binds_key"), ("kdl_spawn:d.kdl:jot", "spawns"), ("kdl_rule:d.kdl:tiled", "binds_key"), ("kdl_spawn:d.kdl:clock", "spawns")}
+    source = "@s.tool()\n@other\ndef one(): pass\n@a.b.c\nclass X:\n  @s.tool(name='x')\n  async def two(self): pass\n"
+    meta = {i: m for i, *_, m in python.parse("t.py", source)[0]}
+    assert meta["py_func:t.py:one"]["decorators"] == ["tool", "other"] and python.registered_tools(source) == ["one", "two"]
 
 
 def test_edge_ids():
@@ -69,6 +78,20 @@ def test_files_to_graph(spark, tmp_path):
     named = spark.createDataFrame([("file:conf/tool.py", "file")], "id string, type string")
     assert {r.path for r in relevant(files, named.limit(0), edges, ["python", "kdl"]).collect()} == {"default.nix", "a.nix", "bad.nix", ".config/w.kdl"}
     assert "tool.py" in {r.path for r in relevant(files, named, edges, ["python"]).collect()}
+    inside = spark.createDataFrame([("file:conf/xtool.py.bak", "file")], "id string, type string")
+    assert "tool.py" in {r.path for r in relevant(files, inside, edges, ["python"]).collect()}
+    assert "tool.py" not in {r.path for r in relevant(files, spark.createDataFrame([("file:conf/tool.pl", "file")], "id string, type string"), edges, ["python"]).collect()}
+
+
+def test_config_folders_at_any_depth_and_read_folders(spark, tmp_path):
+    for name in ("a/b/c/d/e/f/.config/deep.kdl", "a/.config/x/.config/y.kdl", "build/k.nix", "dist/k.nix", "venv/k.nix", ".mypy_cache/k.nix", ".other/k.nix"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{ }")
+    assert {r.path for r in listing(spark, str(tmp_path)).collect()} == {"a/b/c/d/e/f/.config/deep.kdl", "a/.config/x/.config/y.kdl", "build/k.nix", "dist/k.nix", "venv/k.nix"}
+    assert [r.path for r in single(spark, str(tmp_path / "build/k.nix")).collect()] == ["k.nix"]
+    assert single(spark, str(tmp_path / "a/.config/x/.config/y.kdl"), enabled=["python"]).count() == 0
+    paths = spark.createDataFrame([(x,) for x in ("a/b.nix", ".git/c.nix", "a/.hidden.nix", "x.pyc", "noext", "t.py")], "path string")
+    assert {r.path for r in paths.where(watched(F.col("path"))).collect()} == {"a/b.nix", "t.py"}
 
 
 def test_lock(spark):
