@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import WORDS, blobs, checkpointed, doc_text, gram_hashes, join_words, slices, word_hashes
+from knotweave.llm.text import WORDS, blobs, checkpointed, doc_text, gram_hashes, join_words, slices, small, word_hashes
 from knotweave.llm.tokens import release_encoders
 
 UNIT, PASSAGE, GRAM, BLOCK = 64, 128, 5, 8
@@ -290,7 +290,7 @@ def _shard_statistics(items: DataFrame) -> DataFrame:
     in the whole benchmark; a null term's row has the benchmark's unit count and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             for shard, text in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
                 one = statistics(list(unit_words(hashes(text or b""))))
                 terms = np.fromiter(one.df, np.uint64, len(one.df)).view(np.int64).tolist()
@@ -335,7 +335,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             release_encoders()
             index = shared.value
-            for b in batches:
+            for b in small(batches):
                 texts, names = blobs(b.column(1)), b.column(0).to_pylist()
                 got = [(names[i + d], index.items[k].item_id, *x) for i, j in slices(texts) for d, k, *x in search(index, texts[i:j], threshold, overlap)]
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -353,7 +353,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             release_encoders()
-            for b in batches:
+            for b in small(batches):
                 texts = blobs(b.column(b.schema.get_field_index("text")))
                 clean = np.ones(len(texts), np.bool_)
                 for i, j in slices(texts):

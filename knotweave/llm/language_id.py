@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import LOWER, blobs, doc_text, slices
+from knotweave.llm.text import LOWER, blobs, doc_text, slices, small
 from knotweave.llm.tokens import release_encoders
 
 #: Lengths of the n-grams (bytes of UTF-8) and the number of cells that they are hashed to.
@@ -133,7 +133,7 @@ def training_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
-        for b in batches:
+        for b in small(batches):
             texts = blobs(b.column(1))
             packed = [np.packbits(row).tobytes() for i in range(0, len(texts), 256) for row in presence(texts[i : i + 256])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(packed, pa.binary())], names=["doc_id", "lang", "draw", "bits"])
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
         opened = model.open() if model else None
-        for b in batches:
+        for b in small(batches):
             lang, score = predict(model, opened, blobs(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -208,7 +208,7 @@ def keep_identified(docs: DataFrame, min_score: float = CLAIMED, languages: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
         opened = model.open() if model else None
-        for b in batches:
+        for b in small(batches):
             texts = blobs(b.column(b.schema.get_field_index("text")))
             if model:
                 keep = [x != "und" and v >= min_score and (wanted is None or x in wanted) for x, v in zip(*predict(model, opened, texts), strict=True)]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from knotweave.llm.text import WORDS, blobs, doc_text
+from knotweave.llm.text import WORDS, blobs, doc_text, small
 
 # The base phrases and labels that the query's contract names.
 BASE_PHRASES = {
@@ -257,7 +257,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, more: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(phrases)
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.int64()]
-        for b in batches:
+        for b in small(batches):
             rows = [scan_text(t, machine, counted) for t in blobs(b.column(1))]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays(

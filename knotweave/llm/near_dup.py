@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import LOWER, blobs, checkpointed, doc_text, gram_hashes, join_words, mix64, slices, word_hashes
+from knotweave.llm.text import LOWER, blobs, checkpointed, doc_text, gram_hashes, join_words, mix64, slices, small, word_hashes
 from knotweave.llm.tokens import release_encoders
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def _sketches(docs: DataFrame, rows: int, n_bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
-        for b in batches:
+        for b in small(batches):
             sets = shingle_sets(blobs(b.column(1)))
             size = np.array([len(s) for s in sets], np.int64)
             sums = [(int(mix64(s).sum(dtype=np.uint64)), int(mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))) for s in sets]
@@ -134,7 +134,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
-        for b in batches:
+        for b in small(batches):
             sets = shingle_sets(blobs(b.column(1)))
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -157,7 +157,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
-        for b in batches:
+        for b in small(batches):
             texts = blobs(b.column(4))
             new = [i for i, t in enumerate(texts) if not i or t != texts[i - 1]]  # a document's rows come one after another
             sets = [x.tobytes() for x in shingle_sets([texts[i] for i in new])]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from knotweave.llm.text import blobs, doc_text, slices
+from knotweave.llm.text import blobs, doc_text, release_memory, slices
 from knotweave.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -150,11 +150,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode = encoder(tokenizer_path, drop_space).encode
         bins = Bins(capacity, TaskContext.get().partitionId())
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), blobs(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2 << 20):
                 ids, counts = encode(texts[a:b])
                 ends = np.cumsum(counts + 1)
                 with_end = np.full(len(ids) + b - a, end_id, "<u4")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import blobs, join_words, mix64, slices, word_hashes
+from knotweave.llm.text import blobs, join_words, mix64, slices, small, word_hashes
 
 #: Bound of the training sample (labelled rows, chosen by a hash of doc_id).
 SAMPLE_ROWS = 20_000
@@ -215,7 +215,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     sampled = known.orderBy(draw, "doc_id", "quality").limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             got = [x.astype("<f8").tobytes() for x in _matrix(blobs(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(got, pa.binary())], names=["doc_id", "quality", "x"])
 
@@ -229,7 +229,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
         model = fit(x, np.array([r["quality"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             score = model.score(_matrix(blobs(b.column(1)))) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score)], names=["doc_id", "held_out", "score"])
 

@@ -6,8 +6,10 @@ White-space words are ``[^\\x20\\x09-\\x0D]+`` throughout, which is exactly what
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +112,7 @@ def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes | None], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``limit`` bytes (a longer text stands alone)."""
     first, size = 0, 0
     for i, t in enumerate(texts):
@@ -123,15 +125,21 @@ def slices(texts: list[bytes | None], limit: int = 2 << 20) -> Iterator[tuple[in
         yield first, len(texts)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Row batches through ``fn`` in the executors' Python, without a shuffle."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what is made of a part stays small beside it."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+def release_memory() -> None:
+    """Give what a reused worker has freed back to the machine; large arrays leave gaps that the allocator keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

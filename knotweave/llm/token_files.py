@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotweave.llm.text import blobs, doc_text, slices
+from knotweave.llm.text import blobs, doc_text, release_memory, slices
 from knotweave.llm.tokens import encoder
 
 _MAGIC = b"KWT1"
@@ -154,11 +154,12 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     small = "<u2" if bits <= 16 else "<u4"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode = encoder(tokenizer_path, drop_space).encode
         for batch in batches:
             texts = blobs(batch.column(1))
             part = part_of(batch.column(0).fill_null(_NULL).to_numpy(), batch.column(2).to_numpy(), shared.value).astype(np.int32)
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2 << 20):
                 ids, counts = encode(texts[a:b])
                 if len(ids) and int(ids.max()) >> bits:
                     raise ValueError(f"id {int(ids.max())} is beyond a vocabulary of {vocabulary}")

@@ -22,7 +22,8 @@ import os
 import re
 
 import numpy as np
-import pyarrow as pa
+
+from knotweave.llm.text import release_memory
 
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Separators that some regular-expression engines count as white space.
@@ -47,7 +48,7 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
 class CachedEncoder:
     """``encode(texts)``: all ids in one array, and the number of ids of each text."""
 
-    def __init__(self, path: str, drop_space: bool, max_entries: int = 500_000, max_bytes: int = 16 << 20):
+    def __init__(self, path: str, drop_space: bool, max_entries: int = 250_000, max_bytes: int = 16 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -223,6 +224,5 @@ def encoder(path: str, drop_space: bool) -> CachedEncoder:
 
 def release_encoders() -> None:
     """Give a reused worker's dictionaries back; tasks of operators that need memory but no tokens start with it."""
-    if _ENCODERS:
-        _ENCODERS.clear()
-        pa.default_memory_pool().release_unused()
+    _ENCODERS.clear()
+    release_memory()
