@@ -614,3 +614,25 @@ def parse(path: str, text: str) -> tuple[list[Node], list[Edge]]:
             name = target.removeprefix("flake_input:")
             module.nodes.append((target, "flake_input", name, "nix", {"synthetic": True}))
     return module.nodes, module.edges
+
+
+def input_urls(text: str) -> list[str]:
+    """``name:url`` of the inputs that a flake's own text gives a literal url, sorted; none if it can't be read."""
+    try:
+        tokens, _ = Reader(text).read()
+        root = Parser(tokens).whole() if tokens else UNKNOWN
+    except (NixSyntaxError, RecursionError):
+        return []
+    found: set[str] = set()
+
+    def visit(keys: list[str | None], value: Any) -> None:
+        if value is not None and value[0] == "attrs" and len(keys) < 3:
+            for b in value[1]:
+                visit(keys + b.keys, b.value)
+        elif value is not None and len(keys) in (2, 3) and keys[0] == "inputs" and keys[1] and keys[2:] in ([], ["url"]) and value[0] == "string" and all(isinstance(p, str) for p in value[1]):
+            found.add(f"{keys[1]}:{''.join(value[1])}")
+
+    while root[0] in ("lambda", "with", "assert", "let"):
+        root = root[2]
+    visit([], root)
+    return sorted(found)

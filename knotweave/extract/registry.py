@@ -88,3 +88,19 @@ def graph_rows(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = one.where("kind = 'node'").select("id", "type", "name", F.when(F.col("type") != "package_ref", F.col("path")).alias("path"), "lang", "metadata", "line", "ord")
     edges = one.where("kind = 'edge'").select("id", "source", "target", "type", "metadata", F.lit(1.0).alias("weight"), "ord")
     return nodes, edges
+
+
+def listed(files: DataFrame, helper: Callable[[str], list[str]]) -> DataFrame:
+    """path, value: what a helper lists for each text (registered tools, urls of inputs); a text that it can't read gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[str, str]] = []
+            for path, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    out += [(path, x) for x in helper(text)]
+                except (SyntaxError, ValueError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in (0, 1)], names=["path", "value"])
+
+    return files.where(F.col("text").isNotNull()).select("path", "text").mapInArrow(run, "path string, value string")

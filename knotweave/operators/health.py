@@ -55,3 +55,18 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = nodes.select("id")
     loose = lambda end: edges.join(ids.withColumnRenamed("id", end), end, "left_anti").agg(F.count("*").alias(f"dangling_{end}s"))
     return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(loose("source")).crossJoin(loose("target"))
+
+
+def option_status(option_values: DataFrame) -> DataFrame:
+    return counts_by(option_values, "status")
+
+
+def status(nodes: DataFrame, edges: DataFrame, states: DataFrame, generation: int, served: int = 0, tokens_saved: int = 0) -> DataFrame:
+    """One row: size of the graph, generation, and while files are dirty how many are and how many nodes have a path."""
+    row = nodes.agg(F.count("*").alias("total_nodes"), F.count("path").alias("with_path"))
+    row = row.crossJoin(edges.agg(F.count("*").alias("total_edges"))).crossJoin(states.agg(F.count_if("dirty").alias("dirty")))  # one row each
+    progress = F.when((F.col("dirty") > 0) & (F.col("with_path") > 0), F.struct("dirty", F.col("with_path").alias("total")))
+    return row.select(
+        F.lit("static").alias("mode"), "total_nodes", "total_edges", progress.alias("sync_progress"), F.lit(served).cast("bigint").alias("queries_served"),
+        F.lit(tokens_saved).cast("bigint").alias("tokens_estimated_saved"), F.lit(generation).cast("bigint").alias("generation_id"),
+    )

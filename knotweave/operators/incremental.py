@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import walk
+from knotweave.operators.traverse import BROADCAST_ROWS, _side, walk
 from knotweave.plans.session import cut
 
 
@@ -27,25 +29,38 @@ def structure_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return items.groupBy("path").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("ast_hash"))
 
 
-def merkle(hashes: DataFrame, imports: DataFrame) -> DataFrame:
-    """path, merkle_hash: own hash with the sorted Merkle hashes of what it imports (path, target).
+def merkle(hashes: DataFrame, imports: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """path, merkle_hash of every row of ``hashes`` (path, ast_hash): own hash with the sorted Merkle hashes of what it imports (path, target).
 
-    Leaves first, one level a round until a round adds nothing; members of cycles, and what hangs on them,
-    take their own structure hash as the hash that others see.
+    Leaves first; a round looks at the importers of what the round before settled, until
+    it settles nothing. Members of cycles, and what hangs on them, take their own
+    structure hash as the hash that others see. ``known`` (path, merkle_hash): paths
+    outside ``hashes`` whose Merkle hash stands.
     """
-    deps = cut(imports.select("path", "target").distinct().join(hashes.select("path"), "path", "left_semi").join(hashes.select(F.col("path").alias("target")), "target", "left_semi"))
     digest = lambda own, parts: F.sha2(F.concat(own, F.array_join(F.array_sort(parts), "")), 256)
-    done = cut(hashes.join(deps.select("path").distinct(), "path", "left_anti").select("path", digest(F.col("ast_hash"), F.expr("cast(array() as array<string>)")).alias("merkle_hash")))
-    while True:
-        ready = deps.join(done.withColumnRenamed("path", "target"), "target", "left").groupBy("path").agg(F.count_if(F.col("merkle_hash").isNull()).alias("open"), F.collect_list("merkle_hash").alias("parts"))
-        fresh = cut(ready.where("open = 0").join(done.select("path"), "path", "left_anti").join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash")))
-        if fresh.isEmpty():
+    targets = hashes.select(F.col("path").alias("target"))
+    if known is not None:
+        known = known.join(hashes.select("path"), "path", "left_anti").select("path", "merkle_hash")
+        targets = targets.union(known.select("path"))
+    deps = cut(imports.select("path", "target").distinct().join(hashes.select("path"), "path", "left_semi").join(targets, "target", "left_semi"))
+    leaves = hashes.join(deps.select("path").distinct(), "path", "left_anti").select("path", digest(F.col("ast_hash"), F.expr("cast(array() as array<string>)")).alias("merkle_hash"))
+    fresh = done = cut(leaves if known is None else leaves.union(known.join(deps.select(F.col("target").alias("path")), "path", "left_semi")))
+    size = seen = fresh.count()
+    for level in count(1):
+        if not size:
             break
-        done = cut(done.union(fresh))
+        # a path is settled in the round after its last import was
+        near = deps.join(_side(fresh.select(F.col("path").alias("target")), size), "target", "left_semi").select("path").distinct()
+        ready = deps.join(near, "path", "left_semi").join(_side(done.withColumnRenamed("path", "target"), seen), "target", "left").groupBy("path").agg(F.count_if(F.col("merkle_hash").isNull()).alias("open"), F.collect_list("merkle_hash").alias("parts"))
+        fresh = cut(ready.where("open = 0").join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash")))
+        size = fresh.count()
+        done, seen = done.union(fresh), seen + size
+        if level % 8 == 0:  # a plan of bounded length, however deep the imports
+            done = cut(done.coalesce(max(1, seen // BROADCAST_ROWS)))
     left = hashes.join(done.select("path"), "path", "left_anti")
-    seen = done.select(F.col("path").alias("target"), F.col("merkle_hash").alias("h")).union(left.select(F.col("path"), F.col("ast_hash")))
-    cyclic = deps.join(left.select("path"), "path", "left_semi").join(seen, "target").groupBy("path").agg(F.collect_list("h").alias("parts")).join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash"))
-    return done.union(cyclic)
+    stands = done.select(F.col("path").alias("target"), F.col("merkle_hash").alias("h")).union(left.select("path", "ast_hash"))
+    cyclic = deps.join(left.select("path"), "path", "left_semi").join(stands, "target").groupBy("path").agg(F.collect_list("h").alias("parts")).join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash"))
+    return (done if known is None else done.join(known.select("path"), "path", "left_anti")).union(cyclic)
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, value: list[str]) -> DataFrame:
@@ -86,6 +101,25 @@ def invalidate(option_values: DataFrame, stems: DataFrame) -> DataFrame:
     return option_values.join(hit, "key", "left").withColumn("status", status).select(option_values.columns)
 
 
+def invalidate_all(option_values: DataFrame) -> DataFrame:
+    return option_values.withColumn("status", F.lit("stale"))
+
+
+def stem(path: Column) -> Column:
+    """The last part of a path without its suffix: what an expression names a file by."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def mark(states: DataFrame, paths: DataFrame, dirty: bool = True) -> DataFrame:
+    """``states`` with the flag of the files in ``paths`` (path) set or, with ``dirty=False``, cleared."""
+    hit = paths.select("path", F.lit(True).alias("_hit")).distinct()
+    return states.join(hit, "path", "left").withColumn("dirty", F.when(F.col("_hit"), F.lit(dirty)).otherwise(F.col("dirty"))).select(states.columns)
+
+
+def dirty_files(states: DataFrame) -> DataFrame:
+    return states.where("dirty").orderBy("path")
+
+
 def cache_hits(option_values: DataFrame, rev: str | None) -> DataFrame:
     return option_values.where((F.col("status") == "ok") & (F.col("source_rev").isNull() | (F.col("source_rev") == F.lit(rev))))
 

@@ -100,3 +100,18 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def top_ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
+
+
+def snippet(text: Column, line: Column, context: int = 2, limit: int = 240) -> Column:
+    """The lines around ``line`` (from 1) of a text, at most ``limit`` characters; null where the line is unknown or past the end."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", ""), "\n")
+    first = F.greatest(line - context, F.lit(1))
+    part = F.slice(lines, first, F.least(line + context, F.size(lines)) - first + 1)
+    return F.when((text != "") & (line >= 1) & (line <= F.size(lines)), F.substring(F.array_join(part, "\n"), 1, limit))
+
+
+def with_snippets(found: DataFrame, nodes: DataFrame, texts: DataFrame, node: str = "id") -> DataFrame:
+    """``found`` and a column snippet: the source (texts: path, text) around the line of the node that column ``node`` names."""
+    at = nodes.select(F.col("id").alias(node), "path", F.col("line").alias("_line")).where("path is not null and _line is not null")
+    near = at.join(found.select(node).distinct(), node, "left_semi").join(texts.select("path", "text"), "path")
+    return found.join(near.select(node, snippet(F.col("text"), F.col("_line")).alias("snippet")).dropDuplicates([node]), node, "left").select(*found.columns, "snippet")

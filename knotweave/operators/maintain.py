@@ -20,8 +20,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str] | None = No
 
 def delete_file(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Without the file's nodes and the edges that leave them; edges into them survive and dangle."""
-    gone = nodes.where(F.col("path") == path).select(F.col("id").alias("source"))
-    return nodes.where(~F.col("path").eqNullSafe(path)), edges.join(gone, "source", "left_anti").select(edges.columns)
+    return delete_files(nodes, edges, nodes.sparkSession.createDataFrame([(path,)], "path string"))
+
+
+def delete_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`delete_file` for all of ``paths`` (path) at once."""
+    gone = nodes.join(paths.select("path"), "path", "left_semi").select("id")
+    return nodes.join(gone, "id", "left_anti").select(nodes.columns), edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").select(edges.columns)
 
 
 def prune_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -63,13 +68,18 @@ def build_all(nodes: DataFrame, edges: DataFrame, order: str = "ord") -> tuple[D
 
 
 def build_file(nodes: DataFrame, edges: DataFrame, path: str, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace one file's part of the graph.
+    """Replace one file's part of the graph, see :func:`build_files`."""
+    return build_files(nodes, edges, nodes.sparkSession.createDataFrame([(path,)], "path string"), new_nodes, new_edges)
+
 
-    A node that the file owned and no longer has goes, and with it the edges of other
+def build_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace the part of the graph that the files in ``paths`` (path) own.
+
+    A node that a file owned and no longer has goes, and with it the edges of other
     files into it, unless one of those is of a shared type. Targets that are then
     missing get placeholders; placeholders that nothing touches any more are pruned.
     """
-    owned = nodes.where(F.col("path") == path).select("id")
+    owned = nodes.join(paths.select("path"), "path", "left_semi").select("id")
     others = edges.join(owned.withColumnRenamed("id", "source"), "source", "left_anti").select(edges.columns)
     dropped = owned.join(new_nodes.select("id"), "id", "left_anti")
     shared = others.where(F.col("type").isin(SHARED_TYPES)).select(F.col("target").alias("id"))
@@ -77,8 +87,13 @@ def build_file(nodes: DataFrame, edges: DataFrame, path: str, new_nodes: DataFra
     kept = others.join(dead.withColumnRenamed("id", "target"), "target", "left_anti").select(edges.columns)
     all_edges = upsert(kept, new_edges.select(edges.columns), "id")
     real = upsert(nodes.join(owned, "id", "left_anti").select(nodes.columns), new_nodes.select(nodes.columns), "id")
-    lost = missing_targets(real, all_edges).select([c if c in ("id", "type", "name", "path", "lang", "metadata") else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns])
-    return prune_orphans(real.unionByName(lost), all_edges), all_edges
+    return prune_orphans(with_placeholders(real, all_edges), all_edges), all_edges
+
+
+def with_placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` and a placeholder for each target that lacks one; columns that placeholders don't have are null."""
+    lost = missing_targets(nodes, edges)
+    return nodes.unionByName(lost.select([F.col(c) if c in lost.columns else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]))
 
 
 def purge(rows: DataFrame, listing: DataFrame) -> DataFrame:
@@ -102,3 +117,29 @@ def follow_edges(inputs: DataFrame) -> DataFrame:
     known = pairs.join(inputs.select(F.col("name").alias("to")), "to", "left_semi")
     source, target = F.concat(F.lit("flake_input:"), F.col("name")), F.concat(F.lit("flake_input:"), F.col("to"))
     return known.select(F.concat_ws("->", source, F.lit("references"), target).alias("id"), source.alias("source"), target.alias("target"), F.lit("references").alias("type"))
+
+
+def input_nodes(nodes: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``nodes`` with one node for each input (name, url, rev, type); nodes of inputs that are named in ``inputs`` no more are not added."""
+    new = inputs.select(
+        F.concat(F.lit("flake_input:"), F.col("name")).alias("id"), F.lit("flake_input").alias("type"), "name", F.lit(None).cast("string").alias("path"), F.lit("nix").alias("lang"),
+        F.to_json(F.struct("rev", "type", "url")).alias("metadata"),
+    )
+    return upsert(nodes, new.select([F.col(c) if c in new.columns else F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]), "id")
+
+
+def refresh_packages(old: DataFrame | None, index: DataFrame, now: Column) -> DataFrame:
+    """The package table from :func:`package_index`: a package that was known keeps when it was first seen; unused ones go."""
+    new = index.select("attribute", F.col("attribute").alias("name"), "version", "store_path", "used_by", now.alias("first_seen"), now.alias("last_updated"))
+    if old is None:
+        return new
+    was = old.select("attribute", F.col("first_seen").alias("_was"))
+    return new.join(was, "attribute", "left").withColumn("first_seen", F.coalesce("_was", "first_seen")).select(new.columns)
+
+
+def list_packages(packages: DataFrame, query: str | None = None, limit: int = 50) -> DataFrame:
+    """The first ``limit`` packages by attribute whose attribute or name holds ``query``, in any case of its letters."""
+    if query:
+        text = F.lit(query.lower())
+        packages = packages.where(F.contains(F.lower("attribute"), text) | F.contains(F.lower("name"), text))
+    return packages.orderBy("attribute").limit(limit)

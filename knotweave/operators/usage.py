@@ -6,6 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Arguments that label a call (the first that is there counts), and characters of an error that are kept.
+ARG_KEYS = ["query", "node_id", "source", "target", "option_path", "path", "attribute"]
+MAX_ERROR_CHARS = 300
+
+_PART = "type string, tool string, state struct<status:string, input:map<string,string>, output:string, error:string, time:struct<start:double, end:double>>"
+
+
+def tool_parts(parts: DataFrame) -> DataFrame:
+    """session, ts, call_id, tool, args, status, latency_ms, out_tokens, error, seq_index of the log rows (session, ts, call_id, data) that are tool parts.
+
+    ``data`` is JSON; rows of other kinds, and what isn't JSON, are left out.
+    ``seq_index`` counts all tool parts of a session; names of tools are as they stand.
+    """
+    p = parts.where(F.contains("data", F.lit('"tool"'))).withColumn("p", F.from_json("data", _PART)).where("p.type = 'tool'")
+    state = F.col("p.state")
+    start, end = state["time"]["start"], state["time"]["end"]
+    error = F.coalesce(state["error"], F.when(state["status"] == "error", state["output"]))
+    w = Window.partitionBy("session").orderBy("ts", "call_id")
+    return p.select(
+        "session", "ts", "call_id", F.coalesce("p.tool", F.lit("")).alias("tool"), F.coalesce(state["input"], F.expr("cast(map() as map<string,string>)")).alias("args"),
+        F.coalesce(F.nullif(state["status"], F.lit("")), F.lit("unknown")).alias("status"), F.when((start != 0) & (end != 0), end - start).alias("latency_ms"),
+        F.coalesce(F.floor(F.length(state["output"]) / 4), F.lit(0)).cast("bigint").alias("out_tokens"), F.substring(error, 1, MAX_ERROR_CHARS).alias("error"),
+        (F.row_number().over(w) - 1).cast("bigint").alias("seq_index"),
+    )
+
+
+def nav_calls(parts: DataFrame, prefix: str, short_prefix: str = "") -> DataFrame:
+    """The tool parts of one server: those whose tool starts with ``prefix``, without it and ``short_prefix``, and a label from their arguments."""
+    bare = F.substr("tool", F.lit(len(prefix) + 1))
+    if short_prefix:
+        bare = F.when(bare.startswith(short_prefix), F.substr(bare, F.lit(len(short_prefix) + 1))).otherwise(bare)
+    arg = F.coalesce(*(F.nullif(F.col("args")[k], F.lit("")) for k in ARG_KEYS))
+    return parts.where(F.col("tool").startswith(prefix)).withColumn("tool", bare).withColumn("label", label(arg))
+
+
+def benefit(served: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: the distinct files (path) that answers named, their bytes (sizes: path, length), and a quarter of those as tokens saved."""
+    paths = served.where(F.col("path").isNotNull()).select("path").distinct().join(sizes.select("path", "length"), "path", "left")
+    total = F.coalesce(F.sum("length"), F.lit(0)).cast("bigint")
+    return paths.agg(F.count("*").alias("files_served"), total.alias("bytes_not_reread"), F.floor(total / 4).cast("bigint").alias("tokens_estimated_saved"))
+
+
 def with_sequence(calls: DataFrame, fallback: list[str], followup: list[str], reach: int = 5) -> DataFrame:
     """seq_index in the session, whether one of the next ``reach`` calls falls back, and their tokens.
 

@@ -54,7 +54,13 @@ def commit(spark: SparkSession, root: str, folder: str) -> int:
     out.write(bytearray(f'{{"generation": {generation}, "folder": "{folder}"}}\n'.encode()))
     out.close()
     _, to = _file(spark, f"{root}/{POINTER}")
-    if fs.exists(to):
-        fs.delete(to, False)
-    fs.rename(at, to)
+    jvm = spark._jvm
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(at, to, how)
     return generation
+
+
+def write_json(frame: DataFrame, folder: str) -> None:
+    """An answer as JSON lines; nulls are written too, so that every row has the same keys."""
+    frame.write.option("ignoreNullFields", "false").json(folder)
