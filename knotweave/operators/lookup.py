@@ -104,7 +104,7 @@ def top_ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> Dat
 
 def snippet(text: Column, line: Column, context: int = 2, limit: int = 240) -> Column:
     """The lines around ``line`` (from 1) of a text, at most ``limit`` characters; null where the line is unknown or past the end."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n$", ""), "\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", ""), "\n")
     first = F.greatest(line - context, F.lit(1))
     part = F.slice(lines, first, F.least(line + context, F.size(lines)) - first + 1)
     return F.when((text != "") & (line >= 1) & (line <= F.size(lines)), F.substring(F.array_join(part, "\n"), 1, limit))
