@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.operators.health import synthetic
+from knotweave.plans.session import cut
 from knotweave.schema import SHARED_TYPES
 
 
@@ -85,8 +86,8 @@ def build_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame, new_nodes:
     shared = others.where(F.col("type").isin(SHARED_TYPES)).select(F.col("target").alias("id"))
     dead = dropped.join(shared, "id", "left_anti")
     kept = others.join(dead.withColumnRenamed("id", "target"), "target", "left_anti").select(edges.columns)
-    all_edges = upsert(kept, new_edges.select(edges.columns), "id")
-    real = upsert(nodes.join(owned, "id", "left_anti").select(nodes.columns), new_nodes.select(nodes.columns), "id")
+    all_edges = cut(upsert(kept, new_edges.select(edges.columns), "id"))  # read several times below
+    real = cut(upsert(nodes.join(owned, "id", "left_anti").select(nodes.columns), new_nodes.select(nodes.columns), "id"))
     return prune_orphans(with_placeholders(real, all_edges), all_edges), all_edges
 
 
