@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import BROADCAST_ROWS, _side, walk
+from knotweave.operators.traverse import BROADCAST_ROWS, Edges, Nodes, _side, nodes_at, walk
 from knotweave.plans.session import cut
 
 
@@ -88,9 +88,9 @@ def decide(files: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def cascade(nodes: DataFrame, edges: DataFrame, changed: list[str], max_depth: int | None = None) -> DataFrame:
+def cascade(nodes: Nodes, edges: Edges, changed: list[str], max_depth: int | None = None) -> DataFrame:
     """id, depth of all modules that import a changed one, over any number of steps (or ``max_depth``), nearest first; the changed ones aren't part of it."""
-    starts = nodes.where(F.col("id").isin(changed)).select("id")
+    starts = nodes_at(nodes, changed).select("id")
     return walk(nodes, edges.where(F.col("type") == "imports"), starts, max_depth, reverse=True).where(F.col("depth") > 0)
 
 

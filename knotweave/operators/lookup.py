@@ -5,33 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import blast_radius, closure, walk
+from knotweave.operators.traverse import Edges, Nodes, blast_radius, closure, edges_at, gather, nodes_at, walk
+from knotweave.plans.store import plain
 from knotweave.schema import EVIDENCE_LIMIT, KEY_SYMBOLS, OBSERVE_LIMIT
 
 
-def incident(edges: DataFrame, node: str) -> DataFrame:
+def incident(edges: Edges, node: str) -> DataFrame:
     """Edges at ``node`` with the other end; two equi-filters instead of one disjunction. A self-loop comes once."""
-    out = edges.where(F.col("source") == node).select("id", "type", F.col("target").alias("other"), F.lit("out").alias("direction"))
-    back = edges.where((F.col("target") == node) & (F.col("source") != node)).select("id", "type", F.col("source").alias("other"), F.lit("in").alias("direction"))
+    out = edges_at(edges, [node]).select("id", "type", F.col("target").alias("other"), F.lit("out").alias("direction"))
+    back = edges_at(edges, [node], reverse=True).where(F.col("source") != node).select("id", "type", F.col("source").alias("other"), F.lit("in").alias("direction"))
     return out.union(back)
 
 
-def observe(nodes: DataFrame, edges: DataFrame, node: str, limit: int = OBSERVE_LIMIT) -> DataFrame:
+def observe(nodes: Nodes, edges: Edges, node: str, limit: int = OBSERVE_LIMIT) -> DataFrame:
     """The first ``limit`` incident edges by id and their other ends; ends without a node are flagged dangling."""
-    first = incident(edges, node).orderBy("id").limit(limit)
-    return first.join(nodes.select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.lit(True).alias("known")), "other", "left").select(
-        F.col("id").alias("edge_id"), "direction", F.col("other").alias("neighbour"), "other_type", F.col("known").isNull().alias("dangling")
-    )
-
-
-def observe_deep(nodes: DataFrame, edges: DataFrame, node: str, depth: int, width: int = 20, limit: int = OBSERVE_LIMIT) -> DataFrame:
-    """Everything within ``depth`` either way, the first ``limit`` by node id, each with its lowest incident edge."""
-    at = nodes.where(F.col("id") == node).select("id")
-    reached = walk(nodes, edges, at, depth, width=width).union(walk(nodes, edges, at, depth, reverse=True)).where(F.col("id") != node)
-    first = reached.groupBy("id").agg(F.min("depth").alias("depth")).orderBy("id").limit(limit)
-    touching = edges.select(F.col("source").alias("node"), "id").union(edges.select(F.col("target").alias("node"), "id"))
-    lowest = touching.join(first.select(F.col("id").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("id").alias("edge_id"))
-    return first.join(lowest, first["id"] == lowest["node"]).select(first["id"].alias("id"), "depth", "edge_id")
+    spark = edges.sparkSession
+    first = incident(edges, node).orderBy("id").limit(limit).collect()
+    near = spark.createDataFrame(first, "id string, type string, other string, direction string")
+    known = nodes_at(nodes, {r["other"] for r in first}).select(F.col("id").alias("other"), F.col("type").alias("other_type"), F.lit(True).alias("known"))
+    return near.join(known, "other", "left").select(F.col("id").alias("edge_id"), "direction", F.col("other").alias("neighbour"), "other_type", F.col("known").isNull().alias("dangling"))
+
+
+def observe_deep(nodes: Nodes, edges: Edges, node: str, depth: int, width: int = 20, limit: int = OBSERVE_LIMIT) -> DataFrame:
+    """Everything within ``depth`` either way, the first ``limit`` by node id, each with its lowest incident edge.
+
+    Where that leaves room, ends without a node that touch the node or anything within
+    reach follow, flagged dangling: those of the node's own edges first, then by the id
+    of what they touch and the edge's id, each once. They may lie one step further out.
+    """
+    spark = edges.sparkSession
+    at = nodes_at(nodes, [node]).select("id")
+    both = [walk(nodes, edges, at, depth, width=width), walk(nodes, edges, at, depth, reverse=True)]
+    reached = both[0].union(both[1]).where(F.col("id") != node).groupBy("id").agg(F.min("depth").alias("depth"))
+    first = reached.orderBy("id").limit(limit).collect()  # an answer's few rows
+    ids = sorted(r["id"] for r in first)
+    touching = lambda ids: edges_at(edges, ids).select(F.col("source").alias("node"), "id", F.col("target").alias("other")).union(edges_at(edges, ids, reverse=True).select(F.col("target").alias("node"), "id", F.col("source").alias("other")))
+    lowest = {r["node"]: r["edge_id"] for r in touching(ids).groupBy("node").agg(F.min("id").alias("edge_id")).collect()} if ids else {}
+    answer = [(r["id"], r["depth"], lowest[r["id"]], False) for r in first]
+    if len(answer) < limit:  # then everything within reach is in ``ids``
+        loose = touching([node, *ids]).where(~F.col("other").isin([node, *ids]))
+        loose = loose.join(plain(nodes).select(F.col("id").alias("other")), "other", "left_anti") if gather(loose.select("other"), 20_000) is None else _unknown(nodes, loose)
+        order = F.struct(F.col("node") != node, "node", "id")
+        more = loose.groupBy("other").agg(F.min(order).alias("o")).orderBy("o").limit(limit - len(answer)).collect()
+        answer += [(r["other"], None, r["o"]["id"], True) for r in more]
+    return spark.createDataFrame(answer, "id string, depth bigint, edge_id string, dangling boolean")
+
+
+def _unknown(nodes: Nodes, loose: DataFrame) -> DataFrame:
+    """The few rows of ``loose`` whose other end is no node."""
+    others = {r["other"] for r in loose.select("other").distinct().collect()}
+    known = [r["id"] for r in nodes_at(nodes, others).select("id").collect()] if others else []
+    return loose.where(~F.col("other").isin(known)) if known else loose
 
 
 def summarize_module(nodes: DataFrame, edges: DataFrame, path: str, module_prefix: str = "nix:", option_prefix: str = "nix_option:", limit: int = KEY_SYMBOLS) -> DataFrame:
@@ -73,19 +97,19 @@ def risk(total: Column) -> Column:
     return F.when(total < 5, "low").when(total < 15, "medium").otherwise("high")
 
 
-def impact(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int, module_types: list[str], option_types: list[str], file_types: list[str]) -> DataFrame:
+def impact(nodes: Nodes, edges: Edges, node: str, max_depth: int, module_types: list[str], option_types: list[str], file_types: list[str]) -> DataFrame:
     """One row: what changing ``node`` affects, by kind, and the risk."""
     reached, inside = blast_radius(nodes, edges, node, max_depth)
-    kinds = reached.join(nodes.select("id", "type"), "id")
+    kinds = reached.join(plain(nodes).select("id", "type"), "id")
     files = kinds.where(F.col("type").isin(file_types)).select("id").union(inside.where(F.col("type").isin("configures", "generates") & F.col("target").startswith("file:")).select("target")).distinct()
     counts = kinds.agg(F.count_if(F.col("type").isin(module_types)).alias("modules"), F.count_if(F.col("type").isin(option_types)).alias("options"))
     total = F.col("modules") + F.col("options") + F.col("files")
     return counts.crossJoin(files.agg(F.count("*").alias("files"))).select(F.lit(node).alias("node"), "modules", "options", "files", risk(total).alias("risk"))
 
 
-def impact_evidence(nodes: DataFrame, edges: DataFrame, node: str, max_depth: int, limit: int = EVIDENCE_LIMIT) -> DataFrame:
+def impact_evidence(nodes: Nodes, edges: Edges, node: str, max_depth: int, limit: int = EVIDENCE_LIMIT) -> DataFrame:
     """The dependents that the blast radius confirms, with the chain that leads to each; the first ``limit`` by depth and id."""
-    reached, _ = blast_radius(nodes, edges, node, max_depth)
+    reached = blast_radius(nodes, edges, node, max_depth)[0]
     found = closure(nodes, edges, node, max_depth, reverse=True).join(reached.select("id"), "id", "left_semi")
     return found.orderBy("depth", "id").limit(limit).select("id", "depth", F.array_join("trail", ">").alias("trail"))
 

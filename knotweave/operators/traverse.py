@@ -1,10 +1,13 @@
-"""Graph traversal as frontier loops over DataFrames.
+"""Graph traversal as frontier loops over stored or plain edges.
 
-A level reads only the edges at the frontier: the frontier is counted, and while it is
-small it is broadcast to the scan of the edges, so neither edges nor nodes are
-shuffled or grouped as a whole; beyond that size plain joins do the same. Found ids
-alone are tested for being nodes. Each level is written to the shared folder, so plans
-don't grow with depth.
+A walk has two gears. While it is small (NEAR nodes, FANOUT edges a level) the frontier is a
+list of ids: each level asks the edges for those ids by value, which a stored graph
+answers from a few row groups of the copy that lies in the walk's direction, and asks
+the nodes for the ids found. Beyond that it goes on with frames: a counted frontier is
+broadcast while that is cheap and joined otherwise, each level is a table in the shared
+folder, and plans don't grow with depth. Both gears give the same rows.
+
+Nodes and edges may be frames or what ``plans/store.py`` keeps in buckets.
 
 Where the order of discovery matters, a node's place in it is carried as the array of
 edge ids that led to it: within a level, arrays compare like (parent's place, edge), so
@@ -13,16 +16,40 @@ the first discovery wins without any global ranking. Plain reach carries ids onl
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from knotweave.plans.session import cut
+from knotweave.plans.session import written
+from knotweave.plans.store import BROADCAST_ROWS, Adjacency, Clustered, one_of, plain
+from knotweave.plans.store import side as _side
 from knotweave.schema import DEPENDENCY_TYPES
 
-#: Rows of a counted frame up to which it is broadcast.
-BROADCAST_ROWS = 100_000
+#: Nodes that a walk keeps as a list, and edges of one level that it takes to the driver.
+NEAR, FANOUT = 2_000, 20_000
+
+Nodes = DataFrame | Clustered
+Edges = DataFrame | Adjacency
+
+_REACH = "id string, depth bigint, chain array<string>, trail array<string>"
+
+
+class Lazy(Sequence):
+    """Two frames, of which the second is planned when it is asked for."""
+
+    def __init__(self, first: DataFrame, make: Callable[[], DataFrame]):
+        self._made: list[DataFrame | None] = [first, None]
+        self._make = make
+
+    def __len__(self) -> int:
+        return 2
+
+    def __getitem__(self, i: int) -> DataFrame:
+        if i in (1, -1) and self._made[1] is None:
+            self._made[1] = self._make()
+        return self._made[i]
 
 
 def live(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,137 +58,266 @@ def live(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def adjacency(edges: DataFrame, reverse: bool = False, width: int | None = None) -> DataFrame:
+def adjacency(edges: Edges, reverse: bool = False, width: int | None = None) -> DataFrame:
     """src, dst, via (first edge id), weight (least); the first ``width`` neighbours of each src by edge id."""
     src, dst = ("target", "source") if reverse else ("source", "target")
-    out = edges.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.min("id").alias("via"), F.min("weight").alias("weight"))
+    out = plain(edges).groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.min("id").alias("via"), F.min("weight").alias("weight"))
     if width is not None:
         out = out.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("via"))).where(F.col("rn") <= width).drop("rn")
     return out
 
 
-def _side(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+# ---- what lies at given ids -------------------------------------------------------
+
+
+def edges_at(edges: Edges, ids: Iterable[str], reverse: bool = False) -> DataFrame:
+    """The edges that leave (or, in reverse, enter) a few known ids."""
+    if isinstance(edges, Adjacency):
+        return (edges.into if reverse else edges.out).at(ids)
+    return edges.where(one_of("target" if reverse else "source", sorted(set(ids))))
 
 
-def _nodes_among(nodes: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """The rows of ``ids`` (id, ...; ``rows`` of them, already computed) whose id is a node's."""
-    known = nodes.select("id").join(_side(ids.select("id"), rows), "id", "left_semi").distinct()
+def nodes_at(nodes: Nodes, ids: Iterable[str]) -> DataFrame:
+    return nodes.at(ids) if isinstance(nodes, Clustered) else nodes.where(one_of("id", sorted(set(ids))))
+
+
+def gather(df: DataFrame, most: int) -> list[Row] | None:
+    """The rows of ``df`` in one job, or None if there are more than ``most``."""
+    got = df.limit(most + 1).agg(F.collect_list(F.struct(*df.columns)).alias("rows")).first()["rows"]
+    return None if len(got) > most else got
+
+
+def _alive(nodes: Nodes, ids: Iterable[str]) -> set[str]:
+    """Those of a few ids that are nodes."""
+    ids = set(ids)
+    return {r["id"] for r in gather(nodes_at(nodes, ids).select("id").distinct(), len(ids))} if ids else set()
+
+
+def _nodes_among(nodes: Nodes, ids: DataFrame, rows: int, once: bool = True) -> DataFrame:
+    """The rows of ``ids`` (id, ...; ``rows`` of them, already computed) whose id is a node's; without ``once`` perhaps repeated where nodes are."""
+    known = plain(nodes).select("id").join(_side(ids.select("id"), rows), "id", "left_semi")
+    known = known.distinct() if once else known
     return ids.join(_side(known, rows), "id") if len(ids.columns) > 1 else known
 
 
-def _known(ids: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``ids``, written to the shared folder, whose id is a node's."""
-    ids = cut(ids)
-    return cut(_nodes_among(nodes, ids, ids.count()))
+def _known(ids: DataFrame, nodes: Nodes) -> tuple[DataFrame, int]:
+    """The rows of ``ids``, written to the shared folder, whose id is a node's, and how many they are."""
+    ids, rows = written(ids)
+    return written(_nodes_among(nodes, ids, rows))
 
 
-def walk(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int | None, reverse: bool = False, width: int | None = None, chains: bool = False) -> DataFrame:
-    """id, depth of everything within ``max_depth`` of ``starts`` (None: of all that is reached); with ``chains`` also
-    chain (edge ids from the start) and trail (node ids) of the first discovery.
+# ---- walks --------------------------------------------------------------------------
 
-    ``starts`` (id) have depth 0 and are part of the result if they are nodes. Several
-    starts give the distance to the nearest. ``width``: only the first so many
-    neighbours of each node, by edge id. Edges without a node at an end aren't crossed.
-    """
+
+def _near(nodes: Nodes, edges: Edges, starts: list[str], max_depth: int | None, reverse: bool, width: int | None) -> tuple[dict[str, tuple], list[str], int]:
+    """id -> (depth, chain, trail) of what a small walk finds, the frontier that it left open, and that one's depth; nothing is open when the walk is complete."""
+    src, dst = ("target", "source") if reverse else ("source", "target")
+    found = {s: (0, (), (s,)) for s in _alive(nodes, starts)}
+    frontier, level = list(found), 0
+    while frontier and (max_depth is None or level < max_depth):
+        step = gather(edges_at(edges, frontier, reverse).select(F.col(src).alias("src"), F.col(dst).alias("id"), F.col("id").alias("via")), FANOUT)
+        if step is None:
+            return found, frontier, level
+        via: dict[tuple[str, str], str] = {}
+        for r in step:
+            pair = r["src"], r["id"]
+            via[pair] = min(r["via"], via.get(pair, r["via"]))
+        asked = {v for _, v in via if width is not None or v not in found}
+        if len(asked) > NEAR:
+            return found, frontier, level
+        alive = _alive(nodes, asked) | ({v for _, v in via} & found.keys())
+        steps = sorted((e, u, v) for (u, v), e in via.items() if v in alive)
+        taken: dict[str, int] = {}
+        fresh: dict[str, tuple] = {}
+        for e, u, v in steps:
+            taken[u] = taken.get(u, 0) + 1
+            if v in found or (width is not None and taken[u] > width):
+                continue
+            _, chain, trail = found[u]
+            grown = (*chain, e), (*trail, v)
+            fresh[v] = min(grown, fresh.get(v, grown))
+        if len(found) + len(fresh) > NEAR:
+            return found, frontier, level
+        level += 1
+        found |= {v: (level, *grown) for v, grown in fresh.items()}
+        frontier = list(fresh)
+    return found, [], level
+
+
+def _walk(nodes: Nodes, edges: Edges, starts: DataFrame | list[str], max_depth: int | None, reverse: bool, width: int | None, chains: bool) -> tuple[DataFrame, list[str] | None]:
+    """See :func:`walk`; also the ids found, if they are few."""
+    spark = edges.sparkSession
     src, dst = ("target", "source") if reverse else ("source", "target")
     carried = ["chain", "trail"] if chains else []
-    first = starts.select("id").distinct()
-    if chains:
-        first = first.select("id", F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail"))
-    found = cut(first)
-    seen = size = found.count()
-    levels = found.withColumn("depth", F.lit(0).cast("bigint"))
-    for level in count(1) if max_depth is None else range(1, max_depth + 1):
-        at = _side(_nodes_among(nodes, found, size).withColumnRenamed("id", "src"), size)
-        step = edges.select(F.col(src).alias("src"), F.col(dst).alias("id"), F.col("id").alias("via")).join(at, "src")
+    columns = ["id", "depth", *carried]
+    if not isinstance(starts, list):
+        rows = gather(starts.select("id").distinct(), NEAR)
+        ids = None if rows is None else [r["id"] for r in rows if r["id"] is not None]
+    else:
+        ids = starts
+    if ids is not None:
+        near, frontier, begun = _near(nodes, edges, ids, max_depth, reverse, width)
+        levels = spark.createDataFrame([(i, d, list(c), list(t)) for i, (d, c, t) in near.items()], _REACH).select(columns)
+        if not frontier:
+            return levels, list(near)
+        found, size, seen = levels.where(F.col("depth") == begun), len(frontier), len(near)
+    else:
+        first = starts.select("id").distinct()
+        if chains:
+            first = first.select("id", F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail"))
+        found, size = written(first)
+        found, begun, seen = found.withColumn("depth", F.lit(0).cast("bigint")), 0, size
+        levels = found.select(columns)
+    found = found.select("id", *carried)
+    for level in count(begun + 1) if max_depth is None else range(begun + 1, max_depth + 1):
+        at = _side(_nodes_among(nodes, found, size, once=False).withColumnRenamed("id", "src"), size)
+        step = plain(edges).select(F.col(src).alias("src"), F.col(dst).alias("id"), F.col("id").alias("via")).join(at, "src")
         if width is not None:
-            near = step.groupBy("src", "id").agg(F.min("via").alias("via"))
-            near = _known(near, nodes).withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("via"))).where(F.col("rn") <= width).drop("rn")
-            step = near.join(at, "src")
+            near_, _ = _known(step.groupBy("src", "id").agg(F.min("via").alias("via")), nodes)
+            near_ = near_.withColumn("rn", F.row_number().over(Window.partitionBy("src").orderBy("via"))).where(F.col("rn") <= width).drop("rn")
+            step = near_.join(at, "src")
         if chains:
             grown = F.struct(F.concat("chain", F.array("via")).alias("chain"), F.concat("trail", F.array("id")).alias("trail"))
             fresh = step.groupBy("id").agg(F.min(grown).alias("m")).select("id", "m.chain", "m.trail")
         else:
             fresh = step.select("id").distinct()
         # what was found before, node or not, isn't looked at again
-        found = cut(fresh.join(_side(levels.select("id"), seen), "id", "left_anti"))
-        size = found.count()
+        found, size = written(fresh.join(_side(levels.select("id"), seen), "id", "left_anti"))
         if not size:
             break
         seen += size
         levels = levels.unionByName(found.withColumn("depth", F.lit(level).cast("bigint")))
         if level % 8 == 0:  # a plan of bounded length, however deep the walk
-            levels = cut(levels.coalesce(max(1, seen // BROADCAST_ROWS)))
-    return cut(_nodes_among(nodes, levels, seen)).select("id", "depth", *carried)
+            levels, _ = written(levels.coalesce(max(1, seen // BROADCAST_ROWS)))
+    return written(_nodes_among(nodes, levels, seen).select(columns))[0], None
 
 
-def _start(edges: DataFrame, ids: str | list[str]) -> DataFrame:
-    return edges.sparkSession.createDataFrame([(x,) for x in ([ids] if isinstance(ids, str) else ids)], "id string")
+def walk(nodes: Nodes, edges: Edges, starts: DataFrame, max_depth: int | None, reverse: bool = False, width: int | None = None, chains: bool = False) -> DataFrame:
+    """id, depth of everything within ``max_depth`` of ``starts`` (None: of all that is reached); with ``chains`` also
+    chain (edge ids from the start) and trail (node ids) of the first discovery.
+
+    ``starts`` (id) have depth 0 and are part of the result if they are nodes. Several
+    starts give the distance to the nearest. ``width``: only the first so many
+    neighbours of each node, by edge id. Edges without a node at an end aren't crossed.
+    """
+    return _walk(nodes, edges, starts, max_depth, reverse, width, chains)[0]
 
 
-def bfs(nodes: DataFrame, edges: DataFrame, start: str, depth: int, width: int | None = None) -> DataFrame:
+def bfs(nodes: Nodes, edges: Edges, start: str, depth: int, width: int | None = None) -> DataFrame:
     """Forward reach without the start: id, depth. A start that isn't a node reaches nothing."""
-    return walk(nodes, edges, _start(edges, start), depth, width=width).where(F.col("depth") > 0)
+    return _walk(nodes, edges, [start], depth, False, width, False)[0].where(F.col("depth") > 0)
 
 
-def reverse_bfs(nodes: DataFrame, edges: DataFrame, start: str, depth: int) -> DataFrame:
-    return walk(nodes, edges, _start(edges, start), depth, reverse=True).where(F.col("depth") > 0)
+def reverse_bfs(nodes: Nodes, edges: Edges, start: str, depth: int) -> DataFrame:
+    return _walk(nodes, edges, [start], depth, True, None, False)[0].where(F.col("depth") > 0)
 
 
-def closure(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int, reverse: bool = False, chains: bool = True) -> DataFrame:
+def closure(nodes: Nodes, edges: Edges, start: str, max_depth: int, reverse: bool = False, chains: bool = True) -> DataFrame:
     """id, type, depth (with ``chains`` also chain, trail) over dependency edges only, without the start."""
     kinds = edges.where(F.col("type").isin(DEPENDENCY_TYPES))
-    reached = walk(nodes, kinds, _start(edges, start), max_depth, reverse, chains=chains).where(F.col("depth") > 0)
+    reached, ids = _walk(nodes, kinds, [start], max_depth, reverse, None, chains)
+    reached = reached.where(F.col("depth") > 0)
     extra = ["chain", "trail"] if chains else []
-    return nodes.select("id", "type").join(_side(reached, reached.count()), "id").select("id", "type", "depth", *extra)
+    typed = plain(nodes) if ids is None else nodes_at(nodes, ids)
+    return typed.select("id", "type").join(_side(reached, reached.count() if ids is None else len(ids)), "id").select("id", "type", "depth", *extra)
 
 
-def _inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges with both ends among ``ids`` (id), which is written to the shared folder."""
-    ids = cut(ids)
-    rows = ids.count()
-    kept = edges.join(_side(ids.withColumnRenamed("id", "source"), rows), "source", "left_semi")
-    return kept.join(_side(ids.withColumnRenamed("id", "target"), rows), "target", "left_semi").select(edges.columns)
+def blast_radius(nodes: Nodes, edges: Edges, target: str, max_depth: int) -> Sequence[DataFrame]:
+    """Nodes that reach the target, and the induced edges on them and the target."""
+    reached, ids = _walk(nodes, edges, [target], max_depth, True, None, False)
 
+    def inside() -> DataFrame:
+        if ids is not None:
+            own = sorted({*ids, target})
+            return edges_at(edges, own).where(one_of("target", own)).select(edges.columns)
+        all_ids, rows = written(reached.select("id").union(_start(edges.sparkSession, target)).distinct())
+        kept = plain(edges).join(_side(all_ids.withColumnRenamed("id", "source"), rows), "source", "left_semi")
+        return kept.join(_side(all_ids.withColumnRenamed("id", "target"), rows), "target", "left_semi").select(edges.columns)
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes that reach the target, and the induced edges on them and the target."""
-    reached = reverse_bfs(nodes, edges, target, max_depth)
-    return reached, _inside(edges, reached.select("id").union(_start(edges, target)))
+    return Lazy(reached.where(F.col("depth") > 0), inside)
 
 
-def hop(nodes: DataFrame, edges: DataFrame, start: str, relation: str | None, depth: int, width: int) -> tuple[DataFrame, DataFrame]:
+def _start(spark: SparkSession, id_: str) -> DataFrame:
+    return spark.createDataFrame([(id_,)], "id string")
+
+
+def hop(nodes: Nodes, edges: Edges, start: str, relation: str | None, depth: int, width: int) -> Sequence[DataFrame]:
     """Nodes found (id, depth) and the discovery edges (id, source, target, type, depth, dangling).
 
     Discovery edges are all matching parallels from the finder to the found, and the
     edges without a node at their target that leave a node short of ``depth``.
     """
     kinds = edges if relation is None else edges.where(F.col("type") == relation)
-    reached = walk(nodes, kinds, _start(edges, start), depth, width=width, chains=True)
+    reached, ids = _walk(nodes, kinds, [start], depth, False, width, True)
     found = reached.where(F.col("depth") > 0)
-    pairs = found.select(F.element_at("trail", -2).alias("source"), F.col("id").alias("target"), "depth")
     columns = ["id", "source", "target", "type", "depth"]
-    crossed = kinds.join(_side(pairs, pairs.count()), ["source", "target"]).select(*columns, F.lit(False).alias("dangling"))
-    inner = reached.where(F.col("depth") < depth).select(F.col("id").alias("source"), (F.col("depth") + 1).alias("depth"))
-    leaving = cut(kinds.join(_side(inner, inner.count()), "source").select(columns))
-    known = _known(leaving.select(F.col("target").alias("id")).distinct(), nodes)
-    loose = leaving.join(_side(known.withColumnRenamed("id", "target"), known.count()), "target", "left_anti").select(*columns, F.lit(True).alias("dangling"))
-    return found.select("id", "depth"), crossed.union(loose)
 
-
-def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    def discovery() -> DataFrame:
+        rows = len(ids) if ids is not None else reached.count()
+        pairs = found.select(F.element_at("trail", -2).alias("source"), F.col("id").alias("target"), "depth")
+        inner = reached.where(F.col("depth") < depth).select(F.col("id").alias("source"), (F.col("depth") + 1).alias("depth"))
+        here = plain(kinds) if ids is None else edges_at(kinds, ids)
+        crossed = here.join(_side(pairs, rows), ["source", "target"]).select(*columns, F.lit(False).alias("dangling"))
+        leaving, _ = written(here.join(_side(inner, rows), "source").select(columns))
+        to = leaving.select(F.col("target").alias("id")).distinct()
+        few = gather(to, NEAR)
+        if few is not None:
+            known = sorted(_alive(nodes, (r["id"] for r in few)))
+            loose = leaving.where(~one_of("target", known))
+        else:
+            alive, n = _known(to, nodes)
+            loose = leaving.join(_side(alive.withColumnRenamed("id", "target"), n), "target", "left_anti")
+        return crossed.union(loose.select(*columns, F.lit(True).alias("dangling")))
+
+    return Lazy(found.select("id", "depth"), discovery)
+
+
+# ---- weighted paths -------------------------------------------------------------------
+
+_PATH = "step bigint, id string, edge_in string, cost double"
+
+
+def _near_path(nodes: Nodes, edges: Edges, source: str, target: str) -> list[tuple] | None:
+    """The rows of :func:`shortest_path` while the search stays small, else None."""
+    best = {source: (0.0, 0, (), (source,))} if source in _alive(nodes, [source]) else {}
+    frontier = list(best)
+    while frontier:
+        step = gather(edges_at(edges, frontier).select("source", "target", "id", "weight"), FANOUT)
+        if step is None or len({r["target"] for r in step}) + len(best) > NEAR:
+            return None
+        alive = _alive(nodes, {r["target"] for r in step} - best.keys()) | best.keys()
+        goal = best[target][0] if target in best else None
+        fallen: dict[str, tuple] = {}
+        for r in step:
+            cost, hops, chain, trail = best[r["source"]]
+            new = cost + r["weight"], hops + 1, (*chain, r["id"]), (*trail, r["target"])
+            if r["target"] in alive and (goal is None or new[0] <= goal) and new < min(best.get(r["target"], new + (0,)), fallen.get(r["target"], new + (0,))):
+                fallen[r["target"]] = new
+        best |= fallen
+        frontier = list(fallen)
+    if target not in best:
+        return []
+    cost, _, chain, trail = best[target]
+    return [(i, node, chain[i - 1] if i else None, round(cost, 6)) for i, node in enumerate(trail)]
+
+
+def shortest_path(nodes: Nodes, edges: Edges, source: str, target: str) -> DataFrame:
     """step, id, edge_in, cost of a least-weight path; no rows if there is none.
 
     Ties: fewer steps, then the path whose edge ids compare least. Each round relaxes
     only what fell in the round before, and drops what already costs more than the
     best path found; one job tells whether anything fell and what the target costs.
     """
-    frontier = _known(_start(edges, source).select("id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).alias("m")), nodes)
-    history, rows, goal = frontier, 1, 0.0 if source == target else None
+    spark = edges.sparkSession
+    near = _near_path(nodes, edges, source, target)
+    if near is not None:
+        return spark.createDataFrame(near, _PATH)
+    first = _start(spark, source).select("id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).alias("m"))
+    frontier, rows = _known(first, nodes)
+    history, goal = frontier, 0.0 if source == target else None
     for turn in count(1):
         at = _side(frontier.withColumnRenamed("id", "source"), rows)
-        step = edges.select("source", F.col("target").alias("to"), F.col("id").alias("via"), "weight").join(at, "source").select(
+        step = plain(edges).select("source", F.col("target").alias("to"), F.col("id").alias("via"), "weight").join(at, "source").select(
             F.col("to").alias("id"),
             F.struct((F.col("m.cost") + F.col("weight")).alias("cost"), (F.col("m.hops") + 1).alias("hops"), F.concat("m.chain", F.array("via")).alias("chain"), F.concat("m.trail", F.array("to")).alias("trail")).alias("m"),
         )
@@ -169,13 +325,13 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str)
             step = step.where(F.col("m.cost") <= goal)
         best = history.groupBy("id").agg(F.min("m").alias("old"))
         fallen = step.groupBy("id").agg(F.min("m").alias("m")).join(best, "id", "left").where(F.col("old").isNull() | (F.col("m") < F.col("old"))).select("id", "m")
-        frontier = _known(fallen, nodes)
-        news = frontier.agg(F.count("*").alias("n"), F.min(F.when(F.col("id") == target, F.col("m.cost"))).alias("goal")).first()
-        rows, goal = news["n"], goal if news["goal"] is None else min(news["goal"], goal if goal is not None else news["goal"])
+        frontier, rows = _known(fallen, nodes)
         if not rows:
             break
+        reached = frontier.where(F.col("id") == target).agg(F.min("m.cost").alias("goal")).first()["goal"]
+        goal = goal if reached is None else min(reached, goal if goal is not None else reached)
         history = history.unionByName(frontier)
         if turn % 8 == 0:  # a plan of bounded length, however long the path
-            history = cut(history.groupBy("id").agg(F.min("m").alias("m")))
+            history, _ = written(history.groupBy("id").agg(F.min("m").alias("m")))
     path = history.where(F.col("id") == target).agg(F.min("m").alias("m")).where("m is not null").select(F.posexplode("m.trail").alias("step", "id"), F.col("m.chain").alias("chain"), F.col("m.cost").alias("cost"))
     return path.select(F.col("step").cast("bigint").alias("step"), "id", F.when(F.col("step") > 0, F.get("chain", F.col("step") - 1)).alias("edge_in"), F.round("cost", 6).alias("cost"))

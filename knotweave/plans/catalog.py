@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotweave.operators import health, incremental, lookup, maintain, search, traverse, usage
-from knotweave.plans.store import publish, published
+from knotweave.plans.store import Adjacency, Clustered, fingerprint, publish, published
 from knotweave.sources import star
 from knotweave.sources.star import EDGES_SQL, GRAPH_SQL, NODES_SQL, table
 
@@ -35,15 +35,20 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return star.nodes(spark, sf_dir), star.edges(spark, sf_dir)
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, tuple[Clustered, Adjacency]] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph as the engine publishes it: written once a session and folder, edges in the order of their sources."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _kept(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]) -> tuple[Clustered, Adjacency]:
+    """A graph as the engine publishes it: written once a session, kind and state of the tables' files."""
+    files = tuple(fingerprint(spark, f"{sf_dir}/{name}.parquet") for name in star.TABLES)
+    key = (spark.sparkContext.applicationId, sf_dir, kind, files)
     if key not in _STORED:
-        _STORED[key] = publish(*graph(spark, sf_dir))
-    return published(spark, _STORED[key])
+        _STORED[key] = published(spark, *publish(*make(spark, sf_dir)))
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[Clustered, Adjacency]:
+    return _kept(spark, sf_dir, "whole", graph)
 
 
 def broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +58,10 @@ def broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes.where(~gone), edges
 
 
+def stored_broken(spark: SparkSession, sf_dir: str) -> tuple[Clustered, Adjacency]:
+    return _kept(spark, sf_dir, "broken", broken)
+
+
 BROKEN_SQL = GRAPH_SQL.replace("nodes AS (", "all_nodes AS (", 1) + ",\nnodes AS (SELECT * FROM all_nodes WHERE NOT (type = 'supplier' AND CAST(split_part(id, ':', 2) AS BIGINT) % 10 = 0))"
 
 
@@ -169,7 +178,7 @@ def _(spark, d):
 f AS (SELECT * FROM x ORDER BY id LIMIT 20)
 SELECT f.id AS edge_id, direction, other AS neighbour, n.type AS other_type, n.id IS NULL AS dangling FROM f LEFT JOIN nodes n ON n.id = other""")
 def _(spark, d):
-    return lookup.observe(*broken(spark, d), "part:7")
+    return lookup.observe(*stored_broken(spark, d), "part:7")
 
 
 @query("gr5_observe_deep", f"""WITH RECURSIVE {GRAPH_SQL},
@@ -179,7 +188,18 @@ b(id, d) AS (SELECT 'customer:1', 0 UNION SELECT e.source, b.d + 1 FROM b JOIN e
 m AS (SELECT id, CAST(min(d) AS BIGINT) AS depth FROM (SELECT * FROM f UNION ALL SELECT * FROM b) WHERE id <> 'customer:1' GROUP BY id ORDER BY id LIMIT 20)
 SELECT m.id, depth, (SELECT min(e.id) FROM edges e WHERE e.source = m.id OR e.target = m.id) AS edge_id FROM m""")
 def _(spark, d):
-    return lookup.observe_deep(*stored(spark, d), "customer:1", 2)
+    return lookup.observe_deep(*stored(spark, d), "customer:1", 2).select("id", "depth", "edge_id")
+
+
+@query("gr5_observe_dangling", f"""WITH {BROKEN_SQL}, x AS (SELECT target AS id, min(id) AS edge_id FROM edges WHERE source = 'part:9' AND target NOT IN (SELECT id FROM nodes) GROUP BY target),
+k AS (SELECT target AS id, 1::BIGINT AS depth FROM edges WHERE source = 'part:9' AND target IN (SELECT id FROM nodes)),
+m AS (SELECT id, depth, (SELECT min(e.id) FROM edges e WHERE e.source = k.id OR e.target = k.id) AS edge_id, false AS dangling FROM k),
+a AS (SELECT * FROM m UNION ALL SELECT id, NULL, edge_id, true FROM x)
+SELECT * FROM a""")
+def _(spark, d):
+    # a graph of parts and what they are set by alone, so that a part's whole neighbourhood fits the answer
+    nodes, edges = stored_broken(spark, d)
+    return lookup.observe_deep(nodes, edges.where("type = 'sets'"), "part:9", 1, limit=200)
 
 
 @query("gr6_hop_nodes", f"""WITH RECURSIVE {GRAPH_SQL},
@@ -204,8 +224,7 @@ def _(spark, d):
 @query("gr6_hop_dangling", f"""WITH {BROKEN_SQL}, s AS (SELECT 'order:0' AS id, 0 AS d), p AS (SELECT DISTINCT target AS id, 1 AS d FROM edges WHERE source = 'order:0' AND target IN (SELECT id FROM nodes))
 SELECT e.id, source, target, type, CAST(x.d + 1 AS BIGINT) AS depth FROM edges e JOIN (SELECT * FROM s UNION ALL SELECT * FROM p) x ON e.source = x.id WHERE target NOT IN (SELECT id FROM nodes)""")
 def _(spark, d):
-    nodes, edges = broken(spark, d)
-    return traverse.hop(nodes, edges, "order:0", None, 2, 50)[1].where("dangling").drop("dangling")
+    return traverse.hop(*stored_broken(spark, d), "order:0", None, 2, 50)[1].where("dangling").drop("dangling")
 
 
 @query("gr8_blast_nodes", _reach_sql("supplier:1", 2, reverse=True) + " SELECT id, depth FROM m WHERE depth > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: later plans start there, and lost executors don't cost its lineage."""
     shared_top(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written to the shared folder as a table and read back, and how many rows it has.
+
+    Unlike a checkpoint it is computed once only, and counting reads no more than the files' ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_top(spark)}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back, back.count()

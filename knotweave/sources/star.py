@@ -15,6 +15,8 @@ NODE_TABLES = {
     "order": ("orders", "o_orderkey", None),
 }
 
+TABLES = [*(name for name, _, _ in NODE_TABLES.values()), "lineitem"]
+
 # The same graph for DuckDB.
 NODES_SQL = """nodes AS (
   SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS name FROM region
