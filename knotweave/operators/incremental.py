@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.operators.traverse import BROADCAST_ROWS, Edges, Nodes, _side, nodes_at, walk
+from knotweave.operators.substring import containing
 from knotweave.plans.session import cut
 
 
-#: Stems of one change that are broadcast to the stored values.
-MAX_STEMS = 10_000
-
 
 def content_hash(text: Column) -> Column:
     """Hex SHA-256 of the bytes (our own choice: it stays in the JVM)."""
@@ -95,8 +93,8 @@ def cascade(nodes: Nodes, edges: Edges, changed: list[str], max_depth: int | Non
 
 
 def invalidate(option_values: DataFrame, stems: DataFrame) -> DataFrame:
-    """``option_values`` with the rows whose expression holds a stem (stem) set to stale. The stems of one change are few."""
-    hit = option_values.join(F.broadcast(stems.limit(MAX_STEMS + 1)) if stems.limit(MAX_STEMS + 1).count() <= MAX_STEMS else stems, F.expr("instr(expr, stem) > 0"), "left_semi").select("key").withColumn("hit", F.lit(True))
+    """``option_values`` with the rows whose expression holds a stem (stem) set to stale."""
+    hit = containing(option_values.select("key", F.col("expr").alias("text")), stems.select(F.col("stem").alias("needle"))).select("key", F.lit(True).alias("hit")).distinct()
     status = F.when(F.col("hit"), "stale").otherwise(F.col("status"))
     return option_values.join(hit, "key", "left").withColumn("status", status).select(option_values.columns)
 

@@ -199,7 +199,7 @@ SELECT * FROM a""")
 def _(spark, d):
     # a graph of parts and what they are set by alone, so that a part's whole neighbourhood fits the answer
     nodes, edges = stored_broken(spark, d)
-    return lookup.observe_deep(nodes, edges.where("type = 'sets'"), "part:9", 1, limit=200)
+    return lookup.observe_deep(nodes, edges.where("type = 'sets'"), "part:9", 1, width=200, limit=200)
 
 
 @query("gr6_hop_nodes", f"""WITH RECURSIVE {GRAPH_SQL},

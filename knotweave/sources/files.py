@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knotweave.operators.substring import containing
+from knotweave.plans.store import Adjacency, Clustered, plain
+
 # Folders that are never read (the engine's own among them).
 SKIP_DIRS = [".git", ".venv", ".knotweave", ".direnv", "__pycache__", "result", ".mypy_cache", ".pytest_cache", "target", "node_modules"]
 
@@ -75,26 +78,22 @@ def texts(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "tier", text.alias("text"), F.sha2("content", 256).alias("content_hash"))
 
 
-def relevant(files: DataFrame, nodes: DataFrame, edges: DataFrame, enabled: list[str], parse_unreferenced: bool = False) -> DataFrame:
+def relevant(files: DataFrame, nodes: DataFrame | Clustered, edges: DataFrame | Adjacency, enabled: list[str], parse_unreferenced: bool = False) -> DataFrame:
     """The files to parse: tier 0, and enabled ones that are below .config or that the graph names as files.
 
     A file is named by a ``file:`` id or a configures/generates target: by the whole of
-    it, by its base name, or anywhere inside. The last is an equi semi-join too: every
-    part of a name that ends in a parser's suffix is a key.
+    it, by its base name, or anywhere inside. The last is a substring join by n-grams.
     """
     always = files.where(F.col("tier") == 0)
     rest = files.where((F.col("tier") > 0) & F.col("lang").isin(enabled))
     if parse_unreferenced:
         return always.union(rest)
-    named = nodes.where(F.col("type") == "file").select(F.substr("id", F.lit(6)).alias("f")).union(
-        edges.where(F.col("type").isin("configures", "generates")).select(F.regexp_replace("target", "^file:", "").alias("f"))
+    named = plain(nodes).where(F.col("type") == "file").select(F.substr("id", F.lit(6)).alias("f")).union(
+        plain(edges).where(F.col("type").isin("configures", "generates")).select(F.regexp_replace("target", "^file:", "").alias("f"))
     )
-    ends = F.filter(F.sequence(F.lit(1), F.length("f")), lambda i: F.substr("f", F.lit(1), i).rlike(r"\.(" + "|".join(LANGUAGES) + ")$"))
-    to = named.where(F.length("f") > 0).distinct().select("f", F.explode(ends).alias("to"))
-    inside = to.select(F.explode(F.transform(F.sequence(F.lit(1), F.col("to")), lambda i: F.substr("f", i, F.col("to") - i + 1))).alias("f"))
-    keys = inside.distinct()
     base = rest.withColumn("_base", F.element_at(F.split("path", "/"), -1))
     config = base.where(F.col("path").rlike(r"(^|/)\.config/")).select("path")
     whole = named.select("f").union(named.select(F.element_at(F.split("f", "/"), -1))).distinct()
-    hits = base.join(keys.withColumnRenamed("f", "path"), "path", "left_semi").select("path").union(base.join(whole.withColumnRenamed("f", "_base"), "_base", "left_semi").select("path"))
+    inside = containing(named.where("f <> ''").distinct().select(F.col("f").alias("key"), F.col("f").alias("text")), rest.select(F.col("path").alias("needle")))
+    hits = base.join(inside.select(F.col("needle").alias("path")), "path", "left_semi").select("path").union(base.join(whole.withColumnRenamed("f", "_base"), "_base", "left_semi").select("path"))
     return always.union(rest.join(config.union(hits).distinct(), "path", "left_semi").select(files.columns))
