@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotweave.operators import health, indexing, lookup, maintain, search, traverse, usage
@@ -26,13 +26,14 @@ class GraphEngine:
     length, text) its texts for snippets and the report. Both may be absent.
     """
 
-    nodes: DataFrame
-    edges: DataFrame
+    nodes: traverse.Nodes
+    edges: traverse.Edges
     generation: int = 0
     max_cached: int = 128
     served: dict[str, int] = field(default_factory=dict)
     index: indexing.Index | None = None
     files: DataFrame | None = None
+    posted: DataFrame | None = None
     _cache: dict[tuple, DataFrame] = field(default_factory=dict)
     _named: list[DataFrame] = field(default_factory=list)
 
@@ -40,6 +41,12 @@ class GraphEngine:
     def of(cls, index: indexing.Index, files: DataFrame | None = None, generation: int = 0) -> GraphEngine:
         return cls(index.nodes, index.edges, generation, index=index, files=files)
 
+    @classmethod
+    def of_store(cls, spark: SparkSession, root: str, files: DataFrame | None = None) -> GraphEngine:
+        """The engine over the generation that ``root`` points to; its verbs read by key."""
+        store = indexing.StoredIndex.open(spark, root)
+        return cls(store.part("nodes"), store.edges, store.generation, index=store.index(), files=files, posted=store.part("postings"))
+
     def _count(self, verb: str) -> None:
         self.served[verb] = self.served.get(verb, 0) + 1
 
@@ -74,7 +81,7 @@ class GraphEngine:
         return GraphEngine(nodes, edges, self.generation + 1, self.max_cached, self.served, self.index, self.files)
 
     def _need(self, node: str) -> None:
-        if self.nodes.where(F.col("id") == node).isEmpty():
+        if traverse.nodes_at(self.nodes, [node]).isEmpty():
             raise KeyError(node)
 
     def observe(self, node: str, depth: int = 1) -> DataFrame:
@@ -117,7 +124,7 @@ class GraphEngine:
         return self._kept("option", (option,), lambda: lookup.introspect_option(self.nodes, self.edges, option))
 
     def find(self, query: str, **filters: object) -> DataFrame:
-        return self._kept("find", (query, *sorted((k, repr(v)) for k, v in filters.items())), lambda: self._with_snippets(search.find_symbol(self.nodes, query, **filters), "id"))
+        return self._kept("find", (query, *sorted((k, repr(v)) for k, v in filters.items())), lambda: self._with_snippets(search.find_symbol(self.nodes, query, posted=self.posted, **filters), "id"))
 
     def _with_snippets(self, found: DataFrame, node: str) -> DataFrame:
         if self.files is None or "line" not in self.nodes.columns:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from knotweave.extract.registry import extract, graph_rows
 from knotweave.operators import incremental, maintain
+from knotweave.operators.health import synthetic
 from knotweave.plans.session import cut
-from knotweave.plans.store import commit, current, publish
+from knotweave.plans.store import BUCKETS, Adjacency, Clustered, clustered, commit, current, manifest_of, replace_rows, write_frames
 from knotweave.sources.files import relevant, texts
+from knotweave.schema import OPTION_VALUES
 from knotweave.sources.lock import parse_lock
 
 _INPUTS = "name string, url string, rev string, nar_hash string, type string, inputs map<string,array<string>>"
@@ -33,28 +35,49 @@ class Index:
     inputs: DataFrame
     packages: DataFrame
     errors: DataFrame
+    values: DataFrame
 
     def frames(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def publish(self, root: str) -> tuple[int, Index]:
+    def publish(self, root: str, buckets: int = BUCKETS) -> tuple[int, Index]:
         """Write all frames below ``root`` as its next generation; the number, and the index as it is read back."""
         spark = self.nodes.sparkSession
-        folder = publish(root=root, **self.frames())
-        generation = commit(spark, root, folder)
-        return generation, _read(spark, folder)
+        manifest = write_frames(root, self.frames(), buckets)
+        return commit(spark, root, manifest), StoredIndex(spark, root, 0, manifest).index()
 
 
-def _read(spark: SparkSession, folder: str) -> Index:
-    return Index(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Index)})
+@dataclass(frozen=True)
+class StoredIndex:
+    """A published generation: its frames in buckets, of which lookups and batches read what they need."""
+
+    spark: SparkSession
+    root: str
+    generation: int
+    manifest: dict
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> StoredIndex:
+        at = current(spark, root)
+        if at is None:
+            raise FileNotFoundError(root)
+        return cls(spark, root, at[0], manifest_of(spark, at[1]))
+
+    def part(self, copy: str) -> Clustered:
+        return clustered(self.spark, self.root, self.manifest, copy)
+
+    @property
+    def edges(self) -> Adjacency:
+        return Adjacency(self.part("edges"), self.part("edges_in"))
+
+    def index(self) -> Index:
+        return Index(**{f.name: self.part(f.name).frame for f in fields(Index)})
 
 
 def load(spark: SparkSession, root: str) -> tuple[int, Index]:
     """The generation that ``root`` points to."""
-    at = current(spark, root)
-    if at is None:
-        raise FileNotFoundError(root)
-    return at[0], _read(spark, at[1])
+    store = StoredIndex.open(spark, root)
+    return store.generation, store.index()
 
 
 def _parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -109,22 +132,29 @@ def index(files: DataFrame, enabled: list[str], locks: DataFrame | None = None,
     hashes = cut(_hashes(first.union(more), nodes, edges))
     states = _states(hashes, incremental.merkle(hashes.select("path", "ast_hash"), _imports(edges)))
     packages = maintain.refresh_packages(old.packages if old else None, maintain.package_index(nodes, edges), F.current_timestamp())
-    return Index(cut(maintain.with_placeholders(nodes, edges)), edges, cut(states), inputs, cut(packages), errors.union(errors2))
+    values = old.values if old else spark.createDataFrame([], OPTION_VALUES)
+    return Index(cut(maintain.with_placeholders(nodes, edges)), edges, cut(states), inputs, cut(packages), errors.union(errors2), values)
 
 
-def update(index: Index, changed: DataFrame, deleted: DataFrame, enabled: list[str], parse_unreferenced: bool = False) -> tuple[Index, DataFrame]:
+def update(index: Index, changed: DataFrame, deleted: DataFrame, enabled: list[str], parse_unreferenced: bool = False, named: tuple | None = None, parsed: tuple | None = None) -> tuple[Index, DataFrame]:
     """The index after a batch, and path, decision of its files.
 
     ``changed``: rows of a listing (path, lang, tier, content); ``deleted``: path.
     Unchanged and merely reformatted files leave the graph alone; a file that nothing
     asks for any more is treated as deleted if it was indexed. Modules that import
-    what changed, over any number of steps, get new Merkle hashes and become dirty.
-    Decisions are taken against the graph as it was before the batch.
+    what changed, over any number of steps, get new Merkle hashes and become dirty, and
+    option values whose expression names one of either by its stem become stale.
+    Decisions are taken against the graph as it was before the batch. ``named``: nodes
+    and edges that name files, if not the index's; ``parsed``: texts, nodes, edges and
+    errors of the changed files, if they are there already.
     """
     states = index.states
-    read = cut(texts(changed))
-    wanted = relevant(read, index.nodes, index.edges, enabled, parse_unreferenced).select("path", F.lit(True).alias("relevant"))
-    nodes, edges, errors = _parsed(read)
+    if parsed is None:
+        read = cut(texts(changed))
+        nodes, edges, errors = _parsed(read)
+    else:
+        read, nodes, edges, errors = parsed
+    wanted = relevant(read, *(named or (index.nodes, index.edges)), enabled, parse_unreferenced).select("path", F.lit(True).alias("relevant"))
     hashes = cut(_hashes(read, nodes, edges))
     fresh = read.join(hashes.select("path", "ast_hash"), "path", "left").join(wanted, "path", "left").withColumn("relevant", F.coalesce("relevant", F.lit(False)))
     decided = incremental.decide(fresh.select("path", F.col("text").alias("content"), "ast_hash", "relevant"), states)
@@ -157,7 +187,65 @@ def update(index: Index, changed: DataFrame, deleted: DataFrame, enabled: list[s
     stay = incremental.mark(stay, importers)
     out = cut(stay.union(_states(now, merkle).select(_STATES)))
     left = index.errors.join(touched, "path", "left_anti").union(errors.join(rebuilt, "path", "left_semi").select("path", "error"))
-    return replace(index, nodes=n, edges=e, states=out, errors=left), decided
+    values = cut(stale_values(index.values, touched.union(importers)))
+    return replace(index, nodes=n, edges=e, states=out, errors=left, values=values), decided
+
+
+def neighbourhood(store: StoredIndex, read: DataFrame, deleted: DataFrame, nodes: DataFrame, edges: DataFrame) -> Index:
+    """The part of a stored index that a batch can change or has to look at; ``read``, ``nodes``, ``edges``: its files' texts and what they own now.
+
+    That is: the files' nodes and what leaves them; edges into nodes that they lose; the
+    ends of all those, and for each placeholder among them one edge of another file that
+    keeps it; the files that import them over any number of steps, with their states,
+    imports and the states of what they import. All of it is read by key.
+    """
+    own = lambda rows, name="id": rows.select(F.col(name).alias("id"))
+    module = lambda path: F.concat(F.lit("nix:"), path)
+    out, into = store.part("edges"), store.part("edges_in")
+    paths = cut(read.select("path").union(deleted.select("path")).distinct())
+    owned = cut(own(store.part("owned").among(paths)).distinct())
+    new = cut(own(nodes).distinct())
+    mine = cut(owned.union(new).distinct())
+    leaving = cut(out.among(mine))
+    entering = cut(into.among(cut(owned.join(new, "id", "left_anti"))))
+    ends = cut(mine.union(own(leaving, "target")).union(own(edges, "target")).distinct())
+    near = cut(store.part("nodes").among(ends))
+    lone = cut(own(near.where(F.col("path").isNull() & synthetic())))
+    witness = lambda side, end: side.among(lone).join(owned.withColumnRenamed("id", "source"), "source", "left_anti").groupBy(end).agg(F.min(F.struct("id", *(c for c in out.columns if c != "id"))).alias("e")).select("e.*")
+    kept = witness(into, "target").unionByName(witness(out, "source"))
+
+    found = fresh = cut(paths.select(module(F.col("path")).alias("id")))
+    while True:
+        asked = into.where("type = 'imports'").among(fresh).where(F.col("source").startswith("nix:"))
+        fresh = cut(own(asked, "source").distinct().join(found, "id", "left_anti"))
+        if fresh.isEmpty():
+            break
+        found = cut(found.union(fresh))
+    imports = cut(out.where("type = 'imports'").among(found))
+    known = imports.select("target").union(edges.where("type = 'imports'").select("target")).where(F.col("target").startswith("nix:"))
+    stated = cut(found.union(own(known, "target")).select(F.substr("id", F.lit(5)).alias("path")).union(paths).distinct())
+    all_edges = cut(leaving.unionByName(entering).unionByName(kept.select(out.columns)).unionByName(imports).dropDuplicates(["id"]))
+    whole = store.index()
+    return Index(near, all_edges, cut(store.part("states").among(stated)), whole.inputs, whole.packages, cut(store.part("errors").among(paths)), whole.values)
+
+
+def apply_batch(spark: SparkSession, root: str, changed: DataFrame, deleted: DataFrame, enabled: list[str], parse_unreferenced: bool = False) -> DataFrame:
+    """:func:`update` of the generation below ``root`` as its next one; path, decision of the batch's files.
+
+    The batch's neighbourhood is read by key, and of each frame only the buckets in which
+    rows changed are written; a batch that changes nothing publishes nothing.
+    """
+    store = StoredIndex.open(spark, root)
+    read = cut(texts(changed))
+    nodes, edges, errors = _parsed(read)
+    part = neighbourhood(store, read, deleted, nodes, edges)
+    after, decided = update(part, changed, deleted, enabled, parse_unreferenced, (store.part("nodes"), store.edges), (read, nodes, edges, errors))
+    manifest = store.manifest
+    for name, keys in (("nodes", ["id"]), ("edges", ["id"]), ("states", ["path"]), ("errors", ["path", "error"]), ("values", ["key"])):
+        manifest = replace_rows(spark, root, manifest, name, getattr(part, name), cut(getattr(after, name)), keys)
+    if manifest["frames"] != store.manifest["frames"]:
+        commit(spark, root, manifest)
+    return decided
 
 
 def _importers(imports: DataFrame, paths: DataFrame) -> DataFrame:
@@ -192,12 +280,10 @@ def consume(root: str, listing: Callable[[], DataFrame], enabled: list[str]) ->
         paths = cut(batch.select(F.explode("items").alias("path")).distinct())
         if paths.isEmpty():
             return
-        _, before = load(batch.sparkSession, root)
+        spark = batch.sparkSession
         files = listing()
         changed = files.join(paths, "path", "left_semi")
-        deleted = paths.join(files.select("path"), "path", "left_anti").join(before.states.select("path"), "path", "left_semi")
-        after, decided = update(before, changed, deleted, enabled)
-        if not decided.where(F.col("decision").isin("deleted", "ast_changed", "formatting_only")).isEmpty():
-            after.publish(root)
+        known = StoredIndex.open(spark, root).part("states").among(paths).select("path")
+        apply_batch(spark, root, changed, paths.join(files.select("path"), "path", "left_anti").join(known, "path", "left_semi"), enabled)
 
     return apply

@@ -77,8 +77,9 @@ def build_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame, new_nodes:
     """Replace the part of the graph that the files in ``paths`` (path) own.
 
     A node that a file owned and no longer has goes, and with it the edges of other
-    files into it, unless one of those is of a shared type. Targets that are then
-    missing get placeholders; placeholders that nothing touches any more are pruned.
+    files into it, unless one of those is of a shared type. Targets of the new edges,
+    and of those kept, that are then missing get placeholders; placeholders that
+    nothing touches any more are pruned.
     """
     owned = nodes.join(paths.select("path"), "path", "left_semi").select("id")
     others = edges.join(owned.withColumnRenamed("id", "source"), "source", "left_anti").select(edges.columns)
@@ -88,7 +89,8 @@ def build_files(nodes: DataFrame, edges: DataFrame, paths: DataFrame, new_nodes:
     kept = others.join(dead.withColumnRenamed("id", "target"), "target", "left_anti").select(edges.columns)
     all_edges = cut(upsert(kept, new_edges.select(edges.columns), "id"))  # read several times below
     real = cut(upsert(nodes.join(owned, "id", "left_anti").select(nodes.columns), new_nodes.select(nodes.columns), "id"))
-    return prune_orphans(with_placeholders(real, all_edges), all_edges), all_edges
+    at_stake = new_edges.select("target").union(kept.join(dropped.withColumnRenamed("id", "target"), "target", "left_semi").select("target"))
+    return prune_orphans(with_placeholders(real, at_stake), all_edges), all_edges
 
 
 def with_placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Symbol search: token phrases per column (full text) and LIKE filters, both paged in a fixed order."""
+"""Symbol search: token phrases per column (full text) and LIKE filters, both paged in a fixed order.
+
+Full text reads either the columns themselves or their postings: a row for each token,
+column and node with the token's places, which a store keeps by token. A phrase is then a
+join of its tokens' rows on node and column in which places follow one another, and only
+the rows of the asked tokens are read.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +17,9 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeeggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
+#: Found ids up to which the nodes are asked for them by value.
+_FEW = 1_000
+
 
 def normalised(column: Column) -> Column:
     """`` t1 t2 `` of a column: letters and digits only, folded, between single spaces."""
@@ -33,9 +42,55 @@ def query_phrases(query: str) -> list[str]:
     return [fold(x) for x in query.split()]
 
 
-def full_text(nodes: DataFrame, query: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows all of whose query parts stand as a phrase in some column; if none, rows with any part (two parts or more)."""
-    columns = columns or [c for c in ("id", "name", "type", "lang") if c in nodes.columns]
+TEXT_COLUMNS = ("id", "name", "type", "lang")
+
+
+def postings(nodes: DataFrame, columns: tuple[str, ...] | list[str] = TEXT_COLUMNS) -> DataFrame:
+    """token, column, id, places (sorted) of every token of the text columns of ``nodes``."""
+    texts = [F.struct(F.lit(c).alias("column"), normalised(F.col(c)).alias("text")) for c in columns if c in nodes.columns]
+    each = nodes.select("id", F.explode(F.array(*texts)).alias("t")).where(F.trim("t.text") != "")
+    tokens = each.select("id", "t.column", F.posexplode(F.split(F.trim("t.text"), " ")).alias("place", "token"))
+    return tokens.groupBy("token", "column", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def _phrase_ids(found: DataFrame, phrase: str) -> DataFrame:
+    """id of the nodes with the phrase in one of their columns; ``found``: the postings of all tokens asked for."""
+    ends = None
+    for token in phrase.split(" "):
+        rows = found.where(F.col("token") == token).select("id", "column", "places")
+        if ends is None:
+            ends = rows.withColumnRenamed("places", "ends")
+        else:
+            after = F.array_intersect(F.transform("ends", lambda i: i + 1), "places")
+            ends = ends.join(rows, ["id", "column"]).select("id", "column", after.alias("ends")).where(F.size("ends") > 0)
+    return ends.select("id").distinct()
+
+
+def posted_ids(posted: DataFrame, query: str, columns: list[str] | None = None) -> DataFrame:
+    """id of the nodes that :func:`full_text` finds, by postings: a frame, or a store's copy by token."""
+    phrases = query_phrases(query)
+    named = sorted({t for p in phrases for t in p.split(" ") if t})
+    at = posted.at(named) if hasattr(posted, "at") else posted.where(F.col("token").isin(named))
+    found = at if columns is None else at.where(F.col("column").isin(columns))
+    none = found.select("id").limit(0)
+    hits = [_phrase_ids(found, p) if p else none for p in phrases]
+    if not hits:
+        return none
+    every = reduce(lambda a, b: a.join(b, "id", "left_semi"), hits)
+    if len(hits) == 1 or not every.isEmpty():
+        return every
+    return reduce(DataFrame.union, hits).distinct()
+
+
+def full_text(nodes: DataFrame, query: str, columns: list[str] | None = None, posted: DataFrame | None = None) -> DataFrame:
+    """Rows all of whose query parts stand as a phrase in some column; if none, rows with any part (two parts or more). ``posted``: the nodes' postings."""
+    if posted is not None:
+        ids = posted_ids(posted, query, columns)
+        few = ids.limit(_FEW + 1).collect()
+        if len(few) <= _FEW and hasattr(nodes, "at"):
+            return nodes.at(r["id"] for r in few)
+        return nodes.select("*").join(ids, "id", "left_semi")
+    columns = columns or [c for c in TEXT_COLUMNS if c in nodes.columns]
     phrases = query_phrases(query)
     if not phrases:
         return nodes.where(F.lit(False))
@@ -72,9 +127,14 @@ def like_search(nodes: DataFrame, query: str, lang: str | None = None, types: li
     return out
 
 
-def find_symbol(nodes: DataFrame, query: str, lang: str | None = None, node_type: str | list[str] | None = None, path_contains: str | None = None, id_prefix: str | None = None, fuzzy: bool = False, limit: int = 10, offset: int = 0) -> DataFrame:
+def find_symbol(nodes: DataFrame, query: str, lang: str | None = None, node_type: str | list[str] | None = None, path_contains: str | None = None, id_prefix: str | None = None, fuzzy: bool = False, limit: int = 10, offset: int = 0, posted: DataFrame | None = None) -> DataFrame:
     """Any structural filter (or ``fuzzy``) takes LIKE ordered by name, else full text ordered by id."""
     types = [node_type] if isinstance(node_type, str) else node_type
     if fuzzy or lang or types or path_contains or id_prefix:
         return like_search(nodes, query, lang, types, path_contains, id_prefix).orderBy("name", "id").offset(offset).limit(limit)
-    return full_text(nodes, query).orderBy("id").offset(offset).limit(limit)
+    if posted is None:
+        return full_text(nodes, query).orderBy("id").offset(offset).limit(limit)
+    page = posted_ids(posted, query).orderBy("id").offset(offset).limit(limit)  # a page of ids first, then their rows
+    ids = [r["id"] for r in page.collect()]
+    rows = nodes.at(ids) if hasattr(nodes, "at") else nodes.where(F.col("id").isin(ids))
+    return rows.orderBy("id")

@@ -6,13 +6,16 @@ the same call, so that both stay together.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotweave.operators import health, incremental, lookup, maintain, search, traverse, usage
-from knotweave.plans.store import Adjacency, Clustered, fingerprint, publish, published
+from knotweave.operators.substring import containing
+from knotweave.plans.session import shared_top
+from knotweave.plans.store import Adjacency, Clustered, clustered, fingerprint, publish, published, write_frames
 from knotweave.sources import star
 from knotweave.sources.star import EDGES_SQL, GRAPH_SQL, NODES_SQL, table
 
@@ -282,24 +285,47 @@ def _parts(spark, d):
     return table(spark, d, "part").select(star.node_id("part", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("part").alias("type"), F.col("p_name").alias("path"))
 
 
+def stored_parts(spark: SparkSession, sf_dir: str) -> tuple[Clustered, Clustered]:
+    """The parts and their postings, written once a session and state of the table. Names are searched: ids and types would only repeat the word ``part``."""
+    key = (spark.sparkContext.applicationId, sf_dir, "parts", fingerprint(spark, f"{sf_dir}/part.parquet"))
+    if key not in _STORED_PARTS:
+        root = f"{shared_top(spark)}/parts-{uuid.uuid4().hex}"
+        manifest = write_frames(root, {"nodes": _parts(spark, sf_dir)}, without=("owned",))
+        _STORED_PARTS[key] = clustered(spark, root, manifest, "nodes"), clustered(spark, root, manifest, "postings")
+    return _STORED_PARTS[key]
+
+
+_STORED_PARTS: dict[tuple, tuple[Clustered, Clustered]] = {}
+
+
 @query("ft1_and", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' small ') AND contains({_NORM}, ' ring ')")
 def _(spark, d):
-    return search.full_text(_parts(spark, d), "Small RING", ["name"]).select("id")
+    nodes, posted = stored_parts(spark, d)
+    return search.full_text(nodes, "Small RING", ["name"], posted).select("id")
 
 
 @query("ft1_or_fallback", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' ring ') OR contains({_NORM}, ' bolt ')")
 def _(spark, d):
-    return search.full_text(_parts(spark, d), "ring bolt", ["name"]).select("id")
+    nodes, posted = stored_parts(spark, d)
+    return search.full_text(nodes, "ring bolt", ["name"], posted).select("id")
 
 
-@query("ft4_find_page", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' ring ') ORDER BY id LIMIT 20 OFFSET 10")
+@query("ft1_phrase", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' small ring ')")
 def _(spark, d):
-    return search.find_symbol(_only_name(_parts(spark, d)), "ring", limit=20, offset=10).select("id")
+    nodes, posted = stored_parts(spark, d)
+    return search.full_text(nodes, "Small-RING", ["name"], posted).select("id")
 
 
-def _only_name(nodes: DataFrame) -> DataFrame:
-    """Names are searched; ids and types of the star schema would only repeat the word ``part``."""
-    return nodes.select("id", "name")
+@query("ft5_postings", f"""WITH w AS (SELECT 'part:' || p_partkey AS id, string_split(trim({_NORM}), ' ') AS w FROM part), x AS (SELECT id, unnest(w) AS token, unnest(range(0, len(w))) AS place FROM w)
+SELECT token, id, array_to_string(list(place ORDER BY place), ',') AS places FROM x WHERE token <> '' GROUP BY token, id""")
+def _(spark, d):
+    return search.postings(_parts(spark, d), ["name"]).select("token", "id", F.array_join("places", ",").alias("places"))
+
+
+@query("ft4_find_page", f"SELECT 'part:' || p_partkey AS id FROM part WHERE contains({_NORM}, ' ring ') ORDER BY id LIMIT 20 OFFSET 10")
+def _(spark, d):
+    nodes, posted = stored_parts(spark, d)
+    return search.find_symbol(nodes, "ring", limit=20, offset=10, posted=posted.where("column = 'name'")).select("id")
 
 
 @query("flt1_like_contains", "SELECT 'part:' || p_partkey AS id, p_name AS name FROM part WHERE lower(p_name) LIKE '%r_ng%' ORDER BY name, id LIMIT 50")
@@ -413,6 +439,14 @@ def _(spark, d):
     return incremental.cascade(nodes, edges.withColumn("type", F.when(F.col("type") == "references", "imports").otherwise(F.col("type"))), ["region:1"])
 
 
+@query("jn11_containing", """WITH n AS (SELECT DISTINCT substr(p_name, 1 + CAST(p_partkey % 4 AS INTEGER), 1 + CAST(p_partkey % 7 AS INTEGER)) AS needle FROM part)
+SELECT p_partkey AS key, needle FROM part JOIN n ON needle <> '' AND contains(p_name, needle)""")
+def _(spark, d):
+    parts = table(spark, d, "part")
+    needles = parts.select(F.substr("p_name", (1 + F.col("p_partkey") % 4).cast("int"), (1 + F.col("p_partkey") % 7).cast("int")).alias("needle"))
+    return containing(parts.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text")), needles)
+
+
 @query("inc9_invalidate", """SELECT 'part:' || p_partkey AS key, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'red') THEN 'stale' ELSE 'ok' END AS status FROM part""")
 def _(spark, d):
     values = table(spark, d, "part").select(star.node_id("part", "p_partkey").alias("key"), F.col("p_name").alias("expr"), F.lit("ok").alias("status"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from knotweave.operators.search import postings
 from knotweave.plans.session import shared_top
 
 POINTER = "CURRENT"
@@ -33,9 +34,9 @@ BUCKETS = 64
 #: Rows of a counted frame up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 
-# Each frame's copies and the key of each.
+# Each frame's copies and the key of each; owned and postings are derived from nodes.
 COPIES = {
-    "nodes": {"nodes": "id", "owned": "path"}, "edges": {"edges": "source", "edges_in": "target"}, "states": {"states": "path"}, "inputs": {"inputs": "name"},
+    "nodes": {"nodes": "id", "owned": "path", "postings": "token"}, "edges": {"edges": "source", "edges_in": "target"}, "states": {"states": "path"}, "inputs": {"inputs": "name"},
     "packages": {"packages": "attribute"}, "errors": {"errors": "path"}, "values": {"values": "key"},
 }
 
@@ -69,6 +70,12 @@ class Clustered:
     def where(self, condition: Column | str) -> Clustered:
         return Clustered(self.rows.where(condition), self.key, self.buckets)
 
+    def __getattr__(self, name: str):
+        """Whatever else is asked for is asked of the frame."""
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.frame, name)
+
     def _part(self, numbers: list[int]) -> DataFrame:
         return self.rows.where(F.expr(f"_bucket IN ({', '.join(map(str, numbers))})") if numbers else F.lit(False))
 
@@ -100,9 +107,10 @@ class Adjacency:
     def columns(self) -> list[str]:
         return self.out.columns
 
-    @property
-    def sparkSession(self) -> SparkSession:  # noqa: N802  as frames call it
-        return self.out.rows.sparkSession
+    def __getattr__(self, name: str):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return getattr(self.out.frame, name)
 
     def where(self, condition: Column | str) -> Adjacency:
         return Adjacency(self.out.where(condition), self.into.where(condition))
@@ -153,21 +161,25 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 def _write(rows: DataFrame, key: str, buckets: int, folder: str) -> list[int]:
     """Write rows below ``folder`` in buckets; the numbers of those that got any. A frequent key is split by id."""
     dealt = rows.withColumn("_bucket", bucket_of(F.col(key), buckets))
-    order = ["_bucket", key, *(c for c in ("id",) if c in rows.columns and c != key)]
+    order = ["_bucket", key, *(["id"] if "id" in rows.columns and key != "id" else [])]
     dealt.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("_bucket").parquet(folder)
     return sorted(int(n.split("=")[1]) for n, _ in _names(rows.sparkSession, folder) if "=" in n)
 
 
-def _copy(name: str, copy: str, rows: DataFrame) -> DataFrame:
-    return rows.where("path is not null").select("path", "id") if copy == "owned" else rows
+def _copy(copy: str, rows: DataFrame) -> DataFrame:
+    if copy == "owned":
+        return rows.where("path is not null").select("path", "id")
+    return postings(rows) if copy == "postings" else rows
 
 
-def write_frames(root: str, frames: dict[str, DataFrame], buckets: int = BUCKETS) -> dict:
-    """Write all of ``frames`` below ``root``; the manifest of a generation that consists of them."""
+def write_frames(root: str, frames: dict[str, DataFrame], buckets: int = BUCKETS, without: tuple[str, ...] = ()) -> dict:
+    """Write all of ``frames`` below ``root``, but not the copies ``without``; the manifest of a generation that consists of them."""
     manifest = {"buckets": buckets, "frames": {}}
     for name, rows in frames.items():
         for copy, key in COPIES[name].items():
-            batch, part = uuid.uuid4().hex, _copy(name, copy, rows)
+            if copy in without:
+                continue
+            batch, part = uuid.uuid4().hex, _copy(copy, rows)
             numbers = _write(part, key, buckets, f"{root}/{copy}/_batch={batch}")
             manifest["frames"][copy] = {"key": key, "schema": part.schema.jsonValue(), "live": {batch: numbers}}
     return manifest
@@ -180,7 +192,9 @@ def replace_rows(spark: SparkSession, root: str, manifest: dict, name: str, befo
     """
     frames = dict(manifest["frames"])
     for copy, key in COPIES[name].items():
-        entry, old, new = frames[copy], _copy(name, copy, before), _copy(name, copy, after)
+        if copy not in frames:
+            continue
+        entry, old, new = frames[copy], _copy(copy, before), _copy(copy, after)
         number = bucket_of(F.col(key), manifest["buckets"])
         # rows are compared by a digest of all columns: some types can't be compared as sets
         digest = lambda rows: rows.select(number.alias("_bucket"), F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("d"))  # noqa: E731, B023
@@ -188,7 +202,7 @@ def replace_rows(spark: SparkSession, root: str, manifest: dict, name: str, befo
         touched = sorted(r[0] for r in a.exceptAll(b).union(b.exceptAll(a)).select("_bucket").distinct().collect())  # at most all buckets' numbers
         if not touched:
             continue
-        own = ["path", "id"] if copy == "owned" else keys
+        own = {"owned": ["path", "id"], "postings": ["token", "column", "id"]}.get(copy, keys)
         same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in own]
         stay = clustered(spark, root, manifest, copy)._part(touched).alias("l").join(old.select(own).distinct().alias("r"), same, "left_anti").select(old.columns)
         fresh = new.where(number.isin(touched)).select(old.columns)
@@ -275,8 +289,7 @@ def retain(spark: SparkSession, root: str, generations: int = 2, older_than: flo
 def publish(nodes: DataFrame, edges: DataFrame, root: str | None = None, buckets: int = BUCKETS) -> tuple[str, dict]:
     """Write a graph below ``root`` (a new folder of the shared one if not given): the root and the manifest, for :func:`published`."""
     root = root or f"{shared_top(nodes.sparkSession)}/graph-{uuid.uuid4().hex}"
-    nodes = nodes if "path" in nodes.columns else nodes.withColumn("path", F.lit(None).cast("string"))
-    return root, write_frames(root, {"nodes": nodes, "edges": edges}, buckets)
+    return root, write_frames(root, {"nodes": nodes, "edges": edges}, buckets, without=("owned", "postings"))
 
 
 def published(spark: SparkSession, root: str, manifest: dict) -> tuple[Clustered, Adjacency]:

@@ -86,7 +86,7 @@ def relevant(files: DataFrame, nodes: DataFrame | Clustered, edges: DataFrame |
     """
     always = files.where(F.col("tier") == 0)
     rest = files.where((F.col("tier") > 0) & F.col("lang").isin(enabled))
-    if parse_unreferenced:
+    if parse_unreferenced or rest.isEmpty():
         return always.union(rest)
     named = plain(nodes).where(F.col("type") == "file").select(F.substr("id", F.lit(6)).alias("f")).union(
         plain(edges).where(F.col("type").isin("configures", "generates")).select(F.regexp_replace("target", "^file:", "").alias("f"))
