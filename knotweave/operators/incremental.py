@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from knotweave.operators.traverse import BROADCAST_ROWS, Edges, Nodes, _side, nodes_at, walk
 from knotweave.operators.substring import containing
-from knotweave.plans.session import cut
+from knotweave.plans.session import table as cut
 
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from knotweave.extract.registry import extract, graph_rows
 from knotweave.operators import incremental, maintain
 from knotweave.operators.health import synthetic
-from knotweave.plans.session import cut
+from knotweave.plans.session import table as cut
 from knotweave.plans.store import BUCKETS, Adjacency, Clustered, clustered, commit, current, manifest_of, replace_rows, write_frames
 from knotweave.sources.files import relevant, texts
 from knotweave.schema import OPTION_VALUES

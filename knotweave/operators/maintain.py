@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.operators.health import synthetic
-from knotweave.plans.session import cut
+from knotweave.plans.session import table as cut
 from knotweave.schema import SHARED_TYPES
 
 

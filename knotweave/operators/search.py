@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeeggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
+#: Parts of a token's postings in a store.
+SPREAD = 32
 #: Found ids up to which the nodes are asked for them by value.
 _FEW = 1_000
 
@@ -53,6 +55,11 @@ def postings(nodes: DataFrame, columns: tuple[str, ...] | list[str] = TEXT_COLUM
     return tokens.groupBy("token", "column", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
 
+def with_slots(posted: DataFrame) -> DataFrame:
+    """Postings with the key by which a store keeps them: a token's rows are spread by id, so that a change of one node doesn't rewrite all of a frequent token."""
+    return posted.withColumn("slot", F.concat_ws("#", "token", (F.crc32("id") % SPREAD).cast("string")))
+
+
 def _phrase_ids(found: DataFrame, phrase: str) -> DataFrame:
     """id of the nodes with the phrase in one of their columns; ``found``: the postings of all tokens asked for."""
     ends = None
@@ -70,7 +77,7 @@ def posted_ids(posted: DataFrame, query: str, columns: list[str] | None = None)
     """id of the nodes that :func:`full_text` finds, by postings: a frame, or a store's copy by token."""
     phrases = query_phrases(query)
     named = sorted({t for p in phrases for t in p.split(" ") if t})
-    at = posted.at(named) if hasattr(posted, "at") else posted.where(F.col("token").isin(named))
+    at = posted.at(f"{t}#{i}" for t in named for i in range(SPREAD)) if hasattr(posted, "at") else posted.where(F.col("token").isin(named))
     found = at if columns is None else at.where(F.col("column").isin(columns))
     none = found.select("id").limit(0)
     hits = [_phrase_ids(found, p) if p else none for p in phrases]

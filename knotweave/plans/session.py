@@ -30,13 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` written to the shared folder as a table and read back, and how many rows it has.
-
-    Unlike a checkpoint it is computed once only, and counting reads no more than the files' ends.
-    """
+def table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a table: computed once, where a checkpoint computes its rows and then once more to write them."""
     spark = df.sparkSession
     path = f"{shared_top(spark)}/frame-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` as a table, and how many rows it has; counting them reads no more than the files' ends."""
+    back = table(df)
     return back, back.count()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from knotweave.operators.search import postings
+from knotweave.operators.search import postings, with_slots
 from knotweave.plans.session import shared_top
 
 POINTER = "CURRENT"
@@ -36,7 +36,7 @@ BROADCAST_ROWS = 100_000
 
 # Each frame's copies and the key of each; owned and postings are derived from nodes.
 COPIES = {
-    "nodes": {"nodes": "id", "owned": "path", "postings": "token"}, "edges": {"edges": "source", "edges_in": "target"}, "states": {"states": "path"}, "inputs": {"inputs": "name"},
+    "nodes": {"nodes": "id", "owned": "path", "postings": "slot"}, "edges": {"edges": "source", "edges_in": "target"}, "states": {"states": "path"}, "inputs": {"inputs": "name"},
     "packages": {"packages": "attribute"}, "errors": {"errors": "path"}, "values": {"values": "key"},
 }
 
@@ -169,7 +169,7 @@ def _write(rows: DataFrame, key: str, buckets: int, folder: str) -> list[int]:
 def _copy(copy: str, rows: DataFrame) -> DataFrame:
     if copy == "owned":
         return rows.where("path is not null").select("path", "id")
-    return postings(rows) if copy == "postings" else rows
+    return with_slots(postings(rows)) if copy == "postings" else rows
 
 
 def write_frames(root: str, frames: dict[str, DataFrame], buckets: int = BUCKETS, without: tuple[str, ...] = ()) -> dict:
