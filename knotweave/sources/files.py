@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotweave.operators.substring import containing
 from knotweave.plans.store import Adjacency, Clustered, plain
-
-# Folders that are never read (the engine's own among them).
-SKIP_DIRS = [".git", ".venv", ".knotweave", ".direnv", "__pycache__", "result", ".mypy_cache", ".pytest_cache", "target", "node_modules"]
+from knotweave.sources.tree import SKIP_DIRS, opened, tree
 
 # Suffixes, their language and their tier (0 is always read).
 LANGUAGES = {"nix": ("nix", 0), "py": ("python", 1), "kdl": ("kdl", 1)}
@@ -25,6 +25,15 @@ def excluded(path: Column, prefixes: list[str]) -> Column:
 
 def _config_folders(spark: SparkSession, base: str) -> list[str]:
     """Folders named .config, at any depth: Spark leaves hidden folders out of a recursive read, so they are named to it."""
+    try:
+        opened(base)
+    except (pa.ArrowException, OSError):  # a store that only Spark's own readers know
+        return _config_folders_by_hadoop(spark, base)
+    own = tree(spark, base).where(F.col("folder") & F.col("path").rlike(r"(^|/)\.config$")).select("path")
+    return [f"{base}/{r['path']}" for r in own.collect()]  # one name for each such folder, as the read takes names
+
+
+def _config_folders_by_hadoop(spark: SparkSession, base: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found, open_ = [], [path(base)]
@@ -62,7 +71,7 @@ def listing(spark: SparkSession, root: str, exclude: list[str] | None = None) ->
     base = root.rstrip("/")
     roots = [base, *_config_folders(spark, base)]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(LANGUAGES) + "}").load(roots)
-    relative = F.regexp_replace("path", "^(?:[a-z]+:/*)?" + "/*" + base.split("://")[-1].strip("/").replace(".", r"\.") + "/", "")
+    relative = F.regexp_replace("path", "^(?:[a-z]+:/*)?" + "/*" + re.escape(base.split("://")[-1].strip("/")) + "/", "")
     hidden = r"(^|/)(?!\.config(/|$))\.[^/]+(/|$)"
     skipped = "(^|/)(" + "|".join(x.replace(".", r"\.") for x in SKIP_DIRS) + ")/"
     table = F.create_map(*(x for k, (lang, tier) in LANGUAGES.items() for x in (F.lit(k), F.struct(F.lit(lang).alias("lang"), F.lit(tier).alias("tier")))))
