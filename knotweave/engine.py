@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +50,9 @@ class GraphEngine:
     def _count(self, verb: str) -> None:
         self.served[verb] = self.served.get(verb, 0) + 1
 
-    def _kept(self, verb: str, args: tuple, make) -> DataFrame:
-        self._count(verb)
+    def _kept(self, verb: str, args: tuple, make: Callable[[], DataFrame], counted: bool = True) -> DataFrame:
+        if counted:
+            self._count(verb)
         key = (verb, self.generation, *args)
         if key not in self._cache:
             if len(self._cache) >= self.max_cached:  # first in, first out
@@ -60,6 +61,20 @@ class GraphEngine:
             self._note(self._cache[key])
         return self._cache[key]
 
+    def _kept_pair(self, verb: str, args: tuple, make: Callable[[], Sequence[DataFrame]]) -> Sequence[DataFrame]:
+        """Nodes, and edges that are planned when asked for; both are kept."""
+        pair: list[Sequence[DataFrame]] = []
+
+        def both() -> Sequence[DataFrame]:
+            if not pair:
+                pair.append(make())
+            return pair[0]
+
+        def edges() -> DataFrame:
+            return self._kept(f"{verb}_edges", args, lambda: both()[1], counted=False)
+
+        return traverse.Lazy(self._kept(verb, args, lambda: both()[0]), edges)
+
     def _note(self, answer: DataFrame) -> None:
         """Remember which nodes an answer named."""
         node = next((c for c in ("neighbour", "id") if c in answer.columns), None)
@@ -91,17 +106,17 @@ class GraphEngine:
             return self._kept("observe", (node, depth), lambda: lookup.observe_deep(self.nodes, self.edges, node, depth))
         return self._kept("observe", (node, depth), lambda: self._with_snippets(lookup.observe(self.nodes, self.edges, node), "neighbour"))
 
-    def hop(self, node: str, relation: str | None = None, depth: int = 1, width: int = 10) -> tuple[DataFrame, DataFrame]:
+    def hop(self, node: str, relation: str | None = None, depth: int = 1, width: int = 10) -> Sequence[DataFrame]:
         _budget(depth * width <= MAX_HOP_VOLUME, f"width * depth exceeds {MAX_HOP_VOLUME}")
         _budget(depth <= MAX_HOP_DEPTH, f"depth {depth} exceeds {MAX_HOP_DEPTH}")
-        return traverse.hop(self.nodes, self.edges, node, relation, depth, width)
+        return self._kept_pair("hop", (node, relation, depth, width), lambda: traverse.hop(self.nodes, self.edges, node, relation, depth, width))
 
     def path(self, source: str, target: str) -> DataFrame:
         return self._kept("path", (source, target), lambda: traverse.shortest_path(self.nodes, self.edges, source, target))
 
-    def blast_radius(self, node: str, max_depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    def blast_radius(self, node: str, max_depth: int = 5) -> Sequence[DataFrame]:
         _budget(max_depth <= MAX_CLOSURE_DEPTH, f"max_depth {max_depth} exceeds {MAX_CLOSURE_DEPTH}")
-        return traverse.blast_radius(self.nodes, self.edges, node, max_depth)
+        return self._kept_pair("blast_radius", (node, max_depth), lambda: traverse.blast_radius(self.nodes, self.edges, node, max_depth))
 
     def dependencies(self, node: str, max_depth: int = 5, reverse: bool = False) -> DataFrame:
         _budget(max_depth <= MAX_CLOSURE_DEPTH, f"max_depth {max_depth} exceeds {MAX_CLOSURE_DEPTH}")
@@ -120,8 +135,21 @@ class GraphEngine:
         self._need(f"nix:{path}")
         return self._kept("summarize", (path,), lambda: lookup.summarize_module(self.nodes, self.edges, path))
 
-    def option(self, option: str) -> DataFrame:
-        return self._kept("option", (option,), lambda: lookup.introspect_option(self.nodes, self.edges, option))
+    def module_edges(self, path: str) -> DataFrame:
+        self._need(f"nix:{path}")
+        return self._kept("module_edges", (path,), lambda: lookup.module_edges(self.nodes, self.edges, path).orderBy("direction", "id"))
+
+    def option(self, option: str, include_value: bool = False) -> DataFrame:
+        """One row about an option; with ``include_value`` also its stored value (null where there is none)."""
+
+        def make() -> DataFrame:
+            found = lookup.introspect_option(self.nodes, self.edges, option)
+            if include_value:
+                found = found.join(F.broadcast(lookup.option_value(self._indexed().values, option)), F.lit(True), "left")  # one row each
+            named = self._with_snippets(found.withColumn("id", F.lit(f"nix_option:{option}")), "id")
+            return named.drop("id")
+
+        return self._kept("option", (option, include_value), make)
 
     def find(self, query: str, **filters: object) -> DataFrame:
         return self._kept("find", (query, *sorted((k, repr(v)) for k, v in filters.items())), lambda: self._with_snippets(search.find_symbol(self.nodes, query, posted=self.posted, **filters), "id"))

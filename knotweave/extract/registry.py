@@ -56,21 +56,26 @@ def parse_safely(lang: str, path: str, text: str) -> tuple[list[Node], list[Edge
 SCHEMA = "kind string, path string, id string, type string, name string, lang string, source string, target string, metadata string, line int, ord long, error string"
 
 
+def parsed_rows(lang: str, path: str, text: str) -> list[tuple]:
+    """The rows (see SCHEMA) of one file."""
+    nodes, edges, error = parse_safely(lang, path, text)
+    rows: list[tuple] = []
+    for i, (id_, kind, name, node_lang, meta) in enumerate(nodes):
+        rows.append(("node", path, id_, kind, name, node_lang, None, None, json.dumps(meta, sort_keys=True), meta.get("line"), i, None))
+    for i, (source, target, kind, meta) in enumerate(edges):
+        rows.append(("edge", path, edge_id(source, kind, target, meta), kind, None, lang, source, target, json.dumps(meta, sort_keys=True), meta.get("line"), i, None))
+    if error:
+        rows.append(("error", path, None, None, None, lang, None, None, None, None, 0, error))
+    return rows
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Rows of kind node, edge or error for files (path, lang, text); files without text are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for b in batches:
-            rows: list[tuple] = []
-            for path, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                nodes, edges, error = parse_safely(lang, path, text)
-                for i, (id_, kind, name, node_lang, meta) in enumerate(nodes):
-                    rows.append(("node", path, id_, kind, name, node_lang, None, None, json.dumps(meta, sort_keys=True), meta.get("line"), i, None))
-                for i, (source, target, kind, meta) in enumerate(edges):
-                    rows.append(("edge", path, edge_id(source, kind, target, meta), kind, None, lang, source, target, json.dumps(meta, sort_keys=True), meta.get("line"), i, None))
-                if error:
-                    rows.append(("error", path, None, None, None, lang, None, None, None, None, 0, error))
+            rows = [r for path, lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in parsed_rows(lang, path, text)]
             types = [pa.string()] * 9 + [pa.int32(), pa.int64(), pa.string()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

@@ -76,6 +76,29 @@ def summarize_module(nodes: DataFrame, edges: DataFrame, path: str, module_prefi
     )  # four one-row frames
 
 
+def module_edges(nodes: Nodes, edges: Edges, path: str, module_prefix: str = "nix:") -> DataFrame:
+    """direction, id, source, target, type, dangling of the edges that leave the nodes of the file at ``path`` and of those that enter its module.
+
+    An outgoing edge dangles if its target is no node, an incoming one if its source isn't.
+    """
+    columns = ["id", "source", "target", "type"]
+    mine = nodes.where(F.col("path") == path).select(F.col("id").alias("source"))
+    few = gather(mine.distinct(), 1_000)
+    out = plain(edges).join(mine, "source", "left_semi") if few is None else edges_at(edges, [r["source"] for r in few])
+    both = out.select(F.lit("out").alias("direction"), *columns).union(edges_at(edges, [module_prefix + path], reverse=True).select(F.lit("in"), *columns))
+    other = F.when(F.col("direction") == "out", F.col("target")).otherwise(F.col("source"))
+    known = plain(nodes).select(F.col("id").alias("other"), F.lit(False).alias("loose")).distinct()
+    return both.withColumn("other", other).join(known, "other", "left").select("direction", *columns, F.col("loose").isNull().alias("dangling"))
+
+
+def option_value(values: DataFrame, option: str) -> DataFrame:
+    """At most one row: value, value_status of the option's stored value, the last computed; an error's first line goes with the status."""
+    mine = values.where(F.col("expr") == f"config.{option}")
+    detail = F.substring(F.trim(F.split(F.trim("error"), "\n").getItem(0)), 1, 300)
+    status = F.when(F.coalesce(detail, F.lit("")) != "", F.concat_ws(": ", "status", detail)).otherwise(F.col("status"))
+    return mine.orderBy(F.desc("computed_at"), "key").limit(1).select(F.col("value_json").alias("value"), status.alias("value_status"))
+
+
 def introspect_option(nodes: DataFrame, edges: DataFrame, option: str) -> DataFrame:
     """One row: where an option is declared (last by edge id), set, and conditionally set. An unknown option isn't an error."""
     target = f"nix_option:{option}"
@@ -97,14 +120,26 @@ def risk(total: Column) -> Column:
     return F.when(total < 5, "low").when(total < 15, "medium").otherwise("high")
 
 
-def impact(nodes: Nodes, edges: Edges, node: str, max_depth: int, module_types: list[str], option_types: list[str], file_types: list[str]) -> DataFrame:
-    """One row: what changing ``node`` affects, by kind, and the risk."""
+def impact_members(nodes: Nodes, edges: Edges, node: str, max_depth: int, module_types: list[str], option_types: list[str], file_types: list[str]) -> DataFrame:
+    """kind (module, option, file), name of everything that changing ``node`` affects, each once: paths of modules, names of options and files.
+
+    Files are also those that an affected node configures or generates.
+    """
     reached, inside = blast_radius(nodes, edges, node, max_depth)
-    kinds = reached.join(plain(nodes).select("id", "type"), "id")
-    files = kinds.where(F.col("type").isin(file_types)).select("id").union(inside.where(F.col("type").isin("configures", "generates") & F.col("target").startswith("file:")).select("target")).distinct()
-    counts = kinds.agg(F.count_if(F.col("type").isin(module_types)).alias("modules"), F.count_if(F.col("type").isin(option_types)).alias("options"))
-    total = F.col("modules") + F.col("options") + F.col("files")
-    return counts.crossJoin(files.agg(F.count("*").alias("files"))).select(F.lit(node).alias("node"), "modules", "options", "files", risk(total).alias("risk"))
+    typed = reached.join(plain(nodes).select("id", "type", "name"), "id")
+    kind = F.when(F.col("type").isin(module_types), "module").when(F.col("type").isin(option_types), "option").when(F.col("type").isin(file_types), "file")
+    path = F.split(F.regexp_replace("id", "^nix:", ""), "::").getItem(0)
+    name = F.when(kind == "module", path).when(kind == "option", F.regexp_replace("id", "^nix_option:", "")).otherwise(F.col("name"))
+    made = inside.where(F.col("type").isin("configures", "generates") & F.col("target").startswith("file:"))
+    return typed.select(kind.alias("kind"), name.alias("name")).where("kind is not null").union(made.select(F.lit("file"), F.regexp_replace("target", "^file:", ""))).distinct()
+
+
+def impact(nodes: Nodes, edges: Edges, node: str, max_depth: int, module_types: list[str], option_types: list[str], file_types: list[str]) -> DataFrame:
+    """One row: how many members of each kind changing ``node`` affects, and the risk."""
+    members = impact_members(nodes, edges, node, max_depth, module_types, option_types, file_types)
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = members.agg(n("module").alias("modules"), n("option").alias("options"), n("file").alias("files"))
+    return counts.select(F.lit(node).alias("node"), "modules", "options", "files", risk(F.col("modules") + F.col("options") + F.col("files")).alias("risk"))
 
 
 def impact_evidence(nodes: Nodes, edges: Edges, node: str, max_depth: int, limit: int = EVIDENCE_LIMIT) -> DataFrame:

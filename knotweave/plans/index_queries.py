@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotweave.operators import health, incremental, indexing, lookup, maintain, usage
-from knotweave.plans.catalog import graph, query
+from knotweave.extract.udtf import register
+from knotweave.plans.catalog import BROKEN_SQL, graph, query, stored, stored_broken
+from knotweave.plans.session import shared_top
+from knotweave.plans.store import fingerprint
 from knotweave.sources import star
 from knotweave.sources.lock import parse_lock
 from knotweave.sources.star import GRAPH_SQL, NODES_SQL, table
@@ -64,6 +70,72 @@ def _(spark, d):
     return after.states.select("path", "dirty")
 
 
+def _after_batch(spark: SparkSession, d: str) -> indexing.Index:
+    """The repository of :func:`repository`, published, after the batch of inc7_inc8_update has been applied to what is stored."""
+    key = (spark.sparkContext.applicationId, d, tuple(fingerprint(spark, f"{d}/{t}.parquet") for t in ("region", "nation", "supplier", "customer", "part")))
+    if key in _AFTER:
+        return indexing.load(spark, _AFTER[key])[1]
+    files, root = repository(spark, d), f"{shared_top(spark)}/index-{uuid.uuid4().hex}"
+    parts = table(spark, d, "part")
+    given = {"key": F.col("p_partkey").cast("string"), "expr": F.concat(F.lit("config.opt"), F.col("p_partkey").cast("string")), "status": F.lit("ok")}
+    index = indexing.index(files, ["python"])
+    values = parts.select(*(given.get(c, F.lit(None)).cast(index.values.schema[c].dataType).alias(c) for c in index.values.columns))
+    replace(index, values=values).publish(root, buckets=16)
+    text = F.when(F.col("path") == "region/1.nix", "{ services.lamp.enable = true; }\n").otherwise(F.concat(F.col("content").cast("string"), F.lit("# one more line\n")))
+    changed = files.where((F.col("path") == "region/1.nix") | F.col("path").startswith("customer/")).withColumn("content", text.cast("binary"))
+    indexing.apply_batch(spark, root, changed, spark.createDataFrame([("nation/3.nix",)], "path string"), ["python"])
+    _AFTER[key] = root
+    return indexing.load(spark, root)[1]
+
+
+_AFTER: dict[tuple, str] = {}
+
+
+@query("inc7_stored_batch", f"""WITH {_INDEXED_SQL} SELECT i.path, coalesce(f.target = 'nation/3.nix' OR f.target = 'region/1.nix' OR f.target IN (SELECT path FROM files WHERE target = 'region/1.nix'), false) AS dirty
+FROM indexed i LEFT JOIN files f ON f.path = i.path WHERE i.path <> 'nation/3.nix'""")
+def _(spark, d):
+    return _after_batch(spark, d).states.select("path", "dirty")
+
+
+@query("inc8_stale_after_batch", f"""WITH {_FILES_SQL}, a AS (SELECT path FROM files WHERE path IN ('nation/3.nix', 'region/1.nix') OR target IN ('nation/3.nix', 'region/1.nix') OR target IN (SELECT path FROM files WHERE target = 'region/1.nix')),
+s AS (SELECT DISTINCT regexp_extract(path, '/([0-9]+)[.]nix$', 1) AS stem FROM a), v AS (SELECT CAST(p_partkey AS VARCHAR) AS key, 'config.opt' || p_partkey AS expr FROM part)
+SELECT key, CASE WHEN EXISTS (SELECT 1 FROM s WHERE contains(v.expr, s.stem)) THEN 'stale' ELSE 'ok' END AS status FROM v""")
+def _(spark, d):
+    return _after_batch(spark, d).values.select("key", "status")
+
+
+@query("udf1_lateral_parse", f"""WITH {_FILES_SQL} SELECT 'nix:' || path AS source, 'imports' AS type, 'nix:' || target AS target FROM files WHERE target IS NOT NULL
+UNION ALL SELECT 'nix:nation/' || n_nationkey || '.nix', 'configures', 'file:.local/n' || n_nationkey || '.py' FROM nation WHERE n_nationkey % 2 = 0""")
+def _(spark, d):
+    register(spark)
+    files = repository(spark, d).where("lang = 'nix'").select("path", "lang", F.col("content").cast("string").alias("text"))
+    return spark.sql("SELECT p.source, p.type, p.target FROM {files} f, LATERAL parse_file(f.lang, f.path, f.text) p WHERE p.kind = 'edge'", files=files)
+
+
+@query("gr11_impact_members", f"""WITH RECURSIVE {GRAPH_SQL}, r(id, d) AS (SELECT 'supplier:1', 0 UNION SELECT e.source, r.d + 1 FROM r JOIN edges e ON e.target = r.id WHERE r.d < 2)
+SELECT DISTINCT CASE n.type WHEN 'part' THEN 'module' WHEN 'customer' THEN 'option' ELSE 'file' END AS kind, CASE WHEN n.type = 'order' THEN n.name ELSE n.id END AS name
+FROM r JOIN nodes n USING (id) WHERE n.type IN ('part', 'customer', 'order') AND n.id <> 'supplier:1'""")
+def _(spark, d):
+    return lookup.impact_members(*stored(spark, d), "supplier:1", 2, ["part"], ["customer"], ["order"])
+
+
+@query("gr12_module_edges", f"""WITH {BROKEN_SQL}, x AS (SELECT 'out' AS direction, id, source, target, type, target AS other FROM edges WHERE source = 'part:7' UNION ALL SELECT 'in', id, source, target, type, source FROM edges WHERE target = 'part:7')
+SELECT direction, id, source, target, type, other NOT IN (SELECT id FROM nodes) AS dangling FROM x""")
+def _(spark, d):
+    nodes, edges = stored_broken(spark, d)
+    at = nodes.frame.withColumn("path", F.when(F.col("type") == "part", F.substring_index("id", ":", -1)))
+    return lookup.module_edges(at, edges, "7", module_prefix="part:")
+
+
+@query("gr13_option_value", """WITH v AS (SELECT event_id, value, CASE WHEN event_type = 'error' THEN 'error: bad ' || event_id ELSE 'ok' END AS status, row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS n FROM events WHERE user_id = 7)
+SELECT CAST(event_id AS VARCHAR) AS value, status AS value_status FROM v WHERE n = 1""")
+def _(spark, d):
+    events = table(spark, d, "events")
+    failed = F.col("event_type") == "error"
+    values = events.select(F.col("event_id").cast("string").alias("key"), F.concat(F.lit("config.user"), F.col("user_id").cast("string")).alias("expr"), F.col("event_id").cast("string").alias("value_json"), F.when(failed, "error").otherwise("ok").alias("status"), F.when(failed, F.concat(F.lit(" bad "), F.col("event_id").cast("string"), F.lit("\nmore"))).alias("error"), F.col("ts").alias("computed_at"))
+    return lookup.option_value(values, "user7")
+
+
 @query("inc4_merkle_all", f"""WITH {GRAPH_SQL}, h AS (SELECT id, sha256(id) AS a FROM nodes),
 r AS (SELECT h.id, h.a, e.target FROM h JOIN edges e ON e.source = h.id AND e.type = 'references'),
 m0 AS (SELECT id, sha256(a) AS m FROM h WHERE id NOT IN (SELECT id FROM r)),

@@ -196,10 +196,10 @@ def replace_rows(spark: SparkSession, root: str, manifest: dict, name: str, befo
             continue
         entry, old, new = frames[copy], _copy(copy, before), _copy(copy, after)
         number = bucket_of(F.col(key), manifest["buckets"])
-        # rows are compared by a digest of all columns: some types can't be compared as sets
-        digest = lambda rows: rows.select(number.alias("_bucket"), F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("d"))  # noqa: E731, B023
-        a, b = digest(old), digest(new)
-        touched = sorted(r[0] for r in a.exceptAll(b).union(b.exceptAll(a)).select("_bucket").distinct().collect())  # at most all buckets' numbers
+        # rows are compared by a digest of all columns: some types can't be compared as they are
+        signed = lambda rows, n: rows.select(number.alias("_bucket"), F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("d"), F.lit(n).alias("n"))  # noqa: E731, B023
+        odd = signed(old, -1).union(signed(new, 1)).groupBy("_bucket", "d").agg(F.sum("n").alias("n")).where("n <> 0")
+        touched = sorted(r[0] for r in odd.select("_bucket").distinct().collect())  # at most all buckets' numbers
         if not touched:
             continue
         own = {"owned": ["path", "id"], "postings": ["token", "column", "id"]}.get(copy, keys)

@@ -112,12 +112,12 @@ def test_shortest_path_prefers_light_edges(spark):
 
 
 def test_search(spark):
-    rows = [("o1", "programs.wezterm.extraConfig theme-loader"), ("o2", "stylix.theme.variant"), ("o3", "mkService"), ("o4", "Café"), ("o5", "services/foo.nix")]
+    rows = [("o1", "hardware.printer.trayCount paper-feed"), ("o2", "fonts.paper.size"), ("o3", "buildKernel"), ("o4", "Crème"), ("o5", "services/foo.nix")]
     n = spark.createDataFrame(rows, "id string, name string").withColumns({"type": F.lit("t"), "lang": F.lit("nix"), "path": F.col("name")})
     find = lambda q, **k: ids(search.find_symbol(n, q, **k), "id")
-    assert find("wezterm theme") == {"o1"} and find("wezterm stylix") == {"o1", "o2"} and find("mkservice") == {"o3"} and find("cafe") == {"o4"}
-    assert find("services.foo") == {"o5"} and find("serv") == set() and find("  ") == set() and find('"unbalanced') == set() and find("nix") == {"o1", "o2", "o3", "o4", "o5"}
-    assert find("SERV", fuzzy=True) == {"o3", "o5"} and find("o", node_type=["t"], id_prefix="O4") == {"o4"} and find("o", path_contains="foo") == {"o5"}
+    assert find("printer paper") == {"o1"} and find("printer fonts") == {"o1", "o2"} and find("buildkernel") == {"o3"} and find("creme") == {"o4"}
+    assert find("services.foo") == {"o5"} and find("serv") == set() and find("  ") == set() and find("(open") == set() and find("nix") == {"o1", "o2", "o3", "o4", "o5"}
+    assert find("ERV", fuzzy=True) == {"o5"} and find("o", node_type=["t"], id_prefix="O4") == {"o4"} and find("o", path_contains="foo") == {"o5"}
     assert [r.id for r in search.find_symbol(n, "o", fuzzy=True, limit=1, offset=1).collect()] == [sorted(rows, key=lambda r: r[1])[1][0]]
 
 
@@ -193,6 +193,40 @@ def test_health(spark):
     assert ids(health.compare_health(row, base), "measure", "was", "is_now") == {("dangling_edges", 0.0, 1.0)}
 
 
+def test_impact_members_edges_and_values(spark):
+    links = [("nix:a.nix", "nix:b.nix"), ("nix:a.nix", "file:out/x.conf", "generates"), ("nix:a.nix::f", "nix:b.nix", "references"), ("nix:c.nix", "nix:a.nix"), ("nix_option:o.p", "nix:b.nix", "references"), ("nix:b.nix", "nix:ghost")]
+    n, e = graph(spark, links, ["nix:a.nix", "nix:a.nix::f", "nix:b.nix", "nix:c.nix", "nix_option:o.p", "file:out/x.conf"])
+    n = n.withColumn("type", F.when(F.col("id").startswith("nix_option:"), "nix_option").when(F.col("id").startswith("file:"), "file").otherwise("nix_module"))
+    kinds = (["nix_module"], ["nix_option"], ["file"])
+    e = e.union(graph(spark, [("file:out/x.conf", "nix:b.nix", "references")], [])[1].withColumn("id", F.lit("back")))
+    assert ids(lookup.impact_members(n, e, "nix:b.nix", 3, *kinds), "kind", "name") == {("module", "a.nix"), ("module", "c.nix"), ("option", "o.p"), ("file", "file:out/x.conf"), ("file", "out/x.conf")}
+    assert tuple(lookup.impact(n, e, "nix:b.nix", 3, *kinds).first())[1:] == (2, 1, 2, "medium")
+    assert ids(lookup.module_edges(n, e, "b.nix"), "direction", "source", "target", "dangling") >= {("out", "nix:b.nix", "nix:ghost", True), ("in", "nix:a.nix", "nix:b.nix", False), ("in", "nix_option:o.p", "nix:b.nix", False)}
+    made = [("k1", "config.o.p", "1", "ok", None, 1), ("k2", "config.o.p", None, "error", " first \nsecond", 2), ("k3", "config.o", "7", "ok", "", 3)]
+    values = spark.createDataFrame(made, "key string, expr string, value_json string, status string, error string, computed_at long")
+    assert [tuple(r) for r in lookup.option_value(values, "o.p").collect()] == [(None, "error: first")] and lookup.option_value(values, "none").count() == 0
+    assert tuple(lookup.option_value(values, "o").first()) == ("7", "ok")
+
+
+def test_deep_observe_adds_dangling_ends(spark):
+    n, e = graph(spark, [*CHAIN, ("nix:b.nix", "nix:lost.nix"), ("nix:gone.nix", "nix:a.nix"), ("nix:b.nix", "nix:lost.nix", "sets")])
+    n = n.where("id not in ('nix:lost.nix', 'nix:gone.nix', 'nix:d.nix')")
+    got = [tuple(r) for r in lookup.observe_deep(n, e, "nix:a.nix", 1).collect()]
+    assert [(r[0], r[1], r[3]) for r in got] == [("nix:b.nix", 1, False), ("nix:gone.nix", None, True), ("nix:lost.nix", None, True)]
+    assert [r[0] for r in lookup.observe_deep(n, e, "nix:a.nix", 1, limit=2).collect()] == ["nix:b.nix", "nix:gone.nix"]
+    assert {r[0] for r in lookup.observe_deep(n, e, "nix:a.nix", 2).collect()} == {"nix:b.nix", "nix:c.nix", "nix_option:o", "nix:gone.nix", "nix:lost.nix", "nix:d.nix"}
+
+
+def test_engine_keeps_pairs(spark):
+    from knotweave.engine import GraphEngine
+
+    engine = GraphEngine(*graph(spark, CHAIN))
+    for call in (lambda: engine.hop("nix:a.nix", depth=2), lambda: engine.blast_radius("nix:c.nix")):
+        one, two = call(), call()
+        assert one[0] is two[0] and one[1] is two[1] and one[1].count() > 0
+    assert engine.served == {"hop": 2, "blast_radius": 2}
+
+
 def test_engine_contract(spark):
     from knotweave.engine import GraphEngine
 

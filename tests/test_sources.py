@@ -142,3 +142,13 @@ def test_oracle(spark, name):
     ours, theirs = QUERIES[name](spark, DATA).toPandas(), db.execute(ORACLES[name]).df()
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns) and rows_of(ours, columns) == rows_of(theirs, columns)
+
+
+def test_plugins_as_a_table_function(spark):
+    from knotweave.extract.registry import extract
+    from knotweave.extract.udtf import register
+
+    files = spark.createDataFrame([("a.nix", "nix", "{ imports = [ ./b.nix ]; }\n"), ("c.py", "python", "def f():\n    return 1\n"), ("bad.py", "python", "def ("), ("n.nix", "nix", None), ("x.txt", "text", "x"), ("e.nix", "nix", "")], "path string, lang string, text string")
+    register(spark)
+    got = spark.sql("SELECT p.* FROM {files} f, LATERAL parse_file(f.lang, f.path, f.text) p", files=files)
+    assert sorted(map(str, got.collect())) == sorted(map(str, extract(files).collect()))
