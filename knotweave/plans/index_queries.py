@@ -184,6 +184,19 @@ def _(spark, d):
     return parse_lock(locks).select("name", "url", "rev", "type")
 
 
+@query("src6_follows", """WITH m AS (SELECT s_nationkey, min(s_suppkey) AS first FROM supplier GROUP BY s_nationkey)
+SELECT 'flake_input:supplier-' || s_suppkey AS source, 'references' AS type, 'flake_input:supplier-' || first AS target FROM supplier JOIN m USING (s_nationkey) WHERE s_suppkey <> first""")
+def _(spark, d):
+    # a lock for each nation, whose inputs follow its first one: by name, or in a list with a name that isn't there
+    suppliers = table(spark, d, "supplier")
+    first = suppliers.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
+    name = F.concat(F.lit('"supplier-'), F.col("first").cast("string"), F.lit('"'))
+    follow = F.when(F.col("s_suppkey") % 2 == 0, name).otherwise(F.concat(F.lit("["), name, F.lit(', "none"]')))
+    entry = F.concat(F.lit('"supplier-'), F.col("s_suppkey").cast("string"), F.lit('": {"locked": {"type": "github"}, "inputs": {"base": '), follow, F.lit("}}"))
+    locks = suppliers.join(first, "s_nationkey").groupBy("s_nationkey").agg(F.concat(F.lit('{"nodes": {"root": {}, '), F.array_join(F.collect_list(entry), ", "), F.lit("}}")).alias("text"))
+    return maintain.follow_edges(parse_lock(locks)).select("source", "type", "target")
+
+
 @query("snk8_build_all", """SELECT 'order:' || l_orderkey AS id, CAST(coalesce(max(CASE WHEN l_linenumber % 2 = 1 THEN l_linenumber END), max(l_linenumber)) AS BIGINT) AS ord FROM lineitem GROUP BY l_orderkey""")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(star.node_id("order", "l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, '{"synthetic":true}').otherwise("{}").alias("metadata"), F.col("l_linenumber").cast("bigint").alias("ord"))

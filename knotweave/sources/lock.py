@@ -1,11 +1,15 @@
-"""Lock files: JSON to one row per input."""
+"""Lock files: JSON to one row per input, read as variants, so that a value may have either of its forms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NODE = "struct<locked:map<string,string>,original:map<string,string>,inputs:map<string,string>>"
+
+def _names(follow: Column) -> Column:
+    """A follow (variant) as an array: a list of names, or one name."""
+    one = F.try_variant_get(follow, "$", "string")
+    return F.coalesce(F.try_variant_get(follow, "$", "array<string>"), F.when(one.isNotNull(), F.array(one)), F.expr("cast(array() as array<string>)"))
 
 
 def parse_lock(files: DataFrame) -> DataFrame:
@@ -14,12 +18,12 @@ def parse_lock(files: DataFrame) -> DataFrame:
     ``root`` is no input. A follow is a name or a list of names; names that aren't in
     the lock, and the input's own, are dropped.
     """
-    lock = files.select(F.from_json("text", f"struct<nodes:map<string,{_NODE}>>").alias("j")).where("j.nodes is not null")
-    rows = lock.select(F.explode("j.nodes").alias("name", "n"), F.map_keys("j.nodes").alias("known")).where("name <> 'root'")
-    part = lambda where, key: F.col(f"n.{where}")[key]
+    lock = files.select(F.try_variant_get(F.try_parse_json("text"), "$.nodes", "map<string,variant>").alias("nodes")).where("nodes is not null")
+    rows = lock.select(F.explode("nodes").alias("name", "n"), F.map_keys("nodes").alias("known")).where("name <> 'root'")
+    part = lambda where, key: F.try_variant_get("n", f"$.{where}.{key}", "string")
     owner = F.concat(part("locked", "type"), F.lit(":"), part("locked", "owner"), F.lit("/"), part("locked", "repo"))
-    to_list = lambda v: F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
-    follows = F.transform_values(F.coalesce("n.inputs", F.map_from_arrays(F.expr("cast(array() as array<string>)"), F.expr("cast(array() as array<string>)"))), lambda k, v: F.filter(to_list(v), lambda x: F.array_contains(F.col("known"), x) & (x != F.col("name")) & (x != "root")))
+    given = F.coalesce(F.try_variant_get("n", "$.inputs", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    follows = F.transform_values(given, lambda k, v: F.filter(_names(v), lambda x: F.array_contains(F.col("known"), x) & (x != F.col("name")) & (x != "root")))
     return rows.select(
         "name",
         F.coalesce(part("locked", "url"), part("original", "url"), owner, F.lit("")).alias("url"),
