@@ -36,6 +36,7 @@ class GraphEngine:
     posted: DataFrame | None = None
     _cache: dict[tuple, DataFrame] = field(default_factory=dict)
     _named: list[DataFrame] = field(default_factory=list)
+    _logged: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, index: indexing.Index, files: DataFrame | None = None, generation: int = 0) -> GraphEngine:
@@ -175,6 +176,13 @@ class GraphEngine:
         sizes = self.files if self.files is not None else self.nodes.select("path", F.lit(0).alias("length")).limit(0)
         return usage.benefit(paths, sizes)
 
+    def log(self, folder: str) -> None:
+        """Append what was served since the last call to a durable log, which :func:`usage.logged` reports on."""
+        new = {v: n - self._logged.get(v, 0) for v, n in self.served.items() if n > self._logged.get(v, 0)}
+        spark = self.edges.sparkSession
+        usage.log_rows(spark, spark.sparkContext.applicationId, new, self._all_named()).write.mode("append").parquet(folder)
+        self._logged.update(self.served)
+
     def report(self) -> DataFrame:
         """One row: queries served, by verb too, and the files that need not be read again."""
         tools = [F.lit(x) for k in sorted(self.served) for x in (k, self.served[k])]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotweave.schema import HEALTH_SAMPLES
+
 # Measures that must not grow, and how much the ratio may.
 REGRESSION_KEYS = ["dangling_edges", "option_errors", "parse_errors", "unindexed_files", "missing_files"]
 RATIO_TOLERANCE = 0.02
@@ -41,6 +43,14 @@ def collect_health(nodes: DataFrame, edges: DataFrame, option_values: DataFrame,
     )
 
 
+def samples(nodes: DataFrame, disk: DataFrame, states: DataFrame, limit: int = HEALTH_SAMPLES) -> DataFrame:
+    """kind (unindexed, missing), path: the first ``limit`` files by path that are on disk alone, and that are known alone."""
+    known = nodes.where(F.col("path").isNotNull()).select("path").union(states.select("path")).distinct()
+    on_disk = disk.select("path").distinct()
+    first = lambda rows, kind: rows.orderBy("path").limit(limit).select(F.lit(kind).alias("kind"), "path")
+    return first(on_disk.join(known, "path", "left_anti"), "unindexed").union(first(known.join(on_disk, "path", "left_anti"), "missing"))
+
+
 def compare_health(now: DataFrame, baseline: DataFrame) -> DataFrame:
     """measure, was, is of everything that got worse."""
     keys = ", ".join(f"'{k}', cast({k} as double)" for k in [*REGRESSION_KEYS, "synthetic_ratio"])

@@ -248,6 +248,12 @@ def apply_batch(spark: SparkSession, root: str, changed: DataFrame, deleted: Dat
     return decided
 
 
+def purge_vanished(spark: SparkSession, root: str, files: DataFrame, enabled: list[str]) -> DataFrame:
+    """Everything of stored files that the listing ``files`` lacks goes, as one batch; path, decision of those."""
+    gone = cut(maintain.vanished(StoredIndex.open(spark, root).part("states").frame, files))
+    return apply_batch(spark, root, files.limit(0), gone, enabled)
+
+
 def _importers(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """path of everything that imports one of ``paths``, over any number of steps, without those themselves.
 

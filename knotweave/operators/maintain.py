@@ -104,6 +104,11 @@ def purge(rows: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.join(listing.select("path"), "path", "left_semi").select(rows.columns)
 
 
+def vanished(rows: DataFrame, listing: DataFrame) -> DataFrame:
+    """path of the ``rows`` (path) whose file is listed no more."""
+    return rows.select("path").distinct().join(listing.select("path"), "path", "left_anti")
+
+
 def package_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """attribute, used_by, and a stable stand-in version and store path of every package in use."""
     used = edges.where((F.col("type") == "uses_package") & F.col("target").startswith("package:"))

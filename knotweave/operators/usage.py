@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -106,3 +106,30 @@ def effectiveness(sequenced: DataFrame, nav: list[str]) -> DataFrame:
 def unused(registered: DataFrame, calls: DataFrame) -> DataFrame:
     """Registered tools (tool) that no call used."""
     return registered.select("tool").distinct().join(calls.select("tool"), "tool", "left_anti")
+
+
+def since(calls: DataFrame, sequences: DataFrame, ts: int) -> tuple[DataFrame, DataFrame]:
+    """The calls (session, ts, ...) from ``ts`` on, and the sequences (session, ...) of the sessions that have such calls."""
+    recent = calls.where(F.col("ts") >= ts)
+    return recent, sequences.join(recent.select("session").distinct(), "session", "left_semi")
+
+
+LOG = "session string, at timestamp, verb string, calls bigint, id string"
+
+
+def log_rows(spark: SparkSession, session: str, calls: dict[str, int], named: DataFrame) -> DataFrame:
+    """Rows of a query log: one for each verb with its calls, one for each node (id) that an answer named."""
+    verbs = spark.createDataFrame([(v, n) for v, n in sorted(calls.items())], "verb string, calls bigint")
+    now = F.current_timestamp().alias("at")
+    none = lambda kind: F.lit(None).cast(kind)
+    counted = verbs.select(F.lit(session).alias("session"), now, "verb", "calls", none("string").alias("id"))
+    return counted.union(named.select(F.lit(session), now, none("string"), none("bigint"), "id"))
+
+
+def logged(log: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """One row for a whole log, of any number of sessions: queries served, by verb too, and the files that need not be read again."""
+    verbs = log.where("verb is not null").groupBy("verb").agg(F.sum("calls").alias("n"))
+    by = verbs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("queries_served"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("verb", "n")))).alias("queries_by_tool"))
+    path = F.coalesce("path", F.when(F.col("type") == "file", F.col("name"))).alias("path")
+    served = nodes.join(log.where("id is not null").select("id").distinct(), "id", "left_semi").select(path)
+    return by.crossJoin(benefit(served, files))  # one row each

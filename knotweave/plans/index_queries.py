@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from knotweave.operators import health, incremental, indexing, lookup, maintain, usage
 from knotweave.extract.udtf import register
-from knotweave.plans.catalog import BROKEN_SQL, graph, query, stored, stored_broken
+from knotweave.plans.catalog import BROKEN_SQL, calls, graph, query, stored, stored_broken
 from knotweave.plans.session import shared_top
 from knotweave.plans.store import fingerprint
 from knotweave.sources import star
@@ -238,3 +238,31 @@ def _(spark, d):
 def _(spark, d):
     nodes, _ = graph(spark, d)
     return health.option_status(nodes.select(F.col("type").alias("status")))
+
+
+@query("hl1_samples", """WITH u AS (SELECT 'unindexed' AS kind, s_name AS path FROM supplier WHERE s_suppkey % 3 = 0 ORDER BY path LIMIT 10), m AS (SELECT 'missing' AS kind, s_name AS path FROM supplier WHERE s_suppkey % 3 = 1 ORDER BY path LIMIT 10)
+SELECT * FROM u UNION ALL SELECT * FROM m""")
+def _(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_name").alias("path"), (F.col("s_suppkey") % 3).alias("k"))
+    return health.samples(rows.where("k = 1"), rows.where("k <> 1"), rows.where("k = 2"))
+
+
+@query("us_since", """WITH c AS (SELECT *, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events), m AS (SELECT CAST(avg(t) AS BIGINT) AS cut FROM c), r AS (SELECT DISTINCT user_id FROM c, m WHERE t >= cut)
+SELECT CAST(user_id AS VARCHAR) AS session, count(*) AS n FROM c WHERE user_id IN (SELECT user_id FROM r) GROUP BY user_id""")
+def _(spark, d):
+    events = calls(spark, d)
+    middle = events.agg(F.floor(F.sum(F.col("ts").cast("decimal(38,0)")) / F.count("ts") + F.lit(0.5)).cast("bigint")).first()[0]
+    return usage.since(events, events, middle)[1].groupBy("session").agg(F.count("*").alias("n"))
+
+
+@query("st2_logged", """WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), s AS (SELECT DISTINCT p_partkey, p_name FROM part JOIN (SELECT DISTINCT user_id FROM events) ON p_partkey = user_id)
+SELECT (SELECT CAST(sum(n) AS BIGINT) FROM t) AS queries_served, (SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) FROM t) AS by_tool,
+ (SELECT count(*) FROM s) AS files_served, (SELECT CAST(coalesce(sum(length(p_name)), 0) AS BIGINT) FROM s) AS bytes_not_reread FROM (SELECT 1)""")
+def _(spark, d):
+    events, parts = calls(spark, d), table(spark, d, "part")
+    verbs = events.groupBy("tool").count().select(F.lit("s").alias("session"), F.current_timestamp().alias("at"), F.col("tool").alias("verb"), F.col("count").alias("calls"), F.lit(None).cast("string").alias("id"))
+    named = events.select("session").distinct().select(F.lit("s"), F.current_timestamp(), F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.concat(F.lit("part:"), "session"))
+    nodes = parts.select(star.node_id("part", "p_partkey").alias("id"), F.lit("part").alias("type"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("path"))
+    row = usage.logged(verbs.union(named), nodes, parts.select(F.col("p_partkey").cast("string").alias("path"), F.length("p_name").alias("length")))
+    listed = F.transform(F.array_sort(F.map_entries("queries_by_tool")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return row.select("queries_served", F.array_join(listed, ",").alias("by_tool"), "files_served", "bytes_not_reread")

@@ -62,6 +62,12 @@ def test_index_update_and_verbs(spark, tmp_path):
     r = engine.report().first()
     assert r.queries_by_tool["packages"] == 2 and r.files_served == 1 and r.bytes_not_reread == len(FILES["go.py"]) and r.tokens_estimated_saved == len(FILES["go.py"]) // 4
 
+    for _ in range(2):  # a log outlives its engine; what was logged isn't logged again
+        engine.log(str(tmp_path / "log"))
+    GraphEngine.of(index, files, generation).log(str(tmp_path / "log"))
+    log = usage.logged(spark.read.parquet(str(tmp_path / "log")), index.nodes, files).first()
+    assert (log.queries_served, log.queries_by_tool, log.files_served, log.bytes_not_reread) == (sum(engine.served.values()), engine.served, r.files_served, r.bytes_not_reread)
+
     # one file's imports change, one is only reformatted, one goes
     write(repo, {"leaf.nix": "{ services.lamp.enable = false; services.fan.enable = true; }\n", "mid.nix": FILES["mid.nix"] + "# a word\n"})
     (repo / "go.py").unlink()

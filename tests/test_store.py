@@ -120,10 +120,13 @@ def test_batches_equal_whole_updates_and_share_what_did_not_change(spark, tmp_pa
     assert store.retain(spark, root, generations=1, older_than=3600) == 0
     assert store.retain(spark, root, generations=1, older_than=0) > 0 and size() < before * 1.05
     assert content(indexing.load(spark, root)[1].nodes, "nodes") == content(whole.nodes, "nodes")
+    left = {p: t for p, t in files.items() if p != "m5.nix"} | {"new.nix": ""}
+    gone = {r[0] for r in rows(indexing.purge_vanished(spark, root, listing(spark, left), ["python"]), "path")}
+    assert gone == {"m5.nix"} and not indexing.load(spark, root)[1].states.where("path = 'm5.nix'").count()
     engine = GraphEngine.of_store(spark, root)
-    assert engine.generation == 3 and rows(engine.dependencies("nix:m3.nix", 5), "id") >= {("nix:m2.nix",), ("nix:lib.nix",)}
+    assert engine.generation == 4 and rows(engine.dependencies("nix:m3.nix", 5), "id") >= {("nix:m2.nix",), ("nix:lib.nix",)}
     assert rows(engine.find("s12"), "id") == {("nix_option:services.s12.enable",)} or engine.find("s12").count() > 0
-    assert engine.observe("nix:own.nix").count() > 0 and engine.status().first().generation_id == 3
+    assert engine.observe("nix:own.nix").count() > 0 and engine.status().first().generation_id == 4
 
 
 def test_one_file_of_many_rewrites_little(spark, tmp_path):
