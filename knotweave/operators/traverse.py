@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from itertools import count
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knotweave.plans.session import written
@@ -282,7 +282,7 @@ def _near_path(nodes: Nodes, edges: Edges, source: str, target: str) -> list[tup
     best = {source: (0.0, 0, (), (source,))} if source in _alive(nodes, [source]) else {}
     frontier = list(best)
     while frontier:
-        step = gather(edges_at(edges, frontier).select("source", "target", "id", "weight"), FANOUT)
+        step = gather(edges_at(edges, frontier).where("weight is not null").select("source", "target", "id", "weight"), FANOUT)
         if step is None or len({r["target"] for r in step}) + len(best) > NEAR:
             return None
         alive = _alive(nodes, {r["target"] for r in step} - best.keys()) | best.keys()
@@ -301,37 +301,103 @@ def _near_path(nodes: Nodes, edges: Edges, source: str, target: str) -> list[tup
     return [(i, node, chain[i - 1] if i else None, round(cost, 6)) for i, node in enumerate(trail)]
 
 
-def shortest_path(nodes: Nodes, edges: Edges, source: str, target: str) -> DataFrame:
-    """step, id, edge_in, cost of a least-weight path; no rows if there is none.
+def _labels(history: DataFrame) -> DataFrame:
+    """The least (cost, hops) of each id."""
+    return history.groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("m")).select("id", "m.cost", "m.hops")
+
+
+def distances(nodes: Nodes, edges: Edges, source: str, target: str | None = None, delta: float | None = None) -> DataFrame:
+    """id, cost, hops of everything that ``source`` reaches: the least sum of weights, and the fewest steps at that sum.
 
-    Ties: fewer steps, then the path whose edge ids compare least. Each round relaxes
-    only what fell in the round before, and drops what already costs more than the
-    best path found; one job tells whether anything fell and what the target costs.
+    Delta-stepping: labels fall into buckets of width ``delta`` (the mean weight, if none is
+    given) by their cost, and buckets are settled in turn. Inside a bucket only edges no
+    heavier than ``delta`` are relaxed, from what fell in the round before, until nothing
+    in it falls; then its heavier edges once, as what they reach lies in later buckets. So
+    no heavy edge is looked at twice, and a label holds two numbers whatever its path.
+    With a ``target``, what costs more than the best path to it is dropped: labels of
+    nodes no farther than it are right, others may be missing.
+
+    Weights must not be negative; edges without a weight or without a node at an end
+    aren't crossed. A source that isn't a node gives no rows.
     """
-    spark = edges.sparkSession
-    near = _near_path(nodes, edges, source, target)
-    if near is not None:
-        return spark.createDataFrame(near, _PATH)
-    first = _start(spark, source).select("id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.expr("cast(array() as array<string>)").alias("chain"), F.array("id").alias("trail")).alias("m"))
-    frontier, rows = _known(first, nodes)
-    history, goal = frontier, 0.0 if source == target else None
-    for turn in count(1):
-        at = _side(frontier.withColumnRenamed("id", "source"), rows)
-        step = plain(edges).select("source", F.col("target").alias("to"), F.col("id").alias("via"), "weight").join(at, "source").select(
-            F.col("to").alias("id"),
-            F.struct((F.col("m.cost") + F.col("weight")).alias("cost"), (F.col("m.hops") + 1).alias("hops"), F.concat("m.chain", F.array("via")).alias("chain"), F.concat("m.trail", F.array("to")).alias("trail")).alias("m"),
-        )
+    if delta is None:
+        delta = plain(edges).where("weight > 0").agg(F.avg("weight").alias("w")).first()["w"] or 1.0
+    if not delta > 0:
+        raise ValueError("delta must be positive")
+    nth = F.floor(F.col("cost") / F.lit(float(delta)))
+    history, rows = _known(_start(edges.sparkSession, source).select("id", F.lit(0.0).alias("cost"), F.lit(0).cast("bigint").alias("hops")), nodes)
+    goal = 0.0 if source == target else None
+    grown = 0
+
+    def relax(frontier: DataFrame, size: int, which: Column) -> tuple[DataFrame, int]:
+        """The labels that fell."""
+        nonlocal history, goal, grown
+        at = _side(frontier.withColumnRenamed("id", "source"), size)
+        step = plain(edges).where(which).select("source", F.col("target").alias("id"), "weight").join(at, "source").select("id", (F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"))
         if goal is not None:
-            step = step.where(F.col("m.cost") <= goal)
-        best = history.groupBy("id").agg(F.min("m").alias("old"))
-        fallen = step.groupBy("id").agg(F.min("m").alias("m")).join(best, "id", "left").where(F.col("old").isNull() | (F.col("m") < F.col("old"))).select("id", "m")
-        frontier, rows = _known(fallen, nodes)
-        if not rows:
-            break
-        reached = frontier.where(F.col("id") == target).agg(F.min("m.cost").alias("goal")).first()["goal"]
-        goal = goal if reached is None else min(reached, goal if goal is not None else reached)
-        history = history.unionByName(frontier)
-        if turn % 8 == 0:  # a plan of bounded length, however long the path
-            history, _ = written(history.groupBy("id").agg(F.min("m").alias("m")))
-    path = history.where(F.col("id") == target).agg(F.min("m").alias("m")).where("m is not null").select(F.posexplode("m.trail").alias("step", "id"), F.col("m.chain").alias("chain"), F.col("m.cost").alias("cost"))
-    return path.select(F.col("step").cast("bigint").alias("step"), "id", F.when(F.col("step") > 0, F.get("chain", F.col("step") - 1)).alias("edge_in"), F.round("cost", 6).alias("cost"))
+            step = step.where(F.col("cost") <= goal)
+        old = _labels(history).select("id", F.struct("cost", "hops").alias("old"))
+        fell = step.groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("m")).join(old, "id", "left").where(F.col("old").isNull() | (F.col("m") < F.col("old")))
+        fallen, n = _known(fell.select("id", "m.cost", "m.hops"), nodes)
+        if n:
+            history = history.unionByName(fallen)
+            grown += 1
+            if grown % 8 == 0:  # a plan of bounded length, however many rounds
+                history, _ = written(_labels(history))
+            if target is not None:
+                reached = fallen.where(F.col("id") == target).agg(F.min("cost").alias("c")).first()["c"]
+                goal = goal if reached is None else reached
+        return fallen, n
+
+    at = 0 if rows else None
+    while at is not None:
+        inside = nth == at
+        frontier, size = written(_labels(history).where(inside))
+        while size:
+            fallen, n = relax(frontier, size, F.col("weight") <= delta)
+            frontier = fallen.where(inside)
+            size = frontier.count() if n else 0
+        relax(*written(_labels(history).where(inside)), F.col("weight") > delta)
+        ahead = _labels(history).where(nth > at)
+        at = (ahead if goal is None else ahead.where(F.col("cost") <= goal)).agg(F.min(nth).alias("n")).first()["n"]
+    return written(_labels(history))[0]
+
+
+def _trace(edges: Edges, labels: DataFrame, source: str, target: str) -> list[tuple]:
+    """The rows of :func:`shortest_path`, given the labels of all nodes on least paths.
+
+    Back from the target over edges that fit the labels exactly, a table for each step; then
+    forth along the least edge ids of what lies on such a path. Only the path comes to the driver.
+    """
+    end = labels.where(F.col("id") == target).first()
+    if end is None:
+        return []
+    at = labels.where(F.col("id") == target).select("id", "cost")
+    tight: list[DataFrame] = []
+    for hops in range(end["hops"], 0, -1):
+        few = gather(at.select("id"), NEAR)
+        to = _side(at.select(F.col("id").alias("target"), F.col("cost").alias("total")), NEAR if few is not None else at.count())
+        into = plain(edges) if few is None else edges_at(edges, [r["id"] for r in few], reverse=True)
+        before = labels.where(F.col("hops") == hops - 1).select(F.col("id").alias("source"), "cost")
+        step = into.select("source", "target", F.col("id").alias("via"), "weight").join(to, "target").join(before, "source").where(F.col("cost") + F.col("weight") == F.col("total"))
+        tight.append(written(step.select("source", "target", "via", "cost"))[0])
+        at = tight[-1].select(F.col("source").alias("id"), "cost").distinct()
+    total = round(end["cost"], 6)
+    path: list[tuple] = [(0, source, None, total)]
+    for step, here in enumerate(reversed(tight), 1):
+        best = here.where(F.col("source") == path[-1][1]).agg(F.min(F.struct("via", "target")).alias("m")).first()["m"]
+        path.append((step, best["target"], best["via"], total))
+    return path
+
+
+def shortest_path(nodes: Nodes, edges: Edges, source: str, target: str, delta: float | None = None) -> DataFrame:
+    """step, id, edge_in, cost of a least-weight path; no rows if there is none.
+
+    Ties: fewer steps, then the path whose edge ids compare least. While the search is small
+    it goes on in lists; beyond that by :func:`distances`, which explains ``delta``, and a
+    walk back over its labels.
+    """
+    rows = _near_path(nodes, edges, source, target)
+    if rows is None:
+        rows = _trace(edges, distances(nodes, edges, source, target, delta), source, target)
+    return edges.sparkSession.createDataFrame(rows, _PATH)

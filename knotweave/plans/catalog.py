@@ -177,6 +177,33 @@ def _(spark, d):
     return traverse.shortest_path(*stored(spark, d), "order:0", "region:0")
 
 
+# The same graph with its edges turned and whole weights (hundredths), so that a region's reach is most of the graph.
+_TURNED_SQL = f"""{GRAPH_SQL}, turned AS (SELECT id, target AS source, source AS target, round(weight * 100) AS weight FROM edges)"""
+
+
+def turned(spark: SparkSession, sf_dir: str) -> tuple[Clustered, Adjacency]:
+    def make(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        nodes, edges = graph(spark, sf_dir)
+        return nodes, edges.select("id", F.col("target").alias("source"), F.col("source").alias("target"), "type", F.round(F.col("weight") * 100).alias("weight"))
+
+    return _kept(spark, sf_dir, "turned", make)
+
+
+@query("gr3_distances", f"""WITH RECURSIVE {_TURNED_SQL},
+r(id, hops, cost) AS (SELECT 'region:0', 0, 0.0::DOUBLE UNION SELECT e.target, r.hops + 1, r.cost + e.weight FROM r JOIN turned e ON e.source = r.id)
+SELECT id, min(cost) AS cost, CAST(arg_min(hops, cost * 1000 + hops) AS BIGINT) AS hops FROM r GROUP BY id""")
+def _(spark, d):
+    return traverse.distances(*turned(spark, d), "region:0")
+
+
+@query("gr3_far_path", f"""WITH RECURSIVE {_TURNED_SQL},
+r(id, cost, hops, chain, trail) AS (SELECT 'order:0', 0.0::DOUBLE, 0, []::VARCHAR[], ['order:0'] UNION ALL SELECT e.source, r.cost + e.weight, hops + 1, list_prepend(e.id, chain), list_prepend(e.source, trail) FROM r JOIN turned e ON e.target = r.id WHERE hops < 6),
+b AS (SELECT * FROM r WHERE id = 'region:0' ORDER BY cost, hops, chain LIMIT 1), s AS (SELECT cost, chain, trail, unnest(range(0, hops + 1)) AS step FROM b)
+SELECT CAST(step AS BIGINT) AS step, trail[step + 1] AS id, CASE WHEN step > 0 THEN chain[step] END AS edge_in, cost FROM s""")
+def _(spark, d):
+    return traverse.shortest_path(*turned(spark, d), "region:0", "order:0")
+
+
 @query("gr4_observe", f"""WITH {BROKEN_SQL}, x AS (SELECT id, 'out' AS direction, target AS other FROM edges WHERE source = 'part:7' UNION ALL SELECT id, 'in', source FROM edges WHERE target = 'part:7' AND source <> 'part:7'),
 f AS (SELECT * FROM x ORDER BY id LIMIT 20)
 SELECT f.id AS edge_id, direction, other AS neighbour, n.type AS other_type, n.id IS NULL AS dangling FROM f LEFT JOIN nodes n ON n.id = other""")

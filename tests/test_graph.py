@@ -241,3 +241,30 @@ def test_engine_contract(spark):
     assert engine.impact("nix:none").first().risk == "low"
     after = engine.publish(engine.nodes.where("id <> 'nix:b.nix'"), engine.edges)
     assert after.generation == 1 and after.dependencies("nix:a.nix").count() == 0
+
+
+@pytest.mark.parametrize("delta", [0.5, 2.0, None])
+def test_delta_stepping_equals_a_plain_search(spark, monkeypatch, delta):
+    rnd = random.Random(31)
+    names = [f"k{i:02d}" for i in range(22)]
+    links = [(f"l{i:03d}", rnd.choice(names), rnd.choice([*names, "nowhere"]), "imports", float(rnd.choice([0, 0, 1, 1, 2, 3, 7]))) for i in range(70)]
+    links += [("l900", "k00", "k07", "imports", None), ("l901", "k00", "k01", "imports", 1.0), ("l000b", "k00", "k01", "imports", 1.0)]
+    e = spark.createDataFrame(links, "id string, source string, target string, type string, weight double")
+    n = spark.createDataFrame([(i, "t", i, i) for i in [*names, "alone"]], "id string, type string, name string, path string")
+    best, heap = {}, [(0.0, 0, (), ("k00",))]
+    while heap:
+        cost, hops, chain, trail = heapq.heappop(heap)
+        if trail[-1] not in best:
+            best[trail[-1]] = cost, hops, chain, trail
+            for i, s, t, _, w in links:
+                if s == trail[-1] and t in names and w is not None:
+                    heapq.heappush(heap, (cost + w, hops + 1, (*chain, i), (*trail, t)))
+    got = {r.id: (r.cost, r.hops) for r in traverse.distances(n, e, "k00", delta=delta).collect()}
+    assert got == {i: b[:2] for i, b in best.items()} and len(got) > 10
+    monkeypatch.setattr(traverse, "NEAR", 0)
+    far = max(best, key=best.get)
+    for goal in (far, "k00", "alone"):
+        path = traverse.shortest_path(n, e, "k00", goal, delta).orderBy("step").collect()
+        want = best.get(goal, (0, 0, (), ()))
+        assert tuple(r.id for r in path) == want[3] and tuple(r.edge_in for r in path[1:]) == want[2] and all(r.cost == want[0] for r in path)
+    assert not traverse.distances(n, e, "not there", delta=delta).count() and not traverse.distances(n, e.limit(0), "alone", "k00").where("id <> 'alone'").count()
