@@ -9,13 +9,14 @@ permutation is a bijection, so equal values have equal pseudonyms in all documen
 and different values different ones. E-mail addresses and credentials have no such
 numeric domain; keyed digests of the same kind of text take their place.
 
-The main path is a narrow projection (no shuffle, no Python). Texts without digit
-and ``@`` skip all of it.
+The main path is a narrow projection (no shuffle, no Python). Texts without digit,
+``@`` and the opening of an access key skip all of it.
 
 Cases: null text stays null with n_pii 0; empty text stays empty; invalid candidates
 stay as they are; repeated rows give repeated results; any character may stand in
 the text (the marker character is escaped); a very long text takes time in proportion
-to its length; other columns are not looked at and stay; an empty table gives no rows.
+to its length; other columns are not looked at and stay, but for one with the name of the
+count, which the count replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def pseudonymise_columns(text: Column, key: str) -> Column:
     """A struct (text, n) of the text with pseudonyms and the number of values replaced."""
     escaped = F.replace(text, F.lit(_MARK), F.lit(_MARK + "e"))
     marked = F.regexp_replace(escaped, f"({ANY})", _MARK + "d$1" + _MARK + "d")
-    parts = F.when(text.rlike("[0-9@]"), F.split(marked, _MARK + "d", -1)).otherwise(F.array(escaped))
+    parts = F.when(text.rlike("[0-9@]|AKIA"), F.split(marked, _MARK + "d", -1)).otherwise(F.array(escaped))
     return F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.struct(x.alias("was"), pseudonym(x, key).alias("now"))).otherwise(F.struct(x.alias("was"), x.alias("now"))))
 
 

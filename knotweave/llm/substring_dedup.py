@@ -23,10 +23,12 @@ all documents, which is far too large for one machine; so it is built in parts:
    cut the covered words out.
 
 Words are compared as words: hashes choose anchors, parts and what to look at, and
-never decide equality. Nothing goes to the driver but the total size. The documents
-are shuffled once (the three uses share that exchange); every block and part is
-bounded, whichever key is hot: rows are dealt to blocks one by one, so repeated rows
-spread. The input must give the same rows in the same order when it is read again.
+never decide equality. Nothing goes to the driver but the total size. Every block and
+part is bounded, whichever key is hot: rows are dealt to blocks one by one, so repeated
+rows spread. Which block a row is in is written to the shared folder with it, so that an
+answer meets the words that were asked about although the input may come in another
+order when it is read again, or a block is computed again after an executor is lost.
+What is written is shuffled once (the three uses share that exchange).
 
 Cases: null and empty texts have no words and are kept empty (""); documents of
 fewer than ``width`` words are kept as they are; each row counts as a document, so
@@ -42,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotweave.llm.text import GramSums, blobs, doc_text, gram_hashes, join_words, slices, word_hashes
+from knotweave.plans.session import table as written
 
 #: Words of an anchor; suffixes that a prefix group may hold before its prefix is extended.
 ANCHOR, GROUP_LIMIT = 8, 1 << 18
@@ -169,7 +172,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, block_bytes: int = BLOCK_BY
     text = doc_text(docs)
     total = text.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
-    blocked = text.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)))
+    blocked = written(text.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n))))
 
     def count_anchors(table):
         found = [np.zeros(0, np.uint64)]

@@ -166,6 +166,20 @@ def test_substring_dedup(spark, rows, width):
     assert sorted(map(tuple, got), key=str) == brute_substrings(rows, width)
 
 
+def test_substring_dedup_of_an_input_in_changing_order(spark, rows):
+    def mixed(frames):
+        for f in frames:
+            yield f.sample(frac=1, random_state=random.SystemRandom().randrange(1 << 30))
+
+    df = frame(spark, rows).select("doc_id", "text").mapInPandas(mixed, "doc_id long, text string")
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # every use reads the input anew
+    try:
+        got = substring_dedup.remove_repeats(df, 12, block_bytes=20_000).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert collections.Counter(map(tuple, got)) == brute_substrings(rows, 12)
+
+
 def test_substring_dedup_extends_hot_prefixes(spark, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP_LIMIT", 2)
     got = substring_dedup.remove_repeats(frame(spark, rows[:40]), 12).collect()
@@ -776,6 +790,15 @@ def brute_feistel(value, a, b, key, what):
     return left * b + right
 
 
+def test_access_keys_without_digits_and_a_count_that_is_there(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    df = spark.createDataFrame([(1, key, 7), (2, f"the key {key} 1", 7), (3, "AKIA alone", 7)], "doc_id long, text string, n_pii int")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    new = got[1].text
+    assert [got[i].n_pii for i in (1, 2, 3)] == [1, 1, 0] and new != key and re.fullmatch("AKIA[0-9A-F]{16}", new)
+    assert got[2].text == f"the key {new} 1" and got[3].text == "AKIA alone"
+
+
 def test_pseudonyms_equal_a_plain_computation(spark):
     """Addresses, numbers and dates of random texts, row by row in Python; repeated rows, null ids and a long text too."""
     rnd = random.Random(77)
