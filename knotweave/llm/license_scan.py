@@ -1,11 +1,15 @@
 """Licence scan: Aho-Corasick over word sequences, licence expressions by shunting-yard.
 
 Every whole text is normalised to its words; one Aho-Corasick automaton finds notice
-phrases and identifier tags (``SPDX-License-Identifier``, ``licensed under``) at once.
-The licence expression after a tag (``and`` / ``or`` / ``with`` and brackets, over
-line ends too) is put into postfix order by a shunting-yard and evaluated: ``and``
-takes the stricter side, ``or`` the freer. An identifier of no known family counts as
-``other`` and doesn't end the expression.
+phrases (names, short names and openings of licences) and identifier tags
+(``SPDX-License-Identifier``, ``licensed under``, fields such as ``license: MIT``) at once.
+The licence expression after a tag (``and`` / ``or`` / ``with`` and brackets) is put into
+postfix order by a shunting-yard and evaluated: ``and`` takes the stricter side, ``or`` the
+freer. After an identifier tag or in a field it ends with its line, unless a bracket is
+open or the line ends in an operator; in prose it may run on. An identifier of no known
+family counts as ``other`` and doesn't end the expression. A phrase inside a longer one
+(``creative commons attribution`` in ``creative commons attribution noncommercial``) gives no
+label, unless it is a base phrase.
 
 Cases: a null or empty text has no words, no label and score 0.0; phrases that
 overlap all count; repeated rows give repeated results; an expression whose brackets
@@ -49,10 +53,57 @@ MORE_PHRASES = {
     "cc0": "cc0",
     "public domain": "public-domain",
     "proprietary and confidential": "proprietary",
+    # further names and short names
+    "library general public license": "lgpl",
+    "gnu gpl": "gpl",
+    "gnu lgpl": "lgpl",
+    "gnu agpl": "agpl",
+    "gplv2": "gpl",
+    "gplv3": "gpl",
+    "lgplv2": "lgpl",
+    "lgplv3": "lgpl",
+    "agplv3": "agpl",
+    "boost software license": "boost",
+    "artistic license": "artistic",
+    "zlib license": "zlib",
+    "postgresql license": "postgresql",
+    "the unlicense": "unlicense",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "open font license": "ofl",
+    "open database license": "odbl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "elastic license": "elastic",
+    "creative commons zero": "cc0",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution noderivs": "cc-by-nd",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution no derivatives": "cc-by-nd",
+    # openings of the licences' own texts
+    "permission is hereby granted free of charge": "mit",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission to use copy modify and or distribute this software": "isc",
+    "permission to use copy modify and distribute this software": "hpnd",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "permission is granted to anyone to use this software for any purpose": "zlib",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation": "boost",
 }
 
-#: Tags before a licence expression (as lower-case words) and whether any word after them is an identifier.
-TAGS = {"spdx license identifier": True, "licensed under": False, "licenced under": False, "licensed under the": False, "licenced under the": False}
+#: Tags before a licence expression (as lower-case words) and what kind of text follows: an expression, prose, or after a colon or equals sign the value of a field.
+TAGS = {
+    "spdx license identifier": "expression",
+    "licensed under": "prose",
+    "licenced under": "prose",
+    "licensed under the": "prose",
+    "licenced under the": "prose",
+    "license": "field",
+    "licence": "field",
+}
 
 #: Families of licence identifiers by how much they restrict reuse, from 0 (free) to 1 (reserved).
 FAMILIES = {
@@ -72,6 +123,7 @@ FAMILIES = {
 RESTRICTION = {name: level for level, names in FAMILIES.items() for name in names.split()}
 
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:\-]*)")
+_LINE_END = re.compile(r"[\r\n]")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _BY_LENGTH = sorted(RESTRICTION, key=len, reverse=True)
 _VERSION = re.compile(r"v?[0-9][0-9.]*\+?(?:$|-)|[-+]|$")
@@ -90,17 +142,21 @@ def _identifier(token: str, strict: bool) -> bool:
     return family(token) is not None or bool(re.search(r"[A-Z0-9]", token) and re.search(r"[-.][A-Z0-9]", token))
 
 
-def tokens_of(text: str, at: int, strict: bool = True) -> list[str]:
+def tokens_of(text: str, at: int, kind: str = "expression") -> list[str]:
     """The licence expression that starts at ``at``: operands and operators in turn, and brackets.
 
-    ``strict``: after an identifier tag every word in an operand's place is one; else
-    (in prose) it must look like one, and an operator without such an operand ends it.
+    After an identifier tag every word in an operand's place is one; in prose and fields
+    it must look like one, and an operator without such an operand ends the expression.
     """
     out: list[str] = []
     depth, kept, operand = 0, 0, True
     while m := _TOKEN.match(text, at):
         t = m[1]
         low = t.lower()
+        turned = kind != "prose" and not depth and _LINE_END.search(text, at, m.start(1)) is not None
+        if turned and not operand:
+            break
+        strict = kind == "expression" and not (turned and not out)  # what stands below a bare tag may be prose
         if operand and t == "(":
             depth += 1
         elif operand and t != ")" and low not in _BINDS:
@@ -171,9 +227,9 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     return stack[0]
 
 
-def expression_at(text: str, at: int, strict: bool = True) -> tuple[float, set[str]] | None:
+def expression_at(text: str, at: int, kind: str = "expression") -> tuple[float, set[str]] | None:
     """Restriction and labels of the licence expression that starts at ``at``; None if there is none."""
-    tokens = tokens_of(text, at, strict)
+    tokens = tokens_of(text, at, kind)
     if not tokens:
         return None
     try:
@@ -185,16 +241,16 @@ def expression_at(text: str, at: int, strict: bool = True) -> tuple[float, set[s
 
 def automaton(phrases: dict[str, str]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase, strict in TAGS.items():
-        a.add_word(f" {phrase} ", (None, len(phrase) + 1, strict))
+    for phrase, kind in TAGS.items():
+        a.add_word(f" {phrase} ", (None, phrase, kind))
     for phrase, label in phrases.items():
-        a.add_word(f" {phrase} ", (label, len(phrase) + 1, False))
+        a.add_word(f" {phrase} ", (label, phrase, None))
     a.make_automaton()
     return a
 
 
 def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset[str]) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_expressions) of one text."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score, n_expressions) of one text; ``base``: the phrases whose places count."""
     flat = (raw or b"").translate(WORDS)
     words = flat.split()
     # latin-1 keeps one character a byte, so that positions stay byte positions
@@ -203,19 +259,24 @@ def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset
     labels: set[str] = set()
     found_base: set[str] = set()
     places: list[int] = []
-    tags: dict[int, bool] = {}  # word after the tag
+    tags: dict[int, str] = {}  # word after the tag
     if hits:
         blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        at = np.searchsorted(blanks, [end - hit[1] for end, hit in hits]).tolist()
+        at = np.searchsorted(blanks, [end - len(hit[1]) - 1 for end, hit in hits]).tolist()
         after = np.searchsorted(blanks, [end for end, _ in hits]).tolist()
-        for (_, (label, _, strict)), first, behind in zip(hits, at, after, strict=True):
+        notices = [(first, -behind, label, phrase) for (_, (label, phrase, _)), first, behind in zip(hits, at, after, strict=True) if label is not None]
+        for (_, (label, _, kind)), behind in zip(hits, after, strict=True):
             if label is None:
-                tags[behind] = strict
-                continue
-            labels.add(label)
-            if label in base:
+                tags[behind] = kind
+        reach = 0  # how far the phrases that start no later go
+        for first, behind, label, phrase in sorted(notices):
+            counted = phrase in base
+            if counted:
                 found_base.add(label)
                 places.append(first)
+            if counted or -behind > reach:
+                labels.add(label)
+            reach = max(reach, -behind)
     score = max((RESTRICTION.get(x, RESTRICTION["other"]) for x in labels), default=0.0)
     found = []
     if tags:
@@ -223,8 +284,10 @@ def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset
         ends = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1) == 1)  # byte after each word
         text = raw.decode("latin-1")
         # "licensed under" ends where "licensed under the" goes on: the longer tag is the one that is followed by an expression
-        got = (expression_at(text, int(ends[word - 1]) + _colon(text, int(ends[word - 1])), strict) for word, strict in sorted(tags.items()))
-        found = [x for x in got if x]
+        for word, kind in sorted(tags.items()):
+            begin = (_FIELD if kind == "field" else _COLON).match(text, int(ends[word - 1]))
+            if begin and (x := expression_at(text, begin.end(), kind)):
+                found.append(x)
     if found:
         # an expression decides for the licences that it names; other notices still restrict
         named = set().union(*(x[1] for x in found))
@@ -233,13 +296,8 @@ def scan_text(raw: bytes | None, machine: ahocorasick.Automaton, base: frozenset
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found_base)), ",".join(sorted(labels)), float(score), len(found)
 
 
-_COLON = re.compile(r"[ \t]*:")
-
-
-def _colon(text: str, at: int) -> int:
-    m = _COLON.match(text, at)
-    return m.end() - at if m else 0
-
+_COLON = re.compile(r"(?:[ \t]*:)?")
+_FIELD = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?(?=[^ \t\r\n])")
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_expressions long"
 
@@ -252,7 +310,7 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, more: dic
     """
     base = BASE_PHRASES if base is None else base
     more = MORE_PHRASES if more is None else more
-    phrases, counted = {**more, **base}, frozenset(base.values())
+    phrases, counted = {**more, **base}, frozenset(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(phrases)
