@@ -49,7 +49,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-def _inverse(base: np.uint64) -> np.uint64:
+def inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
@@ -68,7 +68,7 @@ def word_hashes(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, n), out=total[1:])
-    raw = (total[end] - total[start]) * powers(_inverse(_BYTE_BASE), n)[start]
+    raw = (total[end] - total[start]) * powers(inverse(_BYTE_BASE), n)[start]
     # the length takes part, and the avalanche makes every bit usable on its own
     return mix64(raw + mix64((end - start).astype(np.uint64))), start, end
 
@@ -93,7 +93,7 @@ class GramSums:
         base = _GRAM_BASE[which]
         self.total = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * powers(base, len(words)), out=self.total[1:])
-        self.back = powers(_inverse(base), len(words) + 1)
+        self.back = powers(inverse(base), len(words) + 1)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words from ``start`` to before ``end``; equal runs have equal hashes in any sequence."""

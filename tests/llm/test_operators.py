@@ -360,6 +360,23 @@ def test_cached_encoder_equals_the_library(name, drop):
         assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == want[k : k + 100]
 
 
+@pytest.mark.parametrize(("name", "drop"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_cached_encoder_cuts_long_texts_and_forgets(monkeypatch, name, drop):
+    monkeypatch.setattr(tokens, "_BLOCK", 300)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcéßXY.,'|9") for _ in range(rnd.randint(1, 7)))
+    texts = ["".join(word() + rnd.choice([" ", " ", " ", "\n", "\n\n", "  "]) for _ in range(rnd.randint(0, 250))) for _ in range(60)]
+    texts += ["", " ", "\n\n", "a" * 1100, "ab " + "ba" * 700 + " c", " ".join(["ab" * 200, "ab" * 199 + "ba"] * 3), "it's don't, <|endoftext|>, x.<|endoftext|>", "no\u00a0break, here"]
+    want = [x.ids for x in tokens.CachedEncoder(tokenizer_file(name), drop).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for bounds in ({}, {"max_entries": 40}, {"max_ids": 2000}):
+        e = tokens.CachedEncoder(tokenizer_file(name), drop, **bounds)
+        for _ in range(2):  # with the table empty, and full
+            ids, counts = e.encode([t.encode() for t in texts])
+            at = np.concatenate([[0], np.cumsum(counts)])
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == want
+        assert len(e.key) == len(e.row) == e.rows and (np.diff(e.key.astype(object)) > 0).all()
+
+
 def library_ids(rows, name, end):
     from tokenizers import Tokenizer
 
