@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import Edges, Nodes, blast_radius, closure, edges_at, gather, nodes_at, walk
-from knotweave.plans.store import plain
+from knotweave.operators.traverse import Edges, Nodes, blast_radius, closure, edges_at, gather, nodes_among, nodes_at, walk
+from knotweave.plans.session import written
+from knotweave.plans.store import plain, side
 from knotweave.schema import EVIDENCE_LIMIT, KEY_SYMBOLS, OBSERVE_LIMIT
 
 
@@ -87,8 +88,9 @@ def module_edges(nodes: Nodes, edges: Edges, path: str, module_prefix: str = "ni
     out = plain(edges).join(mine, "source", "left_semi") if few is None else edges_at(edges, [r["source"] for r in few])
     both = out.select(F.lit("out").alias("direction"), *columns).union(edges_at(edges, [module_prefix + path], reverse=True).select(F.lit("in"), *columns))
     other = F.when(F.col("direction") == "out", F.col("target")).otherwise(F.col("source"))
-    known = plain(nodes).select(F.col("id").alias("other"), F.lit(False).alias("loose")).distinct()
-    return both.withColumn("other", other).join(known, "other", "left").select("direction", *columns, F.col("loose").isNull().alias("dangling"))
+    both, rows = written(both.withColumn("other", other))
+    known = nodes_among(nodes, both.select(F.col("other").alias("id")), rows).select(F.col("id").alias("other"), F.lit(False).alias("loose"))
+    return both.join(side(known, rows), "other", "left").select("direction", *columns, F.col("loose").isNull().alias("dangling"))
 
 
 def option_value(values: DataFrame, option: str) -> DataFrame:

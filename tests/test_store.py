@@ -165,3 +165,23 @@ def test_containing_equals_a_comparison_of_all_pairs(spark):
     got = containing(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame([(x,) for x in needles], "needle string")).collect()
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(k, x) for k, t in texts for x in needles if t is not None and x and x in t}
     assert containing(spark.createDataFrame(texts, "key int, text string"), spark.createDataFrame([], "needle string")).count() == 0
+
+
+def test_a_query_walks_the_tables_without_publishing_the_graph(spark):
+    import os
+
+    from knotweave.plans import catalog
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = {n for n in os.listdir(folder) if n.startswith("graph-")}
+    assert catalog.QUERIES["gr9_dependencies"](spark, "/root/testdata/sf0.001").count() == 29
+    assert {n for n in os.listdir(folder) if n.startswith("graph-")} == before
+
+
+def test_large_frontiers_name_their_kinds_to_the_edges(spark, monkeypatch):
+    edges = spark.createDataFrame([("a:1->b:1", "a:1", "b:1"), ("b:1->c:1", "b:1", "c:1"), ("plain->c:1", "plain", "c:1")], "id string, source string, target string")
+    at = spark.createDataFrame([("a:1",), ("plain",), (None,)], "id string")
+    kinds = traverse._kinds(at)
+    assert kinds == ["a", "plain"] and rows(traverse._of_kinds(edges, "source", kinds), "id") == {("a:1->b:1",), ("plain->c:1",)}
+    monkeypatch.setattr(traverse, "KINDS", 1)  # more kinds than are kept: all edges are candidates
+    assert traverse._of_kinds(edges, "source", traverse._kinds(at)).count() == 3
