@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from knotweave.extract.registry import extract, graph_rows
 from knotweave.operators import incremental, maintain
 from knotweave.operators.health import synthetic
+from knotweave.plans.session import compressed
 from knotweave.plans.session import table as cut
 from knotweave.plans.store import BUCKETS, Adjacency, Clustered, clustered, commit, current, manifest_of, replace_rows, write_frames
 from knotweave.sources.files import relevant, texts
@@ -114,6 +115,11 @@ def index(files: DataFrame, enabled: list[str], locks: DataFrame | None = None,
     over; of its packages, the time they were first seen is. ``locks`` (text): lock
     files, whose inputs become nodes and edges. An empty listing gives empty frames.
     """
+    with compressed(files.sparkSession):
+        return _index(files, enabled, locks, old, parse_unreferenced)
+
+
+def _index(files: DataFrame, enabled: list[str], locks: DataFrame | None, old: Index | None, parse_unreferenced: bool) -> Index:
     spark = files.sparkSession
     read = texts(files)
     first = read.where("tier = 0")
@@ -148,6 +154,11 @@ def update(index: Index, changed: DataFrame, deleted: DataFrame, enabled: list[s
     and edges that name files, if not the index's; ``parsed``: texts, nodes, edges and
     errors of the changed files, if they are there already.
     """
+    with compressed(changed.sparkSession):
+        return _update(index, changed, deleted, enabled, parse_unreferenced, named, parsed)
+
+
+def _update(index: Index, changed: DataFrame, deleted: DataFrame, enabled: list[str], parse_unreferenced: bool, named: tuple | None, parsed: tuple | None) -> tuple[Index, DataFrame]:
     states = index.states
     if parsed is None:
         read = cut(texts(changed))
@@ -235,6 +246,11 @@ def apply_batch(spark: SparkSession, root: str, changed: DataFrame, deleted: Dat
     The batch's neighbourhood is read by key, and of each frame only the buckets in which
     rows changed are written; a batch that changes nothing publishes nothing.
     """
+    with compressed(spark):
+        return _apply_batch(spark, root, changed, deleted, enabled, parse_unreferenced)
+
+
+def _apply_batch(spark: SparkSession, root: str, changed: DataFrame, deleted: DataFrame, enabled: list[str], parse_unreferenced: bool) -> DataFrame:
     store = StoredIndex.open(spark, root)
     read = cut(texts(changed))
     nodes, edges, errors = _parsed(read)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,18 @@ def shared_top(spark: SparkSession) -> str:
     return top.rstrip("/")
 
 
+@contextmanager
+def compressed(spark: SparkSession, factor: int = 20) -> Iterator[None]:
+    """Plans made inside take files for ``factor`` times their size: hashes of rows by the million fit in a few MB of Parquet, and would be broadcast through the driver for that."""
+    name = "spark.sql.sources.fileCompressionFactor"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(float(before), float(factor))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: later plans start there, and lost executors don't cost its lineage."""
     shared_top(df.sparkSession)

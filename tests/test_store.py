@@ -185,3 +185,14 @@ def test_large_frontiers_name_their_kinds_to_the_edges(spark, monkeypatch):
     assert kinds == ["a", "plain"] and rows(traverse._of_kinds(edges, "source", kinds), "id") == {("a:1->b:1",), ("plain->c:1",)}
     monkeypatch.setattr(traverse, "KINDS", 1)  # more kinds than are kept: all edges are candidates
     assert traverse._of_kinds(edges, "source", traverse._kinds(at)).count() == 3
+
+
+def test_small_files_of_many_rows_are_not_broadcast_while_an_index_is_made(spark):
+    from knotweave.plans.session import compressed
+
+    many, _ = written(spark.range(300_000).select(F.concat(F.lit("customer/"), "id", F.lit(".nix")).alias("path"), F.lit("ast_changed").alias("decision")))
+    plan = lambda: many.join(many.select("path"), "path", "left_semi")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    with compressed(spark):
+        assert "BroadcastHashJoin" not in plan()
+    assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) == 1.0
