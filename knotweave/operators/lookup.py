@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from knotweave.operators.traverse import Edges, Nodes, blast_radius, closure, edges_at, gather, nodes_among, nodes_at, walk
+from knotweave.operators.traverse import Edges, Nodes, blast_radius, closure, edges_at, ends_without_node, gather, nodes_among, nodes_at, walk
 from knotweave.plans.session import written
 from knotweave.plans.store import plain, side
 from knotweave.schema import EVIDENCE_LIMIT, KEY_SYMBOLS, OBSERVE_LIMIT
@@ -152,11 +152,14 @@ def impact_evidence(nodes: Nodes, edges: Edges, node: str, max_depth: int, limit
 
 
 def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges without a source or target node, and which end lacks it."""
-    ids = nodes.select("id")
-    no_target = edges.join(ids.withColumnRenamed("id", "target"), "target", "left_anti").select("id", F.lit("target").alias("missing"))
-    no_source = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_anti").select("id", F.lit("source").alias("missing"))
-    return no_target.union(no_source)
+    """Edges without a source or target node, and which end lacks it; an end that is null lacks it."""
+    lost, n = ends_without_node(nodes, edges)
+
+    def without(end: str) -> DataFrame:
+        known = edges.join(side(lost.withColumnRenamed("id", end), n), end, "left_semi").select("id")
+        return known.union(edges.where(F.col(end).isNull()).select("id")).select("id", F.lit(end).alias("missing"))
+
+    return without("target").union(without("source"))
 
 
 def top_ranked(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

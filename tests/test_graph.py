@@ -268,3 +268,19 @@ def test_delta_stepping_equals_a_plain_search(spark, monkeypatch, delta):
         want = best.get(goal, (0, 0, (), ()))
         assert tuple(r.id for r in path) == want[3] and tuple(r.edge_in for r in path[1:]) == want[2] and all(r.cost == want[0] for r in path)
     assert not traverse.distances(n, e, "not there", delta=delta).count() and not traverse.distances(n, e.limit(0), "alone", "k00").where("id <> 'alone'").count()
+
+
+def test_dangling_edges_are_found_without_shuffling_the_edges(spark):
+    n, e = graph(spark, [*CHAIN, ("nix:gone.nix", "nix:a.nix")], ["nix:a.nix", "nix:b.nix", "nix:c.nix", "nix_option:o"])
+    blank = e.limit(1).select(F.lit("blank").alias("id"), F.lit(None).cast("string").alias("source"), F.lit("nix:a.nix").alias("target"), "type", "metadata", "weight")
+    e = e.union(blank)
+    found = lookup.dangling(n, e)
+    assert ids(found, "id", "missing") == {("nix:c.nix->imports->nix:d.nix#02", "target"), ("nix:gone.nix->imports->nix:a.nix#05", "source"), ("blank", "source")}
+    kept = traverse.live(n, e)
+    assert ids(kept, "source", "target") == {(s, t) for s, t, *_ in CHAIN if t != "nix:d.nix"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (lookup.dangling(n, e), traverse.live(n, e)):
+            assert "SortMergeJoin" not in made._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
