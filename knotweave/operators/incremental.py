@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knotweave.operators.traverse import BROADCAST_ROWS, Edges, Nodes, _side, nodes_at, walk
 from knotweave.operators.substring import containing
 from knotweave.plans.session import table as cut
+from knotweave.plans.session import written
 
 
 
@@ -41,24 +42,36 @@ def merkle(hashes: DataFrame, imports: DataFrame, known: DataFrame | None = None
         known = known.join(hashes.select("path"), "path", "left_anti").select("path", "merkle_hash")
         targets = targets.union(known.select("path"))
     deps = cut(imports.select("path", "target").distinct().join(hashes.select("path"), "path", "left_semi").join(targets, "target", "left_semi"))
-    leaves = hashes.join(deps.select("path").distinct(), "path", "left_anti").select("path", digest(F.col("ast_hash"), F.expr("cast(array() as array<string>)")).alias("merkle_hash"))
-    fresh = done = cut(leaves if known is None else leaves.union(known.join(deps.select(F.col("target").alias("path")), "path", "left_semi")))
-    size = seen = fresh.count()
+    # rounds carry what imports something and what is imported; a path that does neither is only hashed
+    importers, many = written(deps.select("path").distinct())
+    asked, most = written(deps.select(F.col("target").alias("path")).distinct())
+    mine = cut(hashes.join(_side(importers, many), "path", "left_semi").select("path", "ast_hash"))
+    alone = lambda rows: rows.join(_side(importers, many), "path", "left_anti").select("path", digest(F.col("ast_hash"), F.expr("cast(array() as array<string>)")).alias("merkle_hash"))
+    leaves = alone(hashes)
+    first = alone(hashes.join(_side(asked, most), "path", "left_semi"))
+    fresh, size = written(first if known is None else first.union(known.join(_side(asked, most), "path", "left_semi")))
+    stands, seen = fresh, size  # what others see of the paths that are settled
+    settled, done = leaves, 0
     for level in count(1):
         if not size:
             break
         # a path is settled in the round after its last import was
         near = deps.join(_side(fresh.select(F.col("path").alias("target")), size), "target", "left_semi").select("path").distinct()
-        ready = deps.join(near, "path", "left_semi").join(_side(done.withColumnRenamed("path", "target"), seen), "target", "left").groupBy("path").agg(F.count_if(F.col("merkle_hash").isNull()).alias("open"), F.collect_list("merkle_hash").alias("parts"))
-        fresh = cut(ready.where("open = 0").join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash")))
-        size = fresh.count()
-        done, seen = done.union(fresh), seen + size
+        ready = deps.join(near, "path", "left_semi").join(_side(stands.withColumnRenamed("path", "target"), seen), "target", "left").groupBy("path").agg(F.count_if(F.col("merkle_hash").isNull()).alias("open"), F.collect_list("merkle_hash").alias("parts"))
+        closed, n = written(ready.where("open = 0").join(mine, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash")))
+        settled, done = closed if not done else settled.union(closed), done + n
+        fresh, size = written(closed.join(_side(asked, most), "path", "left_semi"))
+        stands, seen = stands.union(fresh), seen + size
         if level % 8 == 0:  # a plan of bounded length, however deep the imports
-            done = cut(done.coalesce(max(1, seen // BROADCAST_ROWS)))
-    left = hashes.join(done.select("path"), "path", "left_anti")
-    stands = done.select(F.col("path").alias("target"), F.col("merkle_hash").alias("h")).union(left.select("path", "ast_hash"))
-    cyclic = deps.join(left.select("path"), "path", "left_semi").join(stands, "target").groupBy("path").agg(F.collect_list("h").alias("parts")).join(hashes, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash"))
-    return (done if known is None else done.join(known.select("path"), "path", "left_anti")).union(cyclic)
+            stands, settled = cut(stands.coalesce(max(1, seen // BROADCAST_ROWS))), cut(settled.coalesce(max(1, done // BROADCAST_ROWS)))
+    if not done:
+        settled = leaves.limit(0)
+    left, open_ = written(mine.join(settled.select("path"), "path", "left_anti"))
+    if not open_:
+        return leaves.union(settled)
+    stands = stands.withColumnRenamed("merkle_hash", "h").union(left.select("path", "ast_hash")).withColumnRenamed("path", "target")
+    cyclic = deps.join(left.select("path"), "path", "left_semi").join(stands, "target").groupBy("path").agg(F.collect_list("h").alias("parts")).join(left, "path").select("path", digest(F.col("ast_hash"), F.col("parts")).alias("merkle_hash"))
+    return leaves.union(settled).union(cyclic)
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, value: list[str]) -> DataFrame:
