@@ -28,10 +28,12 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     needles, n = written(needles.where("needle <> ''").select("needle").distinct())
     short = sorted(r[0] for r in needles.select(F.least(F.length("needle"), F.lit(WIDTH)).alias("w")).distinct().collect())  # 1, 2, 3 at most
     spark, out = texts.sparkSession, None
+    # texts that lie in one file are dealt out, as their runs and matches are many times their size
+    texts, _ = written(texts.where("text is not null").select("key", "text").distinct())
     for width in short:
         mine = needles.where(F.least(F.length("needle"), F.lit(WIDTH)) == width)
         asked, keys = written(mine.select(F.explode(grams(F.col("needle"), width)).alias("gram")).distinct())
-        cells = texts.where("text is not null").select("key", "text", F.explode(grams(F.col("text"), width)).alias("gram")).join(side(asked, keys), "gram", "left_semi")
+        cells = texts.select("key", "text", F.explode(grams(F.col("text"), width)).alias("gram")).join(side(asked, keys), "gram", "left_semi")
         frequency = cells.groupBy("gram").agg(F.count("*").alias("n"))
         # a run that no text has rules its needle out
         counted = mine.select("needle", F.explode(grams(F.col("needle"), width)).alias("gram")).join(frequency, "gram", "left").groupBy("needle")
@@ -41,4 +43,9 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
         out = met if out is None else out.union(met)
     if out is None:
         return spark.createDataFrame([], f"key {texts.schema['key'].dataType.simpleString()}, needle string")
-    return out.distinct()
+    # a text meets a needle by its one rarest run, so that pairs can only repeat where a key has several texts
+    several, n = written(texts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key")))
+    if not n:
+        return out
+    at = out["key"].eqNullSafe(side(several, n)["_key"])
+    return out.join(side(several, n), at, "left_anti").union(out.join(side(several, n), at, "left_semi").distinct())

@@ -45,3 +45,13 @@ def test_merkle_without_imports(spark):
     assert {tuple(r) for r in got.collect()} == {("a", sha256(b"1").hexdigest()), ("b", sha256(b"2").hexdigest())}
 
 
+def test_matches_of_single_texts_are_not_aggregated(spark):
+    needles = spark.createDataFrame([("abc",), ("b",), ("zz",)], "needle string")
+    single = spark.createDataFrame([(1, "abc"), (2, "xabcx"), (3, None), (4, "b")], "key int, text string")
+    out = containing(single, needles)
+    assert {tuple(r) for r in out.collect()} == {(1, "abc"), (1, "b"), (2, "abc"), (2, "b"), (4, "b")} and out.count() == 5
+    assert "Aggregate" not in _plan(out)
+    several = spark.createDataFrame([(1, "abc"), (1, "abcd"), (1, "abc"), (None, "abc"), (None, "xabc"), (2, "abc"), (2, "abc")], "key int, text string")
+    assert sorted(map(str, (tuple(r) for r in containing(several, needles).collect()))) == sorted(map(str, [(k, n) for k in (1, 2, None) for n in ("abc", "b")]))
+
+
