@@ -70,7 +70,11 @@ def parsed_rows(lang: str, path: str, text: str) -> list[tuple]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Rows of kind node, edge or error for files (path, lang, text); files without text are skipped."""
+    """Rows of kind node, edge or error for files (path, lang, text); files without text are skipped.
+
+    Files are dealt out before they are parsed, a few tasks for each core: texts by the million fit
+    in one file of a listing, which one task would parse.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -81,7 +85,9 @@ def extract(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     known = sorted(parsers())
-    return files.where(F.col("text").isNotNull() & F.col("lang").isin(known)).select("path", "lang", "text").mapInArrow(run, SCHEMA)
+    spark = files.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return files.where(F.col("text").isNotNull() & F.col("lang").isin(known)).select("path", "lang", "text").repartition(tasks, "path").mapInArrow(run, SCHEMA)
 
 
 def graph_rows(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -55,6 +55,12 @@ def test_matches_of_single_texts_are_not_aggregated(spark):
     assert sorted(map(str, (tuple(r) for r in containing(several, needles).collect()))) == sorted(map(str, [(k, n) for k in (1, 2, None) for n in ("abc", "b")]))
 
 
+def test_files_of_one_partition_are_parsed_by_several_tasks(spark):
+    files = spark.range(64).select(F.concat(F.lit("m/"), "id", F.lit(".nix")).alias("path"), F.lit("nix").alias("lang"), F.lit("{ imports = [ ./x.nix ]; }\n").alias("text")).coalesce(1)
+    rows = extract(files).where("kind = 'edge'").select("path", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 64 and len({r["task"] for r in rows}) > 1
+
+
 def test_adjacency_sorts_once(spark):
     edges = spark.createDataFrame([("e1", "a", "b", 2.0), ("e0", "a", "b", 3.0), ("e2", "b", "a", 1.0)], "id string, source string, target string, weight double")
     out = traverse.adjacency(edges)
